@@ -24,15 +24,16 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .storage import with_fields
 
 #: Fixed value: the tokenizer file's pre-token pattern.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 #: Pieces (and pairs of tokens) whose results a worker keeps.
 KEPT_PIECES, KEPT_PAIRS = 300_000, 500_000
-#: Rows of one output batch.
-BATCH_ROWS = 256
+#: Rows of one output batch, and tokens that are joined in one Arrow array.
+BATCH_ROWS, MOST_AT_ONCE = 256, 20_000_000
 
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
@@ -187,10 +188,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _with_column(df: DataFrame, name: str, kind: str) -> T.StructType:
-    return T.StructType([f for f in df.schema.fields if f.name != name]).add(name, kind)
-
-
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", specials: bool = True) -> DataFrame:
     """Adds the token ids of a text column as array<int>.
 
@@ -198,7 +195,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", spe
     text has no ids. Texts are encoded whole; repeated rows stay; a column named
     ids is replaced. An empty table gives an empty result.
     """
-    schema = _with_column(docs, ids, "array<int>")
+    schema = with_fields(docs, {ids: "array<int>"})
     names = schema.names[:-1]
 
     def run(batches):
@@ -217,21 +214,21 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
 
     Null ids, and ids that are null or out of the vocabulary, add nothing.
     """
-    schema = _with_column(docs, decoded, "string")
+    schema = with_fields(docs, {decoded: "string"})
     names = schema.names[:-1]
 
     def run(batches):
-        tokens = pa.array(encoder(path).tokens, pa.large_string())
+        tokens = pa.array(encoder(path).tokens, pa.string())
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
                 column = pc.fill_null(part.column(ids), [])
                 flat = pc.list_flatten(column)
                 known = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(tokens))), False)
-                if pc.all(known, min_count=0).as_py():
-                    texts = tokens.take(flat)
-                    lists = pa.LargeListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int64()), pc.cumulative_sum(pc.cast(pc.list_value_length(column), pa.int64()))]), texts)
-                    out = pc.binary_join(lists, " ").cast(pa.string())
+                if len(flat) < MOST_AT_ONCE and pc.all(known, min_count=0).as_py():
+                    ends = pc.cumulative_sum(pc.list_value_length(column))
+                    lists = pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), tokens.take(flat))
+                    out = pc.binary_join(lists, " ")
                 else:
                     out = pa.array([" ".join(encoder(path).tokens[i] for i in row if i is not None and 0 <= i < len(tokens)) for row in column.to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), out], names=schema.names)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, urls
+from . import bpe, media, mixing, urls
 from .storage import read
 
 
@@ -27,6 +27,28 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = F.coalesce("text", F.lit("")).cast("binary")
+    padded = F.greatest(F.lit(1), F.expr("cast((n_bytes + 63) div 64 as int)")) * 64
+    docs = (
+        read(spark, sf_dir, "documents")
+        .select("doc_id", data.alias("data"))
+        .withColumn("n_bytes", F.octet_length("data").cast("long"))
+        .select("doc_id", "n_bytes", F.rpad("data", padded, F.lit(b"\0")).alias("payload"))
+    )
+    loaded = media.load(media.store(docs).drop("payload"), tensors=False)
+    return loaded.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("stored").cast("long").alias("payload_bytes"),
+        F.sha2("stored", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(stored, -64, 64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     return urls.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict", "component")

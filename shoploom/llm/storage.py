@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,3 +28,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def with_fields(df: DataFrame, added: dict[str, str]) -> T.StructType:
+    """df's schema with the added columns last, in place of any of their names."""
+    kept = [f for f in df.schema.fields if f.name not in added]
+    return T.StructType([*kept, *(T.StructField(n, T.DataType.fromDDL(kind)) for n, kind in added.items())])
