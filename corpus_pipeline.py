@@ -1,6 +1,72 @@
-STAGES = []
+"""From raw documents to token ids: five stages over whole tables.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the one before it
+kept, and all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shoploom.llm import bpe, mixing, pii, simhash, toxicity
+from shoploom.llm.storage import cut, read
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out the documents that the toxicity network rejects."""
+    network = toxicity.train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, network).where("predicted = 0").select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first document of each group of near copies."""
+    return simhash.keep_one(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts <EMAIL>, <IP>, <CARD> and <PHONE> in place of what they name."""
+    found = pii.find(docs, mask="text")
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts the rows in the order of the mix: through each file, and from file to file."""
+    mixed = mixing.mix(docs.select("doc_id", "source"))
+    placed = cut(mixed.groupBy("doc_id").agg(F.min("position").alias("position")))
+    last = placed.agg(F.max("position")).first()[0] or 0
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = (F.col("position") * files / (last + 1)).cast("int")
+    rows = docs.alias("d").join(placed.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")))
+    return rows.select("d.*", "position").repartitionById(files, part).sortWithinPartitions("position").select(docs.columns)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, and a digest of what they decode to."""
+    path = public_tokenizers.path(TOKENIZER)
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "n_chars", "text"), path).drop("text")
+    return bpe.decode(encoded, path).select(
+        "doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash near-dedup", drop_near_copies),
+    ("pii", mask_personal_data),
+    ("mixing", mix_sources),
+    ("bpe", encode_tokens),
+]
+
+#: Neither a trained network nor tokenization is within SQL; tests/llm compares run() with a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs
