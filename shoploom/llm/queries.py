@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, mixing, pii, simhash, toxicity, urls
-from .storage import read
+from . import bpe, media, mixing, pii, simhash, token_counts, toxicity, urls
+from .storage import read, stored
 
 
 def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,14 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    end_of_document = 50_256
+    flat = stored(token_counts.flatten(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end_of_document))
+    counts = token_counts.count_tokens(flat.where("data is not null"), end_of_document)
+    return flat.where("ordinal is not null").select("file", "ordinal", "doc_id").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     return urls.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict", "component")
