@@ -16,9 +16,10 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from functools import cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -31,9 +32,9 @@ from .storage import with_fields
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 #: Pieces (and pairs of tokens) whose results a worker keeps.
-KEPT_PIECES, KEPT_PAIRS = 300_000, 500_000
+KEPT_PIECES, KEPT_PAIRS = 250_000, 400_000
 #: Rows of one output batch, and tokens that are joined in one Arrow array.
-BATCH_ROWS, MOST_AT_ONCE = 256, 20_000_000
+BATCH_ROWS, MOST_AT_ONCE = 512, 20_000_000
 
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
@@ -60,8 +61,9 @@ class Encoder:
         self.added_re = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pre_token = regex.compile(PRE_TOKEN)
         self.letters = dict(enumerate(_byte_letters()))
-        self.pieces: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.ends = {t.removesuffix(WORD_END): t for t in self.vocab if t.endswith(WORD_END)}
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[str, dict[str, bool]] = {}
         self.known_pairs = 0
 
@@ -89,49 +91,46 @@ class Encoder:
         self.pairs.setdefault(left, {})[token] = fits
         return fits
 
-    def _last(self, prefix: str, end: str, last: list[str]) -> tuple[str, int]:
-        """The last token of prefix + end and its start, from the last tokens of shorter prefixes."""
-        n, vocab, pairs = len(prefix), self.vocab, self.pairs
-        for start in range(n - self.longest if n > self.longest else 0, n):
-            token = prefix[start:] + end
-            if token in vocab:
-                left = last[start]
-                fits = pairs[left].get(token) if left in pairs else None
-                if fits or (fits is None and self._fits(left, token)):
-                    return token, start
-        raise ValueError(f"no token ends {prefix!r}")
-
-    def encode_words(self, words: set[str]) -> dict[str, list[int]]:
-        """The ids of each word (in byte letters, not empty), by one walk over their trie."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for letter in word[:-1]:
-                child = node.get(letter)
-                if child is None:
-                    child = node[letter] = {}
-                node = child
-            node[word + WORD_END] = None  # longer than one letter, so never the key of a child
+    def encode_words(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of each word (in byte letters, not empty), by one walk over their trie.
+
+        Sorted words are the trie in depth-first order: the states of the prefix
+        that a word shares with the one before it still stand.
+        """
+        vocab, ends, longest, pairs, fits = self.vocab, self.ends, self.longest, self.pairs, self._fits
         deepest = max(map(len, words), default=0) + 1
-        last, start, found, ids_of, step = [""] * deepest, [0] * deepest, {}, self.vocab, self._last
-        todo = [("", root)]
-        while todo:
-            prefix, node = todo.pop()
-            n = len(prefix)
-            if n:
-                last[n], start[n] = step(prefix, "", last)
-            for key, child in node.items():
-                if child is not None:
-                    todo.append((prefix + key, child))
-                    continue
-                word = key.removesuffix(WORD_END)
-                token, at = step(word, WORD_END, last)
-                ids = [ids_of[token]]
-                while at:
-                    ids.append(ids_of[last[at]])
-                    at = start[at]
-                ids.reverse()
-                found[word] = ids
+        last, begin, found, before = [""] * deepest, [0] * deepest, {}, ""
+        for word in sorted(words):
+            n, known = len(word), 0
+            most = min(n, len(before)) - 1  # the last letter of a word has a state of its own
+            while known < most and word[known] == before[known]:
+                known += 1
+            for end in range(known + 1, n):
+                start = end - longest if end > longest else 0
+                while True:
+                    token = word[start:end]
+                    if token in vocab:
+                        left = last[start]
+                        ok = pairs[left].get(token) if left in pairs else None
+                        if ok or (ok is None and fits(left, token)):
+                            break
+                    start += 1
+                last[end], begin[end] = token, start
+            start = n - longest if n > longest else 0
+            while True:
+                token = word[start:]
+                if token in ends:
+                    left, token = last[start], ends[token]
+                    ok = pairs[left].get(token) if left in pairs else None
+                    if ok or (ok is None and fits(left, token)):
+                        break
+                start += 1
+            ids = [vocab[token]]
+            while start:
+                ids.append(vocab[last[start]])
+                start = begin[start]
+            ids.reverse()
+            found[word], before = array("i", ids).tobytes(), word
         return found
 
     def _split(self, piece: str) -> list[str]:
@@ -153,7 +152,7 @@ class Encoder:
         for piece in kept:
             self.pieces[piece] = self.older[piece]
         for piece, ws in split.items():
-            self.pieces[piece] = words[ws[0]] if len(ws) == 1 else [i for w in ws for i in words[w]]
+            self.pieces[piece] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
 
     def _cut(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text)
@@ -162,8 +161,8 @@ class Encoder:
         text = text.lower()
         return [x for x in _SPACE.split(text) if x] if _ODD_SPACE.search(text) else text.split()
 
-    def encode_batch(self, texts: list[str | None], specials: bool) -> list[list[int]]:
-        """The ids of each text; specials: the strings of added tokens stand for these tokens."""
+    def encode_batch(self, texts: list[str | None], specials: bool) -> list[bytes]:
+        """The ids of each text as 32-bit numbers; specials: the strings of added tokens stand for these tokens."""
         cut: list[list] = []
         for text in texts:
             text = text or ""
@@ -176,10 +175,7 @@ class Encoder:
             self.older, self.pieces = self.pieces, {}
         self._learn(wanted - self.pieces.keys())
         ids_of = self.pieces.__getitem__
-        return [
-            [i for p in parts for i in ([self.added[p]] if isinstance(p, str) else chain.from_iterable(map(ids_of, p)))]
-            for parts in cut
-        ]
+        return [b"".join([array("i", [self.added[p]]).tobytes() if isinstance(p, str) else b"".join(map(ids_of, p)) for p in parts]) for parts in cut]
 
 
 @cache
@@ -204,7 +200,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", spe
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
                 found = bpe.encode_batch(part.column(text).to_pylist(), specials)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(found, pa.list_(pa.int32()))], names=schema.names)
+                ends = np.cumsum([0, *(len(f) // 4 for f in found)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), lists], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 

@@ -11,6 +11,10 @@ from shoploom.llm import bpe, queries
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+def numbers(ids):
+    return list(memoryview(ids).cast("i"))
+
+
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(PATH)
@@ -23,7 +27,7 @@ def library():
 @given(st.text(st.characters(exclude_categories=("Cs", "Cn"), max_codepoint=0x2FFF) | st.sampled_from("漢字가😀<|endoftext|>'"), max_size=60))
 def test_any_text_as_the_library(text):
     library = Tokenizer.from_file(PATH)
-    assert bpe.encoder(PATH).encode_batch([text], True)[0] == library.encode(text, add_special_tokens=False).ids
+    assert numbers(bpe.encoder(PATH).encode_batch([text], True)[0]) == library.encode(text, add_special_tokens=False).ids
 
 
 def test_turnover_of_kept_pieces(library, monkeypatch):
@@ -31,7 +35,7 @@ def test_turnover_of_kept_pieces(library, monkeypatch):
     monkeypatch.setattr(bpe, "KEPT_PAIRS", 5)
     texts = [f"word{i} tionre, a{i % 3} the the" for i in range(60)]
     e = bpe.Encoder(PATH)
-    got = [ids for i in range(0, 60, 7) for ids in e.encode_batch(texts[i : i + 7], True)]
+    got = [numbers(ids) for i in range(0, 60, 7) for ids in e.encode_batch(texts[i : i + 7], True)]
     assert got == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
