@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, mixing, pii, simhash, token_counts, toxicity, urls, vectors
+from . import bpe, media, mixing, pii, repeats, simhash, token_counts, toxicity, urls, vectors
 from .storage import read, stored
 
 
@@ -33,6 +33,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.remove_repeats(docs, keep_bytes=False).drop("removed")
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
