@@ -34,7 +34,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the rows in the order of the mix: through each file, and from file to file."""
+    """Puts the rows in the order of the mix: through each file, and from file to file by their names."""
     mixed = mixing.mix(docs.select("doc_id", "source"))
     placed = cut(mixed.groupBy("doc_id").agg(F.min("position").alias("position")))
     last = placed.agg(F.max("position")).first()[0] or 0
