@@ -18,7 +18,7 @@ from .storage import cut
 def _linked(edges: DataFrame, lowest: Column) -> DataFrame:
     """Edges (node, other) beside the minimum of each node's neighbours, itself included."""
     mins = edges.groupBy("node").agg(F.min("other").alias("m")).select("node", lowest.alias("m"))
-    return edges.join(mins.repartition("m"), "node")
+    return edges.join(mins.repartition("node", "m"), "node")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -158,3 +158,14 @@ def event_class(t):
     words = F.array(*[F.lit(w) for w in (" Created", " Modified", " resolved", " DELETED", "")])
     title = F.concat("event_type", words[(F.col("event_id") % 5).cast("int")])
     return t.events.select("event_id", class_of(title).alias("class"))
+
+
+@query("""SELECT o_orderkey, count(*) AS joined_rows, count(l.l_orderkey) AS visit_rows FROM orders LEFT JOIN lineitem l ON l.l_orderkey = o_orderkey AND l_returnflag = 'R'
+  LEFT JOIN events ON user_id = o_orderkey GROUP BY 1""")
+def contract_detail_fanout(t):
+    """What a literal join of two lists gives: each visit once for every entry of the timeline."""
+    visits = t.lineitem.where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count("*").alias("v"))
+    entries = t.events.groupBy("user_id").agg(F.count("*").alias("e"))
+    joined = t.orders.join(visits, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(entries, F.col("o_orderkey") == F.col("user_id"), "left")
+    one = lambda c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(1))
+    return joined.select("o_orderkey", (one("v") * one("e")).alias("joined_rows"), (F.coalesce("v", F.lit(0)) * one("e")).alias("visit_rows"))

@@ -111,3 +111,18 @@ def table_columns(t):
     from shoploom.sources.tables import describe
 
     return describe(t.region, "region")
+
+
+@query("""WITH fixed AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 2 = 0 THEN 'cust_91' || lpad(CAST(user_id AS VARCHAR), 10, '0') ELSE 'cust_91' || lpad(CAST(user_id AS VARCHAR), 10, '0') END AS conversation FROM events WHERE user_id IS NOT NULL),
+  named AS (SELECT f.*, coalesce(c_name, 'unknown') AS customer FROM fixed f LEFT JOIN customer ON f.user_id = c_custkey)
+  SELECT event_id, conversation, customer FROM named n WHERE event_type <> 'signup' OR event_id = (SELECT min(event_id) FROM named m WHERE m.event_type = 'signup' AND m.conversation = n.conversation)""")
+def conversation_repair(t):
+    """Four steps in order: ids from phone-like texts, ids from tickets, the customer's name, then one creation event each."""
+    raw = F.when(F.col("event_id") % 2 == 0, F.col("user_id").cast("string")).otherwise(F.concat(F.lit("ticket_"), F.col("user_id").cast("string")))
+    df = t.events.where("user_id is not null").select("event_id", "user_id", "event_type", raw.alias("conversation"))
+    canonical = lambda c: F.concat(F.lit("cust_91"), F.lpad(c, 10, "0"))
+    df = df.withColumn("conversation", F.when(F.col("conversation").rlike(r"^\d+$"), canonical(F.col("conversation"))).otherwise(F.col("conversation")))
+    df = df.withColumn("conversation", F.when(F.col("conversation").startswith("ticket_"), canonical(F.element_at(F.split("conversation", "_"), -1))).otherwise(F.col("conversation")))
+    df = df.join(t.customer, F.col("user_id") == F.col("c_custkey"), "left").withColumn("customer", F.coalesce("c_name", F.lit("unknown")))
+    created, others = df.where("event_type = 'signup'"), df.where("not (event_type <=> 'signup')")
+    return r.keep_first(created, ["conversation"], "event_id").unionByName(others).select("event_id", "conversation", "customer")

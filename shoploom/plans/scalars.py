@@ -100,3 +100,29 @@ def data_urls(t):
   FROM (SELECT c_custkey, c_acctbal, CAST(round(abs(c_acctbal) * 100) AS BIGINT) AS c, CAST(round(abs(c_acctbal) * 100) AS BIGINT) // 100 AS w FROM customer)""")
 def rupee_format(t):
     return t.customer.select("c_custkey", x.rupees(F.col("c_acctbal")).alias("amount"))
+
+
+@query("SELECT s_suppkey, coalesce(nullif(CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE '' END, ''), nullif(n_name, ''), 'Store') AS store_name, coalesce(nullif(n_name, ''), s_name) AS city FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
+def store_fields(t):
+    joined = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    own = F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).otherwise("")
+    return joined.select("s_suppkey", x.or_else(own, x.or_else(F.col("n_name"), F.lit("Store"))).alias("store_name"), x.or_else(F.col("n_name"), F.col("s_name")).alias("city"))
+
+
+@query("SELECT DISTINCT p_brand, p_size FROM part")
+def distinct_candidates(t):
+    return t.part.select("p_brand", "p_size").distinct()
+
+
+@query("""SELECT o_orderkey, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey
+  WHERE o_orderstatus = 'O' AND o_orderdate > TIMESTAMP '1998-06-15 00:00:00' AND NOT coalesce(c_acctbal < 0, false)""")
+def session_check(t):
+    """Sessions that are valid, not expired, and whose user isn't disabled."""
+    valid = (F.col("o_orderstatus") == "O") & (F.col("o_orderdate") > F.lit("1998-06-15 00:00:00").cast("timestamp_ntz"))
+    users = t.customer.where(~F.coalesce(F.col("c_acctbal") < 0, F.lit(False)))
+    return t.orders.where(valid).join(users, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_custkey")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE turn BETWEEN 1 AND 5 AND length(trim(text)) >= 10")
+def feedback_validity(t):
+    return t.conversations.where(F.col("turn").between(1, 5) & (F.length(F.trim("text")) >= 10)).select("conv_id", "turn")
