@@ -262,7 +262,7 @@ def _compared(rows: DataFrame) -> DataFrame:
         seg, offset = seg[order], offset[order]
         edge = np.concatenate([[True], (seg[1:] != seg[:-1]) | (offset[1:] != offset[:-1] + 1)]) if len(seg) else np.zeros(0, bool)
         at = np.flatnonzero(edge)
-        last = np.append(at[1:], len(seg)) - 1
+        last = np.append(at, len(seg))[1:] - 1
         start = firsts[seg[at]] + offset[at]
         return pa.RecordBatch.from_arrays([pa.array(docs[seg[at]]), pa.array(start), pa.array(firsts[seg[at]] + offset[last] + LENGTH)], names=["doc", "start", "end"])
 
