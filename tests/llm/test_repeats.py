@@ -81,3 +81,11 @@ def test_repeated_rows_and_null_ids(spark):
     assert [r.n_removed for r in got if r.doc_id is None] == [0]
     assert all(r.n_removed >= len(text) for r in got if r.doc_id is not None)
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_common_anchor_without_a_repeat(spark):
+    shared = "".join(chr(97 + i * i * 7 % 26) for i in range(60))
+    rows = [(i, "".join(chr(97 + (i + 3) * (k + 1) ** 2 % 26) for k in range(80)) + shared + "".join(chr(97 + (i + 5) * (k + 2) ** 3 % 26) for k in range(80))) for i in range(8)]
+    want = plain([t.encode() for _, t in rows])
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(bytes(r.kept), r.n_spans) for r in got] == want
