@@ -170,14 +170,15 @@ def later_windows(parts: list[bytes], doc: np.ndarray, first: np.ndarray) -> tup
 def _numbered(docs: DataFrame, text: str) -> DataFrame:
     """(doc, data): a number in the order of doc_id, and the text's bytes.
 
-    The number is doc_id itself if no two rows share one; else equal rows share a
-    number, and rows that share only doc_id follow a hash of their text.
+    The number is doc_id itself if no two rows share one and none is null; else
+    doc_id stands beside it, equal rows share a number, and rows that share only
+    doc_id follow a hash of their text.
     """
     bytes_of = F.coalesce(F.col(text), F.lit("")).cast("binary")
     again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     rows = docs.select("doc_id", bytes_of.alias("data"))
     if again.isEmpty():
-        return rows.withColumn("doc", F.col("doc_id").cast("long"))
+        return rows.select(F.col("doc_id").cast("long").alias("doc"), "data").where("doc is not null")
     rows = rows.withColumn("h", F.sha2("data", 256))
     order = rows.select("doc_id", "h").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "h")
     numbers = order.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("i long, h string, doc long")
@@ -296,7 +297,7 @@ def _digested(rows: DataFrame) -> DataFrame:
                     start += range(first, first + n)
                 yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), pa.array(doc, pa.int64()), pa.array(start, pa.int64())], names=["mark", "doc", "start"])
 
-    windows = stored(rows.select("doc", "first", "data").mapInArrow(run, "mark binary, doc long, start long"))
+    windows = rows.select("doc", "first", "data").mapInArrow(run, "mark binary, doc long, start long")
     lead = windows.groupBy("mark").agg(F.min(F.struct("doc", "start")).alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
     joined = windows.join(lead.repartition("lead"), "mark").where(F.struct("doc", "start") != F.col("lead"))
     return joined.select("doc", "start", (F.col("start") + LENGTH).alias("end"))
@@ -327,11 +328,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep_bytes: bool = True)
     sifted = stored(_sifted(_segments(numbered)))
     copies = sifted.where("copy").select("doc", F.col("first").alias("start"), (F.col("first") + F.col("count") + LENGTH - 1).alias("end"))
     wanted = sifted.where("not copy")
-    few = _texts(numbered, wanted.where(F.col("kinds") <= CROWDED))
-    spans = copies.unionAll(_compared(few))
-    crowded = wanted.where(F.col("kinds") > CROWDED)
-    if not crowded.isEmpty():
-        spans = spans.unionAll(_digested(_texts(numbered, crowded)))
+    texts = _texts(numbered, wanted)  # all of one plan: texts are shuffled once, for these and the last join
+    spans = copies.unionAll(_compared(texts.where(F.col("kinds") <= CROWDED)))
+    if not wanted.where(F.col("kinds") > CROWDED).isEmpty():
+        spans = spans.unionAll(_digested(texts.where(F.col("kinds") > CROWDED)))
     lists = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>" + (", kept binary" if keep_bytes else "")
@@ -350,5 +350,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep_bytes: bool = True)
                 names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"] + ["kept"] * keep_bytes
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in zip(names, types, strict=True)], names=names)
 
-    joined = numbered.join(lists, "doc", "left").select("doc_id", "data", "spans")
+    doc_id = F.col("doc_id" if "doc_id" in numbered.columns else "doc")
+    joined = numbered.join(lists, "doc", "left").select(doc_id.alias("doc_id"), "data", "spans")
     return joined.mapInArrow(run, schema)
