@@ -6,6 +6,8 @@ the 24-byte strings in it, the one with the least hash. Equal windows have equal
 anchors, so only windows of anchors that occur twice can repeat, and those of
 one anchor meet in one task. Consecutive windows of one anchor form a segment.
 Of equal segments the first stands for all; the windows of the others repeat it.
+They are told apart in each task before the shuffle and, of what is left, in a
+stream of sorted rows after it, so no anchor's rows are held together.
 The remaining segments of each anchor are laid end to end, and their suffix array
 is built: triples at two of three places are sorted and named, the names' suffix
 array follows by recursion, the remaining suffixes are merged in. Neighbours in
@@ -36,6 +38,8 @@ PIECE, SORTED_BYTES = 1 << 16, 1 << 20
 #: Different segments of an anchor beyond which its windows go by digest.
 CROWDED = 20_000
 BATCH_ROWS = 256
+#: Segments of a task that are combined before the shuffle: about 8 MB of text.
+COMBINED = 200_000
 
 _BASE = 0x9E3779B97F4A7C15
 
@@ -187,21 +191,53 @@ def _numbered(docs: DataFrame, text: str) -> DataFrame:
     return joined.select("r.doc_id", "data", "doc")
 
 
+def _combined(key: np.ndarray, mark: np.ndarray, doc: np.ndarray, first: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """The segments with all but the first of equal ones taken out, and those as runs of windows that are known copies.
+
+    The columns are to, mark, doc, first, count, copy; a run of copies goes by its document.
+    """
+    by = np.lexsort((first, doc, mark, key))
+    key, mark, doc, first, count = (c[by] for c in (key, mark, doc, first, count))
+    later = np.zeros(len(key), bool)
+    later[1:] = (key[1:] == key[:-1]) & (mark[1:] == mark[:-1])
+    lead = np.maximum.accumulate(np.where(later, 0, np.arange(len(key))))
+    copy = later & ((doc != doc[lead]) | (first != first[lead]))  # a repeated row is no copy of itself
+    runs = [c[copy] for c in (doc, first, count)]
+    by = np.lexsort((runs[1], runs[0]))
+    d, f, n = (c[by] for c in runs)
+    end = f + n
+    edge = np.ones(len(d), bool)
+    edge[1:] = (d[1:] != d[:-1]) | (f[1:] > end[:-1])
+    at = np.flatnonzero(edge)
+    reach = end[np.append(at, len(d))[1:] - 1] if len(at) else end
+    leads = [c[~later] for c in (key, mark, doc, first, count)]
+    known = [d[at], np.zeros(len(at), np.int64), d[at], f[at], reach - f[at]]
+    return [np.concatenate(pair) for pair in zip(leads, known, strict=True)] + [np.arange(len(leads[0]) + len(at)) >= len(leads[0])]
+
+
 def _segments(docs: DataFrame) -> DataFrame:
+    """The segments of all texts; equal ones are combined before the shuffle, COMBINED at a time."""
+    names = ["key", "mark", "doc", "first", "count", "copy"]
+
     def run(batches):
+        held, size = [[np.zeros(0, np.int64)] for _ in range(5)], 0
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
-                doc, out = part.column("doc").to_numpy(), [[np.zeros(0, np.int64)] for _ in range(5)]
+                doc = part.column("doc").to_numpy()
                 for d, data in zip(doc.tolist(), part.column("data").to_pylist(), strict=True):
                     key, first, count = segments(data)
                     digest, view = xxhash.xxh3_64_intdigest, memoryview(data)
                     marks = [digest(view[a:b]) for a, b in zip(first.tolist(), (first + count + LENGTH - 1).tolist(), strict=True)]
-                    for column, new in zip(out, (key, np.array(marks, np.uint64).view(np.int64), np.full(len(key), d), first, count), strict=True):
+                    for column, new in zip(held, (key, np.array(marks, np.uint64).view(np.int64), np.full(len(key), d), first, count), strict=True):
                         column.append(new)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["key", "mark", "doc", "first", "count"])
+                    size += len(key)
+                    if size >= COMBINED:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _combined(*map(np.concatenate, held))], names=names)
+                        held, size = [[np.zeros(0, np.int64)] for _ in range(5)], 0
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _combined(*map(np.concatenate, held))], names=names)
 
-    return docs.select("doc", "data").mapInArrow(run, "key long, mark long, doc long, first long, count long")
+    return docs.select("doc", "data").mapInArrow(run, "key long, mark long, doc long, first long, count long, copy boolean")
 
 
 def _grouped(batches, columns: list[str]):
@@ -225,33 +261,70 @@ def _grouped(batches, columns: list[str]):
         yield arrays(held)
 
 
+class _Sift:
+    """Goes through segments sorted by (key, mark, doc, first), a batch at a time, and keeps one row between batches."""
+
+    def __init__(self) -> None:
+        self.last = None  # (key, mark, document and first window of the leading segment, its number in the anchor)
+        self.alone = None  # the only kind of segment of the last anchor so far, not given out yet
+
+    def __call__(self, key, mark, doc, first, count) -> list[np.ndarray]:
+        """key, doc, first, count, copy, kind of what is known by now to be a copy, or one of several kinds of an anchor."""
+        if self.last is None:
+            self.last = (~key[0], mark[0], doc[0], first[0], 0)
+        k, m, lead_doc, lead_first, kind = self.last
+        new_key = np.concatenate([[key[0] != k], key[1:] != key[:-1]])
+        new_mark = new_key | np.concatenate([[mark[0] != m], mark[1:] != mark[:-1]])
+        row = np.arange(len(key))
+        lead = np.maximum.accumulate(np.where(new_mark, row, -1))
+        copy = (doc != np.where(lead < 0, lead_doc, doc[lead])) | (first != np.where(lead < 0, lead_first, first[lead]))
+        copy &= ~new_mark
+        kinds = np.cumsum(new_mark)  # up to here in this batch
+        anchor = np.maximum.accumulate(np.where(new_key, row, -1))
+        number = np.where(anchor < 0, kind + kinds, kinds - kinds[anchor])
+        another = np.flatnonzero(new_mark & (number == 1))  # second kinds, which show that the first is not alone
+        keep = copy | (new_mark & (number > 0))
+        keep[anchor[another][anchor[another] >= 0]] = True
+        out = [c[keep] for c in (key, doc, first, count, copy, number)]
+        if len(another) and anchor[another[0]] < 0:  # the first kind came in a batch before
+            out = [np.concatenate([[x], c]).astype(c.dtype) for x, c in zip(self.alone, out, strict=True)]
+        if anchor[-1] >= 0:
+            at = anchor[-1]
+            self.alone = (key[at], doc[at], first[at], count[at], False, 0)
+        at = lead[-1]
+        self.last = (key[-1], mark[-1], *((lead_doc, lead_first) if at < 0 else (doc[at], first[at])), number[-1])
+        return out
+
+
 def _sifted(rows: DataFrame) -> DataFrame:
-    """Segments of anchors that occur twice: later copies of an equal segment, and what is still to be compared."""
+    """Segments of anchors that occur twice: later copies of an equal segment, and what is still to be compared.
+
+    kind numbers the different segments of an anchor from zero. No anchor is held
+    as a whole: its rows stream by in the order of the sort.
+    """
+    names = ["key", "doc", "first", "count", "copy", "kind"]
 
     def run(batches):
-        for key, mark, doc, first, count in _grouped(batches, ["key", "mark", "doc", "first", "count"]):
-            if not len(key):
-                continue
-            new_key = np.concatenate([[True], key[1:] != key[:-1]])
-            new_mark = new_key | np.concatenate([[True], mark[1:] != mark[:-1]])
-            group = np.cumsum(new_key) - 1
-            lead = np.flatnonzero(new_mark)[np.cumsum(new_mark) - 1]
-            copy = (doc != doc[lead]) | (first != first[lead])
-            kinds = np.bincount(group[new_mark], minlength=group[-1] + 1)
-            compare = new_mark & (kinds[group] > 1)
-            keep = copy | compare
-            arrays = [pa.array(c[keep]) for c in (key, doc, first, count)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(copy[keep]), pa.array(kinds[group][keep])], names=["key", "doc", "first", "count", "copy", "kinds"])
+        sift = _Sift()
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "mark", "doc", "first", "count")]
+            known = batch.column("copy").to_numpy(zero_copy_only=False)
+            passed = [c[known] for i, c in enumerate(columns) if i != 1] + [known[known], np.zeros(known.sum(), np.int64)]
+            if known.all():
+                out = passed
+            else:
+                out = [np.concatenate(pair) for pair in zip(sift(*(c[~known] for c in columns)), passed, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
 
     spread = rows.repartition("key").sortWithinPartitions("key", "mark", "doc", "first")
-    return spread.mapInArrow(run, "key long, doc long, first long, count long, copy boolean, kinds long")
+    return spread.mapInArrow(run, "key long, doc long, first long, count long, copy boolean, kind long")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of wanted segments."""
-    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "first", "count", "kinds")).alias("parts"))
-    cut_out = lambda p: F.struct(p.key.alias("key"), p["first"].alias("first"), p.kinds.alias("kinds"), F.substring(F.col("data"), p["first"].cast("int") + 1, (p["count"] + LENGTH - 1).cast("int")).alias("data"))
-    return docs.select("doc", "data").join(lists, "doc").select("doc", F.explode(F.transform("parts", cut_out)).alias("p")).select("p.key", "doc", "p.first", "p.kinds", "p.data")
+    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "first", "count", "crowded")).alias("parts"))
+    cut_out = lambda p: F.struct(p.key.alias("key"), p["first"].alias("first"), p.crowded.alias("crowded"), F.substring(F.col("data"), p["first"].cast("int") + 1, (p["count"] + LENGTH - 1).cast("int")).alias("data"))
+    return docs.select("doc", "data").join(lists, "doc").select("doc", F.explode(F.transform("parts", cut_out)).alias("p")).select("p.key", "doc", "p.first", "p.crowded", "p.data")
 
 
 def _compared(rows: DataFrame) -> DataFrame:
@@ -328,10 +401,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep_bytes: bool = True)
     sifted = stored(_sifted(_segments(numbered)))
     copies = sifted.where("copy").select("doc", F.col("first").alias("start"), (F.col("first") + F.col("count") + LENGTH - 1).alias("end"))
     wanted = sifted.where("not copy")
+    crowded = wanted.where(F.col("kind") == CROWDED).select("key", F.lit(True).alias("crowded"))
+    any_crowded = not crowded.isEmpty()
+    wanted = wanted.join(crowded.repartition("key"), "key", "left") if any_crowded else wanted.withColumn("crowded", F.lit(None).cast("boolean"))
     texts = _texts(numbered, wanted)  # all of one plan: texts are shuffled once, for these and the last join
-    spans = copies.unionAll(_compared(texts.where(F.col("kinds") <= CROWDED)))
-    if not wanted.where(F.col("kinds") > CROWDED).isEmpty():
-        spans = spans.unionAll(_digested(texts.where(F.col("kinds") > CROWDED)))
+    spans = copies.unionAll(_compared(texts.where("crowded is null")))
+    if any_crowded:
+        spans = spans.unionAll(_digested(texts.where("crowded")))
     lists = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>" + (", kept binary" if keep_bytes else "")

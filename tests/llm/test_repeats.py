@@ -59,6 +59,7 @@ def test_query_against_brute_force(spark, tmp_path, monkeypatch, crowded):
     monkeypatch.setattr(repeats, "CROWDED", crowded)
     monkeypatch.setattr(repeats, "PIECE", 1 << 12)
     monkeypatch.setattr(repeats, "SORTED_BYTES", 3000)
+    monkeypatch.setattr(repeats, "COMBINED", 60 if crowded == 2 else 200_000)
     texts = corpus(crowded)
     rows = [(7 * i % 1000, t, "clash") for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
@@ -73,6 +74,28 @@ def test_query_against_brute_force(spark, tmp_path, monkeypatch, crowded):
     assert sum(r.n_removed for r in got.values()) > 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 3), st.integers(0, 5), st.integers(0, 2)), min_size=1, max_size=40), st.integers(1, 9))
+def test_sift_in_batches(rows, size):
+    rows.sort()
+    leads, kinds = {}, {}
+    for key, mark, doc, first in rows:
+        if (key, mark) not in leads:
+            leads[key, mark] = (doc, first)
+            kinds.setdefault(key, []).append((doc, first))
+    want = [(key, doc, first, True) for key, mark, doc, first in rows if leads[key, mark] != (doc, first)]
+    want += [(key, *lead, False) for key, all_of in kinds.items() if len(all_of) > 1 for lead in all_of]
+    sift, got, numbers = repeats._Sift(), [], {}
+    for at in range(0, len(rows), size):
+        key, mark, doc, first = (np.array(c, np.int64) for c in zip(*rows[at : at + size], strict=True))
+        for k, d, f, _, copy, kind in zip(*(c.tolist() for c in sift(key, mark, doc, first, np.ones(len(key), np.int64))), strict=True):
+            got.append((k, d, f, copy))
+            if not copy:
+                numbers.setdefault(k, []).append(kind)
+    assert sorted(got) == sorted(want)
+    assert all(sorted(n) == list(range(len(n))) for n in numbers.values())
+
+
 def test_repeated_rows_and_null_ids(spark):
     text = " ".join(f"word{i}" for i in range(40))
     rows = [(1, text), (1, text), (1, text + " more"), (None, "zz " + text), (2, text)]
