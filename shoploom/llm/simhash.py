@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -202,6 +202,13 @@ def links(fps: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _rooted(marked: DataFrame, value: Column) -> DataFrame:
+    """Each distinct fp, the root of its component (never null) and the smallest value of its rows, first."""
+    fps = cut(marked.groupBy("fp").agg(F.min(value).alias("first")))
+    member = components(links(fps))
+    return fps.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds fp and component_id, the smallest doc_id reachable over links, and drops the text.
 
@@ -211,23 +218,31 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     fp or component_id are replaced. An empty table gives an empty result.
     """
     marked = cut(fingerprints(docs.drop("component_id"), text))
-    fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    member = components(links(fps))
-    rooted = fps.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    rooted = _rooted(marked, F.col("doc_id"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = cut(rooted.select("fp", "root").join(smallest.repartition("component_id"), "root").select("fp", "component_id"))
     return marked.join(classes, "fp")
 
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component, once, with its own columns."""
-    found = near_duplicates(docs.select("doc_id", text), text)
-    is_first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    rows = cut(found.groupBy("doc_id").agg(F.max(is_first).alias("kept"), F.count("*").alias("rows")))
-    gone = rows.where(~F.col("kept")).select("doc_id")
-    twice = rows.where(F.col("kept") & (F.col("rows") > 1)).select("doc_id")
-    key = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id"))
-    left = docs.alias("d").join(gone.alias("g"), key, "left_anti")
-    single = left.alias("d").join(twice.alias("g"), key, "left_anti")
-    repeated = left.alias("d").join(twice.alias("g"), key, "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated)
+    """Keeps one row of each component, with its own columns: that of the smallest doc_id.
+
+    A null doc_id comes after all others; of rows that share doc_id the one whose
+    text has the least hash stays. Rows that share a doc_id, null or not, are
+    otherwise told apart by their texts, so each component keeps its row.
+    """
+    digest = lambda c: F.unhex(F.md5(c))
+    marked = cut(fingerprints(docs.select("doc_id", text, digest(F.col(text)).alias("mark")), text))
+    rooted = _rooted(marked, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark"))
+    kept = cut(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.mark"))
+    again = marked.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1")
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
+    twice = cut(kept.alias("k").join(again.alias("g"), same("k", "g") & F.col("k.mark").eqNullSafe(F.col("g.mark")), "left_semi"))
+
+    def rows(of: DataFrame) -> DataFrame:
+        return docs.alias("d").join(of.alias("k"), same("d", "k") & digest(F.col(f"d.{text}")).eqNullSafe(F.col("k.mark")), "left_semi")
+
+    if twice.isEmpty():
+        return rows(kept)
+    once = kept.alias("k").join(twice.alias("g"), same("k", "g") & F.col("k.mark").eqNullSafe(F.col("g.mark")), "left_anti")
+    return rows(once).unionByName(rows(twice).dropDuplicates(["doc_id", text]))

@@ -108,3 +108,14 @@ def test_query_and_keep_one_on_odd_rows(spark, tmp_path):
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == sorted(set(want)) and ids.count(None) == 1
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_keep_one_with_shared_ids(spark):
+    words = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(None, words("a"), 1), (None, words("b"), 2), (None, words("b"), 3), (None, words("c"), 4), (5, words("c"), 5)]
+    rows += [(7, words("d"), 6), (7, words("e"), 7), (7, words("e"), 8), (3, words("e"), 9), (9, None, 10), (9, "", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.text or "", -1 if r.doc_id is None else r.doc_id) for r in kept.collect())
+    assert got == [("", 9), (words("a"), -1), (words("b"), -1), (words("c"), 5), (words("d"), 7), (words("e"), 3)]
