@@ -404,7 +404,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep_bytes: bool = True)
     crowded = wanted.where(F.col("kind") == CROWDED).select("key", F.lit(True).alias("crowded"))
     any_crowded = not crowded.isEmpty()
     wanted = wanted.join(crowded.repartition("key"), "key", "left") if any_crowded else wanted.withColumn("crowded", F.lit(None).cast("boolean"))
-    texts = _texts(numbered, wanted)  # all of one plan: texts are shuffled once, for these and the last join
+    # without repeated rows all of one plan: texts are shuffled once, for these and the last join
+    single = numbered.dropDuplicates(["doc"]) if "doc_id" in numbered.columns else numbered  # a repeated row is no copy of itself
+    texts = _texts(single, wanted)
     spans = copies.unionAll(_compared(texts.where("crowded is null")))
     if any_crowded:
         spans = spans.unionAll(_digested(texts.where("crowded")))

@@ -112,3 +112,16 @@ def test_common_anchor_without_a_repeat(spark):
     want = plain([t.encode() for _, t in rows])
     got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
     assert [(bytes(r.kept), r.n_spans) for r in got] == want
+
+
+@pytest.mark.parametrize("crowded", [20_000, 1])
+def test_repeated_row_is_no_copy_of_itself(spark, monkeypatch, crowded):
+    monkeypatch.setattr(repeats, "CROWDED", crowded)
+    shared = "".join(chr(97 + i * i * 7 % 26) for i in range(40)) + " ".join(f"w{i * 37}" for i in range(40))
+    own = lambda k: " ".join(f"{k}{i * i}" for i in range(60))
+    texts = [own("p") + shared + own("q"), own("r") + shared + own("s")]
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[0]), (2, texts[1])]
+    want = plain([t.encode() for t in texts])
+    assert want[0] == (texts[0].encode(), 0) and want[1][1] == 1
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(bytes(r.kept), r.n_spans) for r in got] == [want[0]] * 3 + [want[1]]
