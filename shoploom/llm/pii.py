@@ -1,12 +1,15 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field that adds spans.
 
 The patterns give the base spans. The random field then looks at islands: the
-runs of words with a digit or an at sign. It scores candidate segments of an
-island, each by features of the whole segment (digits, groups, checksum, what
-stands beside it), and dynamic programming chooses boundaries and types jointly,
-with segments of a bounded number of tokens. Outside islands no segment can
-begin, so working island by island is exact. Segments that touch no base span
-are added.
+runs of words with a digit or an at sign, and the marks of addresses written out
+("[at]", "(dot)", " at ... dot ", " @ ") with the plain words on both sides that
+a segment could reach. It scores candidate segments of an island, each by
+features of the whole segment (digits, groups, checksum, what stands beside it),
+and dynamic programming chooses boundaries and types jointly, with segments of a
+bounded number of tokens. A candidate has a digit, an at sign or a mark and lies
+in one island, so working island by island is exact. Beside a number or an at
+sign without a mark, plain words are in no candidate. Segments that touch no
+base span are added.
 
 The field is trained here by its likelihood, on generated examples: written
 addresses and numbers in usual and unusual forms, among numbers that are neither.
@@ -41,6 +44,9 @@ EXAMPLES, EPOCHS, SEED = 700, 6, 7
 BATCH_ROWS = 512
 
 _TRIGGER = re.compile(r"[0-9@]")
+#: Marks of an address written out; a lone "at" or "dot" is too common to be one.
+_MARK = re.compile(r"[\[({<] ?(?:at|dot) ?[\])}>]|(?:[ \t]at[ \t]+|@[ \t]*)[^\s@]+[ \t]+dot[ \t]|[ \t]@[ \t]", re.IGNORECASE)
+_LINE = re.compile(r"[^\S \t]")
 _SPACE = re.compile(r"\s")
 _NEXT = re.compile(r"\S*(?:[ \t]\S*[0-9@(]\S*)*")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|_|[^\W_]")
@@ -89,7 +95,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # --- islands, segments, features -------------------------------------------
 
 
-def islands(text: str):
+def _runs(text: str):
     """(start, end) of each run of words with a digit or an at sign; white space parts words."""
     end = 0
     for m in _TRIGGER.finditer(text):
@@ -102,11 +108,38 @@ def islands(text: str):
         yield start, end
 
 
+def _reach(text: str, start: int, end: int) -> tuple[int, int]:
+    """How far segments with the mark from start to end can go within its line."""
+    low, high = max(0, start - MOST_CHARS), min(len(text), end + MOST_CHARS)
+    low = max([low, *(m.end() for m in _LINE.finditer(text, low, start))])
+    stop = _LINE.search(text, end, high)
+    before = [m.start() for m in _TOKEN.finditer(text, low, start)][-MOST_TOKENS:]
+    after = [m.end() for m in _TOKEN.finditer(text, end, stop.start() if stop else high)][:MOST_TOKENS]
+    return (before or [start])[0], (after or [end])[-1]
+
+
+def islands(text: str):
+    """(start, end) of each stretch of text in which segments can lie, in order."""
+    marks = [_reach(text, *m.span()) for m in _MARK.finditer(text)]
+    if not marks:
+        yield from _runs(text)
+        return
+    start, end = -1, -1
+    for a, b in sorted([*_runs(text), *marks]):
+        if a >= end:
+            if end > 0:
+                yield start, end
+            start = a
+        end = max(end, b)
+    yield start, end
+
+
 _SHAPES = [
     re.compile(p)
     for p in (
         r"[\w.%+-]+@[\w-]+(\.[\w-]+)+",
-        r"[\w.%+-]+ ?[\[({<]? ?(at|@) ?[\])}>]? ?[\w-]+( ?[\[({<]? ?(dot|\.) ?[\])}>]? ?[\w-]+)+",
+        r"[\w.%+-]+ ?[\[({<]? ?(?i:at|@) ?[\])}>]? ?[\w-]+( ?[\[({<]? ?(?i:dot|\.) ?[\])}>]? ?[\w-]+)+",
+        r"\S+ ?[\[({<]? ?(?i:at|@) ?[\])}>]? ?\S.*([\])}>.]|(?i:dot)) ?(?i:com|org|net|edu|gov|info|io|de|fr|uk|eu|ca|ch|nl|jp)",
         r"\d{1,3}(\.\d{1,3}){3}",
         r"\d{4}([ .-]?)\d{4}\1\d{4}\1\d{4}",
         r"\d{4}([ .-]?)\d{6}\1\d{5}",
@@ -166,6 +199,7 @@ class Island:
     def __init__(self, text: str, start: int, end: int) -> None:
         self.spans = [m.span() for m in _TOKEN.finditer(text, start, end)]
         self.segments: list[tuple[int, int]] = []
+        marks = [m.span() for m in _MARK.finditer(text, start, end)]
         features = []
         for i, (a, _) in enumerate(self.spans):
             if not (text[a].isalnum() or text[a] in "+("):
@@ -174,7 +208,7 @@ class Island:
                 b = self.spans[j - 1][1]
                 if b - a > MOST_CHARS:
                     break
-                if text[b - 1].isalnum() and (_TRIGGER.search(text, a, b)):
+                if text[b - 1].isalnum() and (_TRIGGER.search(text, a, b) or any(a < x and y < b for x, y in marks)):
                     self.segments.append((i, j))
                     features.append(segment_features(text, a, b, j - i))
         self.features = np.array(features).reshape(len(self.segments), WIDTH)
@@ -287,7 +321,7 @@ def _example(r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
         at, dot = r.choice([("@", ".")] * 4 + [(" @ ", "."), ("[at]", "."), ("(at)", "(dot)"), (" at ", " dot ")])
         name = r.choice([word(), word() + "." + num(2), word() + "_" + word(), word() + num(3)])
         host = r.choice([word() + num(1), word(), word() + "-" + word()])
-        digit = num(1) if at == " at " else ""
+        digit = r.choice(["", num(1)]) if at == " at " else ""
         return name + digit + at + host + dot + r.choice(["com", "org", "net", "example.com".replace(".", dot), "fr"])
 
     ip = lambda: ".".join(str(r.randint(0, 255)) for _ in range(4))
@@ -309,6 +343,7 @@ def _example(r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
         lambda: f"@{word()}",
         lambda: " ".join(num(r.randint(1, 5)) for _ in range(r.randint(3, 9))),
         lambda: num(r.randint(20, 40)),
+        lambda: r.choice([f"{word()} @ {word()}", f"{word()} (at) {word()}", f"{word()} [dot] {word()}", f"{word()} at {word()} dot {word()} {word()}", f"{word()} (at) {word()}. {word()}"]),
     ]
     text, gold = word() + " ", []
     for _ in range(r.randint(1, 2)):
@@ -326,13 +361,18 @@ def examples(n: int, seed: int) -> list[tuple[Island, dict[tuple[int, int], int]
     r, out = random.Random(seed), []
     while len(out) < n:
         text, spans = _example(r)
+        if any(len(_TOKEN.findall(text, a, b)) > MOST_TOKENS for a, b, _ in spans):
+            continue  # beyond the longest segment
+        found = 0
         for start, end in islands(text):
             island = Island(text, start, end)
             first = {a: i for i, (a, _) in enumerate(island.spans)}
             last = {b: i + 1 for i, (_, b) in enumerate(island.spans)}
             gold = {(first[a], last[b]): label for a, b, label in spans if a in first and b in last}
-            if all(g in island.segments for g in gold) and len(island.spans) < 60:
+            found += sum(g in island.segments for g in gold)
+            if len(island.spans) < 60:
                 out.append((island, gold))
+        assert found == len(spans), text  # every one is a candidate
     return out[:n]
 
 
@@ -378,7 +418,7 @@ def spans(text: str, field: Field) -> list[tuple[str, int, int, bool]]:
         return k > 0 and ends[k - 1] > a
 
     for start, end in islands(text):
-        if touched(start, end) and all(touched(m.start(), m.end()) for m in _TRIGGER.finditer(text, start, end)):
+        if touched(start, end) and all(touched(*m.span()) for p in (_TRIGGER, _MARK) for m in p.finditer(text, start, end)):
             continue
         island = Island(text, start, end)
         if not island.segments:

@@ -97,3 +97,12 @@ def test_query_and_mask_on_odd_rows(spark, tmp_path):
     out = {r.doc_id: r.text for r in pii.find(docs, mask="text").collect()}
     assert out[0] is None and out[1] == "" and out[2] == "mail <EMAIL> or <PHONE>." and out[6] == "é <EMAIL>"
     assert pii.find(docs.limit(0)).count() == 0
+
+
+def test_addresses_written_out():
+    field = pii.trained()
+    for want in ("jane[at]example.org", "jane(at)host(dot)com", "jane5 at host dot com", "jane at host dot com", "jane @ host.com"):
+        text = f"please write to {want} or come by"
+        assert pii.masked(text, pii.spans(text, field)) in ("please write to <EMAIL> or come by",), want
+    for text in ("look at the picture, dot by dot", "he is at home (at last)", "matrix a @ b here", "look at the dot on the map"):
+        assert pii.spans(text, field) == [], text
