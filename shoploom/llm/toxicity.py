@@ -2,7 +2,8 @@
 
 A word enters by its letters, as a sum of embeddings of each letter by its place
 and of its first letters together (hashed), and by an embedding of the word
-itself (hashed). Two gated recurrent layers, one in each
+itself (hashed). A word of over LETTERS bytes goes as consecutive pieces of that
+many, each a word of its own, so every letter is read. Two gated recurrent layers, one in each
 direction, read windows of words; attention pools their states and a logistic
 unit scores the window. Windows overlap and cover every whole text; a text's
 score is that of its highest window.
@@ -14,6 +15,7 @@ of documents: the windows that score highest stand for theirs.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -36,11 +38,12 @@ THRESHOLD = 0.7
 KEPT_WORDS, ABREAST, BATCH_ROWS = 150_000, 2048, 256
 
 _NOT_LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+_PIECE = re.compile(rb"[^ ]{1,%d}" % LETTERS)
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased words in UTF-8: what ASCII signs and digits leave."""
-    return (text or "").lower().encode().translate(_NOT_LETTERS).split()
+    """Lower-cased words in UTF-8: what ASCII signs and digits leave, longer ones in pieces of LETTERS bytes."""
+    return _PIECE.findall((text or "").lower().encode().translate(_NOT_LETTERS))
 
 
 def window_starts(n: int) -> np.ndarray:

@@ -81,3 +81,13 @@ def test_query_on_odd_rows(spark, tmp_path, monkeypatch):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
     assert toxicity.score(docs.limit(0), toxicity.Network()).count() == 0
+
+
+def test_every_letter_of_a_long_word_is_read(network):
+    for text in ("w" * 24 + "vilewort", "日本語のとても長い文" * 30, "short words", "x" * 12):
+        words = toxicity.words_of(text)
+        letters, _ = toxicity.Network.spelled(words)
+        assert letters[letters > 0].tobytes() == text.replace(" ", "").encode()
+    glued = ["wab wcd " + "w" * 24 + end + " waa wba" for end in ("vilewort", "wcdwabwc")]
+    bad, clean = toxicity.Scorer(network).scores(glued)
+    assert bad >= toxicity.THRESHOLD > clean
