@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Tokens in a block, and blocks whose sums the upper level of the prefix scan takes together.
 BLOCK_TOKENS, STRETCH = 32_768, 1024
+#: Blocks of tokens that a writer holds before it cuts them.
+TOGETHER = 16
 
 
 @cache
@@ -35,41 +37,47 @@ def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
 def flatten(docs: DataFrame, path: str, pattern: str, separator: int, text: str = "text") -> DataFrame:
     """Writes each partition as one flat file: rows (file, block, data), and (file, ordinal, doc_id) beside them.
 
-    The second kind of row says which document was written in which place. A null
-    text has no tokens, only its separator. Ids must be below 65,536.
+    The second kind of row says which document was written in which place; doc_id
+    keeps its type, and null or repeated ones have a place of their own each. A
+    null or empty text has no tokens, only its separator. Ids must be below 65,536.
+    Columns other than doc_id and the text are not read. An empty table gives an
+    empty result.
     """
 
     def run(batches):
-        file, encode = TaskContext.get().partitionId(), _encoding(path, pattern).encode_ordinary
-        ordinal, block, held = 0, 0, np.zeros(0, np.uint16)
+        file, encode = TaskContext.get().partitionId(), _encoding(path, pattern).encode_to_numpy
+        end = np.array([separator], np.uint16)
+        ordinal, block, parts, size, kind = 0, 0, [], 0, None
         for batch in batches:
-            ids = batch.column("doc_id")
-            n = len(ids)
-            yield rows(file, n, ordinal=np.arange(ordinal, ordinal + n), doc_id=ids)
+            ids, texts = batch.column("doc_id"), batch.column(text)
+            n, kind = len(ids), ids.type
+            yield rows(file, n, kind, ordinal=np.arange(ordinal, ordinal + n), doc_id=ids)
             ordinal += n
-            parts = [held]
-            for t in batch.column(text).to_pylist():
-                parts.append(np.array([*encode(t or ""), separator], np.uint16))
-                if sum(map(len, parts[-64:])) > BLOCK_TOKENS:
-                    parts = [np.concatenate(parts)]
-            flat = np.concatenate(parts)
-            whole = len(flat) // BLOCK_TOKENS
-            if whole:
-                data = [flat[i * BLOCK_TOKENS : (i + 1) * BLOCK_TOKENS].astype("<u2").tobytes() for i in range(whole)]
-                yield rows(file, whole, block=np.arange(block, block + whole), data=data)
-            block, held = block + whole, flat[whole * BLOCK_TOKENS :]
-        if len(held):
-            yield rows(file, 1, block=np.array([block]), data=[held.astype("<u2").tobytes()])
-
-    def rows(file, n, block=None, data=None, ordinal=None, doc_id=None):
-        empty = pa.nulls(n)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, file, np.int64)), *(pa.array(x) if x is not None and not isinstance(x, pa.Array) else x if x is not None else empty.cast(kind) for x, kind in ((block, pa.int64()), (data, pa.binary()), (ordinal, pa.int64()), (doc_id, pa.int64())))],
-            names=["file", "block", "data", "ordinal", "doc_id"],
-        )
-
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
-    return slim.mapInArrow(run, "file long, block long, data binary, ordinal long, doc_id long")
+            for t in texts:
+                parts += [encode(t.as_py() or "", disallowed_special=()).astype(np.uint16), end]
+                size += len(parts[-2]) + 1
+                if size >= TOGETHER * BLOCK_TOKENS:
+                    data, rest = blocks_of(parts)
+                    yield rows(file, len(data), kind, block=np.arange(block, block + len(data)), data=data)
+                    block, parts, size = block + len(data), [rest], len(rest)
+        data, rest = blocks_of(parts) if parts else ([], [])
+        data += [rest.astype("<u2").tobytes()] if len(rest) else []
+        if data:
+            yield rows(file, len(data), kind, block=np.arange(block, block + len(data)), data=data)
+
+    def blocks_of(parts):
+        """The whole blocks in a run of tokens, and what is left."""
+        flat = np.concatenate(parts).astype("<u2", copy=False)
+        whole = len(flat) // BLOCK_TOKENS * BLOCK_TOKENS
+        return [flat[at : at + BLOCK_TOKENS].tobytes() for at in range(0, whole, BLOCK_TOKENS)], flat[whole:]
+
+    def rows(file, n, kind, block=None, data=None, ordinal=None, doc_id=None):
+        given = ((block, pa.int64()), (data, pa.binary()), (ordinal, pa.int64()), (doc_id, kind))
+        arrays = [pa.nulls(n, k) if x is None else pa.array(x, k) if not isinstance(x, pa.Array) else x for x, k in given]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, file, np.int64)), *arrays], names=["file", "block", "data", "ordinal", "doc_id"])
+
+    slim = docs.select("doc_id", text)
+    return slim.mapInArrow(run, f"file long, block long, data binary, ordinal long, doc_id {slim.schema['doc_id'].dataType.simpleString()}")
 
 
 def _search(blocks: DataFrame, separator: int) -> DataFrame:
