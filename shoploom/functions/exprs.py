@@ -124,26 +124,69 @@ def conversation_id(given: Column, phone: Column, ticket_id: Column, order_id: C
     )
 
 
-#: What a ticket's status means for its customer's conversation.
+#: Event, text and description of a ticket's new status in its customer's conversation.
 STATUS_EVENTS = {
-    "New": "ticket_created",
-    "Pending": "status_pending",
-    "Diagnosed": "diagnosis_complete",
-    "Awaiting Approval": "approval_requested",
-    "In Progress": "repair_started",
-    "Waiting For Parts": "waiting_parts",
-    "Ready for Pickup": "ready_for_pickup",
-    "Completed": "repair_completed",
-    "Delivered": "device_delivered",
+    "New": ("repair_received", "Repair Received", "Device has been received for repair."),
+    "Diagnosed": ("device_diagnosed", "Device Diagnosed", "Device has been diagnosed by technician."),
+    "Awaiting Approval": ("awaiting_approval", "Awaiting Approval", "Estimate sent. Awaiting customer approval."),
+    "In Progress": ("repair_in_progress", "Repair In Progress", "Repair work is in progress."),
+    "Waiting For Parts": ("parts_ordered", "Parts Ordered", "Parts have been ordered for the repair."),
+    "Completed": ("repair_completed", "Repair Completed", "Repair has been completed."),
+    "Ready for Pickup": ("ready_for_pickup", "Ready For Pickup", "Device is ready for pickup."),
+    "Delivered": ("delivered", "Delivered", "Device has been delivered to customer."),
+    "Collected": ("collected", "Collected", "Device has been collected."),
+    "Cancelled": ("cancelled", "Cancelled", "Repair has been cancelled."),
+}
+#: The template that tells a customer of a status, and the language of each template.
+STATUS_TEMPLATES = {
+    "Pending": "ticket_pending",
+    "In Progress": "ticket_in_progress",
+    "Ready for Pickup": "ticket_ready_for_pickup",
+    "Completed": "ticket_completed",
     "Cancelled": "ticket_cancelled",
 }
+TEMPLATE_LANGUAGES = {
+    "ticket_created": "en_GB",
+    "ticket_pending": "en_GB",
+    "ticket_completed": "en_GB",
+    "ticket_cancelled": "en",
+    "ticket_in_progress": "en",
+    "ticket_ready_for_pickup": "en_IN",
+    "order_created": "en_GB",
+}
+#: What the stars of a feedback mean, from one star on.
+RATINGS = ("Poor", "Fair", "Good", "Very Good", "Excellent")
 
 
-def mapped(c: Column, table: dict[str, str]) -> Column:
+def mapped(c: Column, table: dict) -> Column:
     """The value that a constant table has for c, else null."""
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[c]
 
 
+def status_event(status: Column) -> Column:
+    """A struct of event, text and description of a status, null for one without an event."""
+    field = lambda i: mapped(status, {k: v[i] for k, v in STATUS_EVENTS.items()})
+    names = ("event", "text", "description")
+    return F.when(field(0).isNotNull(), F.struct(*[field(i).alias(n) for i, n in enumerate(names)]))
+
+
+def rating_label(rating: Column) -> Column:
+    return mapped(rating.cast("int"), dict(enumerate(RATINGS, 1)))
+
+
+def truthy_or(a: Column, b: Column) -> Column:
+    """a unless it is null or zero: the default of a number where zero counts as not given."""
+    return F.when(a.isNull() | (a == 0), b).otherwise(a)
+
+
+def phone_candidates(raw: Column) -> Column:
+    """How a number may be written: as given, digits alone, without 91 in front, with it; first come, first tried."""
+    clean = F.coalesce(phone_strict(raw), F.regexp_replace(digits(raw), "^0+", ""))
+    bare = F.regexp_replace(clean, "^91", "")
+    forms = F.array(raw, clean, F.regexp_replace(raw, "^91", ""), F.when(clean != "", F.concat(F.lit("91"), bare)))
+    return F.array_distinct(F.filter(forms, lambda f: f.isNotNull() & (f != "")))
+
+
 def event_class(title: Column) -> Column:
     t = F.lower(title)
     has = lambda *words: reduce(lambda a, b: a | b, [t.contains(w) for w in words])

@@ -48,8 +48,23 @@ def page_totals(df: DataFrame, limit: int = 50) -> DataFrame:
 def keep_first(df: DataFrame, keys: Sequence[str], id: str) -> DataFrame:
     """Drops all but the lowest id of equal keys; rows with a null key stay, as null equals nothing."""
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    first = F.min(F.when(known, F.col(id))).over(Window.partitionBy(*keys, F.when(~known, F.col(id))))
-    return df.withColumn("__first", first).where(~known | (F.col(id) == F.col("__first"))).drop("__first")
+    # a grouped minimum combines before the shuffle, and a hot key of the join can be split
+    first = df.where(known).groupBy(*keys).agg(F.min(id).alias("__first"))
+    return df.join(first, list(keys), "left").where(~known | (F.col(id) == F.col("__first"))).select(df.columns)
+
+
+def running_number(df: DataFrame, key: str, bucket: str, order: Sequence[Column], name: str = "number") -> DataFrame:
+    """Numbers the rows of each key from 1; bucket must rise with the order.
+
+    Only buckets are sorted as a whole, and a running sum over their counts puts
+    them behind each other, so no task sorts all rows of a key.
+    """
+    counts = df.groupBy(key, bucket).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(key).orderBy(F.col(bucket).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(F.col(key).alias("__key"), F.col(bucket).alias("__bucket"), F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = df.withColumn("__row", F.row_number().over(Window.partitionBy(key, bucket).orderBy(*order)))
+    met = F.col(key).eqNullSafe(F.col("__key")) & F.col(bucket).eqNullSafe(F.col("__bucket"))
+    return inside.join(starts, met).withColumn(name, F.col("__before") + F.col("__row")).select(*df.columns, name)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -74,6 +89,52 @@ def delete_keys(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return df.join(gone.select(key).distinct(), key, "left_anti")
 
 
+def soft_delete(df: DataFrame, gone: DataFrame, key: str, flag: str = "is_active") -> DataFrame:
+    """All rows stay; those with a key in gone are marked inactive, the others keep their flag or are active."""
+    keys = gone.select(key).distinct().withColumn("__gone", F.lit(True))
+    old = F.coalesce(F.col(flag), F.lit(True)) if flag in df.columns else F.lit(True)
+    return df.join(keys, key, "left").withColumn(flag, F.when(F.col("__gone"), F.lit(False)).otherwise(old)).drop("__gone")
+
+
+def flip(df: DataFrame, where: Column, **values: Column) -> tuple[DataFrame, Column]:
+    """Sets values where the condition holds, and the aggregate that counts those rows of df."""
+    hit = F.coalesce(where, F.lit(False))
+    return df.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()}), F.count_if(hit)
+
+
+def apply_payments(invoices: DataFrame, payments: DataFrame, key: str) -> DataFrame:
+    """Invoices with amount_paid raised by their payments' amounts, balance_due left of total_amount, and n_payments."""
+    sums = payments.groupBy(key).agg(F.sum("amount").alias("__paid"), F.count("*").alias("__n"))
+    paid = F.coalesce("amount_paid", F.lit(0)) + F.coalesce("__paid", F.lit(0))
+    changed = invoices.join(sums, key, "left").withColumns({"amount_paid": paid, "balance_due": F.col("total_amount") - paid, "n_payments": F.coalesce("__n", F.lit(0))})
+    return changed.drop("__paid", "__n")
+
+
+def unpivoted(row: DataFrame, label: str, value: str, **columns: str) -> DataFrame:
+    """Columns as rows: the label of each and its value."""
+    pairs = F.array(*[F.struct(F.lit(text).alias(label), F.col(c).cast("long").alias(value)) for c, text in columns.items()])
+    others = [c for c in row.columns if c not in columns]
+    return row.select(*others, F.explode(pairs).alias("__pair")).select(*others, f"__pair.{label}", f"__pair.{value}")
+
+
+def first_by_affix(asked: DataFrame, forms: Column, table: DataFrame, text: str, value: str, name: str) -> DataFrame:
+    """Adds the least value of the rows whose text begins or ends with a form, for the first form that has one.
+
+    forms is an array of texts in the order in which they are tried. Every text of
+    the table becomes its beginnings and ends, a few rows each, so forms meet them
+    by equality and no pairs are compared; signs like % have no special meaning.
+    asked must have a unique column id.
+    """
+    n = F.length(F.col(text))
+    ends = F.transform(F.sequence(F.lit(1), n), lambda i: F.right(F.col(text), i))
+    starts = F.transform(F.sequence(F.lit(1), n), lambda i: F.left(F.col(text), i))
+    pieces = table.where(n > 0).select(F.explode(F.array_distinct(F.concat(ends, starts))).alias("__form"), F.col(value).alias("__value"))
+    least = pieces.groupBy("__form").agg(F.min("__value").alias("__value"))
+    tried = asked.select("id", F.posexplode(forms).alias("__turn", "__form"))
+    hits = tried.join(least, "__form").groupBy("id").agg(F.min_by("__value", "__turn").alias(name))
+    return asked.join(hits, "id", "left")
+
+
 def child_replace(children: DataFrame, new: DataFrame, parent: str) -> DataFrame:
     """All children of the parents in new give way to new's rows."""
     return delete_keys(children, new, parent).unionByName(new)
@@ -101,13 +162,18 @@ def on_spine(calendar: DataFrame, counts: DataFrame, *measures: str) -> DataFram
     return calendar.join(counts, "day", "left").fillna(0, list(measures))
 
 
+def covered_range(start: Column, end: Column, first: str, last: str) -> tuple[Column, Column]:
+    """The first and last day of a range on which the interval [start, end] stands; an end of null is open."""
+    last_day = F.lit(last).cast("date")
+    return F.greatest(start, F.lit(first).cast("date")), F.least(F.coalesce(end, last_day), last_day)
+
+
 def covered_days(df: DataFrame, start: Column, end: Column, first: str, last: str) -> DataFrame:
     """A row for each day of the range on which the interval [start, end] stands; an end of null is open.
 
     Rows become their days, so counting joins by equality and needs no range join.
     """
-    low = F.greatest(start, F.lit(first).cast("date"))
-    high = F.least(F.coalesce(end, F.lit(last).cast("date")), F.lit(last).cast("date"))
+    low, high = covered_range(start, end, first, last)
     return df.where(low <= high).withColumn("day", F.explode(F.sequence(low, high)))
 
 

@@ -1,9 +1,11 @@
 """Maintenance contracts, their visits and issues."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from shoploom.functions.exprs import bar, event_class as class_of, percent, weekday_letter
-from shoploom.operators.relational import days, nest_children, on_spine, top_per_key
+from shoploom.functions.exprs import bar, event_class as class_of, mapped, percent, truthy_or, weekday_letter
+from shoploom.operators.relational import days, nest_children, on_spine, top_per_key, unpivoted
 
 from .filters import AS_OF
 from .registry import query
@@ -18,9 +20,10 @@ _NEST = "CAST(to_json(list(struct_pack({0}) ORDER BY {1})) AS VARCHAR)"
   SELECT o_orderkey, coalesce(visits, '[]') AS visits, coalesce(issues, '[]') AS issues, coalesce(timeline, '[]') AS timeline
   FROM orders LEFT JOIN v ON v.l_orderkey = o_orderkey LEFT JOIN i ON i.l_orderkey = o_orderkey LEFT JOIN e ON user_id = o_orderkey""")
 def contract_detail_nested(t):
-    df = nest_children(t.orders.select("o_orderkey"), t.lineitem, "o_orderkey", "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], "visits", descending=True)
-    issues = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_set(F.struct("l_suppkey", "l_linestatus"))).alias("issues"))
-    df = df.join(issues, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
+    """Both lists of the visits come from one grouping, gathered before the join."""
+    visits, issues = F.struct("l_linenumber", "l_partkey", "l_suppkey"), F.struct("l_suppkey", "l_linestatus")
+    own = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(visits), asc=False).alias("visits"), F.sort_array(F.collect_set(issues)).alias("issues"))
+    df = t.orders.select("o_orderkey").join(own, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
     df = nest_children(df, t.events, "o_orderkey", "user_id", ["event_id", "event_type"], "timeline")
     return df.select("o_orderkey", *[F.coalesce(F.to_json(c), F.lit("[]")).alias(c) for c in ("visits", "issues", "timeline")])
 
@@ -75,23 +78,55 @@ def upcoming_renewals(t):
     return df.where(F.col("renewal").isNotNull() & F.col("renewal").between(as_of, F.date_add(as_of, 30))).orderBy("renewal", "o_orderkey").withColumn("renewal", F.col("renewal").cast("string"))
 
 
-@query(f"""SELECT (SELECT count(*) FROM orders) AS total_contracts, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS active_contracts,
-  (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS expired_contracts,
-  (SELECT count(*) FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '{AS_OF}' AND DATE '{AS_OF}' + 30) AS renewals,
-  (SELECT count(*) FROM lineitem WHERE CAST(l_shipdate AS DATE) = DATE '{AS_OF}') AS visits_today,
-  (SELECT count(*) FROM lineitem WHERE l_linestatus = 'F') AS completed_visits, (SELECT count(*) FROM lineitem WHERE l_linestatus = 'O') AS pending_visits,
-  (SELECT count(*) FROM events WHERE event_type = 'error') AS open_issues, (SELECT count(*) FROM events) AS total_issues""")
+_CONTRACTS = "(SELECT *, CAST(o_orderdate AS DATE) AS renewal_date FROM orders WHERE o_orderpriority <> '5-LOW')"
+_VISITS = "(SELECT *, CAST(l_shipdate AS DATE) AS visit_date FROM lineitem WHERE l_returnflag <> 'R')"
+_ISSUES = "(SELECT * FROM events WHERE value >= 5)"
+_ENGINEERS = f"""SELECT l_suppkey AS engineer, count(*) AS total, count(*) FILTER (WHERE l_linestatus = 'F') AS completed FROM {_VISITS} WHERE visit_date >= DATE '{AS_OF}' - INTERVAL 3 MONTH
+  GROUP BY 1 ORDER BY completed DESC, engineer LIMIT 10"""
+_MONTHS = f"""SELECT strftime(visit_date, '%Y-%m') AS sort, strftime(visit_date, '%Y-%b') AS month, count(*) AS n FROM {_VISITS} WHERE visit_date >= DATE '{AS_OF}' - INTERVAL 12 MONTH GROUP BY 1, 2"""
+
+
+@query(f"""SELECT (SELECT count(*) FROM {_CONTRACTS}) AS total_contracts, (SELECT count(*) FROM {_CONTRACTS} WHERE o_orderstatus = 'O') AS active_contracts,
+  (SELECT count(*) FROM {_CONTRACTS} WHERE o_orderstatus = 'F') AS expired_contracts,
+  (SELECT count(*) FROM {_CONTRACTS} WHERE renewal_date BETWEEN DATE '{AS_OF}' AND DATE '{AS_OF}' + 30) AS renewals,
+  (SELECT count(*) FROM {_VISITS} WHERE visit_date = DATE '{AS_OF}') AS visits_today,
+  (SELECT count(*) FROM {_VISITS} WHERE l_linestatus = 'F') AS completed_visits, (SELECT count(*) FROM {_VISITS} WHERE l_linestatus = 'O') AS pending_visits,
+  (SELECT count(*) FROM {_ISSUES} WHERE event_type = 'error') AS open_issues, (SELECT count(*) FROM {_ISSUES} WHERE event_type = 'purchase') AS closed_issues,
+  (SELECT string_agg(month || '=' || n, '; ' ORDER BY sort) FROM ({_MONTHS})) AS monthly_visits,
+  (SELECT string_agg(engineer || '=' || completed || '/' || total, '; ' ORDER BY completed DESC, engineer) FROM ({_ENGINEERS})) AS engineers,
+  (SELECT string_agg(o_orderstatus || '=' || n, '; ' ORDER BY o_orderstatus) FROM (SELECT o_orderstatus, count(*) AS n FROM {_CONTRACTS} GROUP BY 1)) AS contract_statuses,
+  (SELECT string_agg(event_type || '=' || n, '; ' ORDER BY event_type) FROM (SELECT event_type, count(*) AS n FROM {_ISSUES} GROUP BY 1)) AS issue_statuses""")
 def amc_dashboard(t):
-    as_of, day = F.lit(AS_OF).cast("date"), F.to_date
-    status, line = F.col("o_orderstatus"), F.col("l_linestatus")
-    contracts = t.orders.agg(
-        F.count("*").alias("total_contracts"), F.count_if(status == "O").alias("active_contracts"), F.count_if(status == "F").alias("expired_contracts"),
-        F.count_if(day("o_orderdate").between(as_of, F.date_add(as_of, 30))).alias("renewals"),
-    )
-    visits = t.lineitem.agg(F.count_if(day("l_shipdate") == as_of).alias("visits_today"), F.count_if(line == "F").alias("completed_visits"), F.count_if(line == "O").alias("pending_visits"))
-    issues = t.events.agg(F.count_if(F.col("event_type") == "error").alias("open_issues"), F.count("*").alias("total_issues"))
+    """All thirteen measures over active rows: one grouping of contracts and issues by status, two of visits."""
+    as_of = F.lit(AS_OF).cast("date")
+    visits = t.lineitem.where("l_returnflag <> 'R'").withColumn("visit_date", F.to_date("l_shipdate"))
+    sums = lambda when, name: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0)).alias(name)
+    pairs = lambda key, name, text="n": F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*key, text))), lambda e: F.concat(e[key[-1]].cast("string"), F.lit("="), e[text].cast("string"))), "; ").alias(name)
+
+    by_status = t.orders.where("o_orderpriority <> '5-LOW'").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count_if(F.to_date("o_orderdate").between(as_of, F.date_add(as_of, 30))).alias("due"))
+    status = F.col("o_orderstatus")
+    contracts = by_status.agg(F.sum("n").alias("total_contracts"), sums(status == "O", "active_contracts"), sums(status == "F", "expired_contracts"), F.sum("due").alias("renewals"), pairs(["o_orderstatus"], "contract_statuses"))
+
+    line, recent = F.col("l_linestatus"), F.col("visit_date") >= F.add_months(as_of, -12)
+    month = [F.when(recent, F.date_format("visit_date", f)).alias(n) for f, n in (("yyyy-MM", "sort"), ("yyyy-MMM", "month"))]
+    by_month = visits.groupBy(*month).agg(F.count("*").alias("n"), F.count_if(F.col("visit_date") == as_of).alias("today"), F.count_if(line == "F").alias("done"), F.count_if(line == "O").alias("open"))
+    entry = F.when(F.col("sort").isNotNull(), F.struct("sort", "month", "n"))  # collect_list leaves out the null of older visits
+    months = F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda e: F.concat(e.month, F.lit("="), e.n.cast("string"))), "; ")
+    visited = by_month.agg(F.sum("today").alias("visits_today"), F.sum("done").alias("completed_visits"), F.sum("open").alias("pending_visits"), months.alias("monthly_visits"))
+
+    by = visits.where(F.col("visit_date") >= F.add_months(as_of, -3)).groupBy("l_suppkey").agg(F.count("*").alias("total"), F.count_if(line == "F").alias("completed"))
+    best = by.orderBy(F.col("completed").desc(), "l_suppkey").limit(10).withColumns({"rank": -F.col("completed"), "of": F.concat(F.col("completed").cast("string"), F.lit("/"), F.col("total").cast("string"))})
+    engineers = best.agg(pairs(["rank", "l_suppkey"], "engineers", "of"))
+
+    by_type, kind = t.events.where("value >= 5").groupBy("event_type").agg(F.count("*").alias("n")), F.col("event_type")
+    issues = by_type.agg(sums(kind == "error", "open_issues"), sums(kind == "purchase", "closed_issues"), pairs(["event_type"], "issue_statuses"))
     one = lambda df: df.withColumn("one", F.lit(1))  # noqa: E731  each side is one row
-    return one(contracts).join(one(visits), "one").join(one(issues), "one").drop("one")
+    return reduce(lambda a, b: a.join(b, "one"), map(one, (contracts, visited, engineers, issues))).drop("one")
+
+
+@query("SELECT o_orderpriority AS contract_type, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
+def contracts_by_type(t):
+    return t.orders.where("o_orderstatus <> 'P'").groupBy(F.col("o_orderpriority").alias("contract_type")).agg(F.count("*").alias("n"))
 
 
 _UNION = """SELECT l_linestatus AS status, CASE WHEN l_quantity > 30 THEN 'High' WHEN l_quantity > 15 THEN 'Medium' ELSE 'Low' END AS priority FROM lineitem
@@ -125,6 +160,79 @@ def report_breakdown(t):
     return df.select("label", "n", "pct", bar(F.col("pct")).alias("bar"), "most")
 
 
+_VISIT_STATUS = "CASE WHEN l_linestatus = 'F' THEN 'Completed' WHEN l_returnflag = 'R' THEN 'Cancelled' WHEN l_returnflag = 'N' THEN 'Scheduled' ELSE 'In Progress' END"
+_ISSUE_ROWS = """SELECT user_id AS contract, CASE event_type WHEN 'error' THEN 'Open' WHEN 'click' THEN 'In Progress' WHEN 'purchase' THEN 'Resolved' WHEN 'signup' THEN 'Closed' END AS status,
+    CASE WHEN value > 200 THEN 'Critical' WHEN value > 100 THEN 'High' WHEN value > 50 THEN 'Medium' WHEN value > 20 THEN 'Low' END AS priority FROM events"""
+_METRICS = f"""SELECT o_orderkey, total_visits, completed_visits, CASE WHEN o_custkey % 7 = 0 THEN 2 ELSE total_visits - completed_visits END AS pending_visits, scheduled, cancelled, total_issues, open_issues, in_progress, resolved,
+    high, medium, low, CASE WHEN total_visits > 0 THEN CAST(floor(completed_visits * 100 / total_visits + 0.5) AS BIGINT) ELSE 0 END AS completion
+  FROM (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 = 1 THEN 12 ELSE coalesce(v.n, 0) END AS total_visits, CASE WHEN o_orderkey % 5 = 1 AND o_orderkey % 3 > 0 THEN o_orderkey % 3 ELSE coalesce(v.completed, 0) END AS completed_visits,
+      coalesce(v.scheduled, 0) AS scheduled, coalesce(v.cancelled, 0) AS cancelled, coalesce(i.n, 0) AS total_issues, coalesce(i.opened, 0) AS open_issues, coalesce(i.going, 0) AS in_progress, coalesce(i.resolved, 0) AS resolved,
+      coalesce(i.high, 0) AS high, coalesce(i.medium, 0) AS medium, coalesce(i.low, 0) AS low FROM orders
+    LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE s = 'Completed') AS completed, count(*) FILTER (WHERE s = 'Scheduled') AS scheduled, count(*) FILTER (WHERE s = 'Cancelled') AS cancelled
+      FROM (SELECT l_orderkey, {_VISIT_STATUS} AS s FROM lineitem) GROUP BY 1) v ON l_orderkey = o_orderkey
+    LEFT JOIN (SELECT contract, count(*) AS n, count(*) FILTER (WHERE status = 'Open') AS opened, count(*) FILTER (WHERE status = 'In Progress') AS going, count(*) FILTER (WHERE status IN ('Resolved', 'Closed')) AS resolved,
+      count(*) FILTER (WHERE priority IN ('High', 'Critical')) AS high, count(*) FILTER (WHERE priority = 'Medium') AS medium, count(*) FILTER (WHERE priority = 'Low') AS low FROM ({_ISSUE_ROWS}) GROUP BY 1) i ON contract = o_orderkey)"""
+
+
+def _metrics(t):
+    """The figures of each contract's report; counters stored with the contract win over counted rows unless they are null or 0."""
+    line, flag, key = F.col("l_linestatus"), F.col("l_returnflag"), F.col("o_orderkey")
+    status = F.when(line == "F", "Completed").when(flag == "R", "Cancelled").when(flag == "N", "Scheduled").otherwise("In Progress")
+    count = lambda *values: F.count_if(F.col("status").isin(*values))
+    visits = t.lineitem.select("l_orderkey", status.alias("status")).groupBy("l_orderkey").agg(F.count("*").alias("v"), count("Completed").alias("done"), count("Scheduled").alias("scheduled"), count("Cancelled").alias("cancelled"))
+
+    kinds, value = {"error": "Open", "click": "In Progress", "purchase": "Resolved", "signup": "Closed"}, F.col("value")
+    priority = F.when(value > 200, "Critical").when(value > 100, "High").when(value > 50, "Medium").when(value > 20, "Low")
+    rows = lambda own: t.events.where((F.col("event_id") % 2 == 0) == F.lit(own)).select("user_id", mapped(F.col("event_type"), kinds).alias("status"), priority.alias("priority"))
+    of = lambda *values: F.count_if(F.col("priority").isin(*values))
+    issues = rows(True).unionAll(rows(False)).groupBy("user_id").agg(
+        F.count("*").alias("total_issues"), count("Open").alias("open_issues"), count("In Progress").alias("in_progress"), count("Resolved", "Closed").alias("resolved"),
+        of("High", "Critical").alias("high"), of("Medium").alias("medium"), of("Low").alias("low"),
+    )
+    joined = t.orders.join(visits, F.col("l_orderkey") == key, "left").join(issues, F.col("user_id") == key, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    stored = F.when(key % 5 == 1, 12), F.when(key % 5 == 1, key % 3), F.when(F.col("o_custkey") % 7 == 0, 2)
+    total, done = truthy_or(stored[0], zero("v")), truthy_or(stored[1], zero("done"))
+    df = joined.withColumns({"total_visits": total, "completed_visits": done})
+    df = df.withColumns({"pending_visits": truthy_or(stored[2], F.col("total_visits") - F.col("completed_visits")), "completion": percent(F.col("completed_visits"), F.col("total_visits"))})
+    counted = ("scheduled", "cancelled", "total_issues", "open_issues", "in_progress", "resolved", "high", "medium", "low")
+    return df.select("o_orderkey", "total_visits", "completed_visits", "pending_visits", "completion", *[zero(c).alias(c) for c in counted])
+
+
+@query(_METRICS)
+def contract_report_metrics(t):
+    return _metrics(t)
+
+
+_BAR = "repeat('█', least(20, CAST(floor(pct / 5.0 + 0.5) AS INT))) || repeat('░', greatest(0, 20 - CAST(floor(pct / 5.0 + 0.5) AS INT)))"
+
+
+def _rows_sql(labels, most):
+    rows = " UNION ALL ".join(f"SELECT o_orderkey, '{label}' AS label, {c} AS n, {most} AS most FROM m" for c, label in labels.items())
+    return f"WITH m AS ({_METRICS}), r AS ({rows}), p AS (SELECT *, CAST(floor(n * 100 / most + 0.5) AS BIGINT) AS pct FROM r) SELECT o_orderkey, label, n, pct, {_BAR} AS bar FROM p"
+
+
+_PROGRESS = {"completed_visits": "Completed Visits", "pending_visits": "Pending Visits", "scheduled": "Scheduled Visits", "total_visits": "Total Visits"}
+_PRIORITY = {"high": "High / Critical", "medium": "Medium", "low": "Low"}
+
+
+def _report_rows(df, labels, most):
+    """Columns turned into rows with their share of the greatest value and a bar."""
+    rows = unpivoted(df.select("o_orderkey", *labels, F.greatest(most, F.lit(1)).alias("most")), "label", "n", **labels)
+    rows = rows.withColumn("pct", percent(F.col("n"), F.col("most")))
+    return rows.select("o_orderkey", "label", "n", "pct", bar(F.col("pct")).alias("bar"))
+
+
+@query(_rows_sql(_PROGRESS, "greatest(total_visits, 1)"))
+def report_progress_rows(t):
+    return _report_rows(_metrics(t), _PROGRESS, F.col("total_visits"))
+
+
+@query(_rows_sql(_PRIORITY, "greatest(high, medium, low, 1)"))
+def report_priority_rows(t):
+    return _report_rows(_metrics(t), _PRIORITY, F.greatest("high", "medium", "low"))
+
+
 @query("""SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) AS total, count(*) FILTER (WHERE l_linestatus = 'F') AS completed,
   CAST(round(count(*) FILTER (WHERE l_linestatus = 'F') * 100.0 / count(*)) AS BIGINT) AS rate FROM lineitem GROUP BY 1 ORDER BY 1""")
 def monthly_trend(t):

@@ -3,8 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shoploom.functions.exprs import STATUS_EVENTS, any_ilike, conversation_id, conversation_kind as kind_of, mapped
-from shoploom.operators.relational import keep_first, latest_per_key
+from shoploom.functions.exprs import STATUS_TEMPLATES, TEMPLATE_LANGUAGES, any_ilike, conversation_id, conversation_kind as kind_of, mapped, phone_candidates, rating_label, status_event
+from shoploom.operators.relational import first_by_affix, keep_first, latest_per_key
 
 from .registry import query
 
@@ -82,10 +82,64 @@ def sibling_fill(t):
     return df.join(first, "user_id", "left").select("event_id", F.coalesce("own", "sibling").alias("filled"))
 
 
-@query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'ticket_created' WHEN '2-HIGH' THEN 'repair_started' WHEN '3-MEDIUM' THEN 'repair_completed' END AS event FROM orders")
+_STATUSES = ("New", "Pending", "Diagnosed", "Awaiting Approval", "In Progress", "Waiting For Parts", "Awaiting Parts", "Awaiting Payment", "Ready for Pickup", "Completed", "Delivered", "Collected", "Cancelled")
+
+
+@query("""WITH events_of(status, event, text, description) AS (VALUES
+    ('New', 'repair_received', 'Repair Received', 'Device has been received for repair.'),
+    ('Diagnosed', 'device_diagnosed', 'Device Diagnosed', 'Device has been diagnosed by technician.'),
+    ('Awaiting Approval', 'awaiting_approval', 'Awaiting Approval', 'Estimate sent. Awaiting customer approval.'),
+    ('In Progress', 'repair_in_progress', 'Repair In Progress', 'Repair work is in progress.'),
+    ('Waiting For Parts', 'parts_ordered', 'Parts Ordered', 'Parts have been ordered for the repair.'),
+    ('Completed', 'repair_completed', 'Repair Completed', 'Repair has been completed.'),
+    ('Ready for Pickup', 'ready_for_pickup', 'Ready For Pickup', 'Device is ready for pickup.'),
+    ('Delivered', 'delivered', 'Delivered', 'Device has been delivered to customer.'),
+    ('Collected', 'collected', 'Collected', 'Device has been collected.'),
+    ('Cancelled', 'cancelled', 'Cancelled', 'Repair has been cancelled.')),
+  templates(status, template, language) AS (VALUES ('Pending', 'ticket_pending', 'en_GB'), ('In Progress', 'ticket_in_progress', 'en'),
+    ('Ready for Pickup', 'ticket_ready_for_pickup', 'en_IN'), ('Completed', 'ticket_completed', 'en_GB'), ('Cancelled', 'ticket_cancelled', 'en')),
+  named AS (SELECT o_orderkey, ['New', 'Pending', 'Diagnosed', 'Awaiting Approval', 'In Progress', 'Waiting For Parts', 'Awaiting Parts', 'Awaiting Payment', 'Ready for Pickup', 'Completed', 'Delivered', 'Collected', 'Cancelled'][o_orderkey % 13 + 1] AS status FROM orders)
+  SELECT o_orderkey, status, event, text, description, template, language FROM named LEFT JOIN events_of USING (status) LEFT JOIN templates USING (status)""")
 def status_event_map(t):
-    status = mapped(F.col("o_orderpriority"), {"1-URGENT": "New", "2-HIGH": "In Progress", "3-MEDIUM": "Completed", "5-LOW": "Collected"})
-    return t.orders.select("o_orderkey", mapped(status, STATUS_EVENTS).alias("event"))
+    status = F.array(*[F.lit(s) for s in _STATUSES])[(F.col("o_orderkey") % len(_STATUSES)).cast("int")]
+    template = mapped(F.col("status"), STATUS_TEMPLATES)
+    named = t.orders.select("o_orderkey", status.alias("status")).withColumn("e", status_event(F.col("status")))
+    return named.select("o_orderkey", "status", "e.event", "e.text", "e.description", template.alias("template"), mapped(template, TEMPLATE_LANGUAGES).alias("language"))
+
+
+@query("SELECT conv_id, turn, CASE turn WHEN 1 THEN 'Poor' WHEN 2 THEN 'Fair' WHEN 3 THEN 'Good' WHEN 4 THEN 'Very Good' WHEN 5 THEN 'Excellent' END AS label FROM conversations")
+def rating_labels(t):
+    return t.conversations.select("conv_id", "turn", rating_label(F.col("turn")).alias("label"))
+
+
+_PHONES = """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '98' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') WHEN 1 THEN '9198' || lpad(CAST(c_custkey AS VARCHAR), 8, '0')
+  WHEN 2 THEN '+9198' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') WHEN 3 THEN '98' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') || ' home' END AS phone FROM customer"""
+_SENDERS = """SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN '9198' || lpad(CAST(user_id AS VARCHAR), 8, '0') WHEN 1 THEN '98' || lpad(CAST(user_id AS VARCHAR), 8, '0') WHEN 2 THEN '+91 98' || lpad(CAST(user_id AS VARCHAR), 8, '0')
+  WHEN 3 THEN CAST(user_id AS VARCHAR) ELSE '' END AS raw FROM events"""
+
+
+def _phones(t):
+    text, n = F.concat(F.lit("98"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")), F.col("c_custkey") % 4
+    phone = F.when(n == 0, text).when(n == 1, F.concat(F.lit("91"), text)).when(n == 2, F.concat(F.lit("+91"), text)).otherwise(F.concat(text, F.lit(" home")))
+    return t.customer.select("c_custkey", phone.alias("phone"))
+
+
+def _senders(t):
+    user = F.col("user_id").cast("string")
+    text, n = F.concat(F.lit("98"), F.lpad(user, 8, "0")), F.col("event_id") % 5
+    raw = F.when(n == 0, F.concat(F.lit("91"), text)).when(n == 1, text).when(n == 2, F.concat(F.lit("+91 "), text)).when(n == 3, user).otherwise("")
+    return t.events.select(F.col("event_id").alias("id"), raw.alias("raw"))
+
+
+@query(f"""WITH s AS (SELECT DISTINCT raw FROM ({_SENDERS})),
+  c AS (SELECT raw, CASE WHEN length(d) = 10 THEN '91' || d ELSE d END AS clean FROM (SELECT raw, regexp_replace(regexp_replace(raw, '[^0-9]', '', 'g'), '^0+', '') AS d FROM s)),
+  f AS (SELECT raw, turn, form FROM (SELECT raw, 0 AS turn, raw AS form FROM c UNION ALL SELECT raw, 1, clean FROM c UNION ALL SELECT raw, 2, regexp_replace(raw, '^91', '') FROM c
+    UNION ALL SELECT raw, 3, '91' || regexp_replace(clean, '^91', '') FROM c WHERE clean <> '') WHERE form <> ''),
+  h AS (SELECT raw, turn, min(c_custkey) AS c_custkey FROM f JOIN ({_PHONES}) ON ends_with(phone, form) OR starts_with(phone, form) GROUP BY 1, 2)
+  SELECT id, raw, customer FROM ({_SENDERS}) LEFT JOIN (SELECT raw, arg_min(c_custkey, turn) AS customer FROM h GROUP BY 1) USING (raw)""")
+def fuzzy_phone_match(t):
+    """The customer of each sender: of the first of four spellings that some customer's number begins or ends with, the lowest one."""
+    return first_by_affix(_senders(t), phone_candidates(F.col("raw")), _phones(t), "phone", "c_custkey", "customer").select("id", "raw", "customer")
 
 
 @query("""SELECT event_id, user_id, old_status, event_type AS new_status FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old_status FROM events)

@@ -1,8 +1,11 @@
 """Changes to tables, as the new version of the table."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from shoploom.operators import relational as r
+from shoploom.sources.tables import copy_levels, copy_table, describe
 
 from .registry import query
 
@@ -34,10 +37,23 @@ def insert_select(t):
     return used.orderBy("r_regionkey").limit(1).select(F.coalesce(F.nullif("r_name", F.lit("")), F.lit("Main")).alias("store_name"), F.lit(True).alias("is_default"))
 
 
-@query("SELECT o_orderkey, o_totalprice >= 20000 AS is_active FROM orders WHERE o_totalprice >= 20000")
+_DELETED = "SELECT o_orderkey, o_orderstatus, o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 40) AS is_active FROM orders"
+
+
+def _orders_deleted(t):
+    gone = t.lineitem.where("l_returnflag = 'R' and l_quantity >= 40").select(F.col("l_orderkey").alias("o_orderkey"))
+    return r.soft_delete(t.orders.select("o_orderkey", "o_orderstatus"), gone, "o_orderkey")
+
+
+@query(_DELETED)
 def soft_delete(t):
-    marked = t.orders.select("o_orderkey", (F.col("o_totalprice") >= 20000).alias("is_active"))
-    return marked.where("is_active")
+    return _orders_deleted(t)
+
+
+@query(f"SELECT o_orderstatus, count(*) AS n FROM ({_DELETED}) WHERE is_active GROUP BY 1")
+def soft_delete_guard(t):
+    """What readers see of a table with inactive rows."""
+    return _orders_deleted(t).where("is_active").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
 @query("SELECT * FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
@@ -80,6 +96,16 @@ def bulk_status_flip(t):
     return t.conversations.select("conv_id", "turn", F.when(F.col("role") == "user", True).otherwise(F.col("turn") > 1).alias("is_read"))
 
 
+@query("SELECT conv_id, count(*) FILTER (WHERE role <> 'user' AND turn <= 2) AS flipped, count(*) FILTER (WHERE role = 'user' OR turn > 2) AS unread FROM conversations GROUP BY 1")
+def bulk_flip_counts(t):
+    """How many rows of each conversation marking it read has changed, and how many are unread after it."""
+    unread = t.conversations.select("conv_id", "role", "turn", F.lit(False).alias("is_read"))
+    changed, n = r.flip(unread, ~F.col("is_read") & (F.col("role") != "user") & (F.col("turn") <= 2), is_read=F.lit(True))
+    counts = unread.groupBy("conv_id").agg(n.alias("flipped"))
+    left = changed.groupBy("conv_id").agg(F.count_if(~F.col("is_read")).alias("unread"))
+    return counts.join(left, "conv_id")
+
+
 @query("SELECT p_partkey, p_name FROM part WHERE p_name IN (SELECT p_name FROM part GROUP BY 1 HAVING count(*) > 1)")
 def uniqueness_check(t):
     again = t.part.groupBy("p_name").agg(F.count("*").alias("n")).where("n > 1")
@@ -101,28 +127,49 @@ def missing_keys(t):
 
 @query("SELECT (SELECT count(*) FROM customer) AS found, false AS skipped, (SELECT count(*) FROM customer) AS copied")
 def table_copy(t):
-    from shoploom.sources.tables import copy_table
-
     return copy_table(t.customer, None, "c_custkey")[1]
 
 
+@query("""SELECT 'customer' AS table_name, 1 AS level, count(*) AS found, false AS skipped, count(*) AS copied, count(*) AS in_target, CAST(round(sum(c_acctbal) * 100) AS BIGINT) AS cents FROM customer
+  UNION ALL SELECT 'region', 1, count(*), true, 0, count(*) FILTER (WHERE r_regionkey < 2), 0 FROM region
+  UNION ALL SELECT 'nation', 2, count(*), false, count(*), count(*), 0 FROM nation
+  UNION ALL SELECT 'supplier', 3, count(*), false, count(*), count(*), CAST(round(sum(s_acctbal) * 100) AS BIGINT) FROM supplier""")
+def table_copies(t):
+    """Copies in the order that references ask for, into targets that are empty or have rows, checked by counts of the rows written."""
+    sources = {"customer": t.customer, "region": t.region, "nation": t.nation, "supplier": t.supplier}
+    targets = {"customer": t.customer.limit(0), "region": t.region.where("r_regionkey < 2"), "nation": t.nation.limit(0).select("n_name", "n_regionkey"), "supplier": t.supplier.limit(0)}
+    money = {"customer": "c_acctbal", "supplier": "s_acctbal"}
+    levels = copy_levels({"nation": ["region"], "supplier": ["nation"], "customer": [], "region": []})
+    parts = []
+    for name in sorted(levels, key=lambda n: (levels[n], n)):
+        rows, stats = copy_table(sources[name], targets[name], "id")
+        after = targets[name].unionByName(rows, allowMissingColumns=True)
+        amount = F.round(F.sum(F.when(F.lit(name in money), F.col(money.get(name, after.columns[0])).cast("double"))) * 100)
+        counted = after.agg(F.count("*").alias("in_target"), F.coalesce(amount, F.lit(0)).cast("long").alias("cents"))
+        parts.append(stats.withColumn("one", F.lit(1)).join(counted.withColumn("one", F.lit(1)), "one").drop("one").withColumns({"table_name": F.lit(name), "level": F.lit(levels[name])}))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("""SELECT 'region' AS table_name, 'r_regionkey' AS column_name, 'int' AS data_type, 1 AS position UNION ALL SELECT 'region', 'r_name', 'string', 2""")
 def table_columns(t):
-    from shoploom.sources.tables import describe
-
     return describe(t.region, "region")
 
 
-@query("""WITH fixed AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 2 = 0 THEN 'cust_91' || lpad(CAST(user_id AS VARCHAR), 10, '0') ELSE 'cust_91' || lpad(CAST(user_id AS VARCHAR), 10, '0') END AS conversation FROM events WHERE user_id IS NOT NULL),
+@query("""WITH raw AS (SELECT event_id, user_id, event_type, CASE event_id % 3 WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN 'ticket_' || event_id ELSE 'cust_x' END AS conversation FROM events WHERE user_id IS NOT NULL),
+  fixed AS (SELECT event_id, user_id, event_type, CASE event_id % 3 WHEN 0 THEN 'cust_91' || lpad(conversation, 10, '0') WHEN 1 THEN coalesce('cust_91' || lpad(CAST(o_custkey AS VARCHAR), 10, '0'), conversation) ELSE conversation END AS conversation
+    FROM raw LEFT JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus <> 'P') ON event_id = o_orderkey),
   named AS (SELECT f.*, coalesce(c_name, 'unknown') AS customer FROM fixed f LEFT JOIN customer ON f.user_id = c_custkey)
   SELECT event_id, conversation, customer FROM named n WHERE event_type <> 'signup' OR event_id = (SELECT min(event_id) FROM named m WHERE m.event_type = 'signup' AND m.conversation = n.conversation)""")
 def conversation_repair(t):
-    """Four steps in order: ids from phone-like texts, ids from tickets, the customer's name, then one creation event each."""
-    raw = F.when(F.col("event_id") % 2 == 0, F.col("user_id").cast("string")).otherwise(F.concat(F.lit("ticket_"), F.col("user_id").cast("string")))
+    """Four steps in order: ids from phone-like texts, ids from the tickets' customers, the customer's name, then one creation event each."""
+    kind = F.col("event_id") % 3
+    raw = F.when(kind == 0, F.col("user_id").cast("string")).when(kind == 1, F.concat(F.lit("ticket_"), F.col("event_id").cast("string"))).otherwise("cust_x")
     df = t.events.where("user_id is not null").select("event_id", "user_id", "event_type", raw.alias("conversation"))
     canonical = lambda c: F.concat(F.lit("cust_91"), F.lpad(c, 10, "0"))
     df = df.withColumn("conversation", F.when(F.col("conversation").rlike(r"^\d+$"), canonical(F.col("conversation"))).otherwise(F.col("conversation")))
-    df = df.withColumn("conversation", F.when(F.col("conversation").startswith("ticket_"), canonical(F.element_at(F.split("conversation", "_"), -1))).otherwise(F.col("conversation")))
+    df = df.withColumn("ticket", F.expr("try_cast(regexp_extract(conversation, '^ticket_(.*)$', 1) as bigint)"))
+    tickets = t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("ticket"), canonical(F.col("o_custkey").cast("string")).alias("own"))
+    df = df.join(tickets, "ticket", "left").withColumn("conversation", F.coalesce("own", "conversation"))
     df = df.join(t.customer, F.col("user_id") == F.col("c_custkey"), "left").withColumn("customer", F.coalesce("c_name", F.lit("unknown")))
     created, others = df.where("event_type = 'signup'"), df.where("not (event_type <=> 'signup')")
     return r.keep_first(created, ["conversation"], "event_id").unionByName(others).select("event_id", "conversation", "customer")

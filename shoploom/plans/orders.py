@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from shoploom.functions.exprs import MONEY, errors, leading_number, payment_status as status_of, phone_lenient
-from shoploom.operators.relational import nest_children
+from shoploom.operators.relational import apply_payments, nest_children
 
 from .registry import query
 
@@ -91,9 +91,25 @@ def invoice_balance(t):
     return t.orders.join(paid, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", got.cast("decimal(18,2)").alias("amount_paid"), (money("o_totalprice") - got).cast("decimal(18,2)").alias("balance_due"))
 
 
-@query(f"SELECT o_orderkey, CAST(CAST(o_totalprice AS {D}) + CAST(o_totalprice AS {D}) * 18 / 100 AS DECIMAL(18,2)) AS total_value FROM orders WHERE false UNION ALL SELECT o_orderkey, CAST(CAST(o_totalprice AS {D}) * 1.18 AS DECIMAL(18,2)) FROM orders")
+@query(f"""SELECT o_orderkey, CAST(value + value * rate * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2)) AS total_value FROM (SELECT o_orderkey, CAST(o_totalprice AS {D}) AS value,
+  CAST(CASE o_orderkey % 5 WHEN 0 THEN 18 WHEN 1 THEN 12.5 WHEN 2 THEN 0 WHEN 3 THEN 0 ELSE o_custkey % 29 END AS DECIMAL(5,2)) AS rate FROM orders)""")
 def contract_total(t):
-    return t.orders.select("o_orderkey", (money("o_totalprice") * F.lit("1.18").cast("decimal(3,2)")).cast("decimal(18,2)").alias("total_value"))
+    """The value and its tax at the contract's own rate, a text of which the leading number counts; without one there is no tax."""
+    n = F.col("o_orderkey") % 5
+    text = F.when(n == 0, "18").when(n == 1, "12.5 %").when(n == 3, "none").when(n == 4, F.concat(F.lit(" "), (F.col("o_custkey") % 29).cast("string")))
+    rate = F.coalesce(leading_number(text), F.lit(0)).cast("decimal(5,2)")
+    value = money("o_totalprice")
+    return t.orders.select("o_orderkey", (value + value * rate / 100).cast("decimal(18,2)").alias("total_value"))
+
+
+@query(f"""SELECT o_orderkey, CAST(advance + coalesce(paid, 0) AS DECIMAL(18,2)) AS amount_paid, CAST(total - (advance + coalesce(paid, 0)) AS DECIMAL(18,2)) AS balance_due, coalesce(n, 0) AS n_payments
+  FROM (SELECT o_orderkey, CAST(o_totalprice AS {D}) AS total, CASE WHEN o_orderstatus = 'P' THEN CAST(100 AS {D}) ELSE CAST(0 AS {D}) END AS advance FROM orders)
+  LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(CASE WHEN l_returnflag <> 'N' THEN CAST(l_extendedprice AS {D}) ELSE 0 END) AS paid FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1) ON o_orderkey = l_orderkey""")
+def payments_onto_invoices(t):
+    """Every payment is added to what its invoice has had; the balance follows from the total. A payment without an amount adds 0."""
+    invoices = t.orders.select("o_orderkey", money("o_totalprice").alias("total_amount"), F.when(F.col("o_orderstatus") == "P", 100).otherwise(0).cast(MONEY).alias("amount_paid"))
+    payments = t.lineitem.where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_returnflag") != "N", money("l_extendedprice")).alias("amount"))
+    return apply_payments(invoices, payments, "o_orderkey").select("o_orderkey", *[F.col(c).cast("decimal(18,2)").alias(c) for c in ("amount_paid", "balance_due")], "n_payments")
 
 
 @query(f"SELECT l_returnflag, CAST(sum(CAST(l_extendedprice AS {D})) AS DECIMAL(18,2)) AS amount, count(*) AS n FROM lineitem GROUP BY 1")

@@ -1,9 +1,9 @@
 """Scalar functions over whole tables: phones, numbers, addresses, digests and checks."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shoploom.functions import exprs as x
+from shoploom.operators.relational import running_number
 
 from .registry import query
 
@@ -37,15 +37,17 @@ def phone_format(t):
 @query("""SELECT o_orderkey, 'ORD-' || upper(strftime(o_orderdate, '%Y-%b')) || '-' || CASE WHEN n < 10000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END AS order_number
   FROM (SELECT *, row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%b') ORDER BY o_orderdate, o_orderkey) AS n FROM orders)""")
 def business_numbers(t):
-    month = Window.partitionBy(F.date_format("o_orderdate", "yyyy-MMM")).orderBy("o_orderdate", "o_orderkey")
-    return t.orders.select("o_orderkey", F.concat(x.number_prefix("ORD", F.col("o_orderdate")), x.padded(F.row_number().over(month))).alias("order_number"))
+    orders = t.orders.withColumns({"month": F.date_format("o_orderdate", "yyyy-MMM"), "day": F.to_date("o_orderdate")})
+    numbered = running_number(orders, "month", "day", [F.col("o_orderdate"), F.col("o_orderkey")])
+    return numbered.select("o_orderkey", F.concat(x.number_prefix("ORD", F.col("o_orderdate")), x.padded(F.col("number"))).alias("order_number"))
 
 
 @query("""SELECT strftime(o_orderdate, '%Y') AS year, count(*) + 1 AS next FROM orders GROUP BY 1""")
 def next_number(t):
     year = F.date_format("o_orderdate", "yyyy")
-    number = F.concat(F.lit("AMC-"), year, F.lit("-"), x.padded(F.row_number().over(Window.partitionBy(year).orderBy("o_orderkey"))))
-    last = t.orders.select(year.alias("year"), "o_orderkey", number.alias("number")).groupBy("year").agg(F.max_by("number", "o_orderkey").alias("last"))
+    # the numbers of a year run from 1, so the last one is that of its count
+    counts = t.orders.groupBy(year.alias("year")).agg(F.count("*").alias("n"))
+    last = counts.select("year", F.concat(F.lit("AMC-"), "year", F.lit("-"), x.padded(F.col("n"))).alias("last"))
     return last.select("year", (F.coalesce(x.number_suffix(F.col("last")), F.lit(0)) + 1).alias("next"))
 
 
@@ -89,6 +91,16 @@ def text_functions(t):
     return t.part.select("p_partkey", x.file_name(F.col("p_name")).alias("file"), label.alias("label"), F.lower(F.trim("p_type")).alias("kind"), F.element_at(F.split("p_type", " "), -1).alias("last_word"))
 
 
+@query("""SELECT p_partkey, CASE WHEN size IS NULL OR size = 0 THEN 7 ELSE size END AS shown, coalesce(size, 7) AS nullish, CASE WHEN coalesce(name, '') = '' THEN 'none' ELSE name END AS name
+  FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN p_size END AS size, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '0' WHEN 2 THEN p_name END AS name FROM part)""")
+def truthy_defaults(t):
+    """Defaults that stand in for null, 0 and the empty text, beside the one that stands in for null only; the text 0 counts as given."""
+    n, m = F.col("p_partkey") % 3, F.col("p_partkey") % 4
+    size = F.when(n == 0, 0).when(n == 1, F.col("p_size"))
+    name = F.when(m == 0, "").when(m == 1, "0").when(m == 2, F.col("p_name"))
+    return t.part.select("p_partkey", x.truthy_or(size, F.lit(7)).alias("shown"), F.coalesce(size, F.lit(7)).alias("nullish"), x.or_else(name, F.lit("none")).alias("name"))
+
+
 @query("SELECT p_partkey, 'image/png' AS mime, 'png' AS extension, CAST(length(p_name) AS BIGINT) AS n_bytes FROM part")
 def data_urls(t):
     url = F.concat(F.lit("data:image/png;base64,"), F.base64(F.col("p_name").cast("binary")))

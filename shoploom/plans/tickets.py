@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from shoploom.functions.exprs import weekday_letter
-from shoploom.operators.relational import covered_days, days, on_spine
+from shoploom.functions.exprs import MONEY, rating_label, truthy_or, weekday_letter
+from shoploom.operators.relational import covered_range, days, on_spine
 
 from .filters import AS_OF
 from .registry import query
@@ -47,12 +47,13 @@ def status_pivot(t):
     return pivot.select("priority", *[F.coalesce(a, F.lit(0)).alias(b) for a, b in (("F", "completed"), ("O", "in_progress"), ("P", "pending"))])
 
 
-@query("""SELECT o_orderstatus AS status, CAST(map_from_entries(list(struct_pack(k := p, v := n) ORDER BY p)) AS VARCHAR) IS NOT NULL AS has_map,
+@query("""SELECT o_orderstatus AS status, string_agg(p || '=' || n, '; ' ORDER BY p) AS counts,
   CAST(sum(n) AS BIGINT) AS n FROM (SELECT o_orderstatus, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1""")
 def status_count_map(t):
     counts = t.orders.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
     by = counts.groupBy(F.col("o_orderstatus").alias("status")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("o_orderpriority", "n")))).alias("m"))
-    return by.select("status", F.col("m").isNotNull().alias("has_map"), F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda a, b: a + b).alias("n"))
+    entries = F.transform(F.map_entries("m"), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string")))
+    return by.select("status", F.array_join(entries, "; ").alias("counts"), F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda a, b: a + b).alias("n"))
 
 
 @query("""SELECT e.event_id, e.ts, e.event_type, c.c_name FROM events e JOIN customer c ON e.user_id = c.c_custkey
@@ -78,21 +79,30 @@ def weekly_chart(t):
     first, last = WEEK
     updated = t.lineitem.groupBy("l_orderkey").agg(F.max(F.to_date("l_shipdate")).alias("updated"))
     tickets = t.orders.select("o_orderkey", "o_orderstatus", F.to_date("o_orderdate").alias("created")).join(updated, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    # one pass: every ticket becomes its marks, at most one for each day and measure of the chart
+    status, none = F.col("o_orderstatus"), F.array().cast("array<struct<day:date,measure:string>>")
     within = lambda c: F.col(c).between(F.lit(first).cast("date"), F.lit(last).cast("date"))
-    one = lambda df, name: df.select("day", *[F.lit(int(name == m)).alias(m) for m in ("opened", "completed", "in_progress")])
-    opened = one(tickets.where(within("created")).withColumn("day", F.col("created")), "opened")
-    done = one(tickets.where((F.col("o_orderstatus") == "F") & within("updated")).withColumn("day", F.col("updated")), "completed")
-    standing = one(covered_days(tickets.where("o_orderstatus = 'O'"), F.col("created"), F.col("updated"), first, last), "in_progress")
-    counts = opened.unionAll(done).unionAll(standing).groupBy("day").agg(*[F.sum(m).alias(m) for m in ("opened", "completed", "in_progress")])
+    mark = lambda c, name: F.when(c, F.array(F.struct(F.col(name[0]).alias("day"), F.lit(name[1]).alias("measure"))))
+    low, high = covered_range(F.col("created"), F.col("updated"), first, last)
+    standing = F.when((status == "O") & (low <= high), F.transform(F.sequence(low, high), lambda d: F.struct(d.alias("day"), F.lit("in_progress").alias("measure"))))
+    marks = [mark(within("created"), ("created", "opened")), mark((status == "F") & within("updated"), ("updated", "completed")), standing]
+    listed = tickets.select(F.explode(F.concat(*[F.coalesce(m, none) for m in marks])).alias("m")).select("m.*")
+    counts = listed.groupBy("day").agg(*[F.count_if(F.col("measure") == m).alias(m) for m in ("opened", "completed", "in_progress")])
     chart = on_spine(days(t.spark, first, last), counts, "opened", "completed", "in_progress")
     return chart.select(F.col("day").cast("string").alias("day"), weekday_letter(F.col("day")).alias("label"), "opened", "completed", "in_progress")
 
 
-@query("""SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + 90 AS VARCHAR) AS warranty_until FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')""")
+@query("""SELECT o_orderkey, days_valid, CAST(coalesce(finished, CAST(o_orderdate AS DATE)) + days_valid AS VARCHAR) AS warranty_until
+  FROM (SELECT *, CAST(CASE o_orderkey % 4 WHEN 0 THEN 90 WHEN 1 THEN 90 WHEN 2 THEN 30 ELSE 365 END AS INT) AS days_valid FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH'))
+  LEFT JOIN (SELECT l_orderkey, CAST(max(l_shipdate) AS DATE) AS finished FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1) ON o_orderkey = l_orderkey""")
 def warranty_window(t):
-    days_valid = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.coalesce(F.lit(None).cast("int"), F.lit(90)))
-    until = F.date_add(F.to_date("o_orderdate"), days_valid)
-    return t.orders.select("o_orderkey", until.cast("string").alias("warranty_until")).where("warranty_until is not null")
+    """The end of the warranty of tickets that have one: their period, else 90 days, from completion, else from creation."""
+    finished = t.lineitem.where("l_linestatus = 'F'").groupBy("l_orderkey").agg(F.to_date(F.max("l_shipdate")).alias("finished"))
+    n = F.col("o_orderkey") % 4
+    period = F.when(n == 1, 0).when(n == 2, 30).when(n == 3, 365)  # null or 0: not given
+    covered = t.orders.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+    joined = covered.join(finished, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("days_valid", truthy_or(period, F.lit(90)))
+    return joined.select("o_orderkey", "days_valid", F.date_add(F.coalesce("finished", F.to_date("o_orderdate")), F.col("days_valid")).cast("string").alias("warranty_until"))
 
 
 @query("""SELECT o.o_orderkey, o.o_orderstatus, c.c_name, coalesce(h.n, 0) AS n_history, coalesce(h.history, '[]') AS history FROM orders o
@@ -102,3 +112,55 @@ def tracking_document(t):
     history = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.to_json(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_linestatus")))).alias("history"))
     joined = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left").join(history, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return joined.select("o_orderkey", "o_orderstatus", "c_name", F.coalesce("n", F.lit(0)).alias("n_history"), F.coalesce("history", F.lit("[]")).alias("history"))
+
+
+_INVOICES = """SELECT l_orderkey, CAST(to_json(list(struct_pack(invoice_id := 'INV-' || l_partkey, amount_paid := CAST(CAST(l_quantity AS DECIMAL(15,2)) AS VARCHAR), status := l_linestatus) ORDER BY 'INV-' || l_partkey, CAST(CAST(l_quantity AS DECIMAL(15,2)) AS VARCHAR), l_linestatus)) AS VARCHAR) AS invoices
+  FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1"""
+_TOKEN = "o_orderstatus <> 'P' AND CAST(o_orderdate AS DATE) + 400 > DATE '1998-06-15'"
+
+
+def _invoices(t):
+    """The active invoices of each ticket, as JSON."""
+    fields = F.struct(F.concat(F.lit("INV-"), F.col("l_partkey").cast("string")).alias("invoice_id"), F.col("l_quantity").cast(MONEY).cast("string").alias("amount_paid"), F.col("l_linestatus").alias("status"))
+    return t.lineitem.where("l_returnflag <> 'R'").groupBy("l_orderkey").agg(F.to_json(F.sort_array(F.collect_list(fields))).alias("invoices"))
+
+
+def _valid_tokens(t):
+    """Tickets whose link is unused and hasn't expired."""
+    as_of = F.lit(AS_OF).cast("date")
+    return t.orders.where((F.col("o_orderstatus") != "P") & (F.date_add(F.to_date("o_orderdate"), 400) > as_of))
+
+
+@query(f"""SELECT o_orderkey, o_orderstatus, c_name, c_mktsegment AS store, coalesce(history, '[]') AS history, coalesce(invoices, '[]') AS invoices FROM orders
+  LEFT JOIN customer ON o_custkey = c_custkey
+  LEFT JOIN (SELECT user_id, CAST(to_json(list(struct_pack(event_id := event_id, new_status := event_type) ORDER BY event_id)) AS VARCHAR) AS history FROM events GROUP BY 1) ON user_id = o_orderkey
+  LEFT JOIN ({_INVOICES}) ON l_orderkey = o_orderkey WHERE {_TOKEN}""")
+def tracking_with_invoices(t):
+    """The tracking document of every ticket with a valid link: the ticket, its history and its active invoices."""
+    history = t.events.groupBy("user_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("event_id", F.col("event_type").alias("new_status"))))).alias("history"))
+    joined = _valid_tokens(t).join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left").join(history, F.col("user_id") == F.col("o_orderkey"), "left")
+    joined = joined.join(_invoices(t), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    empty = F.lit("[]")
+    return joined.select("o_orderkey", "o_orderstatus", "c_name", F.col("c_mktsegment").alias("store"), F.coalesce("history", empty).alias("history"), F.coalesce("invoices", empty).alias("invoices"))
+
+
+@query(f"""SELECT o_orderkey, c_name, CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR) AS total_amount, coalesce(invoices, '[]') AS invoices FROM orders
+  LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN ({_INVOICES}) ON l_orderkey = o_orderkey WHERE {_TOKEN} AND o_orderstatus = 'F'""")
+def collection_document(t):
+    """What a customer who collects a finished device is shown."""
+    joined = _valid_tokens(t).where("o_orderstatus = 'F'").join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left").join(_invoices(t), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return joined.select("o_orderkey", "c_name", F.col("o_totalprice").cast(MONEY).cast("string").alias("total_amount"), F.coalesce("invoices", F.lit("[]")).alias("invoices"))
+
+
+@query(f"""WITH f AS (SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1)
+  SELECT o_orderkey, c_name, trim(coalesce(p_brand, '') || ' ' || coalesce(CASE WHEN p_size % 3 > 0 THEN p_type END, '')) AS device, f.event_id IS NOT NULL AS already_submitted,
+    CASE WHEN f.event_id IS NOT NULL THEN f.event_id % 6 END AS rating, CASE f.event_id % 6 WHEN 1 THEN 'Poor' WHEN 2 THEN 'Fair' WHEN 3 THEN 'Good' WHEN 4 THEN 'Very Good' WHEN 5 THEN 'Excellent' END AS label
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN part ON p_partkey = o_orderkey LEFT JOIN f ON f.user_id = o_orderkey WHERE {_TOKEN}""")
+def feedback_document(t):
+    """The form of each ticket with a valid link, with the feedback that was given already."""
+    given = t.events.where("event_type = 'purchase'").groupBy("user_id").agg(F.min("event_id").alias("given"))
+    joined = _valid_tokens(t).join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left").join(t.part, F.col("p_partkey") == F.col("o_orderkey"), "left").join(given, F.col("user_id") == F.col("o_orderkey"), "left")
+    model = F.when(F.col("p_size") % 3 > 0, F.col("p_type"))
+    device = F.trim(F.concat_ws(" ", F.coalesce("p_brand", F.lit("")), F.coalesce(model, F.lit(""))))
+    rating = F.col("given") % 6
+    return joined.select("o_orderkey", "c_name", device.alias("device"), F.col("given").isNotNull().alias("already_submitted"), rating.alias("rating"), rating_label(rating).alias("label"))

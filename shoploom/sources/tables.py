@@ -14,6 +14,9 @@ WEBHOOK = """object STRING, entry ARRAY<STRUCT<changes: ARRAY<STRUCT<value: STRU
          statuses: ARRAY<STRUCT<id: STRING, status: STRING, recipient_id: STRING, timestamp: STRING,
                                 errors: ARRAY<STRUCT<title: STRING, message: STRING>>>>>>>>>"""
 
+#: What a post of the messaging provider calls itself; others are not read.
+POST_OBJECT = "whatsapp_business_account"
+
 
 class Tables:
     """The parquet tables of one folder, as attributes."""
@@ -59,26 +62,48 @@ def copy_table(source: DataFrame, target: DataFrame | None, generated: str = "id
     return rows, stats
 
 
+def copy_levels(references: dict[str, Iterable[str]]) -> dict[str, int]:
+    """The level of each table in the order of copying: 1 without references, else one above the highest it refers to."""
+    levels: dict[str, int] = {}
+    while len(levels) < len(references):
+        ready = {n: 1 + max((levels[r] for r in refs), default=0) for n, refs in references.items() if n not in levels and all(r in levels for r in refs)}
+        if not ready:
+            raise ValueError(f"tables refer to each other in a ring or to unknown ones: {sorted(set(references) - set(levels))}")
+        levels |= ready
+    return levels
+
+
+def parsed_posts(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Posts from JSON texts; what isn't JSON gives a post of nulls."""
+    return lines.select(F.from_json(column, WEBHOOK).alias("post")).select("post.*")
+
+
+def _values(posts: DataFrame) -> DataFrame:
+    return posts.select(F.explode("entry").alias("e")).select(F.explode("e.changes.value").alias("v"))
+
+
 def webhook_messages(posts: DataFrame) -> DataFrame:
-    """One row for each message of the posts."""
-    changes = posts.select(F.explode("entry").alias("e")).select(F.explode("e.changes.value").alias("v"))
-    return changes.select(F.col("v.contacts")[0].alias("contact"), F.explode("v.messages").alias("m")).select(
+    """One row for each message of the posts; one that isn't text has its type in brackets as its text.
+
+    Posts, entries, changes and values that are null or hold no messages add nothing.
+    """
+    return _values(posts).select(F.col("v.contacts")[0].alias("contact"), F.explode("v.messages").alias("m")).select(
         F.col("m.id").alias("provider_message_id"),
         F.col("m.from").alias("phone"),
         F.col("m.type").alias("type"),
-        F.col("m.text.body").alias("text"),
-        F.col("contact.profile.name").alias("sender_name"),
+        F.when(F.col("m.type") == "text", F.col("m.text.body")).otherwise(F.concat(F.lit("["), "m.type", F.lit("]"))).alias("text"),
+        F.coalesce(F.nullif("contact.profile.name", F.lit("")), F.lit("Unknown")).alias("sender_name"),
         F.timestamp_seconds(F.expr("try_cast(m.timestamp as bigint)")).alias("sent_at"),
     )
 
 
 def webhook_statuses(posts: DataFrame) -> DataFrame:
     """One row for each status report of the posts."""
-    changes = posts.select(F.explode("entry").alias("e")).select(F.explode("e.changes.value").alias("v"))
-    return changes.select(F.explode("v.statuses").alias("s")).select(
+    said = lambda e: F.coalesce(F.nullif(e.title, F.lit("")), F.nullif(e.message, F.lit("")))
+    return _values(posts).select(F.explode("v.statuses").alias("s")).select(
         F.col("s.id").alias("provider_message_id"),
         F.col("s.status").alias("status"),
         F.col("s.recipient_id").alias("recipient"),
-        F.expr("coalesce(s.errors[0].message, s.errors[0].title)").alias("error_message"),
+        F.when(F.size("s.errors") > 0, F.array_join(F.transform("s.errors", said), "; ")).alias("error_message"),
         F.timestamp_seconds(F.expr("try_cast(s.timestamp as bigint)")).alias("reported_at"),
     )

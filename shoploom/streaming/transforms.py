@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
+import json
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from shoploom.functions.exprs import phone_lenient
-from shoploom.operators.relational import upsert
-from shoploom.sources.tables import WEBHOOK, webhook_messages, webhook_statuses
+from shoploom.operators.relational import latest_per_key
+from shoploom.session import new_table
+from shoploom.sources.tables import POST_OBJECT, WEBHOOK, webhook_messages, webhook_statuses
 
 
 def webhook_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
@@ -41,29 +44,85 @@ def unread(messages: DataFrame, key: str, is_unread: Column) -> DataFrame:
     return messages.groupBy(key).agg(F.count_if(is_unread).alias("unread"))
 
 
-def upsert_each_batch(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[Column]) -> StreamingQuery:
-    """Keeps a parquet table of the newest row of each key; every batch writes the next version of it."""
+def upsert_each_batch(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], buckets: int = 16) -> StreamingQuery:
+    """Writes the rows of each batch beside those before it, dealt out by a hash of their keys; newest_rows reads the table.
+
+    A batch costs what it holds, whatever the table's size, and one that is run
+    again replaces itself. A path that another checkpoint has written to is refused.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark, version = batch.sparkSession, f"{path}/version={number}"
-        old = spark.read.schema(batch.schema).parquet(f"{path}/version={number - 1}") if number else batch.limit(0)
-        upsert(old, batch, keys, order).write.mode("overwrite").parquet(version)
+        spark = batch.sparkSession
+        run = json.loads(spark.read.text(f"{checkpoint}/metadata").first().value)["id"]
+        if number == 0 and (others := _runs(spark, path) - {run}):
+            raise ValueError(f"{path} has rows of another checkpoint's stream: {sorted(others)}")
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/run={run}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _runs(spark: SparkSession, path: str) -> set[str]:
+    try:
+        return {r.run for r in spark.read.parquet(path).select("run").distinct().collect()}  # one for each stream
+    except AnalysisException:
+        return set()
+
+
+def written_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """All rows that upsert_each_batch wrote, with their batch; none where no batch has come yet."""
+    if not _runs(spark, path):
+        return spark.createDataFrame([], schema).withColumn("batch", F.lit(0))
+    return spark.read.parquet(path).drop("run", "bucket")
+
+
+def newest_rows(spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The first row in order of each key, of all batches; later batches go first in ties."""
+    rows = written_rows(spark, path, schema)
+    return latest_per_key(rows, keys, [*order, F.col("batch").desc()]).drop("batch")
+
+
 def isolated(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Well-formed posts, and the others for a side output."""
-    good = F.coalesce(F.col("object").isNotNull() & F.col("entry").isNotNull(), F.lit(False))
+    """Well-formed posts of the messaging provider, and the others for a side output."""
+    good = F.coalesce((F.col("object") == POST_OBJECT) & F.col("entry").isNotNull(), F.lit(False))
     return posts.where(good), posts.where(~good)
 
 
-def run_to_memory(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what there is now; the result must be small, as it is held by the driver."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def changes(posts: DataFrame) -> DataFrame:
+    """Messages and status reports as one kind of row, to be upserted and folded later."""
+    messages = webhook_messages(posts).select("provider_message_id", "phone", "text", F.lit("delivered").alias("status"), F.lit(None).cast("string").alias("error_message"), F.lit(0).alias("step"), F.col("sent_at").alias("at"))
+    reports = webhook_statuses(posts).select("provider_message_id", F.lit(None).cast("string").alias("phone"), F.lit(None).cast("string").alias("text"), "status", "error_message", F.lit(1).alias("step"), F.col("reported_at").alias("at"))
+    return messages.unionByName(reports)
+
+
+def folded(rows: DataFrame) -> DataFrame:
+    """Every message with its last status: reports go after the message, by time, then by text; reports without a message fall out."""
+    order = F.struct("step", "at", "status", F.coalesce("error_message", F.lit("")))
+    by = rows.groupBy("provider_message_id").agg(
+        F.max_by("phone", F.when(F.col("step") == 0, F.col("at"))).alias("phone"),
+        F.max_by("text", F.when(F.col("step") == 0, F.col("at"))).alias("text"),
+        F.max_by(F.struct("status", "error_message"), order).alias("last"),
+        F.min("step").alias("step"),
+    )
+    return by.where("step = 0").select("provider_message_id", "phone", "text", "last.status", "last.error_message")
+
+
+def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what there is now, into a table in the shared folder, and reads it.
+
+    In complete mode each batch replaces the table, in append mode it adds to it;
+    a batch that is run again replaces its own rows.
+    """
+    spark = stream.sparkSession
+    path, columns = new_table(spark), stream.columns
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/batch=-1")  # so that no rows are a table, too
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number if mode == 'append' else 0}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.parquet(path).select(columns)
 
 
 def follow(spark: SparkSession, folder: str, table: str, schema, change: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -72,4 +131,4 @@ def follow(spark: SparkSession, folder: str, table: str, schema, change: Callabl
     return change(stream) if change else stream
 
 
-__all__ = ["enrich", "first_seen", "follow", "isolated", "latest_status", "run_to_memory", "unread", "upsert_each_batch", "webhook_messages", "webhook_statuses", "webhook_stream"]
+__all__ = ["changes", "enrich", "first_seen", "folded", "follow", "isolated", "latest_status", "newest_rows", "run_to_table", "unread", "upsert_each_batch", "webhook_messages", "webhook_statuses", "webhook_stream", "written_rows"]

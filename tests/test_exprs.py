@@ -52,7 +52,10 @@ def test_texts(spark):
     assert values(spark, lambda c: x.joined(", ", F.lit("a"), c, F.lit(None)), " ", "b", None) == ["a", "a, b", "a"]
     assert values(spark, lambda c: x.or_else(c, F.lit("z")), "", None, "q") == ["z", "z", "q"]
     assert values(spark, x.event_class, "Visit Created", "note modified", "Resolved", "deleted", "x") == ["create", "update", "complete", "cancel", "other"]
-    assert values(spark, lambda c: x.mapped(c, x.STATUS_EVENTS), "Completed", "Collected") == ["repair_completed", None]
+    assert [v and v.event for v in values(spark, x.status_event, "Completed", "Collected", "Pending", None)] == ["repair_completed", "collected", None, None]
+    assert values(spark, x.rating_label, 0, 1, 5, 6, None, kind="int") == [None, "Poor", "Excellent", None, None]
+    assert values(spark, lambda c: x.truthy_or(c, F.lit(9)), 0, None, 3, kind="int") == [9, 9, 3]
+    assert values(spark, x.phone_candidates, "+91 9876543210", "9876543210", "44", "") == [["+91 9876543210", "919876543210"], ["9876543210", "919876543210"], ["44", "9144"], []]
 
 
 def test_errors_in_field_order(spark):
