@@ -1,18 +1,16 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame operations only.
 
 The rows of each source, in a fixed pseudo-random order, are cut into blocks.
-A source of weight w, as a share of all weights, would ideally have placed
-w * t blocks among the first t. Its j-th block (from 0) is therefore released at
-floor(j / w) and due at ceil((j + 1) / w), and serving the released block with
-the earliest deadline in each slot keeps every source within one block of the
-ideal after every slot.
-
-Weights are rounded to k blocks in a period of about `resolution` slots. All
-deviations are zero where a period ends, so periods are scheduled independently:
-two periods with equal numbers of blocks from each source have equal schedules,
-and as sources run out there are at most 2 * sources + 1 different ones. Only
-those are worked out, one row each; every block then looks up its slot. Once a
-source is used up the others go on with their weights, so no row is lost.
+With weight w of all weights W, a source should have placed w * t / W blocks among
+the first t. Its j-th block (from 0) is therefore released at floor(j * W / w)
+and due at ceil((j + 1) * W / w), in whole numbers, and serving the released block
+with the earliest deadline in each slot keeps every source within less than one
+block of its share after every slot.
+
+All shares are whole after W / g slots, g being the greatest common divisor of
+the weights, so the schedule repeats after that period. Only one period is worked
+out; a block looks up its turn in it. The slots of a source that is used up stay
+empty: the others keep theirs, and no row is lost.
 """
 
 from __future__ import annotations
@@ -22,120 +20,153 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows in one block, and slots in one period: both fix the result.
-BLOCK_ROWS, RESOLUTION = 64, 256
+#: Rows in one block; what the default weights add up to, about. Both fix the result.
+BLOCK_ROWS, SHARES = 64, 1000
 #: Rows that share a leading part of the shuffling key; fixes the work of one sort, not the result.
-BUCKET_ROWS = 4096
-
-_EDF = """
-aggregate(
-  sequence(0, slots - 1),
-  named_struct('done', transform(parts, p -> 0), 'order', cast(array() as array<int>)),
-  (state, t) -> transform(
-    array(array_min(filter(
-      transform(parts, (p, i) -> if(
-        state.done[i] < p.c and (state.done[i] * slots) div p.c <= t,
-        named_struct('due', ((state.done[i] + 1) * slots + p.c - 1) div p.c, 'i', i),
-        null)),
-      x -> x is not null)).i),
-    pick -> named_struct(
-      'done', transform(state.done, (d, i) -> if(i = pick, d + 1, d)),
-      'order', concat(state.order, array(pick))))[0],
-  state -> state.order)
+BUCKET_ROWS = 512
+#: Buckets, as a power of two, whose rows the upper level of the running sum takes together.
+STRETCH_BITS = 10
+#: Copies of an equal row that are written out together.
+COPIES = 4096
+
+_GCD = "aggregate(sequence(1, 64), named_struct('a', {0}, 'b', {1}), (s, _) -> if(s.b = 0, s, named_struct('a', s.b, 'b', s.a % s.b)), s -> s.a)"
+
+#: Slots of a stretch; the order of each stretch is put together on its own, so appending stays cheap.
+_STRETCH = 512
+_EDF = f"""
+flatten(aggregate(
+  sequence(0L, (slots - 1) div {_STRETCH}),
+  named_struct('done', transform(parts, p -> 0L), 'order', cast(array() as array<array<int>>)),
+  (whole, stretch) -> transform(array(aggregate(
+    sequence(stretch * {_STRETCH}, least(slots, (stretch + 1) * {_STRETCH}) - 1),
+    named_struct('done', whole.done, 'order', cast(array() as array<int>)),
+    (state, t) -> transform(
+      array(array_min(filter(
+        transform(parts, (p, i) -> if(
+          state.done[i] < p.c and (state.done[i] * slots) div p.c <= t,
+          named_struct('due', ((state.done[i] + 1) * slots + p.c - 1) div p.c, 'i', i),
+          null)),
+        x -> x is not null)).i),
+      pick -> named_struct(
+        'done', transform(state.done, (d, i) -> if(i = pick, d + 1, d)),
+        'order', concat(state.order, array(pick))))[0])),
+    part -> named_struct('done', part.done, 'order', concat(whole.order, array(part.order))))[0],
+  whole -> whole.order))
 """
 
 
-def _sources(docs: DataFrame, weights: DataFrame | None, block_rows: int, resolution: int) -> DataFrame:
-    """A row for each source: its blocks and its blocks in a period (k)."""
-    sizes = docs.groupBy("src").agg(F.count("*").alias("n"))
-    if weights is None:  # the square root of the size, as for language sampling with temperature 2
-        sizes = sizes.withColumn("w", F.floor(F.sqrt("n")))
-    else:
+def weighted(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """(src, n, w): the rows and the whole weight of each source of docs.
+
+    By default a source weighs the square root of its rows, as for language
+    sampling with temperature 2, in thousandths of the sum of those roots and 1 at
+    least.
+    """
+    sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("src")).agg(F.count("*").alias("n"))
+    if weights is not None:
         given = weights.groupBy(F.coalesce("source", F.lit("")).alias("src")).agg(F.max("weight").cast("long").alias("w"))
-        sizes = sizes.join(given, "src", "left").withColumn("w", F.coalesce("w", F.lit(1)))
-    every = Window.partitionBy(F.lit(1))
-    return (
-        sizes.withColumn("w", F.greatest("w", F.lit(1)))
-        .withColumn("total", F.sum("w").over(every))
-        .select(
-            "src",
-            F.expr(f"cast((n + {block_rows - 1}) div {block_rows} as long)").alias("blocks"),
-            F.expr(f"cast(greatest(1, ({2 * resolution} * w + total) div (2 * total)) as long)").alias("k"),
-        )
+        return sizes.join(given, "src", "left").select("src", "n", F.greatest(F.coalesce("w", F.lit(1)), F.lit(1)).cast("long").alias("w"))
+    roots = sizes.withColumn("root", F.greatest(F.floor(F.sqrt("n")), F.lit(1)))
+    total = roots.agg(F.sum("root").alias("total")).withColumn("one", F.lit(1))
+    shared = roots.withColumn("one", F.lit(1)).join(total, "one")
+    return shared.select("src", "n", F.expr(f"greatest(1L, ({2 * SHARES} * root + total) div (2 * total))").cast("long").alias("w"))
+
+
+def schedule(sources: DataFrame) -> DataFrame:
+    """(src, turn, slot, turns, period): the slot of each of a source's blocks in one period of the mix.
+
+    One row holds all sources: their number is bounded by the table of weights. It
+    takes (sum of weights / their divisor) x sources steps.
+    """
+    all_of = sources.agg(F.sort_array(F.collect_list(F.struct("src", "w"))).alias("all"))
+    divisor = f"aggregate(all, 0L, (x, s) -> {_GCD.format('s.w', 'x')})"
+    shape = all_of.withColumn("g", F.expr(divisor)).where("g > 0").select(
+        F.expr("transform(all, s -> named_struct('src', s.src, 'c', s.w div g))").alias("parts"),
+        F.expr("aggregate(all, 0L, (x, s) -> x + s.w) div g").alias("slots"),
     )
+    placed = shape.select("slots", "parts", F.posexplode(F.expr(_EDF)).alias("slot", "pick")).select("slots", F.col("slot").cast("long").alias("slot"), F.expr("parts[pick]").alias("p"))
+    turn = F.row_number().over(Window.partitionBy("p.src").orderBy("slot")) - 1
+    return placed.select(F.col("p.src").alias("src"), turn.cast("long").alias("turn"), "slot", F.col("p.c").alias("turns"), F.col("slots").alias("period"))
 
 
-def _schedule(sources: DataFrame) -> DataFrame:
-    """The slot of each block of each kind of period, beside where that kind begins.
+def _ranked(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """(row, src, rank): a place for every row among those of its source, from 0.
 
-    One row holds all sources: their number is bounded by the table of weights.
+    The order is that of a hash of doc_id (of the whole row, where it is null), then
+    of doc_id, then of a hash of the row. Equal rows are counted first and written
+    out last, and the rows of a doc_id that many rows share are dealt out by the
+    hash of the row, so no bucket holds more than a few thousand rows.
     """
-    shapes = (
-        sources.groupBy()
-        .agg(F.sort_array(F.collect_list(F.struct("src", "blocks", "k"))).alias("all"))
-        .withColumn("starts", F.expr("array_sort(array_distinct(concat(array(0L), transform(all, s -> s.blocks div s.k), transform(all, s -> s.blocks div s.k + 1))))"))
-        .withColumn("start", F.explode("starts"))
-        .withColumn("parts", F.expr("filter(transform(all, s -> named_struct('src', s.src, 'c', cast(greatest(0L, least(s.k, s.blocks - start * s.k)) as int))), p -> p.c > 0)"))
-        .withColumn("slots", F.expr("aggregate(parts, 0, (x, p) -> x + p.c)"))
-        .where("slots > 0")
-        .withColumn("before", F.expr("aggregate(all, 0L, (x, s) -> x + least(start * s.k, s.blocks))"))
+    row, bits60 = F.struct(*columns), lambda text: F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    row_hash = F.xxhash64("row")
+    keyed = (
+        docs.select(row.alias("row"), F.coalesce("source", F.lit("")).alias("src"), "doc_id")
+        .withColumn("rh", row_hash)
+        .withColumn("h", bits60(F.coalesce(F.col("doc_id").cast("string"), F.col("rh").cast("string"))))
+        .groupBy("src", "h", "rh", "row")
+        .agg(F.count("*").alias("copies"))
     )
-    placed = shapes.select("start", "before", "slots", "parts", F.posexplode(F.expr(_EDF)).alias("slot", "pick"))
-    placed = placed.select("start", "before", "slots", "slot", F.expr("parts[pick].src").alias("src"))
-    turn = Window.partitionBy("start", "src").orderBy("slot")
-    return placed.withColumn("turn", (F.row_number().over(turn) - 1).cast("long"))
-
-
-def mix(
-    docs: DataFrame,
-    weights: DataFrame | None = None,
-    block_rows: int = BLOCK_ROWS,
-    resolution: int = RESOLUTION,
-) -> DataFrame:
+    n = docs.count()
+    bits = max(1, math.ceil(math.log2(n / BUCKET_ROWS))) if n > BUCKET_ROWS else 1
+    keyed = keyed.withColumn("bucket", F.shiftright("h", 60 - bits))
+    crowded = keyed.groupBy("src", "bucket", "h").agg(F.count("*").alias("rows")).where(F.col("rows") > BUCKET_ROWS)
+    crowded = crowded.groupBy("src", "bucket").agg(F.sort_array(F.collect_list("h")).alias("hs"))
+    placed = keyed.join(crowded, ["src", "bucket"], "left").withColumn("hs", F.coalesce("hs", F.array().cast("array<bigint>")))
+    # rows between two crowded hashes, then the rows of the next one by their own hash
+    own = F.array_contains("hs", F.col("h"))
+    piece = F.struct(F.size(F.filter("hs", lambda x: x < F.col("h"))).alias("a"), own.alias("b"), F.when(own, F.shiftright("rh", 52)).otherwise(0).alias("c"))
+    placed = placed.withColumn("piece", piece).drop("hs")
+
+    sizes = placed.groupBy("src", "bucket", "piece").agg(F.sum("copies").alias("rows"))
+    sizes = sizes.withColumn("stretch", F.shiftright("bucket", STRETCH_BITS))
+    upper = Window.partitionBy("src").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    above = sizes.groupBy("src", "stretch").agg(F.sum("rows").alias("rows")).select("src", "stretch", F.coalesce(F.sum("rows").over(upper), F.lit(0)).alias("above"))
+    lower = Window.partitionBy("src", "stretch").orderBy("bucket", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    below = sizes.select("src", "stretch", "bucket", "piece", F.coalesce(F.sum("rows").over(lower), F.lit(0)).alias("below"))
+    first = below.join(above, ["src", "stretch"]).select("src", "bucket", "piece", (F.col("above") + F.col("below")).alias("first"))
+    within = Window.partitionBy("src", "bucket", "piece").orderBy("h", F.col("row.doc_id"), "rh").rowsBetween(Window.unboundedPreceding, -1)
+    counted = placed.withColumn("i", F.coalesce(F.sum("copies").over(within), F.lit(0))).join(first, ["src", "bucket", "piece"])
+    counted = counted.select("row", "src", (F.col("first") + F.col("i")).alias("from"), "copies")
+    single = counted.where("copies = 1").select("row", "src", F.col("from").alias("rank"))
+    lots = counted.where("copies > 1").select("row", "src", F.explode(F.expr(f"transform(sequence(0L, (copies - 1) div {COPIES}), k -> named_struct('at', from + k * {COPIES}, 'n', least({COPIES}, copies - k * {COPIES})))")).alias("lot"))
+    written = lots.repartition("src", "lot.at").select("row", "src", F.explode(F.expr("sequence(lot.at, lot.at + lot.n - 1)")).alias("rank"))
+    return single.unionByName(written)
+
+
+def mix(docs: DataFrame, weights: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds block (of its source), slot (of the block in the mix) and position to every row.
 
     docs needs doc_id and source; weights has source and a whole weight, and
-    defaults to the square root of each source's rows. A source without a
-    positive weight has weight 1; a null source counts as the empty name. Rows
-    with equal or null doc_id keep one place each, in an order fixed by their
-    columns. Input columns named block, slot or position are replaced. An empty
-    table gives an empty result.
-
-    position is slot * block_rows + the place within the block: unique, ascending
-    through the mix, with gaps after the short last block of a source.
+    defaults to weighted(). A source without a positive weight has weight 1; a null
+    source counts as the empty name. Rows with equal or null doc_id keep one place
+    each, in an order fixed by their columns. Input columns named block, slot or
+    position are replaced. An empty table gives an empty result.
+
+    Slots follow the weights exactly; those of a source that is used up stay empty.
+    position is slot * block_rows + the place within the block: unique and ascending
+    through the mix, with gaps at empty slots and after the short last block of a source.
     """
     extra = [c for c in docs.columns if c not in ("block", "slot", "position")]
-    n = docs.count()
-    bits = max(1, math.ceil(math.log2(max(n, 1) / BUCKET_ROWS))) if n > BUCKET_ROWS else 1
-    keyed = docs.select(
-        F.struct(*extra).alias("row"),
-        F.coalesce(F.col("source"), F.lit("")).alias("src"),
-        F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long").alias("h"),
-    ).withColumn("bucket", F.shiftright("h", 60 - bits))
-
-    sources = _sources(keyed, weights, block_rows, resolution)
-    plan = _schedule(sources)
-    starts = plan.groupBy().agg(F.sort_array(F.collect_set("start")).alias("starts"))
-
-    sizes = keyed.groupBy("src", "bucket").agg(F.count("*").alias("rows"))
-    running = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = (
-        sizes.withColumn("first", F.coalesce(F.sum("rows").over(running), F.lit(0)))
-        .join(sources.select("src", "k"), "src")
-        .select("src", "bucket", "first", "k")
-    )
-    within = Window.partitionBy("src", "bucket").orderBy("h", F.col("row.doc_id"), F.xxhash64("row"))
+    plan = schedule(weighted(docs, weights))
+    turns = plan.groupBy("src").agg(F.max("turns").alias("turns"), F.max("period").alias("period"))
     ranked = (
-        keyed.withColumn("i", F.row_number().over(within) - 1)
-        .join(first, ["src", "bucket"])
-        .withColumn("rank", F.col("first") + F.col("i"))
+        _ranked(docs, extra)
         .withColumn("block", F.expr(f"rank div {block_rows}"))
-        .withColumn("period", F.expr("block div k"))
-        .withColumn("turn", F.expr("block % k"))
+        .join(turns, "src")
+        .withColumn("turn", F.expr("block % turns"))
     )
-    # the kinds of periods are a few hundred numbers at most, read as a constant
-    kind = F.array(*[F.lit(x).cast("long") for x in starts.first().starts]) if n else F.array().cast("array<bigint>")
-    ranked = ranked.withColumn("start", F.array_max(F.filter(kind, lambda x: x <= F.col("period"))))
-    placed = ranked.join(plan, ["src", "start", "turn"])
-    slot = F.expr("before + (period - start) * slots + slot")
+    placed = ranked.join(plan.select("src", "turn", F.col("slot").alias("at")), ["src", "turn"])
+    slot = F.expr("block div turns * period + at")
     return placed.select("row.*", "block", slot.alias("slot"), (slot * block_rows + F.expr(f"rank % {block_rows}")).alias("position"))
+
+
+def parted(mixed: DataFrame, docs: DataFrame, rows: int, weights: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
+    """mixed with part, which rises with position and holds about that many rows each, and the number of parts.
+
+    How many rows stand before a slot follows from the sources' weights and sizes,
+    a row of sums that is worked out once: no rows are sorted for it.
+    """
+    sums = weighted(docs, weights).agg(F.collect_list(F.struct("n", "w")).alias("all"), F.sum("w").alias("total"), F.sum("n").alias("n")).first()
+    parts = max(1, -(-(sums.n or 0) // rows))
+    before = sum((F.least(F.lit(s.n), F.floor(F.col("slot") * (block_rows * s.w / sums.total))) for s in sums["all"] or ()), F.lit(0))
+    return mixed.withColumn("part", F.least(F.lit(parts - 1), F.floor(before / rows)).cast("int")), parts

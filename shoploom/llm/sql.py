@@ -2,51 +2,34 @@
 
 from __future__ import annotations
 
-from .mixing import BLOCK_ROWS, RESOLUTION
+from .mixing import BLOCK_ROWS, SHARES
 
 _MIX = f"""
 WITH RECURSIVE keyed AS (
   SELECT doc_id, source, coalesce(source, '') AS src,
-         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT AS h
   FROM documents),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY src ORDER BY h, doc_id) - 1 AS rank FROM keyed),
-sizes AS (SELECT src, count(*) AS n, greatest(1, CAST(floor(sqrt(count(*))) AS BIGINT)) AS w FROM keyed GROUP BY src),
-sources AS (
-  SELECT src, (n + {BLOCK_ROWS - 1}) // {BLOCK_ROWS} AS blocks,
-         greatest(1, CAST((2 * {RESOLUTION} * w + sum(w) OVER ()) // (2 * sum(w) OVER ()) AS BIGINT)) AS k
-  FROM sizes),
-starts AS (
-  SELECT CAST(0 AS BIGINT) AS start UNION SELECT blocks // k FROM sources UNION SELECT blocks // k + 1 FROM sources),
-parts AS (
-  SELECT start, src, least(k, blocks - start * k) AS c FROM starts, sources WHERE least(k, blocks - start * k) > 0),
-shapes AS (
-  SELECT start, CAST(sum(c) AS BIGINT) AS slots, list(src ORDER BY src) AS srcs, list(c ORDER BY src) AS cs
-  FROM parts GROUP BY start),
-befores AS (
-  SELECT start, CAST(sum(least(start * k, blocks)) AS BIGINT) AS before FROM starts, sources GROUP BY start),
+roots AS (SELECT src, greatest(1, CAST(floor(sqrt(count(*))) AS BIGINT)) AS root FROM keyed GROUP BY src),
+weights AS (
+  SELECT src, greatest(1, CAST(({2 * SHARES} * root + sum(root) OVER ()) // (2 * sum(root) OVER ()) AS BIGINT)) AS w FROM roots),
+shape AS (
+  SELECT list(src ORDER BY src) AS srcs, list(w // g ORDER BY src) AS cs, CAST(sum(w // g) AS BIGINT) AS slots
+  FROM weights, (SELECT list_reduce(list(w), lambda a, b: gcd(a, b)) AS g FROM weights) HAVING count(*) > 0),
 edf AS (
-  SELECT start, slots, srcs, cs, CAST(0 AS BIGINT) AS t, list_transform(cs, lambda c: CAST(0 AS BIGINT)) AS done,
-         CAST(NULL AS BIGINT) AS pick FROM shapes
+  SELECT srcs, cs, slots, CAST(0 AS BIGINT) AS t, list_transform(cs, lambda c: CAST(0 AS BIGINT)) AS done, CAST(NULL AS BIGINT) AS pick FROM shape
   UNION ALL
-  SELECT start, slots, srcs, cs, t + 1,
-         list_transform(done, lambda d, i: CASE WHEN i = p THEN d + 1 ELSE d END), p
+  SELECT srcs, cs, slots, t + 1, list_transform(done, lambda d, i: CASE WHEN i = p THEN d + 1 ELSE d END), p
   FROM (SELECT *, list_min(list_filter(list_transform(cs, lambda c, i: CASE
-            WHEN done[i] < c AND (done[i] * slots) // c <= t
+            WHEN done[i] < c AND floor(done[i]::HUGEINT * slots // c) <= t
             THEN (((done[i] + 1) * slots + c - 1) // c) * 1000000 + i END), lambda x: x IS NOT NULL)) % 1000000 AS p
         FROM edf WHERE t < slots)),
 placed AS (
-  SELECT start, slots, t - 1 AS slot, srcs[pick] AS src,
-         row_number() OVER (PARTITION BY start, pick ORDER BY t) - 1 AS turn
-  FROM edf WHERE pick IS NOT NULL),
-blocks AS (
-  SELECT doc_id, source, src, rank, rank // {BLOCK_ROWS} AS block, (rank // {BLOCK_ROWS}) // k AS period,
-         (rank // {BLOCK_ROWS}) % k AS turn
-  FROM ranked JOIN sources USING (src)),
-kinds AS (SELECT b.*, (SELECT max(start) FROM starts s WHERE s.start <= b.period) AS start FROM blocks b)
-SELECT doc_id, source, block, before + (period - start) * slots + slot AS slot,
-       (before + (period - start) * slots + slot) * {BLOCK_ROWS} + rank % {BLOCK_ROWS} AS position
-FROM kinds JOIN placed USING (src, start, turn) JOIN befores USING (start)
+  SELECT srcs[pick] AS src, cs[pick] AS turns, slots, t - 1 AS place, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM edf WHERE pick IS NOT NULL),
+blocks AS (SELECT *, rank // {BLOCK_ROWS} AS block FROM ranked)
+SELECT doc_id, source, block, block // turns * slots + place AS slot, (block // turns * slots + place) * {BLOCK_ROWS} + rank % {BLOCK_ROWS} AS position
+FROM blocks b JOIN placed p ON b.src = p.src AND b.block % p.turns = p.turn
 """
 
 _URLS = r"""
