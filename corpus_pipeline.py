@@ -14,6 +14,8 @@ from shoploom.llm import bpe, mixing, pii, simhash, toxicity
 from shoploom.llm.storage import cut, read
 
 TOKENIZER = "word_bpe_49k.json"
+#: Rows in a file of the mix, about.
+FILE_ROWS = 8192
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +36,15 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the rows in the order of the mix: through each file, and from file to file by their names."""
-    mixed = mixing.mix(docs.select("doc_id", "source"))
-    placed = cut(mixed.groupBy("doc_id").agg(F.min("position").alias("position")))
-    last = placed.agg(F.max("position")).first()[0] or 0
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part = (F.col("position") * files / (last + 1)).cast("int")
-    rows = docs.alias("d").join(placed.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")))
-    return rows.select("d.*", "position").repartitionById(files, part).sortWithinPartitions("position").select(docs.columns)
+    """Puts the rows in the order of the mix: through each file of about FILE_ROWS rows, and from file to file by their names.
+
+    Rows that share a doc_id, or have none, stand together at its first place.
+    """
+    slim = docs.select("doc_id", "source")
+    placed = mixing.mix(slim).groupBy("doc_id").agg(F.min(F.struct("position", "slot")).alias("p")).select("doc_id", "p.*")
+    parts, files = mixing.parted(cut(placed), slim, FILE_ROWS)
+    rows = docs.alias("d").join(parts.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")))
+    return rows.select("d.*", "position", "part").repartitionById(files, F.col("part")).sortWithinPartitions("position").select(docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
