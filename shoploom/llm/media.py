@@ -16,10 +16,11 @@ from __future__ import annotations
 
 import struct
 import zlib
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .storage import with_fields
@@ -29,7 +30,8 @@ ACROSS, MOST_UNITS = 64, 64 * 4095
 UNIT_BLOCKS = 6
 #: Tag of the segment that holds the length of the stored bytes.
 TAG = b"bytes\0"
-BATCH_ROWS = 128
+#: Rows of a batch, and bytes of its texts or files, at most (one longer file is a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 128, 1 << 22
 
 #: Row by row, the place of each coefficient in its block.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (s := i // 8 + i % 8, (i // 8 if s % 2 else i % 8))))
@@ -136,10 +138,25 @@ def write(payload: bytes) -> bytes:
 # --- reading ---------------------------------------------------------------
 
 
+@lru_cache(maxsize=64)
+def _lookup(counts: bytes, symbols: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The symbol, and the length of its code, that each 16 bits begin with; length 0 where no code fits."""
+    value, length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+    code, k = 0, 0
+    for n in range(1, 17):
+        for _ in range(counts[n - 1]):
+            span = slice(code << (16 - n), (code + 1) << (16 - n))
+            value[span], length[span] = symbols[k], n
+            code, k = code + 1, k + 1
+        code <<= 1
+    return value, length
+
+
 class Table:
     """A Huffman table: the symbol and length of each code by its value with a leading one."""
 
     def __init__(self, counts: bytes, symbols: bytes) -> None:
+        self.counts, self.symbols = bytes(counts), bytes(symbols)
         self.codes, code, at = {}, 0, 0
         for length, n in enumerate(counts, 1):
             for _ in range(n):
@@ -183,6 +200,30 @@ class Component:
         self.ident, self.h, self.v, self.quant = ident, h, v, quant
 
 
+def _signed_run(data: bytes, tables: list[Table], which: np.ndarray) -> np.ndarray:
+    """A sequence of values, each a code of its table for a size and then that many bits; ones follow the end."""
+    raw = np.frombuffer(data + b"\xff" * 8, np.uint8).astype(np.int64)
+    wide = (raw[:-4] << 32) | (raw[1:-3] << 24) | (raw[2:-2] << 16) | (raw[3:-1] << 8) | raw[4:]
+    place = np.arange(8 * (len(data) + 1))
+    ahead = (wide[place >> 3] >> (24 - (place & 7))) & 0xFFFF  # the 16 bits from each place on
+    found = [_lookup(t.counts, t.symbols) for t in tables]
+    steps = [np.where(length > 0, length + value, -1)[ahead].tolist() for value, length in found]
+    at, starts, end = 0, [], len(place) - 1
+    for k in which.tolist():
+        starts.append(at)
+        step = steps[k][at]
+        if step < 0:
+            raise ValueError("a code that no table has")
+        at = min(at + step, end)
+    starts = np.array(starts, np.int64)
+    value, length = (np.choose(which, [f[i][ahead[starts]] for f in found]) for i in (0, 1))
+    if len(value) and value.max() > 16:
+        raise ValueError("a difference of more than 16 bits")
+    own = np.minimum(starts + length, end)
+    bits = ahead[own] >> (16 - value)
+    return np.where((value > 0) & (bits >> np.maximum(value - 1, 0) == 0), bits - (1 << value) + 1, bits)
+
+
 def _dc_scan(parts, tables, order, data: bytes, low: int, high: int) -> None:
     """order: the component and block of each data unit of this interval."""
     if high:
@@ -191,13 +232,16 @@ def _dc_scan(parts, tables, order, data: bytes, low: int, high: int) -> None:
             own = order[0] == c.ident
             c.coefs[order[1][own], 0] |= bits[own[: len(bits)].nonzero()[0]].astype(np.int32) << low
         return
-    bits, before = Bits(data), {}
-    values = np.empty(len(order[0]), np.int32)
-    for i, ident in enumerate(order[0].tolist()):
-        before[ident] = values[i] = before.get(ident, 0) + bits.signed(bits.symbol(tables[ident]))
+    distinct = list({(t.counts, t.symbols): t for t in tables.values()}.values())
+    of = {ident: next(i for i, t in enumerate(distinct) if (t.counts, t.symbols) == (own.counts, own.symbols)) for ident, own in tables.items()}
+    which = np.zeros(len(order[0]), np.int64)
+    for ident, i in of.items():
+        if i:
+            which[order[0] == ident] = i
+    steps = _signed_run(data, distinct, which)
     for c in parts:
         own = order[0] == c.ident
-        c.coefs[order[1][own], 0] = values[own] << low
+        c.coefs[order[1][own], 0] = np.cumsum(steps[own]) << low
 
 
 def _even_ac(c: Component, table: Table, blocks: np.ndarray, data: bytes, ss: int, se: int, high: int, low: int) -> bool:
@@ -285,11 +329,32 @@ def _ac_refine(c: Component, table: Table, blocks, bits: Bits, ss: int, se: int,
             run -= 1
 
 
+@lru_cache(maxsize=512)
+def _unit_order(width: int, height: int, most: tuple[int, int], parts: tuple[tuple[int, int, int, int], ...]) -> tuple[np.ndarray, np.ndarray, int]:
+    """The component and block of each data unit of a scan of parts (ident, h, v, blocks across), and the units between restarts."""
+    hmax, vmax = most
+    if len(parts) == 1:
+        ident, h, v, across = parts[0]
+        wide = -(-(-(-width * h // hmax)) // 8)
+        high = -(-(-(-height * v // vmax)) // 8)
+        block = (np.arange(high)[:, None] * across + np.arange(wide)).reshape(-1)
+        return np.full(len(block), ident), block, 1
+    units_across, units_down = -(-width // (8 * hmax)), -(-height // (8 * vmax))
+    idents, blocks = [], []
+    row, column = np.arange(units_down)[:, None], np.arange(units_across)[None, :]
+    for ident, own_h, own_v, across in parts:
+        for v in range(own_v):
+            for h in range(own_h):
+                idents.append(np.full(units_down * units_across, ident))
+                blocks.append(((row * own_v + v) * across + column * own_h + h).reshape(-1))
+    return np.stack(idents, 1).reshape(-1), np.stack(blocks, 1).reshape(-1), len(idents)
+
+
 class Picture:
     """The coefficients of one picture, and its RGB samples."""
 
     def __init__(self, data: bytes, at: int = 0) -> None:
-        self.stored, self.quant, self.parts, self.interval = None, {}, [], 0
+        self.stored, self.quant, self.parts, self.interval, self.most_blocks = None, {}, [], 0, 8 * len(data)
         tables: dict[tuple[int, int], Table] = {}
         if data[at : at + 2] != b"\xff\xd8":
             raise ValueError("no picture begins here")
@@ -332,29 +397,21 @@ class Picture:
 
     def _frame(self, body: bytes) -> None:
         _, self.height, self.width, n = struct.unpack(">BHHB", body[:6])
+        if n not in (1, 3):
+            raise ValueError(f"{n} components")
         self.parts = [Component(body[i], body[i + 1] >> 4, body[i + 1] & 15, body[i + 2]) for i in range(6, 6 + 3 * n, 3)]
+        if not all(c.h and c.v for c in self.parts) or not self.width or not self.height:
+            raise ValueError("a picture without samples")
         self.hmax, self.vmax = max(c.h for c in self.parts), max(c.v for c in self.parts)
         self.across, self.down = -(-self.width // (8 * self.hmax)), -(-self.height // (8 * self.vmax))
+        if sum(c.h * c.v for c in self.parts) * self.across * self.down > self.most_blocks:
+            raise ValueError("more blocks than the file has bits")
         for c in self.parts:
             c.wide, c.high = self.across * c.h, self.down * c.v
             c.coefs = np.zeros((c.wide * c.high, 64), np.int32)
 
     def _order(self, parts: list[Component]) -> tuple[np.ndarray, np.ndarray, int]:
-        """The component and block of each data unit of a scan, and the units between restarts."""
-        if len(parts) == 1:
-            c = parts[0]
-            wide = -(-(-(-self.width * c.h // self.hmax)) // 8)
-            high = -(-(-(-self.height * c.v // self.vmax)) // 8)
-            block = (np.arange(high)[:, None] * c.wide + np.arange(wide)).reshape(-1)
-            return np.full(len(block), c.ident), block, 1
-        idents, blocks = [], []
-        row, column = np.arange(self.down)[:, None], np.arange(self.across)[None, :]
-        for c in parts:
-            for v in range(c.v):
-                for h in range(c.h):
-                    idents.append(np.full(self.down * self.across, c.ident))
-                    blocks.append(((row * c.v + v) * c.wide + column * c.h + h).reshape(-1))
-        return np.stack(idents, 1).reshape(-1), np.stack(blocks, 1).reshape(-1), len(idents)
+        return _unit_order(self.width, self.height, (self.hmax, self.vmax), tuple((c.ident, c.h, c.v, c.wide) for c in parts))
 
     def _scan(self, data: bytes, at: int, head: bytes, tables: dict) -> int:
         pieces, end = [], at
@@ -404,7 +461,9 @@ class Picture:
             samples = (c.coefs * self.quant[c.quant]) @ _basis()  # whole numbers far below 2**53: exact in any order
             samples = np.clip((samples + 2 ** (BASIS_BITS - 1)) // 2**BASIS_BITS + 128, 0, 255).astype(np.int32)
             plane = samples.reshape(c.high, c.wide, 8, 8).swapaxes(1, 2).reshape(c.high * 8, c.wide * 8)
-            plane = plane.repeat(self.vmax // c.v, 0).repeat(self.hmax // c.h, 1)
+            if (c.v, c.h) != (self.vmax, self.hmax):  # each sample stands for those that fall on it
+                down, across = np.arange(self.height) * c.v // self.vmax, np.arange(self.width) * c.h // self.hmax
+                plane = plane[down[:, None], across[None, :]]
             planes.append(plane[: self.height, : self.width])
         if len(planes) == 1:
             return np.repeat(planes[0].astype(np.uint8)[..., None], 3, -1)
@@ -430,16 +489,22 @@ def feature(tensors: list[np.ndarray]) -> str:
 # --- columns ---------------------------------------------------------------
 
 
-def _mapped(df: DataFrame, added: dict[str, str], make) -> DataFrame:
+def _mapped(df: DataFrame, read: str, added: dict[str, str], make) -> DataFrame:
     schema = with_fields(df, added)
     kept = schema.names[: -len(added)]
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
-                new = make(part)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *new], names=[*kept, *added])
+            sizes = pc.fill_null(pc.binary_length(batch.column(read)), 0).to_pylist()
+            at = 0
+            while at < batch.num_rows:
+                end, size = at + 1, sizes[at]
+                while end < min(batch.num_rows, at + BATCH_ROWS) and size + sizes[end] <= BATCH_BYTES:
+                    size += sizes[end]
+                    end += 1
+                part = batch.slice(at, end - at)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *make(part)], names=[*kept, *added])
+                at = end
 
     return df.mapInArrow(run, schema)
 
@@ -455,30 +520,36 @@ def store(df: DataFrame, payload: str = "payload", media: str = "media") -> Data
     def make(part):
         return [pa.array([None if p is None else write(p) for p in part.column(payload).to_pylist()], pa.binary())]
 
-    return _mapped(df, {media: "binary"}, make)
+    return _mapped(df, payload, {media: "binary"}, make)
 
 
-def load(df: DataFrame, media: str = "media", tensors: bool = True) -> DataFrame:
-    """Adds stored (the bytes of store(), null for other pictures), feature and, if asked for, tensors.
+def load(df: DataFrame, media: str = "media") -> DataFrame:
+    """Adds stored (the bytes of store(), null for other pictures), feature, tensors and problem.
 
-    tensors is an array of (height, width, rgb), rgb holding the samples row by
-    row. Null or empty media give nulls; a file that isn't progressive JPEG fails.
-    Columns with these names are replaced.
+    tensors holds each picture at full resolution as (height, width, rgb), rgb being
+    its samples row by row. Null or empty media give nulls. A file that isn't
+    progressive JPEG of one or three components, or that breaks off, gives nulls and
+    what is wrong with it in problem, which is null otherwise. Columns with these
+    names are replaced. An empty table gives an empty result.
     """
 
     def make(part):
-        stored, features, rgb = [], [], []
+        stored, features, tensors, problems = [], [], [], []
         for data in part.column(media).to_pylist():
-            found = pictures(data) if data else []
-            stored.append(b"".join(p.payload() for p in found) if found and all(p.stored is not None for p in found) else None)
-            samples = [p.rgb() for p in found]
+            found, samples, own, problem = [], [], None, None
+            try:
+                found = pictures(data) if data else []
+                if found and all(p.stored is not None for p in found):
+                    own = b"".join(p.payload() for p in found)
+                samples = [p.rgb() for p in found]
+            except (ValueError, IndexError, KeyError, TypeError, AttributeError, struct.error, MemoryError) as e:
+                found, own, problem = [], None, f"{type(e).__name__}: {e}"
+            stored.append(own)
             features.append(feature(samples) if found else None)
-            if tensors:
-                rgb.append([{"height": s.shape[0], "width": s.shape[1], "rgb": s.tobytes()} for s in samples] if found else None)
-        out = [pa.array(stored, pa.binary()), pa.array(features, pa.string())]
-        if tensors:
-            out.append(pa.array(rgb, pa.list_(pa.struct([("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())]))))
-        return out
-
-    added = {"stored": "binary", "feature": "string"} | ({"tensors": "array<struct<height:int,width:int,rgb:binary>>"} if tensors else {})
-    return _mapped(df, added, make)
+            tensors.append([{"height": s.shape[0], "width": s.shape[1], "rgb": s.tobytes()} for s in samples] if found else None)
+            problems.append(problem)
+        kind = pa.list_(pa.struct([("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())]))
+        return [pa.array(stored, pa.binary()), pa.array(features, pa.string()), pa.array(tensors, kind), pa.array(problems, pa.string())]
+
+    added = {"stored": "binary", "feature": "string", "tensors": "array<struct<height:int,width:int,rgb:binary>>", "problem": "string"}
+    return _mapped(df, media, added, make)

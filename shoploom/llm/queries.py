@@ -64,7 +64,7 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("n_bytes", F.octet_length("data").cast("long"))
         .select("doc_id", "n_bytes", F.rpad("data", padded, F.lit(b"\0")).alias("payload"))
     )
-    loaded = media.load(media.store(docs).drop("payload"), tensors=False)
+    loaded = media.load(media.store(docs).drop("payload"))
     return loaded.select(
         "doc_id",
         "n_bytes",
@@ -74,6 +74,8 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        F.aggregate("tensors", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t.rgb)).alias("tensor_bytes"),
+        F.array_join(F.transform("tensors", lambda t: F.sha2(t.rgb, 256)), ",").alias("tensor_sha256"),
     )
 
 

@@ -149,6 +149,33 @@ def test_operator_on_odd_rows(spark):
     assert media.load(media.store(df.limit(0))).count() == 0
 
 
+def test_broken_files_give_a_reason(spark):
+    fine = media.write(bytes(range(64)) * 9)
+    frame = fine.index(b"\xff\xc2")
+    four = fine[:frame] + media._segment(0xC2, struct.pack(">BHHB", 8, 16, 16, 4) + bytes([1, 0x11, 0, 2, 0x11, 0, 3, 0x11, 0, 4, 0x11, 0])) + fine[frame + 19 :]
+    huge = fine[: frame + 5] + struct.pack(">HH", 65_535, 65_535) + fine[frame + 9 :]
+    rows = [fine, b"", None, b"no picture", fine[:-40], fine[: len(fine) // 2], fine + b"rest", four, huge, b"\xff\xd8" * 3]
+    got = media.load(spark.createDataFrame([(i, r, 1, "x") for i, r in enumerate(rows)], "i int, media binary, tensors int, problem string")).orderBy("i").collect()
+    assert [r.problem is None for r in got] == [True, True, True] + [False] * 7
+    assert got[0].tensors and got[0].stored
+    assert all(r.tensors is None and r.stored is None and r.feature is None for r in got[1:])
+
+
+def test_chroma_of_any_sampling():
+    """Three luma blocks for two of chroma: every pixel takes the sample that it falls on."""
+    table = media._table(0, 0, [4] * 9, bytes(range(9)))
+    head = b"\xff\xd8" + media._segment(0xDB, b"\0" + b"\1" * 64) + media._segment(0xC2, struct.pack(">BHHB", 8, 8, 24, 3) + bytes([1, 0x31, 0, 2, 0x21, 0, 3, 0x11, 0])) + table
+    dc = np.array([0, 0, 0, 80, -80, 40], np.int32)  # three of luma, two of cb, one of cr
+    values = dc.copy()
+    values[4] -= 80
+    bits = np.concatenate([media._dc_bits(np.array([v]), np.array([0])) for v in values])
+    picture = media.Picture(head + media._scan([(1, 0, 0), (2, 0, 0), (3, 0, 0)], 0, 0, 0, 0) + media._stuffed(bits) + b"\xff\xd9")
+    assert [c.coefs[:, 0].tolist() for c in picture.parts] == [[0, 0, 0], [80, -80], [40]]
+    rgb = picture.rgb().astype(int)
+    assert rgb.shape == (8, 24, 3)
+    assert rgb[0, :, 2].tolist() == [128 + 18] * 12 + [128 - 18] * 12  # 1.772 * 10, and so back
+
+
 def test_query(spark, tmp_path):
     texts = [None, "", "été" * 100, "x" * 64, "é" * 9000]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -159,3 +186,5 @@ def test_query(spark, tmp_path):
         assert r.payload_sha256 == hashlib.sha256(padded).hexdigest()
         assert r.tail_crc32 == zlib.crc32(padded[-64:])
         assert r.media_sha256 == hashlib.sha256(media.write(padded)).hexdigest()
+        rgb = [p.rgb() for p in media.pictures(media.write(padded))]
+        assert r.tensor_bytes == sum(t.size for t in rgb) and r.tensor_sha256 == ",".join(hashlib.sha256(t.tobytes()).hexdigest() for t in rgb)
