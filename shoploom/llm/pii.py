@@ -22,7 +22,9 @@ from __future__ import annotations
 import random
 import re
 from bisect import bisect_left
+from collections import deque
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Tokens and characters of the longest segment that the field considers.
 MOST_TOKENS, MOST_CHARS = 16, 72
+#: Tokens after which the ways of the dynamic programme are looked at for a part that they share.
+SETTLE = 64
 EXAMPLES, EPOCHS, SEED = 700, 6, 7
 BATCH_ROWS = 512
 
@@ -47,7 +51,6 @@ _TRIGGER = re.compile(r"[0-9@]")
 #: Marks of an address written out; a lone "at" or "dot" is too common to be one.
 _MARK = re.compile(r"[\[({<] ?(?:at|dot) ?[\])}>]|(?:[ \t]at[ \t]+|@[ \t]*)[^\s@]+[ \t]+dot[ \t]|[ \t]@[ \t]", re.IGNORECASE)
 _LINE = re.compile(r"[^\S \t]")
-_SPACE = re.compile(r"\s")
 _NEXT = re.compile(r"\S*(?:[ \t]\S*[0-9@(]\S*)*")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|_|[^\W_]")
 
@@ -193,26 +196,54 @@ def segment_features(text: str, start: int, end: int, tokens: int) -> np.ndarray
     return np.array(x, np.float64)
 
 
+def _candidates(text: str, start: int, end: int):
+    """Of each token of an island in turn: its span, and (tokens, end in the text) of the candidate segments that begin with it.
+
+    Tokens and marks are read ahead no further than a segment can reach.
+    """
+    tokens, marks = _TOKEN.finditer(text, start, end), _MARK.finditer(text, start, end)
+    ahead: deque[tuple[int, int]] = deque(m.span() for m in islice(tokens, MOST_TOKENS))
+    near: deque[tuple[int, int]] = deque()
+    next_mark = next(marks, None)
+    while ahead:
+        a, _ = ahead[0]
+        found = []
+        if text[a].isalnum() or text[a] in "+(":
+            while next_mark and next_mark.start() < a + MOST_CHARS:
+                near.append(next_mark.span())
+                next_mark = next(marks, None)
+            while near and near[0][1] <= a:
+                near.popleft()
+            first = _TRIGGER.search(text, a, min(end, a + MOST_CHARS))
+            trigger = first.start() if first else end
+            for n, (_, b) in enumerate(ahead, 1):
+                if b - a > MOST_CHARS:
+                    break
+                if text[b - 1].isalnum() and (trigger < b or any(a < x and y < b for x, y in near)):
+                    found.append((n, b))
+        yield ahead.popleft(), found
+        ahead.extend(m.span() for m in islice(tokens, 1))
+
+
+def _plain(text: str, a: int) -> tuple[float, float, float]:
+    return 1.0, float(text[a].isdigit()), float(text[a] == "@")
+
+
 class Island:
-    """The tokens of an island, its candidate segments and their features."""
+    """The tokens of an island, its candidate segments and their features; for training."""
 
     def __init__(self, text: str, start: int, end: int) -> None:
-        self.spans = [m.span() for m in _TOKEN.finditer(text, start, end)]
+        self.text, self.start, self.end = text, start, end
+        self.spans: list[tuple[int, int]] = []
         self.segments: list[tuple[int, int]] = []
-        marks = [m.span() for m in _MARK.finditer(text, start, end)]
         features = []
-        for i, (a, _) in enumerate(self.spans):
-            if not (text[a].isalnum() or text[a] in "+("):
-                continue
-            for j in range(i + 1, min(i + MOST_TOKENS, len(self.spans)) + 1):
-                b = self.spans[j - 1][1]
-                if b - a > MOST_CHARS:
-                    break
-                if text[b - 1].isalnum() and (_TRIGGER.search(text, a, b) or any(a < x and y < b for x, y in marks)):
-                    self.segments.append((i, j))
-                    features.append(segment_features(text, a, b, j - i))
+        for i, (span, found) in enumerate(_candidates(text, start, end)):
+            self.spans.append(span)
+            for n, b in found:
+                self.segments.append((i, i + n))
+                features.append(segment_features(text, span[0], b, n))
         self.features = np.array(features).reshape(len(self.segments), WIDTH)
-        self.plain = np.array([[1.0, text[a].isdigit(), text[a] == "@"] for a, _ in self.spans]).reshape(-1, 3)
+        self.plain = np.array([_plain(text, a) for a, _ in self.spans]).reshape(-1, 3)
 
 
 # --- the field -------------------------------------------------------------
@@ -221,65 +252,81 @@ class Island:
 LABELS = 1 + len(KINDS)
 
 
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = np.maximum(x.max(axis=axis, keepdims=True), -1e300)
+    with np.errstate(divide="ignore"):
+        return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
+
+
 class Field:
     def __init__(self) -> None:
         self.entity = np.zeros((WIDTH, len(KINDS)))
         self.none = np.zeros(3)
         self.step = np.zeros((LABELS, LABELS))
 
-    def _edges(self, island: Island) -> list[list[tuple[int, int, float, int]]]:
-        """By end: (start, label, score, segment) of what may end there; segment -1 is one plain token."""
-        n = len(island.spans)
-        by_end: list[list] = [[] for _ in range(n + 1)]
-        none = island.plain @ self.none
-        for t in range(n):
-            by_end[t + 1].append((t, 0, float(none[t]), -1))
-        scores = island.features @ self.entity
-        for k, (i, j) in enumerate(island.segments):
-            for label, s in enumerate(scores[k].tolist(), 1):
-                by_end[j].append((i, label, s, k))
-        return by_end
-
-    def best(self, island: Island) -> list[tuple[int, int, str]]:
-        """The best segmentation's entities as (first token, end token, kind)."""
-        by_end, n = self._edges(island), len(island.spans)
-        score, back = np.full((n + 1, LABELS), -np.inf), {}
-        score[0, 0] = 0
-        for t in range(1, n + 1):
-            for start, label, s, _ in by_end[t]:
-                came = score[start] + self.step[:, label]
-                p = int(came.argmax())
-                if came[p] + s > score[t, label]:
-                    score[t, label], back[t, label] = came[p] + s, (start, p)
-        out, t, label = [], n, int(score[n].argmax())
-        while t:
-            start, before = back[t, label]
-            if label:
-                out.append((start, t, KINDS[label - 1]))
-            t, label = start, before
-        return out[::-1]
+    def best(self, text: str, start: int, end: int):
+        """Yields the best segmentation's entities of an island, as (start, end, kind) in order.
+
+        The programme goes from token to token. It keeps the scores of the segments
+        that have begun and not ended, MOST_TOKENS ends ahead at most, and the ways
+        that still may become the best one; where all of these share their past, that
+        part is settled, given out and forgotten, so a long island needs no more memory
+        than a short one as long as its ways meet again.
+        """
+        fresh = lambda: ([-np.inf] * LABELS, [None] * LABELS)  # noqa: E731  by label: score, and way (entity, way before it)
+        ends: deque = deque([fresh() for _ in range(MOST_TOKENS + 1)])
+        ends[0][0][0] = 0.0
+        step, none, given = self.step.T.tolist(), self.none.tolist(), None
+        for number, ((a, _), found) in enumerate(_candidates(text, start, end), 1):
+            came, ways = ends.popleft()
+            ends.append(fresh())
+            best = []
+            for label in range(LABELS):
+                p = max(range(LABELS), key=lambda q, label=label: came[q] + step[label][q])
+                best.append((came[p] + step[label][p], ways[p]))
+            options = [(1, 0, sum(x * w for x, w in zip(_plain(text, a), none, strict=True)), None)]
+            if found:
+                scores = np.array([segment_features(text, a, b, n) for n, b in found]) @ self.entity
+                options += [(n, label, s, (a, b, KINDS[label - 1])) for (n, b), row in zip(found, scores.tolist(), strict=True) for label, s in enumerate(row, 1)]
+            for n, label, s, entity in options:
+                score, way = best[label]
+                scores_there, ways_there = ends[n - 1]
+                if score + s > scores_there[label]:
+                    scores_there[label], ways_there[label] = score + s, way if entity is None else [entity, way]
+            if number % SETTLE == 0:
+                live = [w for scores_there, ways_there in ends for s, w in zip(scores_there, ways_there, strict=True) if s > -np.inf]
+                settled = _shared(live, given)
+                if settled is not given:
+                    yield from _unwound(settled, given)
+                    given, settled[1] = settled, None  # forget what came before
+        scores_there, ways_there = ends[0]
+        yield from _unwound(ways_there[max(range(LABELS), key=scores_there.__getitem__)], given)
 
     def gradient(self, island: Island, gold: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Of the log-likelihood of the segmentation that has the gold segments and plain tokens elsewhere."""
-        by_end, n = self._edges(island), len(island.spans)
+        n, edge = len(island.spans), np.array(island.segments, np.int64).reshape(-1, 2)
+        scores, plain = island.features @ self.entity, island.plain @ self.none
+        by_end, by_start = ([np.flatnonzero(edge[:, k] == t) for t in range(n + 1)] for k in (1, 0))
+        kinds = self.step[:, 1:]
         alpha, beta = np.full((n + 1, LABELS), -np.inf), np.full((n + 1, LABELS), -np.inf)
         alpha[0, 0], beta[n] = 0, 0
         for t in range(1, n + 1):
-            for start, label, s, _ in by_end[t]:
-                alpha[t, label] = np.logaddexp(alpha[t, label], np.logaddexp.reduce(alpha[start] + self.step[:, label]) + s)
-        for t in range(n, 0, -1):
-            for start, label, s, _ in by_end[t]:
-                beta[start] = np.logaddexp(beta[start], self.step[:, label] + s + beta[t, label])
-        whole = np.logaddexp.reduce(alpha[n])
-        entity, none, step = np.zeros_like(self.entity), np.zeros(3), np.zeros_like(self.step)
-        for t in range(1, n + 1):
-            for start, label, s, k in by_end[t]:
-                p = np.exp(alpha[start] + self.step[:, label] + s + beta[t, label] - whole)
-                step[:, label] -= p
-                if label:
-                    entity[:, label - 1] -= p.sum() * island.features[k]
-                else:
-                    none -= p.sum() * island.plain[start]
+            alpha[t, 0] = _log_sum(alpha[t - 1] + self.step[:, 0], 0) + plain[t - 1]
+            k = by_end[t]
+            if len(k):
+                came = _log_sum(alpha[edge[k, 0]][:, :, None] + kinds, 1)
+                alpha[t, 1:] = _log_sum(came + scores[k], 0)
+        for t in range(n - 1, -1, -1):
+            beta[t] = self.step[:, 0] + plain[t] + beta[t + 1, 0]
+            k = by_start[t]
+            if len(k):
+                ahead = (scores[k] + beta[edge[k, 1], 1:]).reshape(-1)
+                beta[t] = np.logaddexp(beta[t], _log_sum(np.tile(kinds, len(k)) + ahead, 1))
+        whole = _log_sum(alpha[n], 0)
+        alone = np.exp(alpha[:-1] + self.step[:, 0] + (plain + beta[1:, 0] - whole)[:, None])
+        held = np.exp(alpha[edge[:, 0]][:, :, None] + kinds + (scores + beta[edge[:, 1], 1:] - whole)[:, None, :])
+        entity, none = -(island.features.T @ held.sum(1)), -(island.plain.T @ alone.sum(1))
+        step = -np.concatenate([alone.sum(0)[:, None], held.sum(0)], axis=1)
         at = {seg: k for k, seg in enumerate(island.segments)}
         t, before, score = 0, 0, 0.0
         ends = {i: (j, label) for (i, j), label in gold.items()}
@@ -298,6 +345,31 @@ class Field:
         return entity, none, step, float(score - whole)
 
 
+def _since(way, given) -> list:
+    """The steps of a way after those that were given out."""
+    out = []
+    while way is not None and way is not given:
+        out.append(way)
+        way = way[1]
+    return out[::-1]
+
+
+def _shared(ways: list, given):
+    """The longest way that all of the ways begin with."""
+    paths = [_since(w, given) for w in {id(w): w for w in ways}.values()]
+    last = given
+    for level in zip(*paths, strict=False):
+        if any(w is not level[0] for w in level):
+            break
+        last = level[0]
+    return last
+
+
+def _unwound(way, given):
+    for step in _since(way, given):
+        yield step[0]
+
+
 # --- training --------------------------------------------------------------
 
 
@@ -420,13 +492,7 @@ def spans(text: str, field: Field) -> list[tuple[str, int, int, bool]]:
     for start, end in islands(text):
         if touched(start, end) and all(touched(*m.span()) for p in (_TRIGGER, _MARK) for m in p.finditer(text, start, end)):
             continue
-        island = Island(text, start, end)
-        if not island.segments:
-            continue
-        for i, j, kind in field.best(island):
-            a, b = island.spans[i][0], island.spans[j - 1][1]
-            if not touched(a, b):
-                found.append((kind, a, b, False))
+        found += [(kind, a, b, False) for a, b, kind in field.best(text, start, end) if not touched(a, b)]
     return sorted(found, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
 from hypothesis import given, settings
@@ -55,7 +56,7 @@ def test_field_adds_unusual_forms_and_leaves_other_numbers():
 
 def test_field_generalises():
     field, fresh = pii.trained(), pii.examples(300, 12345)
-    right = sum({(i, j): pii.KINDS.index(k) + 1 for i, j, k in field.best(x)} == gold for x, gold in fresh)
+    right = sum({(a, b): pii.KINDS.index(k) + 1 for a, b, k in field.best(x.text, x.start, x.end)} == {(x.spans[i][0], x.spans[j - 1][1]): label for (i, j), label in gold.items()} for x, gold in fresh)
     assert right >= 285
 
 
@@ -79,11 +80,46 @@ def test_best_and_likelihood_against_all_segmentations():
 
     paths = list(every(0, 0, 0.0, []))
     score, best = max(paths, key=lambda p: p[0])
-    assert field.best(island) == best
+    assert list(field.best("a1 +2 b@3", 0, 9)) == [(island.spans[i][0], island.spans[j - 1][1], k) for i, j, k in best]
     gold = {(i, j): pii.KINDS.index(k) + 1 for i, j, k in best}
     assert np.isclose(field.gradient(island, gold)[3], score - np.logaddexp.reduce([s for s, _ in paths]))
 
 
+def test_settling_early_changes_nothing(monkeypatch):
+    """A programme over the whole island at once, with back pointers, against the one that gives out what is settled."""
+    field, r = pii.trained(), np.random.default_rng(5)
+    for _ in range(30):
+        text = " ".join(r.choice(["12", "555-2678", "(736)", "+1", "a.b@x-y.com", "4111", "1.2.3.4", "jane5", "at", "host9", "dot", "com", "99.5"], 120))
+        island = pii.Island(text, 0, len(text))
+        score, back, n = np.full((len(island.spans) + 1, pii.LABELS), -np.inf), {}, len(island.spans)
+        score[0, 0] = 0
+        edges = [(t, t + 1, 0, island.plain[t] @ field.none) for t in range(n)]
+        edges += [(i, j, label, x @ field.entity[:, label - 1]) for (i, j), x in zip(island.segments, island.features, strict=True) for label in range(1, pii.LABELS)]
+        for t in range(1, n + 1):
+            for start, label, s in [(i, label, s) for i, j, label, s in edges if j == t]:
+                came = score[start] + field.step[:, label]
+                if came.max() + s > score[t, label]:
+                    score[t, label], back[t, label] = came.max() + s, (start, int(came.argmax()))
+        want, t, label = [], n, int(score[n].argmax())
+        while t:
+            start, before = back[t, label]
+            if label:
+                want.append((island.spans[start][0], island.spans[t - 1][1], pii.KINDS[label - 1]))
+            t, label = start, before
+        for settle in (1, 7, 64, 10**9):
+            monkeypatch.setattr(pii, "SETTLE", settle)
+            assert list(field.best(text, 0, len(text))) == want[::-1]
+
+
+def test_a_very_long_run_of_numbers_takes_little_memory():
+    field, text = pii.trained(), " ".join(str(i * 7919 % 100_003) for i in range(6_000))
+    tracemalloc.start()
+    n = sum(1 for _ in field.best(text, 0, len(text)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1e6 + 600 * n
+
+
 def test_query_and_mask_on_odd_rows(spark, tmp_path):
     texts = [None, "", "mail a.b@x-y.com or +1 (736) 555-2678.", "x" * 60_000 + " 1.2.3.4", "same 4111111111111111", "same 4111111111111111", "é a@b.co"]
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
