@@ -1,9 +1,10 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling.
 
-A word enters by its letters, as a sum of embeddings of each letter by its place
-and of its first letters together (hashed), and by an embedding of the word
-itself (hashed). A word of over LETTERS bytes goes as consecutive pieces of that
-many, each a word of its own, so every letter is read. Two gated recurrent layers, one in each
+A word is a run of letters and digits, or of signs. It enters by its characters,
+as a sum of embeddings of each byte by its place and of its first bytes together
+(hashed), and by an embedding of the word itself (hashed). A word of over LETTERS
+bytes goes as consecutive pieces of that many, each a word of its own, so all but
+white space is read. Two gated recurrent layers, one in each
 direction, read windows of words; attention pools their states and a logistic
 unit scores the window. Windows overlap and cover every whole text; a text's
 score is that of its highest window.
@@ -17,33 +18,46 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import with_fields
 
 #: Words in a window, and between the starts of two windows.
-WINDOW, STRIDE = 24, 16
+WINDOW, STRIDE = 24, 12
 LETTERS, STEM, BUCKETS, WIDTH, HIDDEN, ATTENTION = 12, 5, 32_749, 16, 8, 8
-#: The bound of the training sample: documents of each label, and characters of one.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 3000, 2500
+#: The bound of the training sample: documents of each label, and the characters that those of one label have together.
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_TEXT = 1500, 3000, 20_000_000
 STEPS, BATCH, SEED, RATE = 600, 48, 11, 0.06
-#: Windows of a document in a step: at random in the first third, then the highest.
-EARLY, LATE = 8, 3
+#: Windows of a document in a step: at random in the first third, then the highest; of a clean document those of as many drawn ones.
+EARLY, LATE, DRAWN = 8, 3, 24
 THRESHOLD = 0.7
-#: Words whose inputs a worker keeps; windows that run side by side; rows of a batch.
-KEPT_WORDS, ABREAST, BATCH_ROWS = 150_000, 2048, 256
+#: Words whose inputs a worker keeps; windows that run side by side; words of texts that are scored together, and of one part of a text.
+KEPT_WORDS, ABREAST, TOGETHER = 150_000, 2048, 60_000
 
-_NOT_LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
-_PIECE = re.compile(rb"[^ ]{1,%d}" % LETTERS)
+_PIECE = re.compile(rb"[0-9a-z\x80-\xff]{1,%d}|[^0-9a-z\x80-\xff\x20\x09-\x0d]{1,%d}" % (LETTERS, LETTERS))
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased words in UTF-8: what ASCII signs and digits leave, longer ones in pieces of LETTERS bytes."""
-    return _PIECE.findall((text or "").lower().encode().translate(_NOT_LETTERS))
+    """Lower-cased words in UTF-8, longer ones in pieces of LETTERS bytes."""
+    return _PIECE.findall((text or "").lower().encode())
+
+
+def _parts(text: str | None):
+    """The words of a text in parts that have all of its windows between them, each once; one part unless the text is long."""
+    words, part = _PIECE.finditer((text or "").lower().encode()), []
+    step = TOGETHER // STRIDE * STRIDE
+    while True:
+        part += [m[0] for m in islice(words, step + WINDOW + 1 - len(part))]
+        if len(part) <= step + WINDOW:
+            yield part
+            return
+        yield part[: step + WINDOW - STRIDE]
+        part = part[step:]
 
 
 def window_starts(n: int) -> np.ndarray:
@@ -183,10 +197,14 @@ class Network:
         for step in range(steps):
             chosen = [int(i) for group in by for i in r.choice(group, BATCH // 2)]
             rows, first = _windows([docs[i] for i in chosen])
+            size = np.diff(np.append(first, len(rows)))
+            if step >= steps // 3 and size.max() > DRAWN:  # all windows of a clean document are clean, so any may stand for it
+                some = [f + (r.choice(s, DRAWN, replace=False) if s > DRAWN and not labels[i] else np.arange(s)) for i, f, s in zip(chosen, first, size, strict=True)]
+                rows, size = rows[np.concatenate(some)], np.array([len(x) for x in some])
+                first = np.cumsum(size) - size
             used, ids = np.unique(rows, return_inverse=True)
             ids = ids.reshape(rows.shape)
             x = self.inputs(letters[used], bucket[used])
-            size = np.diff(np.append(first, len(rows)))
             if step < steps // 3:  # any windows, until the scores mean something
                 take = np.concatenate([f + r.choice(s, min(EARLY, s), replace=False) for f, s in zip(first, size, strict=True)])
             else:
@@ -194,19 +212,27 @@ class Network:
                 take = np.concatenate([f + np.argsort(-logit[f : f + s])[:LATE] for f, s in zip(first, size, strict=True)])
             doc_of = np.repeat(np.arange(len(chosen)), size)
             y = np.array([labels[i] for i in chosen], np.float32)[doc_of[take]]
-            g, d_x, _ = self.gradient(x, ids[take], y)
-            g["word"] = np.zeros_like(self.p["word"])
-            np.add.at(g["word"], bucket[used, 0], d_x[:, WIDTH:])
-            g["stem"] = np.zeros_like(self.p["stem"])
-            np.add.at(g["stem"], bucket[used, 1], d_x[:, :WIDTH])
-            g["letter"] = np.zeros_like(self.p["letter"])
-            for i in range(LETTERS):
-                np.add.at(g["letter"][i], letters[used, i], d_x[:, :WIDTH])
+            own, at = np.unique(ids[take], return_inverse=True)  # only the words of these windows learn
+            g, d_x, _ = self.gradient(x[own], at.reshape(len(take), WINDOW), y)
             for k, v in g.items():
                 seen[k] += v * v
                 self.p[k] -= RATE * v / np.sqrt(seen[k])
+            own = used[own]
+            places = np.arange(LETTERS) * 256 + letters[own]
+            self._learn(seen, "word", bucket[own, 0], d_x[:, WIDTH:])
+            self._learn(seen, "stem", bucket[own, 1], d_x[:, :WIDTH])
+            self._learn(seen, "letter", places.reshape(-1), np.repeat(d_x[:, :WIDTH], LETTERS, axis=0))
         return self
 
+    def _learn(self, seen: dict[str, np.ndarray], name: str, rows: np.ndarray, change: np.ndarray) -> None:
+        """A step of some rows of a table of embeddings, which may be named more than once."""
+        some, at = np.unique(rows, return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        g = np.add.reduceat(change[order], np.searchsorted(at[order], np.arange(len(some))), axis=0)
+        table, squares = self.p[name].reshape(-1, WIDTH), seen[name].reshape(-1, WIDTH)
+        squares[some] += g * g
+        table[some] -= RATE * g / np.sqrt(squares[some])
+
 
 class Scorer:
     """Scores batches of texts; keeps the gate inputs of words between them."""
@@ -219,16 +245,30 @@ class Scorer:
         self.of, self.table = {b"": 0}, self.network.gates(self.network.inputs(*self.network.spelled([b""])))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Of each text the score of its highest window; long texts go in parts, short ones together."""
+        best, held, size = np.full(len(texts), -np.inf), [], 0
+        for i, text in enumerate(texts):
+            for part in _parts(text):
+                held.append((i, part))
+                size += len(part)
+                if size >= TOGETHER:
+                    self._into(best, held)
+                    held, size = [], 0
+        if held:
+            self._into(best, held)
+        return _sigmoid(best)
+
+    def _into(self, best: np.ndarray, held: list[tuple[int, list[bytes]]]) -> None:
         if len(self.of) > KEPT_WORDS:
             self._forget()
-        docs = [words_of(t) for t in texts]
         of = self.of
-        new = {w for d in docs for w in d if w not in of}
+        new = {w for _, d in held for w in d if w not in of}
         if new:
             of.update(zip(new, range(len(of), len(of) + len(new)), strict=True))
             self.table = np.concatenate([self.table, self.network.gates(self.network.inputs(*self.network.spelled(list(new))))])
-        rows, first = _windows([np.fromiter(map(of.__getitem__, d), np.int64, len(d)) for d in docs])
-        return _sigmoid(np.maximum.reduceat(self.network.logits(self.table, rows), first).astype(np.float64))
+        rows, first = _windows([np.fromiter(map(of.__getitem__, d), np.int64, len(d)) for _, d in held])
+        top = np.maximum.reduceat(self.network.logits(self.table, rows), first).astype(np.float64)
+        np.maximum.at(best, [i for i, _ in held], top)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -238,17 +278,21 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame) -> Network:
     """Fits a network on a bounded sample of the labelled documents that are not held out.
 
-    The sample has at most SAMPLE_TOXIC and SAMPLE_CLEAN documents of up to
-    SAMPLE_CHARS characters, first in the order of a hash of doc_id. Without
-    documents of both labels the network stays as it was drawn.
+    The sample has at most SAMPLE_TOXIC and SAMPLE_CLEAN documents, first in the
+    order of a hash of doc_id, and of each label only as many of them as have
+    SAMPLE_TEXT characters together; a document is in it with its whole text or not
+    at all. Of rows that share a doc_id one counts. Without documents of both labels
+    the network stays as it was drawn.
     """
     usable = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     limits = {1: SAMPLE_TOXIC, 0: SAMPLE_CLEAN}
     first = [usable.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(n) for k, n in limits.items()]
     wanted = F.broadcast(first[0].unionAll(first[1]))  # bounded by the two limits
-    rows = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(wanted, "doc_id").select("h", "toxic", "text")
-    sample = sorted((r.h, r.toxic, r.text) for r in rows.collect())
+    found = docs.select("doc_id", "text").join(wanted, "doc_id").groupBy("doc_id", "h", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    so_far = Window.partitionBy("toxic").orderBy("h", "doc_id")
+    rows = found.withColumn("chars", F.sum(F.length(F.coalesce("text", F.lit("")))).over(so_far)).where(F.col("chars") <= SAMPLE_TEXT)
+    sample = sorted((r.h, r.toxic, r.text or "") for r in rows.select("h", "toxic", "text").collect())
     return Network().fit([t for _, _, t in sample], [y for _, y, _ in sample])
 
 
@@ -265,10 +309,8 @@ def score(docs: DataFrame, network: Network, text: str = "text") -> DataFrame:
     def run(batches):
         scorer = Scorer(network)
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
-                found = np.round(scorer.scores(part.column(text).to_pylist()), 6)
-                new = [pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *new], names=schema.names)
+            found = np.round(scorer.scores([t.as_py() for t in batch.column(text)]), 6)
+            new = [pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], names=schema.names)
 
     return docs.mapInArrow(run, schema)
