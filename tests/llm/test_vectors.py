@@ -11,6 +11,7 @@ def data(seed=0, base=500, dim=16):
         x += list(x[i] + 0.05 * r.normal(size=(1 + i % 4, dim)))
     x += list(x[7] + 0.1 * r.normal(size=(150, dim)))
     x += [x[3] * 2, x[3], x[3], x[9] * 1e-20, np.full(dim, 1e18)]
+    x += [x[11]] * 60
     return [[float(np.float32(v)) for v in row] for row in x]
 
 
@@ -61,8 +62,51 @@ def test_pruning_keeps_the_nearest():
     x = vectors._unit(np.random.default_rng(2).normal(size=(300, 8)))
     close = x @ x.T
     np.fill_diagonal(close, -2)
-    for i, near in enumerate(vectors.pruned(x)):
-        assert close[i].argmax() in near and i not in near and len(near) <= vectors.DEGREE
+    near = np.argsort(-close, axis=1)[:, :30]
+    kept = vectors._pruned(x, np.arange(300), np.concatenate([near, near[:, :3], np.full((300, 2), -1)], axis=1))
+    for i, row in enumerate(kept):
+        row = row[row >= 0]
+        assert row[0] == close[i].argmax() and i not in row and len(set(row)) == len(row) <= vectors.DEGREE
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 50, 900])
+def test_graph_finds_the_nearest(n):
+    x = vectors._unit(np.random.default_rng(n).normal(size=(n, 12)) + 1e-9)
+    graph = vectors.built(x) if n else np.zeros((0, vectors.DEGREE), int)
+    assert graph.shape == (n, vectors.DEGREE)
+    if n < 3:
+        assert n < 2 or graph[:, 0].tolist() == [1, 0]
+        return
+    fresh = vectors._unit(np.random.default_rng(7).normal(size=(100, 12)))
+    both = np.concatenate([x, fresh])
+    found = vectors._walk(both.astype(np.float32), np.concatenate([graph, np.full((100, vectors.DEGREE), -1)]), np.arange(n, n + 100), int((x @ x.mean(0)).argmax()), vectors.CANDIDATES)
+    want = (fresh @ x.T).argmax(1)
+    assert np.mean([w in f for w, f in zip(want, found, strict=True)]) >= 0.95
+
+
+def test_shards_are_clustered_again(spark, monkeypatch):
+    """Centres by the number of vectors: with a small bound on one sample, crowded shards get centres of their own."""
+    monkeypatch.setattr(vectors, "CHUNK", 150)
+    monkeypatch.setattr(vectors, "SHARD", 60)
+    monkeypatch.setattr(vectors, "SAMPLE", 64)
+    monkeypatch.setattr(vectors, "FOR_CENTRE", 8)
+    r = np.random.default_rng(4)
+    x = r.normal(size=(1200, 16))
+    x = np.concatenate([x, x[:400] + 0.06 * r.normal(size=(400, 16)), np.ones((300, 16)) + 1e-4 * r.normal(size=(300, 16))])
+    rows = [[float(np.float32(v)) for v in row] for row in x]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>")
+    classes = df.selectExpr("vec_id id", "cast(1 as long) copies", "embedding", "false asked")
+    members = vectors.sharded(classes, len(rows)).toPandas()
+    sizes = members.groupby("shard").size()
+    assert set(members["id"]) == set(range(len(rows))) and len(sizes) > 40
+    assert not members.duplicated(["shard", "id"]).any()
+    dense = members[members["id"] >= 1600]["shard"]
+    assert sizes.drop(dense.unique()).max() <= 150  # only the ball that can't be parted stays crowded
+    got = {r.vec_id: r for r in vectors.near_duplicates(df, audit_every=None).collect()}
+    links, of = brute(rows)
+    assert sum(r.n_links for r in got.values()) >= 0.97 * sum(links.values()) and all(got[i].n_links <= n for i, n in links.items())
+    assert sum(got[i].component_id == c for i, c in enumerate(of)) >= 0.98 * len(rows)
+    assert all(r.audit_links is None for r in got.values())
 
 
 def test_empty_and_null_ids(spark):
