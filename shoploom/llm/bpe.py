@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from array import array
 from functools import cache
 
@@ -25,6 +24,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers.normalizers import NFC
 
 from .storage import with_fields
 
@@ -36,6 +36,7 @@ KEPT_PIECES, KEPT_PAIRS = 250_000, 400_000
 #: Rows of one output batch, and tokens that are joined in one Arrow array.
 BATCH_ROWS, MOST_AT_ONCE = 512, 20_000_000
 
+_NFC = NFC()  # by the library's edition of Unicode, which is not Python's
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
@@ -61,12 +62,30 @@ class Encoder:
         self.added_re = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pre_token = regex.compile(PRE_TOKEN)
         self.letters = dict(enumerate(_byte_letters()))
+        self._check(spec)
         self.ends = {t.removesuffix(WORD_END): t for t in self.vocab if t.endswith(WORD_END)}
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.pairs: dict[str, dict[str, bool]] = {}
         self.known_pairs = 0
 
+    def _check(self, spec: dict) -> None:
+        """This walk is for one family of files: NFC, lower case, one pre-token pattern, word ends, and a token for every byte."""
+        steps = [s.get("type") for s in (spec.get("normalizer") or {}).get("normalizers", [])]
+        patterns = [s["pattern"].get("Regex") for s in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if s.get("type") == "Split"]
+        model = spec["model"]
+        for wrong, what in (
+            (steps != ["NFC", "Replace", "Lowercase"], f"normalizers {steps}"),
+            (patterns != [PRE_TOKEN], f"pre-token patterns {patterns}"),
+            (model.get("end_of_word_suffix") != WORD_END, f"word ends {model.get('end_of_word_suffix')!r}"),
+            (any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges")) or spec.get("decoder"), "options of the model or a decoder"),
+        ):
+            if wrong:
+                raise ValueError(f"not a tokenizer file of this kind: {what}")
+        missing = [x for letter in self.letters.values() for x in (letter, letter + WORD_END) if x not in self.vocab]
+        if missing:
+            raise ValueError(f"the vocabulary has no token for {missing[:5]}")
+
     def _symbols(self, token: str) -> list[str]:
         body = token.removesuffix(WORD_END)
         return [*body[:-1], body[-1] + token[len(body) :]]
@@ -155,9 +174,8 @@ class Encoder:
             self.pieces[piece] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
 
     def _cut(self, text: str) -> list[str]:
-        text = unicodedata.normalize("NFC", text)
-        if not text.isascii():  # one letter at a time, whatever stands beside it
-            text = text.replace("Σ", "σ")
+        if not text.isascii():
+            text = _NFC.normalize_str(text).replace("Σ", "σ")  # lower-cased one letter at a time, whatever stands beside it
         text = text.lower()
         return [x for x in _SPACE.split(text) if x] if _ODD_SPACE.search(text) else text.split()
 
@@ -187,8 +205,8 @@ def encoder(path: str) -> Encoder:
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", specials: bool = True) -> DataFrame:
     """Adds the token ids of a text column as array<int>.
 
-    path is the tokenizer file, at the same place on every node. A null or empty
-    text has no ids. Texts are encoded whole; repeated rows stay; a column named
+    path is the tokenizer file, at the same place on every node, of the kind that
+    Encoder._check lets pass; others raise. A null or empty text has no ids. Texts are encoded whole; repeated rows stay; a column named
     ids is replaced. An empty table gives an empty result.
     """
     schema = with_fields(docs, {ids: "array<int>"})

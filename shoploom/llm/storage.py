@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from shoploom.session import clear_tables, new_table, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; one of our own only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        current = tempfile.mkdtemp(prefix="shoploom-checkpoint-")
-        spark.sparkContext.setCheckpointDir(current)
-    return current
+__all__ = ["clear_tables", "cut", "read", "stored", "with_fields"]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -28,8 +17,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Like cut, as a compressed table: for wide rows that are read more than once."""
-    path = f"{shared_folder(df.sparkSession)}/shoploom-{uuid.uuid4().hex}"
+    """Like cut, as a compressed table: for wide rows that are read more than once. clear_tables deletes all of them."""
+    path = new_table(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

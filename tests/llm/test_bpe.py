@@ -1,8 +1,9 @@
 import hashlib
+import json
 
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -23,6 +24,7 @@ def library():
     return t
 
 
+@example("\u0e48\u08ca")  # in whose order editions of Unicode differ
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.characters(exclude_categories=("Cs", "Cn"), max_codepoint=0x2FFF) | st.sampled_from("漢字가😀<|endoftext|>'"), max_size=60))
 def test_any_text_as_the_library(text):
@@ -65,3 +67,20 @@ def test_query(spark, library, tmp_path):
         ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         decoded = library.decode(ids, skip_special_tokens=False) if ids else ""
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(decoded))
+
+
+@pytest.mark.parametrize("change", [
+    lambda s: s["model"]["vocab"].pop("a"),
+    lambda s: s["model"]["vocab"].pop("~</w>"),
+    lambda s: s["normalizer"]["normalizers"].pop(),
+    lambda s: s["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex="."),
+    lambda s: s["model"].update(end_of_word_suffix="_"),
+    lambda s: s["model"].update(byte_fallback=True),
+])
+def test_other_files_are_refused(tmp_path, change):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    change(spec)
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        bpe.Encoder(str(tmp_path / "t.json"))

@@ -67,3 +67,29 @@ def test_run_is_the_stages(spark, folder):
     rows = corpus_pipeline.run(spark, path).collect()
     assert len({r.doc_id for r in rows}) == len(rows) > 0
     assert collections.Counter(type(r.ids) for r in rows) == {list: len(rows)}
+
+
+def test_stages_on_odd_rows(spark, folder):
+    """Every stage on null and repeated ids, repeated rows, a very long text, an extra column and no rows at all."""
+    _, path = folder
+    long = "word " * 60_000
+    rows = [(None, "first of no id", "en", "s0", 14, "x"), (None, "another text without any id", "en", None, 27, "x"), (7, "same words here", "en", "s1", 15, None)]
+    rows += [(7, "same words here", "en", "s1", 15, None), (7, "the same id but other words altogether", None, "s1", 38, "y"), (8, long, "en", "s0", None, "y"), (9, None, None, None, None, None), (10, "", "de", "", 0, "")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, position string")
+    for n, docs in (("odd", odd), ("none", odd.limit(0))):
+        columns = docs.columns
+        for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            before = docs.count()
+            docs = stage(spark, docs, path)
+            docs.write.parquet(f"{path}/{n}{number}")
+            docs = spark.read.parquet(f"{path}/{n}{number}")
+            after = docs.collect()
+            if number < 4:
+                assert docs.columns == columns, name
+            if n == "none":
+                assert not after
+            elif number == 1:  # of the equal rows, and of the texts without words, one stays
+                kept = {r.text for r in after}
+                assert len(after) == before - 2 and {r[1] for r in rows} - {None, ""} <= kept
+            else:
+                assert len(after) == before, name
