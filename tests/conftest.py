@@ -22,4 +22,7 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from shoploom.session import clear_tables
+
+    clear_tables(session)
     session.stop()

@@ -65,3 +65,39 @@ def test_fallback_chain(spark):
     assert {x.t: x.store for x in got.collect()} == {10: "east", 11: "main", 12: "main"}
     none = r.with_fallback(tickets, stores, "wanted", "sid", F.lit(False), F.col("main"), ["store"])
     assert {x.store for x in none.collect()} == {None}
+
+
+def test_keep_first_keeps_null_keys(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None), (5, "b")], "id int, k string")
+    assert sorted(x.id for x in r.keep_first(df, ["k"], "id").collect()) == [1, 3, 4, 5]
+
+
+def test_marks_and_flips(spark):
+    df = spark.createDataFrame([(1, None), (2, False), (3, True), (3, True)], "id int, is_active boolean")
+    gone = spark.createDataFrame([(3,), (3,), (9,)], "id int")
+    assert sorted((x.id, x.is_active) for x in r.soft_delete(df, gone, "id").collect()) == [(1, True), (2, False), (3, False), (3, False)]
+    changed, n = r.flip(df, F.col("is_active"), id=F.lit(0))
+    assert sorted(x.id for x in changed.collect()) == [0, 0, 1, 2] and df.agg(n).first()[0] == 2
+
+
+def test_first_by_affix_tries_forms_in_order(spark):
+    table = spark.createDataFrame([(7, "+91555"), (5, "91555x"), (2, "12%"), (1, None), (3, "")], "v int, t string")
+    asked = spark.createDataFrame([(1, ["x9", "555"]), (2, ["91555", "555"]), (3, ["%"]), (4, []), (5, None), (6, ["5"])], "id int, f array<string>")
+    got = {x.id: x.found for x in r.first_by_affix(asked, F.col("f"), table, "t", "v", "found").collect()}
+    assert got == {1: 7, 2: 5, 3: 2, 4: None, 5: None, 6: 7}
+
+
+def test_payments_and_unpivot(spark):
+    invoices = spark.createDataFrame([(1, 100, 10), (2, 50, None), (3, 5, 5)], "k int, total_amount int, amount_paid int")
+    payments = spark.createDataFrame([(1, 20), (1, None), (2, 60), (9, 1)], "k int, amount int")
+    rows = {x.k: (x.amount_paid, x.balance_due, x.n_payments) for x in r.apply_payments(invoices, payments, "k").collect()}
+    assert rows == {1: (30, 70, 2), 2: (60, -10, 1), 3: (5, 0, 0)}
+    wide = spark.createDataFrame([("x", 1, 2)], "who string, a int, b int")
+    assert sorted(map(tuple, r.unpivoted(wide, "label", "n", a="A a", b="B").collect())) == [("x", "A a", 1), ("x", "B", 2)]
+
+
+def test_running_number_over_buckets(spark):
+    rows = [(k, b, i) for i, (k, b) in enumerate([("x", 2), ("x", 1), (None, 1), ("x", 1), ("x", None), ("y", 5), (None, None)])]
+    df = spark.createDataFrame(rows, "k string, b int, i int")
+    got = {x.i: x.number for x in r.running_number(df, "k", "b", [F.col("i")]).collect()}
+    assert got == {4: 1, 1: 2, 3: 3, 0: 4, 5: 1, 6: 1, 2: 2}
