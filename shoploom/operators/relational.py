@@ -117,8 +117,8 @@ def unpivoted(row: DataFrame, label: str, value: str, **columns: str) -> DataFra
     return row.select(*others, F.explode(pairs).alias("__pair")).select(*others, f"__pair.{label}", f"__pair.{value}")
 
 
-def first_by_affix(asked: DataFrame, forms: Column, table: DataFrame, text: str, value: str, name: str) -> DataFrame:
-    """Adds the least value of the rows whose text begins or ends with a form, for the first form that has one.
+def first_by_affix(asked: DataFrame, forms: Column, table: DataFrame, text: str, value: str, name: str, starts: bool = True) -> DataFrame:
+    """Adds the least value of the rows whose text ends (or, with starts, begins) with a form, for the first form that has one.
 
     forms is an array of texts in the order in which they are tried. Every text of
     the table becomes its beginnings and ends, a few rows each, so forms meet them
@@ -127,8 +127,9 @@ def first_by_affix(asked: DataFrame, forms: Column, table: DataFrame, text: str,
     """
     n = F.length(F.col(text))
     ends = F.transform(F.sequence(F.lit(1), n), lambda i: F.right(F.col(text), i))
-    starts = F.transform(F.sequence(F.lit(1), n), lambda i: F.left(F.col(text), i))
-    pieces = table.where(n > 0).select(F.explode(F.array_distinct(F.concat(ends, starts))).alias("__form"), F.col(value).alias("__value"))
+    heads = F.transform(F.sequence(F.lit(1), n), lambda i: F.left(F.col(text), i))
+    affixes = F.array_distinct(F.concat(ends, heads)) if starts else ends
+    pieces = table.where(n > 0).select(F.explode(affixes).alias("__form"), F.col(value).alias("__value"))
     least = pieces.groupBy("__form").agg(F.min("__value").alias("__value"))
     tried = asked.select("id", F.posexplode(forms).alias("__turn", "__form"))
     hits = tried.join(least, "__form").groupBy("id").agg(F.min_by("__value", "__turn").alias(name))

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shoploom.functions.exprs import STATUS_TEMPLATES, TEMPLATE_LANGUAGES, any_ilike, conversation_id, conversation_kind as kind_of, mapped, phone_candidates, rating_label, status_event
+from shoploom.functions.exprs import STATUS_TEMPLATES, TEMPLATE_LANGUAGES, any_ilike, conversation_id, conversation_kind as kind_of, mapped, phone_candidates, phone_strict, rating_label, status_event
 from shoploom.operators.relational import first_by_affix, keep_first, latest_per_key
 
 from .registry import query
@@ -170,3 +170,26 @@ def conversation_ids(t):
     n, text = F.col("event_id") % 4, F.col("user_id").cast("string")
     found = conversation_id(F.when(n == 0, F.lit("given")).otherwise(""), F.when(n == 1, F.concat(F.lit("098"), F.lpad(text, 8, "0"))), F.when(n == 2, F.col("user_id")), F.col("event_id"))
     return t.events.select("event_id", found.alias("conversation"))
+
+
+_THREADS = """SELECT event_id AS message, CASE WHEN event_id % 2 = 0 THEN '98' ELSE '+9198' END || lpad(CAST(user_id AS VARCHAR), 8, '0') AS phone,
+    CASE WHEN event_id % 3 = 0 THEN 'cust_9198' || lpad(CAST(user_id AS VARCHAR), 8, '0') ELSE 'ticket_' || event_id END AS conversation FROM events WHERE event_type = 'signup' AND user_id % 2 = 0"""
+
+
+@query(f"""WITH s AS (SELECT id, CASE WHEN length(d) = 10 THEN '91' || d WHEN length(d) = 12 AND starts_with(d, '91') THEN d END AS number
+    FROM (SELECT id, regexp_replace(regexp_replace(raw, '[^0-9]', '', 'g'), '^0+', '') AS d FROM ({_SENDERS}))),
+  t AS ({_THREADS}), n AS (SELECT DISTINCT number FROM s WHERE number IS NOT NULL),
+  own AS (SELECT DISTINCT number, conversation FROM n JOIN t ON conversation = 'cust_' || number),
+  near AS (SELECT number, arg_min(conversation, message) AS conversation FROM n JOIN t ON phone LIKE '%' || regexp_replace(number, '^91', '') GROUP BY 1)
+  SELECT id, coalesce(own.conversation, near.conversation) AS conversation FROM s LEFT JOIN own USING (number) LEFT JOIN near USING (number)""")
+def existing_conversation(t):
+    """The conversation that a sender's message goes to: that of the number, if there is one, else the one of the first message whose number ends like it."""
+    id, user = F.col("event_id"), F.lpad(F.col("user_id").cast("string"), 8, "0")
+    thread = F.when(id % 3 == 0, F.concat(F.lit("cust_9198"), user)).otherwise(F.concat(F.lit("ticket_"), id.cast("string")))
+    messages = t.events.where("event_type = 'signup' and user_id % 2 = 0").select(F.concat(F.when(id % 2 == 0, "98").otherwise("+9198"), user).alias("phone"), F.struct(id.alias("message"), thread.alias("conversation")).alias("m"))
+    asked = _senders(t).select("id", phone_strict(F.col("raw")).alias("number"))
+    numbers = asked.where("number is not null").select(F.col("number").alias("id")).distinct()
+    near = first_by_affix(numbers, F.array(F.regexp_replace("id", "^91", "")), messages, "phone", "m", "near", starts=False)
+    own = messages.select(F.col("m.conversation").alias("own")).distinct()
+    known = near.join(own, F.concat(F.lit("cust_"), "id") == F.col("own"), "left").select(F.col("id").alias("number"), F.coalesce("own", "near.conversation").alias("conversation"))
+    return asked.join(known, "number", "left").select("id", "conversation")

@@ -47,3 +47,9 @@ def test_conditional_counts_share_one_scan(spark):
 def test_filters_reach_the_scan(spark):
     plan = registry.queries()["filter_like_prefix"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(p_type,PROMO)" in plan
+
+
+@pytest.mark.parametrize("name", ["weekly_chart", "contract_detail_nested", "contract_report_metrics"])
+def test_line_items_are_read_once(spark, name):
+    plan = registry.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("l_orderkey" in line and "Relation" in line for line in plan.splitlines()) == 1
