@@ -1,20 +1,22 @@
 """Removal of repeated 100-byte strings by suffix arrays, built by the difference-cover algorithm.
 
-A suffix array of the whole corpus would sort every byte. Only strings that
-could repeat are sorted instead. Each 100-byte window belongs to its anchor: of
-the 24-byte strings in it, the one with the least hash. Equal windows have equal
-anchors, so only windows of anchors that occur twice can repeat, and those of
-one anchor meet in one task. Consecutive windows of one anchor form a segment.
-Of equal segments the first stands for all; the windows of the others repeat it.
-They are told apart in each task before the shuffle and, of what is left, in a
-stream of sorted rows after it, so no anchor's rows are held together.
-The remaining segments of each anchor are laid end to end, and their suffix array
-is built: triples at two of three places are sorted and named, the names' suffix
-array follows by recursion, the remaining suffixes are merged in. Neighbours in
-it with 100 equal bytes are equal windows, and all but the first are removed.
-
-Anchors with too many different segments for one task take another exact way:
-their windows are grouped by 128-bit digests, combined before the shuffle.
+A suffix array of the whole corpus would sort every byte, over and over. Only
+strings that could repeat are sorted instead, and Spark brings those together that
+could be equal. Each 100-byte window belongs to its anchor: of the 24-byte strings
+in it, the one with the least hash. Equal windows have equal anchors, so only
+windows of anchors that occur twice can repeat. Consecutive windows of one anchor
+form a segment, and the segments of an anchor meet as one group.
+
+The segments of a group are laid end to end, and their suffix array is built:
+triples at two of three places are sorted and named, the names' suffix array
+follows by recursion, the remaining suffixes are merged in. Neighbours in it with
+100 equal bytes are equal windows, and all but the first are removed. Hashes only
+say what meets what; every window that is removed has been compared byte by byte.
+
+A group beyond a size is dealt out into several. Each leaves the windows that are
+the first of their kind in it, and these meet again, under longer anchors, which
+tell contexts apart that share a common line, until every group is small; with
+anchors as long as windows only equal windows still meet.
 """
 
 from __future__ import annotations
@@ -24,22 +26,20 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import cut, stored
+from .storage import stored
 
-LENGTH, ANCHOR = 100, 24
-#: 24-byte strings in a window.
-PLACES = LENGTH - ANCHOR + 1
+#: Bytes of a window; bytes of its anchor, and of the anchors of groups that stay too large.
+LENGTH, ANCHORS = 100, (24, 64, 100)
 #: Bytes of a text that are searched at once; bytes of segments that are sorted at once.
-PIECE, SORTED_BYTES = 1 << 16, 1 << 20
-#: Different segments of an anchor beyond which its windows go by digest.
-CROWDED = 20_000
+PIECE, SORTED_BYTES = 1 << 16, 1 << 17
+#: Segments that one group has on average, at most.
+GROUP = 1000
 BATCH_ROWS = 256
-#: Segments of a task that are combined before the shuffle: about 8 MB of text.
-COMBINED = 200_000
+#: Segments of a task that are looked through for repeated anchors before the shuffle.
+TOGETHER = 200_000
 
 _BASE = 0x9E3779B97F4A7C15
 
@@ -49,12 +49,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.cumprod(np.full(n, b, np.uint64)) for b in (_BASE, pow(_BASE, -1, 2**64)))
 
 
-def _hashes(data: np.ndarray) -> np.ndarray:
-    """A mixed hash of the 24 bytes from each place on."""
+def _hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """A mixed hash of the bytes, so many, from each place on."""
     up, down = _powers(PIECE + LENGTH)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    h = (sums[ANCHOR:] - sums[:-ANCHOR]) * down[: len(data) - ANCHOR + 1]
+    h = (sums[width:] - sums[:-width]) * down[: len(data) - width + 1]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(29))
@@ -69,15 +69,15 @@ def _least(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segments(data: bytes, anchor: int = ANCHORS[0]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Key of the anchor, first window and number of windows of each segment of a text."""
     keys, first, count = [], [], []
     last = len(data) - LENGTH  # the last window
     low = np.uint64((1 << 17) - 1)
     for at in range(0, last + 1, PIECE):
         part = np.frombuffer(data, np.uint8, min(PIECE + LENGTH - 1, len(data) - at), at)
-        h = _hashes(part)
-        own = _least((h & ~low) | np.arange(len(h), dtype=np.uint64), PLACES) & low  # ties: the first place
+        h = _hashes(part, anchor)
+        own = _least((h & ~low) | np.arange(len(h), dtype=np.uint64), LENGTH - anchor + 1) & low  # ties: the first place
         edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         keys.append(h[own[edge].astype(np.int64)].view(np.int64))
         first.append(edge + at)
@@ -91,6 +91,15 @@ def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 # --- suffix arrays ---------------------------------------------------------
 
 
+def _in_order(key: np.ndarray) -> np.ndarray:
+    """Indices that sort whole numbers from 0, equal ones as they stand: by 16 bits at a time, lowest first."""
+    order, bits = None, int(key.max()).bit_length() if len(key) else 0
+    for shift in range(0, max(bits, 1), 16):
+        digit = ((key >> shift) & 0xFFFF).astype(np.uint16)
+        order = np.argsort(digit, kind="stable") if order is None else order[np.argsort(digit[order], kind="stable")]
+    return order
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Of positive whole numbers, by the difference cover {1, 2} modulo 3."""
     n = len(s)
@@ -102,7 +111,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     sample = np.concatenate([ones, twos])
     if size < 1 << 21:
         triple = (t[sample] * size + t[sample + 1]) * size + t[sample + 2]
-        order = np.argsort(triple, kind="stable")
+        order = _in_order(triple)
         new = np.diff(triple[order], prepend=-1) != 0
     else:
         order = np.lexsort((t[sample + 2], t[sample + 1], t[sample]))
@@ -120,7 +129,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     rest = np.arange(0, n, 3)
     many = len(sample) + 1
     zero_key = t[rest] * many + rank[rest + 1]
-    by_zero = np.argsort(zero_key, kind="stable")
+    by_zero = _in_order(zero_key)
     rest, zero_key = rest[by_zero], zero_key[by_zero]
     is_one = sorted12 % 3 == 1
     a, b = sorted12[is_one], sorted12[~is_one]
@@ -142,238 +151,263 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def later_windows(parts: list[bytes], doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, window of it) of every window that equals an earlier one of these segments."""
-    size = np.array([len(p) for p in parts])
-    data = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)
-    symbols = data.astype(np.int64) + 2
-    start = np.cumsum(size + 1) - size - 1
-    symbols[start + size] = 1
+def later_windows(data: np.ndarray, size: np.ndarray, doc: np.ndarray, sub: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, window of it), in order, of every window that equals an earlier one of these segments, laid end to end in data."""
+    start = np.cumsum(size + 1) - size - 1  # with a separator after each
+    symbols = np.ones(len(data) + len(size), np.int64)
+    segment = np.repeat(np.arange(len(size)), size + 1)
+    inside = np.ones(len(symbols), bool)
+    inside[start + size] = False
+    symbols[inside] = data.astype(np.int64) + 2
     order = suffix_array(symbols)
-    segment = np.repeat(np.arange(len(parts)), size + 1)
     offset = order - start[segment[order]]
     order = order[offset <= size[segment[order]] - LENGTH]  # where a whole window begins
-    windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+    spread = np.zeros(len(symbols), np.uint8)
+    spread[inside] = data
+    eight = np.ndarray(len(spread) - 7, "<u8", spread, strides=(1,))  # the eight bytes from each place on
     same = np.zeros(len(order), bool)
-    for at in range(1, len(order), 1 << 14):
-        a = order[at - 1 : at + (1 << 14)]
-        rows = windows[a]
-        same[at : at + len(a) - 1] = (rows[1:] == rows[:-1]).all(1)
-    group = np.cumsum(~same)
+    pair = np.arange(1, len(order))
+    for at in (*range(0, LENGTH - 8, 8), LENGTH - 8):  # pairs that are equal so far
+        pair = pair[eight[order[pair] + at] == eight[order[pair - 1] + at]]
+    same[pair] = True
+    # only windows with an equal neighbour need an order of their own
+    some = np.flatnonzero(same | np.append(same[1:], False))
+    group, order = np.cumsum(~same)[some], order[some]
     owner = segment[order]
     place = first[owner] + order - start[owner]
-    by = np.lexsort((place, doc[owner], group))
-    lead = np.concatenate([[True], group[by][1:] != group[by][:-1]]) if len(by) else np.zeros(0, bool)
-    gone = by[~lead]
-    return owner[gone], (order - start[owner])[gone]
+    by = np.lexsort((place, sub[owner], doc[owner], group))
+    gone = np.zeros(len(symbols), bool)
+    if len(by):
+        group = group[by]
+        gone[order[by[1:]][group[1:] == group[:-1]]] = True
+    found = np.flatnonzero(gone)
+    return segment[found], found - start[segment[found]]
 
 
 # --- stages ----------------------------------------------------------------
 
 
-def _numbered(docs: DataFrame, text: str) -> DataFrame:
-    """(doc, data): a number in the order of doc_id, and the text's bytes.
+def _placed(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, doc, sub, data) of all rows, whose order is (doc, sub), and of one row of each (doc, sub).
 
-    The number is doc_id itself if no two rows share one and none is null; else
-    doc_id stands beside it, equal rows share a number, and rows that share only
-    doc_id follow a hash of their text.
+    sub tells rows apart that share a doc_id, or have none, by 64 bits of a SHA-256
+    of the text; it is 0 for all where there are no such rows.
     """
-    bytes_of = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
-    rows = docs.select("doc_id", bytes_of.alias("data"))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     if again.isEmpty():
-        return rows.select(F.col("doc_id").cast("long").alias("doc"), "data").where("doc is not null")
-    rows = rows.withColumn("h", F.sha2("data", 256))
-    order = rows.select("doc_id", "h").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "h")
-    numbers = order.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("i long, h string, doc long")
-    numbers = cut(numbers)
-    joined = rows.alias("r").join(numbers.alias("n"), F.col("r.doc_id").eqNullSafe(F.col("n.i")) & (F.col("r.h") == F.col("n.h")))
-    return joined.select("r.doc_id", "data", "doc")
+        rows = docs.select("doc_id", doc.alias("doc"), F.lit(0).cast("long").alias("sub"), data.alias("data"))
+        return rows, rows
+    sub = F.conv(F.substring(F.sha2(data, 256), 1, 15), 16, 10).cast("long")
+    rows = docs.select("doc_id", doc.alias("doc"), sub.alias("sub"), data.alias("data"))
+    return rows, rows.dropDuplicates(["doc", "sub"])
+
+
+_SEGMENT = ("key", "doc", "sub", "first", "count")
 
 
-def _combined(key: np.ndarray, mark: np.ndarray, doc: np.ndarray, first: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
-    """The segments with all but the first of equal ones taken out, and those as runs of windows that are known copies.
+def _asking(docs: DataFrame) -> DataFrame:
+    """The segments of all texts, as (to, known, key, doc, sub, first, count).
 
-    The columns are to, mark, doc, first, count, copy; a run of copies goes by its document.
+    A segment whose anchor occurs again among those that are looked through with it
+    is known to be wanted and goes anywhere; one of them, and the others, go to
+    where their anchors meet.
     """
-    by = np.lexsort((first, doc, mark, key))
-    key, mark, doc, first, count = (c[by] for c in (key, mark, doc, first, count))
-    later = np.zeros(len(key), bool)
-    later[1:] = (key[1:] == key[:-1]) & (mark[1:] == mark[:-1])
-    lead = np.maximum.accumulate(np.where(later, 0, np.arange(len(key))))
-    copy = later & ((doc != doc[lead]) | (first != first[lead]))  # a repeated row is no copy of itself
-    runs = [c[copy] for c in (doc, first, count)]
-    by = np.lexsort((runs[1], runs[0]))
-    d, f, n = (c[by] for c in runs)
-    end = f + n
-    edge = np.ones(len(d), bool)
-    edge[1:] = (d[1:] != d[:-1]) | (f[1:] > end[:-1])
-    at = np.flatnonzero(edge)
-    reach = end[np.append(at, len(d))[1:] - 1] if len(at) else end
-    leads = [c[~later] for c in (key, mark, doc, first, count)]
-    known = [d[at], np.zeros(len(at), np.int64), d[at], f[at], reach - f[at]]
-    return [np.concatenate(pair) for pair in zip(leads, known, strict=True)] + [np.arange(len(leads[0]) + len(at)) >= len(leads[0])]
-
-
-def _segments(docs: DataFrame) -> DataFrame:
-    """The segments of all texts; equal ones are combined before the shuffle, COMBINED at a time."""
-    names = ["key", "mark", "doc", "first", "count", "copy"]
+    names = ["to", "known", *_SEGMENT]
+
+    def dealt(held):
+        key, doc, sub, first, count = map(np.concatenate, held)
+        by = np.argsort(key, kind="stable")
+        same = key[by][1:] == key[by][:-1]
+        again = np.zeros(len(key), bool)
+        again[by[1:]] |= same
+        again[by[:-1]] |= same
+        lead = np.zeros(len(key), bool)
+        lead[by[1:]] = ~same
+        lead[by[:1]] = True
+        witness = again & lead
+        spread = (doc * 31 + (first >> 12)) * -7046029254386353131
+        known = np.concatenate([again.astype(np.int8), np.full(witness.sum(), 2, np.int8)])
+        to = np.concatenate([np.where(again, spread, key), key[witness]])
+        columns = [np.concatenate([c, c[witness]]) for c in (key, doc, sub, first, count)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (to, known, *columns)], names=names)
 
     def run(batches):
-        held, size = [[np.zeros(0, np.int64)] for _ in range(5)], 0
+        none = [[np.zeros(0, np.int64)] for _ in _SEGMENT]
+        held, size = [list(c) for c in none], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
-                doc = part.column("doc").to_numpy()
-                for d, data in zip(doc.tolist(), part.column("data").to_pylist(), strict=True):
-                    key, first, count = segments(data)
-                    digest, view = xxhash.xxh3_64_intdigest, memoryview(data)
-                    marks = [digest(view[a:b]) for a, b in zip(first.tolist(), (first + count + LENGTH - 1).tolist(), strict=True)]
-                    for column, new in zip(held, (key, np.array(marks, np.uint64).view(np.int64), np.full(len(key), d), first, count), strict=True):
-                        column.append(new)
-                    size += len(key)
-                    if size >= COMBINED:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _combined(*map(np.concatenate, held))], names=names)
-                        held, size = [[np.zeros(0, np.int64)] for _ in range(5)], 0
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _combined(*map(np.concatenate, held))], names=names)
+            for doc, sub, data in zip(batch.column("doc").to_pylist(), batch.column("sub").to_pylist(), batch.column("data"), strict=True):
+                key, first, count = segments(data.as_py())
+                for column, new in zip(held, (key, np.full(len(key), doc), np.full(len(key), sub), first, count), strict=True):
+                    column.append(new)
+                size += len(key)
+                if size >= TOGETHER:
+                    yield dealt(held)
+                    held, size = [list(c) for c in none], 0
+        yield dealt(held)
+
+    return docs.select("doc", "sub", "data").mapInArrow(run, "to long, known tinyint, key long, doc long, sub long, first long, count long")
 
-    return docs.select("doc", "data").mapInArrow(run, "key long, mark long, doc long, first long, count long, copy boolean")
 
+def _wanted(rows: DataFrame) -> DataFrame:
+    """The segments of anchors that occur twice. Rows stream by in the order of their anchors; one is kept between batches."""
+
+    def run(batches):
+        held, before = None, None  # the last asking row so far, and the anchor before it
+        for batch in batches:
+            known = batch.column("known").to_numpy()
+            out = [c[known == 1] for c in (batch.column(n).to_numpy() for n in _SEGMENT)]
+            asks = [batch.column(n).to_numpy()[known != 1] for n in ("known", *_SEGMENT)]
+            if len(asks[0]):
+                if held is not None:
+                    asks = [np.concatenate([[h], c]) for h, c in zip(held, asks, strict=True)]
+                key = asks[1]
+                same = key[1:] == key[:-1]
+                found = np.concatenate([[before is not None and before == key[0]], same]) | np.append(same, False)
+                found &= asks[0] == 0
+                found[-1] = False  # decided with the next batch
+                held, before = [c[-1] for c in asks], (key[-2] if len(key) > 1 else before)
+                out = [np.concatenate([a, c[found]]) for a, c in zip(out, asks[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=list(_SEGMENT))
+        if held is not None and held[0] == 0 and before is not None and before == held[1]:
+            yield pa.RecordBatch.from_arrays([pa.array([c]) for c in held[1:]], names=list(_SEGMENT))
+
+    met = rows.repartition("to").sortWithinPartitions(F.col("known") != 1, "to")
+    return met.mapInArrow(run, ", ".join(f"{n} long" for n in _SEGMENT))
+
+
+def _in_groups(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """rows with group, a part of their anchor's rows, and crowded, where there are several; and whether there are any such."""
+    crowded = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP))
+    if crowded.isEmpty():
+        return rows.withColumns({"group": F.lit(0).cast("long"), "crowded": F.lit(False)}), False
+    joined = rows.join(crowded, "key", "left")  # a table of known size: few rows go to all, many are dealt out
+    group = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("doc", "sub", "first"), F.ceil(F.col("n") / GROUP))).otherwise(0)
+    return joined.withColumns({"group": group.cast("long"), "crowded": F.col("n").isNotNull()}).drop("n"), True
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The bytes of wanted segments."""
+    kept = ("key", "group", "crowded", "first")
+    lists = wanted.groupBy("doc", "sub").agg(F.collect_list(F.struct(*kept, "count")).alias("parts"))
+    bytes_of = lambda p: F.substring(F.col("data"), p["first"].cast("int") + 1, (p["count"] + LENGTH - 1).cast("int"))
+    cut_out = lambda p: F.struct(*[p[c].alias(c) for c in kept], bytes_of(p).alias("data"))
+    joined = docs.select("doc", "sub", "data").join(lists, ["doc", "sub"])
+    return joined.select("doc", "sub", F.explode(F.transform("parts", cut_out)).alias("p")).select("p.key", "p.group", "p.crowded", "doc", "sub", "p.first", "p.data")
 
-def _grouped(batches, columns: list[str]):
-    """Whole groups of equal keys from sorted batches, as many as arrive together, as arrays."""
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column one behind the other, and where each value ends, with 0 first."""
+    whole = pa.concat_arrays([c.cast(pa.binary()) for c in column.chunks])
+    ends = np.frombuffer(whole.buffers()[1], np.int32)[: len(whole) + 1].astype(np.int64)
+    return np.frombuffer(whole.buffers()[2] or b"", np.uint8)[: ends[-1]], ends
+
+
+def _grouped(batches):
+    """Whole groups of equal (key, group) from sorted batches, as many as arrive together: a table, and where groups begin."""
     held: list[pa.RecordBatch] = []
 
-    def arrays(parts):
+    def whole(parts):
         table = pa.Table.from_batches(parts)
-        return [table.column(c).to_numpy() if c != "data" else table.column(c).to_pylist() for c in columns]
+        key, group = (table.column(c).to_numpy() for c in ("key", "group"))
+        return table, np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])]))
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = batch.column("key").to_numpy()
-        at = int(np.searchsorted(key, key[-1]))
-        if at or (held and held[-1].column("key")[-1].as_py() != key[0]):
-            yield arrays([*held, batch.slice(0, at)])
+        key, group = batch.column("key").to_numpy(), batch.column("group").to_numpy()
+        other = np.flatnonzero((key != key[-1]) | (group != group[-1]))
+        at = int(other[-1]) + 1 if len(other) else 0
+        if at or (held and (held[-1].column("key")[-1].as_py(), held[-1].column("group")[-1].as_py()) != (key[0], group[0])):
+            yield whole([*held, batch.slice(0, at)])
             held = []
         held.append(batch.slice(at))
     if held:
-        yield arrays(held)
-
-
-class _Sift:
-    """Goes through segments sorted by (key, mark, doc, first), a batch at a time, and keeps one row between batches."""
-
-    def __init__(self) -> None:
-        self.last = None  # (key, mark, document and first window of the leading segment, its number in the anchor)
-        self.alone = None  # the only kind of segment of the last anchor so far, not given out yet
-
-    def __call__(self, key, mark, doc, first, count) -> list[np.ndarray]:
-        """key, doc, first, count, copy, kind of what is known by now to be a copy, or one of several kinds of an anchor."""
-        if self.last is None:
-            self.last = (~key[0], mark[0], doc[0], first[0], 0)
-        k, m, lead_doc, lead_first, kind = self.last
-        new_key = np.concatenate([[key[0] != k], key[1:] != key[:-1]])
-        new_mark = new_key | np.concatenate([[mark[0] != m], mark[1:] != mark[:-1]])
-        row = np.arange(len(key))
-        lead = np.maximum.accumulate(np.where(new_mark, row, -1))
-        copy = (doc != np.where(lead < 0, lead_doc, doc[lead])) | (first != np.where(lead < 0, lead_first, first[lead]))
-        copy &= ~new_mark
-        kinds = np.cumsum(new_mark)  # up to here in this batch
-        anchor = np.maximum.accumulate(np.where(new_key, row, -1))
-        number = np.where(anchor < 0, kind + kinds, kinds - kinds[anchor])
-        another = np.flatnonzero(new_mark & (number == 1))  # second kinds, which show that the first is not alone
-        keep = copy | (new_mark & (number > 0))
-        keep[anchor[another][anchor[another] >= 0]] = True
-        out = [c[keep] for c in (key, doc, first, count, copy, number)]
-        if len(another) and anchor[another[0]] < 0:  # the first kind came in a batch before
-            out = [np.concatenate([[x], c]).astype(c.dtype) for x, c in zip(self.alone, out, strict=True)]
-        if anchor[-1] >= 0:
-            at = anchor[-1]
-            self.alone = (key[at], doc[at], first[at], count[at], False, 0)
-        at = lead[-1]
-        self.last = (key[-1], mark[-1], *((lead_doc, lead_first) if at < 0 else (doc[at], first[at])), number[-1])
-        return out
-
-
-def _sifted(rows: DataFrame) -> DataFrame:
-    """Segments of anchors that occur twice: later copies of an equal segment, and what is still to be compared.
-
-    kind numbers the different segments of an anchor from zero. No anchor is held
-    as a whole: its rows stream by in the order of the sort.
-    """
-    names = ["key", "doc", "first", "count", "copy", "kind"]
+        yield whole(held)
 
-    def run(batches):
-        sift = _Sift()
-        for batch in batches:
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "mark", "doc", "first", "count")]
-            known = batch.column("copy").to_numpy(zero_copy_only=False)
-            passed = [c[known] for i, c in enumerate(columns) if i != 1] + [known[known], np.zeros(known.sum(), np.int64)]
-            if known.all():
-                out = passed
-            else:
-                out = [np.concatenate(pair) for pair in zip(sift(*(c[~known] for c in columns)), passed, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
 
-    spread = rows.repartition("key").sortWithinPartitions("key", "mark", "doc", "first")
-    return spread.mapInArrow(run, "key long, doc long, first long, count long, copy boolean, kind long")
+def _edges(*columns: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Where runs begin in sorted rows: another value in a column, or a step that isn't one."""
+    new = np.ones(len(step), bool)
+    new[1:] = step[1:] != step[:-1] + 1
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of wanted segments."""
-    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "first", "count", "crowded")).alias("parts"))
-    cut_out = lambda p: F.struct(p.key.alias("key"), p["first"].alias("first"), p.crowded.alias("crowded"), F.substring(F.col("data"), p["first"].cast("int") + 1, (p["count"] + LENGTH - 1).cast("int")).alias("data"))
-    return docs.select("doc", "data").join(lists, "doc").select("doc", F.explode(F.transform("parts", cut_out)).alias("p")).select("p.key", "doc", "p.first", "p.crowded", "p.data")
+_COMPARED = "key long, doc long, sub long, start long, size long, data binary"
 
 
 def _compared(rows: DataFrame) -> DataFrame:
-    """(doc, start, end) of runs that begin with repeated windows, from the segments of each anchor."""
-
-    def sort(keys, docs, firsts, parts):
-        seg, offset = later_windows(parts, docs, firsts)
-        order = np.lexsort((offset, seg))
-        seg, offset = seg[order], offset[order]
-        edge = np.concatenate([[True], (seg[1:] != seg[:-1]) | (offset[1:] != offset[:-1] + 1)]) if len(seg) else np.zeros(0, bool)
-        at = np.flatnonzero(edge)
-        last = np.append(at, len(seg))[1:] - 1
-        start = firsts[seg[at]] + offset[at]
-        return pa.RecordBatch.from_arrays([pa.array(docs[seg[at]]), pa.array(start), pa.array(firsts[seg[at]] + offset[last] + LENGTH)], names=["doc", "start", "end"])
+    """What the groups' suffix arrays show, as (key, doc, sub, start, size, data).
+
+    With data null, a run of bytes that begins with repeated windows; else, of
+    crowded anchors, bytes whose windows are the first in their group.
+    """
+
+    def sort(data, ends, key, crowded, doc, sub, first):
+        size = np.diff(ends)
+        own, offset = later_windows(data, size, doc, sub, first)
+        at = _edges(own, step=offset)
+        last = np.append(at, len(own))[1:] - 1
+        columns = [np.zeros(len(at), np.int64), doc[own[at]], sub[own[at]], first[own[at]] + offset[at], offset[last] - offset[at] + LENGTH]
+        lengths, bytes_left = np.zeros(len(at), np.int64), np.zeros(0, np.uint8)
+        if crowded.any():
+            windows = np.where(crowded, size - LENGTH + 1, 0)
+            base = np.cumsum(windows) - windows
+            free = np.ones(int(windows.sum()), bool)
+            gone = crowded[own]
+            free[base[own[gone]] + offset[gone]] = False
+            place = np.flatnonzero(free)
+            owner = np.repeat(np.arange(len(size)), windows)[place]
+            step = place - base[owner]
+            run = _edges(owner, step=step)
+            end = np.append(run, len(place))[1:] - 1
+            who, begin, long = owner[run], step[run], step[end] - step[run] + LENGTH
+            left = [key[who], doc[who], sub[who], first[who] + begin, long]
+            columns = [np.concatenate(pair) for pair in zip(columns, left, strict=True)]
+            starts = ends[who] + begin
+            bytes_left = data[np.repeat(starts - np.cumsum(long) + long, long) + np.arange(long.sum())]
+            lengths = np.concatenate([lengths, long])
+        n, none = len(lengths), len(at)
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        valid = pa.array(np.arange(n) >= none).buffers()[1]
+        parts = pa.Array.from_buffers(pa.binary(), n, [valid, pa.py_buffer(offsets), pa.py_buffer(bytes_left)])
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), parts], names=["key", "doc", "sub", "start", "size", "data"])
 
     def run(batches):
-        for key, doc, first, data in _grouped(batches, ["key", "doc", "first", "data"]):
-            at, size = 0, 0
-            for i in range(len(key)):
-                if size > SORTED_BYTES and key[i] != key[i - 1]:
-                    yield sort(key[at:i], doc[at:i], first[at:i], data[at:i])
-                    at, size = i, 0
-                size += len(data[i])
-            if at < len(key):
-                yield sort(key[at:], doc[at:], first[at:], data[at:])
+        for table, edges in _grouped(batches):
+            data, ends = _flat(table.column("data"))
+            columns = [table.column(c).to_numpy() for c in ("key", "crowded", "doc", "sub", "first")]
+            edges = np.append(edges, table.num_rows)
+            k = 0
+            while k < len(edges) - 1:  # as many groups as SORTED_BYTES holds, one at least
+                to = max(k + 1, int(np.searchsorted(ends[edges], ends[edges[k]] + SORTED_BYTES, side="right")) - 1)
+                a, b, k = edges[k], edges[to], to
+                yield sort(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], *(c[a:b] for c in columns))
 
-    spread = rows.select("key", "doc", "first", "data").repartition("key").sortWithinPartitions("key")
-    return spread.mapInArrow(run, "doc long, start long, end long")
+    met = rows.select("key", "group", "crowded", "doc", "sub", "first", "data").repartition("key", "group").sortWithinPartitions("key", "group")
+    return met.mapInArrow(run, _COMPARED)
 
 
-def _digested(rows: DataFrame) -> DataFrame:
-    """The same for crowded anchors, window by window."""
+def _anchored_again(rows: DataFrame, anchor: int) -> DataFrame:
+    """Segments (key, doc, sub, first, data) under longer anchors, of bytes (doc, sub, start, data)."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
-                marks, doc, start = [], [], []
-                for d, first, data in zip(part.column("doc").to_pylist(), part.column("first").to_pylist(), part.column("data").to_pylist(), strict=True):
-                    view, n = memoryview(data), len(data) - LENGTH + 1
-                    marks += [xxhash.xxh3_128_digest(view[i : i + LENGTH]) for i in range(n)]
-                    doc += [d] * n
-                    start += range(first, first + n)
-                yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), pa.array(doc, pa.int64()), pa.array(start, pa.int64())], names=["mark", "doc", "start"])
+                out: list[list] = [[np.zeros(0, np.int64)] for _ in range(4)]
+                parts = []
+                for doc, sub, start, data in zip(*(part.column(c).to_pylist() for c in ("doc", "sub", "start", "data")), strict=True):
+                    key, first, count = segments(data, anchor)
+                    for column, new in zip(out, (key, np.full(len(key), doc), np.full(len(key), sub), first + start), strict=True):
+                        column.append(new)
+                    parts += [data[a : a + n + LENGTH - 1] for a, n in zip(first.tolist(), count.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in out), pa.array(parts, pa.binary())], names=["key", "doc", "sub", "first", "data"])
 
-    windows = rows.select("doc", "first", "data").mapInArrow(run, "mark binary, doc long, start long")
-    lead = windows.groupBy("mark").agg(F.min(F.struct("doc", "start")).alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = windows.join(lead.repartition("lead"), "mark").where(F.struct("doc", "start") != F.col("lead"))
-    return joined.select("doc", "start", (F.col("start") + LENGTH).alias("end"))
+    return rows.mapInArrow(run, "key long, doc long, sub long, first long, data binary")
 
 
 def _runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -386,31 +420,34 @@ def _runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _repeated(docs: DataFrame) -> DataFrame:
+    """(doc, sub, start, end) of runs of bytes that begin with repeated windows, of documents (doc, sub, data)."""
+    rows, any_crowded = _in_groups(stored(_wanted(_asking(docs))))
+    rows, spans, level = _texts(docs, rows), None, 0
+    while True:
+        compared = stored(_compared(rows)) if any_crowded else _compared(rows)
+        found = compared.where("data is null").select("doc", "sub", "start", (F.col("start") + F.col("size")).alias("end"))
+        spans = found if spans is None else spans.unionAll(found)
+        if not any_crowded:
+            return spans
+        level = min(level + 1, len(ANCHORS) - 1)
+        rows, any_crowded = _in_groups(stored(_anchored_again(compared.where("data is not null"), ANCHORS[level])))
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", keep_bytes: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed, kept): one row for each document.
 
     removed holds the maximal removed runs as (start, end) in bytes of the UTF-8
     text, kept (left out unless asked for) the bytes that stay. A byte goes if a
     100-byte string that covers it also starts earlier: in a document of smaller
-    doc_id, or earlier in the same one. A null text is empty; a null doc_id comes
-    before all others. Rows that repeat doc_id and text count as one document, and
-    each gets its result. Other columns are not kept. An empty table gives an
-    empty result.
+    doc_id, or earlier in the same one. doc_id must be a whole number or null; null
+    comes before all others. A null text is empty. Rows that repeat doc_id and text
+    count as one document, and each gets its result; rows that share only doc_id
+    are documents in an order of their own. Other columns are not kept. An empty
+    table gives an empty result.
     """
-    numbered = _numbered(docs, text)
-    sifted = stored(_sifted(_segments(numbered)))
-    copies = sifted.where("copy").select("doc", F.col("first").alias("start"), (F.col("first") + F.col("count") + LENGTH - 1).alias("end"))
-    wanted = sifted.where("not copy")
-    crowded = wanted.where(F.col("kind") == CROWDED).select("key", F.lit(True).alias("crowded"))
-    any_crowded = not crowded.isEmpty()
-    wanted = wanted.join(crowded.repartition("key"), "key", "left") if any_crowded else wanted.withColumn("crowded", F.lit(None).cast("boolean"))
-    # without repeated rows all of one plan: texts are shuffled once, for these and the last join
-    single = numbered.dropDuplicates(["doc"]) if "doc_id" in numbered.columns else numbered  # a repeated row is no copy of itself
-    texts = _texts(single, wanted)
-    spans = copies.unionAll(_compared(texts.where("crowded is null")))
-    if any_crowded:
-        spans = spans.unionAll(_digested(texts.where("crowded")))
-    lists = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    placed, single = _placed(docs, text)
+    lists = _repeated(single).groupBy("doc", "sub").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>" + (", kept binary" if keep_bytes else "")
 
@@ -428,6 +465,5 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep_bytes: bool = True)
                 names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"] + ["kept"] * keep_bytes
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in zip(names, types, strict=True)], names=names)
 
-    doc_id = F.col("doc_id" if "doc_id" in numbered.columns else "doc")
-    joined = numbered.join(lists, "doc", "left").select(doc_id.alias("doc_id"), "data", "spans")
+    joined = placed.join(lists, ["doc", "sub"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "data", "spans")
     return joined.mapInArrow(run, schema)

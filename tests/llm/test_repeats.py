@@ -16,6 +16,18 @@ def test_suffix_array(values, times):
     assert repeats.suffix_array(s).tolist() == want
 
 
+@pytest.mark.parametrize("anchor", repeats.ANCHORS)
+def test_segments_cover_every_window_once(anchor):
+    data = np.random.default_rng(anchor).integers(97, 100, 900).astype(np.uint8).tobytes()
+    key, first, count = repeats.segments(data, anchor)
+    assert [w for a, n in zip(first, count, strict=True) for w in range(a, a + n)] == list(range(len(data) - 99))
+    assert len(set(zip(key.tolist(), [data[a : a + 100] for a in first.tolist()], strict=True))) <= len(key)
+    again, moved, _ = repeats.segments(b"x" * 40 + data, anchor)
+    own = {int(w): int(k) for k, a, n in zip(key, first, count, strict=True) for w in range(a, a + n)}
+    shifted = {int(w): int(k) for k, a, n in zip(again, moved, repeats.segments(b"x" * 40 + data, anchor)[2], strict=True) for w in range(a, a + n)}
+    assert all(shifted[w + 40] == k for w, k in own.items())  # equal windows, equal anchors
+
+
 def test_suffix_array_of_large_numbers():
     r = np.random.default_rng(0)
     s = np.tile(r.integers(1, 1 << 22, 500), 3)
@@ -54,13 +66,13 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("crowded", [20_000, 2])
-def test_query_against_brute_force(spark, tmp_path, monkeypatch, crowded):
-    monkeypatch.setattr(repeats, "CROWDED", crowded)
+@pytest.mark.parametrize("group", [20_000, 2])
+def test_query_against_brute_force(spark, tmp_path, monkeypatch, group):
+    monkeypatch.setattr(repeats, "GROUP", group)
     monkeypatch.setattr(repeats, "PIECE", 1 << 12)
     monkeypatch.setattr(repeats, "SORTED_BYTES", 3000)
-    monkeypatch.setattr(repeats, "COMBINED", 60 if crowded == 2 else 200_000)
-    texts = corpus(crowded)
+    monkeypatch.setattr(repeats, "TOGETHER", 60 if group == 2 else 200_000)
+    texts = corpus(group)
     rows = [(7 * i % 1000, t, "clash") for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     order = sorted(rows, key=lambda r: r[0])
@@ -74,26 +86,32 @@ def test_query_against_brute_force(spark, tmp_path, monkeypatch, crowded):
     assert sum(r.n_removed for r in got.values()) > 0
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 3), st.integers(0, 5), st.integers(0, 2)), min_size=1, max_size=40), st.integers(1, 9))
-def test_sift_in_batches(rows, size):
-    rows.sort()
-    leads, kinds = {}, {}
-    for key, mark, doc, first in rows:
-        if (key, mark) not in leads:
-            leads[key, mark] = (doc, first)
-            kinds.setdefault(key, []).append((doc, first))
-    want = [(key, doc, first, True) for key, mark, doc, first in rows if leads[key, mark] != (doc, first)]
-    want += [(key, *lead, False) for key, all_of in kinds.items() if len(all_of) > 1 for lead in all_of]
-    sift, got, numbers = repeats._Sift(), [], {}
-    for at in range(0, len(rows), size):
-        key, mark, doc, first = (np.array(c, np.int64) for c in zip(*rows[at : at + size], strict=True))
-        for k, d, f, _, copy, kind in zip(*(c.tolist() for c in sift(key, mark, doc, first, np.ones(len(key), np.int64))), strict=True):
-            got.append((k, d, f, copy))
-            if not copy:
-                numbers.setdefault(k, []).append(kind)
-    assert sorted(got) == sorted(want)
-    assert all(sorted(n) == list(range(len(n))) for n in numbers.values())
+@pytest.mark.parametrize("size", [1, 2, 3, 50])
+def test_wanted_in_batches(spark, size):
+    """Segments of anchors that occur twice, whatever batches they come in."""
+    r = np.random.default_rng(size)
+    for _ in range(3):
+        keys = r.integers(0, 30, 40)
+        rows = [(int(k), int(r.random() < 0.1) * 2, int(k), i, 0, 5, 1) for i, k in enumerate(keys)]
+        rows += [(int(r.integers(0, 30)), 1, int(k) + 100, 100 + i, 0, 5, 1) for i, k in enumerate(r.integers(0, 3, 8))]
+        df = spark.createDataFrame(rows, "to long, known tinyint, key long, doc long, sub long, first long, count long")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = sorted((x.key, x.doc) for x in repeats._wanted(df).collect())
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        n = np.bincount([x[0] for x in rows if x[1] != 1], minlength=30)
+        assert got == sorted((x[2], x[3]) for x in rows if x[1] == 1 or (x[1] == 0 and n[x[0]] > 1))
+
+
+def test_many_copies_and_a_common_line(spark, monkeypatch):
+    """Groups far beyond the size of one: equal documents, and one line in many contexts."""
+    monkeypatch.setattr(repeats, "GROUP", 8)
+    r = np.random.default_rng(3)
+    own = lambda n: "".join(map(chr, r.integers(97, 123, n)))
+    copy, line = own(250), own(70)
+    texts = [copy] * 60 + [own(60) + line + own(60) for _ in range(80)] + [own(30) + copy[40:200] + line + own(20), copy[:-1]]
+    want = plain([t.encode() for t in texts])
+    got = repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(bytes(x.kept), x.n_spans) for x in got] == want
 
 
 def test_repeated_rows_and_null_ids(spark):
@@ -114,9 +132,9 @@ def test_common_anchor_without_a_repeat(spark):
     assert [(bytes(r.kept), r.n_spans) for r in got] == want
 
 
-@pytest.mark.parametrize("crowded", [20_000, 1])
-def test_repeated_row_is_no_copy_of_itself(spark, monkeypatch, crowded):
-    monkeypatch.setattr(repeats, "CROWDED", crowded)
+@pytest.mark.parametrize("group", [20_000, 1])
+def test_repeated_row_is_no_copy_of_itself(spark, monkeypatch, group):
+    monkeypatch.setattr(repeats, "GROUP", group)
     shared = "".join(chr(97 + i * i * 7 % 26) for i in range(40)) + " ".join(f"w{i * 37}" for i in range(40))
     own = lambda k: " ".join(f"{k}{i * i}" for i in range(60))
     texts = [own("p") + shared + own("q"), own("r") + shared + own("s")]
