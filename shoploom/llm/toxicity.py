@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable
 from itertools import islice
 
 import numpy as np
@@ -37,7 +38,7 @@ STEPS, BATCH, SEED, RATE = 600, 48, 11, 0.06
 EARLY, LATE, DRAWN = 8, 3, 24
 THRESHOLD = 0.7
 #: Words whose inputs a worker keeps; windows that run side by side; words of texts that are scored together, and of one part of a text.
-KEPT_WORDS, ABREAST, TOGETHER = 150_000, 2048, 60_000
+KEPT_WORDS, ABREAST, TOGETHER = 80_000, 2048, 60_000
 
 _PIECE = re.compile(rb"[0-9a-z\x80-\xff]{1,%d}|[^0-9a-z\x80-\xff\x20\x09-\x0d]{1,%d}" % (LETTERS, LETTERS))
 
@@ -244,9 +245,9 @@ class Scorer:
     def _forget(self) -> None:
         self.of, self.table = {b"": 0}, self.network.gates(self.network.inputs(*self.network.spelled([b""])))
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def scores(self, texts: Iterable[str | None], count: int | None = None) -> np.ndarray:
         """Of each text the score of its highest window; long texts go in parts, short ones together."""
-        best, held, size = np.full(len(texts), -np.inf), [], 0
+        best, held, size = np.full(len(texts) if count is None else count, -np.inf), [], 0
         for i, text in enumerate(texts):
             for part in _parts(text):
                 held.append((i, part))
@@ -309,7 +310,7 @@ def score(docs: DataFrame, network: Network, text: str = "text") -> DataFrame:
     def run(batches):
         scorer = Scorer(network)
         for batch in batches:
-            found = np.round(scorer.scores([t.as_py() for t in batch.column(text)]), 6)
+            found = np.round(scorer.scores((t.as_py() for t in batch.column(text)), batch.num_rows), 6)
             new = [pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], names=schema.names)
 
