@@ -14,7 +14,7 @@ WEBHOOK = """object STRING, entry ARRAY<STRUCT<changes: ARRAY<STRUCT<value: STRU
          statuses: ARRAY<STRUCT<id: STRING, status: STRING, recipient_id: STRING, timestamp: STRING,
                                 errors: ARRAY<STRUCT<title: STRING, message: STRING>>>>>>>>>"""
 
-#: What a post of the messaging provider calls itself; others are not read.
+#: Fixed value: what a post of the messaging provider calls itself; others are not read.
 POST_OBJECT = "whatsapp_business_account"
 
 
