@@ -85,4 +85,29 @@ SELECT j.page_id, j.host, j.path, j.rule,
 FROM judged j LEFT JOIN member m ON j.node = m.node LEFT JOIN flags f ON m.component = f.component
 """
 
-ORACLES = {"op7_mix_sources": _MIX, "op10_url_filter": _URLS}
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Every part against every entry of its position."""
+    steps, book = [], "b0"
+    nearest = lambda book: f"""SELECT p.id, p.position, p.v, min_by(b.entry, (d, b.entry)) AS entry, min(d) AS d
+      FROM (SELECT p.id, p.position, p.v, b.entry, list_sum(list_transform(p.v, lambda x, i: (x - b.v[i]) * (x - b.v[i]))) AS d FROM parts p JOIN {book} b USING (position)) p, (SELECT p.entry) b GROUP BY 1, 2, 3"""
+    for k in range(1, rounds + 1):
+        steps.append(f"a{k} AS ({nearest(book)})")
+        steps.append(f"""m{k} AS (SELECT position, entry, list(m ORDER BY place) AS v FROM (
+          SELECT position, entry, place, CAST(sum(v[place]) // count(*) - CASE WHEN sum(v[place]) % count(*) < 0 THEN 1 ELSE 0 END AS BIGINT) AS m FROM a{k}, (SELECT unnest(range(1, (SELECT max(len(v)) + 1 FROM parts))) AS place) GROUP BY 1, 2, 3) GROUP BY 1, 2)""")
+        steps.append(f"b{k} AS (SELECT b.position, b.entry, coalesce(m.v, b.v) AS v FROM {book} b LEFT JOIN m{k} m ON b.position = m.position AND b.entry = m.entry)")
+        book = f"b{k}"
+    steps.append(f"coded AS (SELECT id, string_agg(lower(printf('%02x', entry)), '' ORDER BY position) AS code, CAST(sum(d) AS BIGINT) AS error FROM ({nearest(book)}) GROUP BY 1)")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS id, vec_id, label, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+parts AS (SELECT id, position, x[position * len(x) // {parts} + 1 : (position + 1) * len(x) // {parts}] AS v FROM kept, (SELECT unnest(range({parts})) AS position)),
+b0 AS (SELECT position, id - 1 AS entry, v FROM parts WHERE id <= {entries}),
+{", ".join(steps)}
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY position, entry)) FROM {book}) AS codebooks_sha256
+FROM kept JOIN coded USING (id)
+"""
+
+
+ORACLES = {"op13_vector_codes": _codes_sql(), "op7_mix_sources": _MIX, "op10_url_filter": _URLS}
