@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, codes, media, mixing, pii, repeats, simhash, token_counts, toxicity, urls, vectors, whitening
+from . import article, bpe, codes, media, mixing, pii, repeats, simhash, token_counts, toxicity, urls, vectors, whitening
 from .storage import read, stored
 
 
@@ -96,6 +96,10 @@ def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return article.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = codes.compress(read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
     return codes.label_errors(coded).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
