@@ -23,10 +23,10 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import with_fields
+from .storage import stored, with_fields
 
 #: Words in a window, and between the starts of two windows.
 WINDOW, STRIDE = 24, 12
@@ -280,10 +280,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
     """Fits a network on a bounded sample of the labelled documents that are not held out.
 
     The sample has at most SAMPLE_TOXIC and SAMPLE_CLEAN documents, first in the
-    order of a hash of doc_id, and of each label only as many of them as have
-    SAMPLE_TEXT characters together; a document is in it with its whole text or not
-    at all. Of rows that share a doc_id one counts. Without documents of both labels
-    the network stays as it was drawn.
+    order of a hash of doc_id, and of each label at most SAMPLE_TEXT characters: a
+    document that doesn't fit into what is left of them is passed over, so it is in the
+    sample with its whole text or not at all. Of rows that share a doc_id one counts.
+    Without documents of both labels the network stays as it was drawn; documents of a
+    label of which none fits raise.
     """
     usable = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
@@ -291,9 +292,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
     first = [usable.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(n) for k, n in limits.items()]
     wanted = F.broadcast(first[0].unionAll(first[1]))  # bounded by the two limits
     found = docs.select("doc_id", "text").join(wanted, "doc_id").groupBy("doc_id", "h", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    so_far = Window.partitionBy("toxic").orderBy("h", "doc_id")
-    rows = found.withColumn("chars", F.sum(F.length(F.coalesce("text", F.lit("")))).over(so_far)).where(F.col("chars") <= SAMPLE_TEXT)
-    sample = sorted((r.h, r.toxic, r.text or "") for r in rows.select("h", "toxic", "text").collect())
+    found = stored(found)
+    lengths = found.select("h", "doc_id", "toxic", F.length(F.coalesce("text", F.lit(""))).alias("n")).collect()  # no texts yet
+    chosen, left = [], {k: SAMPLE_TEXT for k in limits}
+    for r in sorted(lengths, key=lambda r: (r.h, r.doc_id)):
+        if r.n <= left[r.toxic]:
+            left[r.toxic] -= r.n
+            chosen.append(r.doc_id)
+    for label in limits:
+        if any(r.toxic == label for r in lengths) and not any(r.toxic == label and r.n <= SAMPLE_TEXT for r in lengths):
+            raise ValueError(f"no document of label {label} has at most {SAMPLE_TEXT} characters")
+    rows = found.where(F.col("doc_id").isin(chosen)).select("h", "toxic", "text").collect() if chosen else []
+    sample = sorted((r.h, r.toxic, r.text or "") for r in rows)
     return Network().fit([t for _, _, t in sample], [y for _, y, _ in sample])
 
 

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shoploom.llm import queries, toxicity
 
@@ -164,3 +165,19 @@ def test_sample_is_bounded(spark, monkeypatch):
     for label in (0, 1):
         own = [t for t, y in zip(seen["t"], seen["y"], strict=True) if y == label]
         assert 2 <= len(own) <= 6 and sum(map(len, own)) <= 40 and set(own) <= {"word " * 3, "other", ""}
+
+
+def test_giant_text_is_passed_over(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_TEXT", 100)
+    seen = {}
+    monkeypatch.setattr(toxicity.Network, "fit", lambda self, t, y: seen.update(t=t, y=y) or self)
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    order = [r.doc_id for r in labels.orderBy(F.xxhash64("doc_id")).collect()]
+    texts = {i: "giant " * 100 if n < 2 else "small text" for n, i in enumerate(order)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    toxicity.train(docs, labels)
+    assert seen["t"] == ["small text"] * len(seen["t"]) and {y: seen["y"].count(y) for y in (0, 1)} == {0: 10, 1: 10}
+    docs = spark.createDataFrame([(i, "giant " * 100 if k % 2 else "small text") for k, i in enumerate(ids)], "doc_id long, text string")
+    with pytest.raises(ValueError, match="no document of label 1"):
+        toxicity.train(docs, labels)
