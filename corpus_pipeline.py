@@ -57,8 +57,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     give none.
     """
     slim = docs.select("doc_id", "source")
-    placed = mixing.mix(slim).groupBy("doc_id").agg(F.min(F.struct("position", "slot")).alias("p")).select("doc_id", "p.*")
-    parts, files = mixing.parted(cut(placed), slim, FILE_ROWS)
+    placed = mixing.mix(slim).groupBy("doc_id").agg(F.min(F.struct("position", "slot")).alias("p"), F.count("*").alias("n")).select("doc_id", "p.*", "n")
+    parts, files = mixing.parted(cut(placed), FILE_ROWS)
     rows = docs.select(F.struct("*").alias("row")).join(parts, F.col("row.doc_id").eqNullSafe(parts["doc_id"]))
     return rows.select("row", "position", "part").repartitionById(files, F.col("part")).sortWithinPartitions("position").select("row.*")
 

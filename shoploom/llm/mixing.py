@@ -26,10 +26,12 @@ BLOCK_ROWS, SHARES = 64, 1000
 BUCKET_ROWS = 512
 #: Buckets, as a power of two, whose rows the upper level of the running sum takes together.
 STRETCH_BITS = 10
+#: Slots of a period at most.
+MOST_SLOTS = 10_000_000
 #: Copies of an equal row that are written out together.
 COPIES = 4096
 
-_GCD = "aggregate(sequence(1, 64), named_struct('a', {0}, 'b', {1}), (s, _) -> if(s.b = 0, s, named_struct('a', s.b, 'b', s.a % s.b)), s -> s.a)"
+_GCD = "aggregate(sequence(1, 190), named_struct('a', {0}, 'b', {1}), (s, _) -> if(s.b = 0, s, named_struct('a', s.b, 'b', s.a % s.b)), s -> s.a)"
 
 #: Slots of a stretch; the order of each stretch is put together on its own, so appending stays cheap.
 _STRETCH = 512
@@ -55,17 +57,40 @@ flatten(aggregate(
 """
 
 
-def weighted(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+def _shares(weights: DataFrame, zero: str) -> DataFrame:
+    """(src, x): weights as whole numbers in the proportion in which they are written."""
+    text = F.col("weight").cast("string")
+    x = F.expr("try_cast(weight as decimal(38, 18))") if dict(weights.dtypes)["weight"] != "double" and dict(weights.dtypes)["weight"] != "float" else F.expr("try_cast(cast(weight as string) as decimal(38, 18))")
+    wrong = F.raise_error(F.concat(F.lit("not a weight from 0 to 10 ** 14: "), F.coalesce(text, F.lit("null"))))
+    fine = F.col("weight").isNull() | (x.isNotNull() & (x >= 0) & (x < F.lit(10**14).cast("decimal(38,18)")) & ((x > 0) | (text.cast("double") == 0)))
+    whole = F.when(fine, (x * F.lit(10**18).cast("decimal(19,0)")).cast("decimal(38,0)")).otherwise(wrong.cast("decimal(38,0)"))
+    given = weights.select(F.coalesce("source", F.lit("")).alias("src"), whole.alias("x")).groupBy("src").agg(F.max("x").alias("x"))
+    return given if zero == "leave out" else given.where("x > 0")
+
+
+def weighted(docs: DataFrame, weights: DataFrame | None = None, zero: str = "least") -> DataFrame:
     """(src, n, w): the rows and the whole weight of each source of docs.
 
+    Given weights are numbers of any type, fractions too, and are scaled to whole ones
+    in exactly the proportion in which they are written, up to 18 decimal places: 0.7,
+    0.2 and 0.1 are 7, 2 and 1. A source without a weight has the least one given. So
+    does one of weight 0, or with zero="leave out" it isn't in the result, and its rows
+    aren't in the mix. What is no number, is negative, or not below 10 ** 14, raises.
+
     By default a source weighs the square root of its rows, as for language
     sampling with temperature 2, in thousandths of the sum of those roots and 1 at
     least.
     """
+    if zero not in ("least", "leave out"):
+        raise ValueError('zero is "least" or "leave out"')
     sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("src")).agg(F.count("*").alias("n"))
     if weights is not None:
-        given = weights.groupBy(F.coalesce("source", F.lit("")).alias("src")).agg(F.max("weight").cast("long").alias("w"))
-        return sizes.join(given, "src", "left").select("src", "n", F.greatest(F.coalesce("w", F.lit(1)), F.lit(1)).cast("long").alias("w"))
+        joined = sizes.join(_shares(weights, zero), "src", "left").withColumn("one", F.lit(1))
+        # what the weights of all sources are measured by: the least one, and the greatest divisor of all, in one row
+        unit = joined.where("x > 0").groupBy("one").agg(F.min("x").alias("least"), F.collect_set("x").alias("xs"))
+        unit = unit.withColumn("unit", F.expr(f"aggregate(xs, cast(0 as decimal(38,0)), (a, b) -> {_GCD.format('b', 'a')})")).drop("xs")
+        scaled = joined.join(unit, "one", "left").withColumn("w", F.expr("coalesce(cast(coalesce(x, least) div unit as bigint), 1L)"))
+        return scaled.where("w > 0").select("src", "n", "w")
     roots = sizes.withColumn("root", F.greatest(F.floor(F.sqrt("n")), F.lit(1)))
     total = roots.agg(F.sum("root").alias("total")).withColumn("one", F.lit(1))
     shared = roots.withColumn("one", F.lit(1)).join(total, "one")
@@ -76,7 +101,8 @@ def schedule(sources: DataFrame) -> DataFrame:
     """(src, turn, slot, turns, period): the slot of each of a source's blocks in one period of the mix.
 
     One row holds all sources: their number is bounded by the table of weights. It
-    takes (sum of weights / their divisor) x sources steps.
+    takes (sum of weights / their divisor) x sources steps; more slots than MOST_SLOTS
+    raise.
     """
     all_of = sources.agg(F.sort_array(F.collect_list(F.struct("src", "w"))).alias("all"))
     divisor = f"aggregate(all, 0L, (x, s) -> {_GCD.format('s.w', 'x')})"
@@ -84,6 +110,8 @@ def schedule(sources: DataFrame) -> DataFrame:
         F.expr("transform(all, s -> named_struct('src', s.src, 'c', s.w div g))").alias("parts"),
         F.expr("aggregate(all, 0L, (x, s) -> x + s.w) div g").alias("slots"),
     )
+    long = F.raise_error(F.concat(F.lit("round the weights: the mix would repeat only after this many blocks: "), F.col("slots").cast("string")))
+    shape = shape.withColumn("slots", F.when(F.col("slots") <= MOST_SLOTS, F.col("slots")).otherwise(long.cast("long")))
     placed = shape.select("slots", "parts", F.posexplode(F.expr(_EDF)).alias("slot", "pick")).select("slots", F.col("slot").cast("long").alias("slot"), F.expr("parts[pick]").alias("p"))
     turn = F.row_number().over(Window.partitionBy("p.src").orderBy("slot")) - 1
     return placed.select(F.col("p.src").alias("src"), turn.cast("long").alias("turn"), "slot", F.col("p.c").alias("turns"), F.col("slots").alias("period"))
@@ -133,11 +161,11 @@ def _ranked(docs: DataFrame, columns: list[str]) -> DataFrame:
     return single.unionByName(written)
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, block_rows: int = BLOCK_ROWS, zero: str = "least") -> DataFrame:
     """Adds block (of its source), slot (of the block in the mix) and position to every row.
 
-    docs needs doc_id and source; weights has source and a whole weight, and
-    defaults to weighted(). A source without a positive weight has weight 1; a null
+    docs needs doc_id and source; weights has source and weight, as weighted() takes
+    them, which also gives the default and says what zero does. A null
     source counts as the empty name. Rows with equal or null doc_id keep one place
     each, in an order fixed by their columns. Input columns named block, slot or
     position are replaced. An empty table gives an empty result.
@@ -147,7 +175,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_rows: int = BLO
     through the mix, with gaps at empty slots and after the short last block of a source.
     """
     extra = [c for c in docs.columns if c not in ("block", "slot", "position")]
-    plan = schedule(weighted(docs, weights))
+    plan = schedule(weighted(docs, weights, zero))
     turns = plan.groupBy("src").agg(F.max("turns").alias("turns"), F.max("period").alias("period"))
     ranked = (
         _ranked(docs, extra)
@@ -160,13 +188,21 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_rows: int = BLO
     return placed.select("row.*", "block", slot.alias("slot"), (slot * block_rows + F.expr(f"rank % {block_rows}")).alias("position"))
 
 
-def parted(mixed: DataFrame, docs: DataFrame, rows: int, weights: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
+def parted(mixed: DataFrame, rows: int, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
     """mixed with part, which rises with position and holds about that many rows each, and the number of parts.
 
-    How many rows stand before a slot follows from the sources' weights and sizes,
-    a row of sums that is worked out once: no rows are sorted for it.
+    Rows are counted for each stretch of slots that has room for that many, and a
+    running sum over the counts says where a stretch stands: no rows are sorted for
+    it, and the number of sources doesn't matter. A column n counts a row that often.
+    mixed should be stored: it is read twice.
     """
-    sums = weighted(docs, weights).agg(F.collect_list(F.struct("n", "w")).alias("all"), F.sum("w").alias("total"), F.sum("n").alias("n")).first()
-    parts = max(1, -(-(sums.n or 0) // rows))
-    before = sum((F.least(F.lit(s.n), F.floor(F.col("slot") * (block_rows * s.w / sums.total))) for s in sums["all"] or ()), F.lit(0))
-    return mixed.withColumn("part", F.least(F.lit(parts - 1), F.floor(before / rows)).cast("int")), parts
+    own = F.col("n") if "n" in mixed.columns else F.lit(1)
+    stretch = F.floor(F.col("slot") / max(1, rows // block_rows))
+    counts = mixed.groupBy(stretch.alias("stretch")).agg(F.sum(own).alias("rows")).withColumn("upper", F.shiftright("stretch", STRETCH_BITS))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    above = counts.groupBy("upper").agg(F.sum("rows").alias("rows")).select("upper", F.coalesce(F.sum("rows").over(before.orderBy("upper")), F.lit(0)).alias("above"))
+    below = F.coalesce(F.sum("rows").over(before.partitionBy("upper").orderBy("stretch")), F.lit(0))
+    placed = counts.select("upper", F.col("stretch").alias("at"), below.alias("below")).join(above, "upper")
+    part = placed.select("at", F.floor((F.col("above") + F.col("below")) / rows).cast("int").alias("part"))
+    total = counts.agg(F.sum("rows").alias("n")).first().n or 0
+    return mixed.join(part, stretch == F.col("at")).drop("at"), max(1, -(-total // rows))

@@ -5,6 +5,7 @@ from math import isqrt
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from shoploom.llm import mixing, queries, sql
 
@@ -20,8 +21,9 @@ def brute(rows, weights=None, block=mixing.BLOCK_ROWS):
     own = defaultdict(list)
     for i, s in rows:
         own[s or ""].append((int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16), i))
-    w = default_weights({s: len(v) for s, v in own.items()}) if weights is None else {s: max(1, weights.get(s, 1)) for s in own}
-    share = {s: Fraction(w[s], sum(w.values())) for s in own}
+    sizes = {s: len(v) for s, v in own.items()}
+    w = default_weights(sizes) if weights is None else {s: Fraction(str(weights.get(s) or min(x for k, x in weights.items() if x and k in own))) for s in own}
+    share = {s: Fraction(w[s]) / sum(w.values()) for s in own}
     left = {s: -(-len(v) // block) for s, v in own.items()}
     slots, done, t = {}, Counter(), 0
     while any(done[s] < left[s] for s in own):
@@ -50,7 +52,7 @@ def test_against_simulation(spark, monkeypatch, weights, bucket):
     assert {r.doc_id: (r.source or "", r.block, r.slot) for r in got} == want
     assert len({r.position for r in got}) == len(got) == 1200
     assert all(r.position // 4 == r.slot for r in got)
-    parts, n = mixing.parted(mixed, df, 100, given, block_rows=4)
+    parts, n = mixing.parted(mixed, 100, block_rows=4)
     rows = sorted((r.position, r.part) for r in parts.collect())
     assert n == 12 and [p for _, p in rows] == sorted(p for _, p in rows)
     assert max(Counter(p for _, p in rows).values()) <= 100 + 8 * 4 * 2
@@ -105,3 +107,43 @@ def test_odd_rows(spark, monkeypatch):
     assert Counter((r.doc_id, r.text) for r in got) == Counter((i, t) for i, _, t in rows)
     own = sorted(r.position for r in got if r.doc_id == 7 and r.text != "z")
     assert own[-1] - own[0] <= 60  # rows of one id stay together
+
+
+@pytest.mark.parametrize("kind", ["double", "decimal(9,4)", "string", "float"])
+def test_fractions(spark, kind):
+    rows = [(i, "abc"[i % 3]) for i in range(3000)]
+    weights = {"a": 0.7, "b": 0.2, "c": 0.1}
+    given = spark.createDataFrame(list(weights.items()), "source string, weight double").withColumn("weight", F.col("weight").cast(kind))
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    assert {r.src: r.w for r in mixing.weighted(df, given).collect()} == {"a": 7, "b": 2, "c": 1}
+    got = mixing.mix(df, given, block_rows=10).collect()
+    assert {r.doc_id: (r.source, r.block, r.slot) for r in got} == brute(rows, weights, 10)[0]
+    first = Counter()
+    for slot, source in sorted({(r.slot, r.source) for r in got})[:100]:
+        first[source] += 1
+        assert all(abs(first[s] - w * (slot + 1)) < 1 + 1e-9 for s, w in weights.items())
+
+
+def test_weights_of_zero_and_none(spark):
+    df = spark.createDataFrame([(i, "abcd"[i % 4]) for i in range(40)], "doc_id long, source string")
+    given = spark.createDataFrame([("a", 2.5), ("b", 0.5), ("c", 0.0), ("e", 0.1)], "source string, weight double")
+    assert {r.src: r.w for r in mixing.weighted(df, given).collect()} == {"a": 5, "b": 1, "c": 1, "d": 1}
+    assert {r.src: r.w for r in mixing.weighted(df, given, "leave out").collect()} == {"a": 5, "b": 1, "d": 1}
+    assert {r.source for r in mixing.mix(df, given, 4, "leave out").collect()} == {"a", "b", "d"} and mixing.mix(df, given, 4).count() == 40
+    third = spark.createDataFrame([("a", 1 / 3), ("b", 2 / 3)], "source string, weight double")
+    assert {r.src: r.w for r in mixing.weighted(df.where("source in ('a', 'b')"), third).collect()} == {"a": 1, "b": 2}
+    for bad in ("x", "-1", "NaN", "1e15"):
+        with pytest.raises(Exception, match="not a weight"):
+            mixing.weighted(df, spark.createDataFrame([("a", bad)], "source string, weight string")).collect()
+    with pytest.raises(Exception, match="round the weights"):
+        mixing.mix(df, spark.createDataFrame([("a", 0.123456789), ("b", 0.5)], "source string, weight double")).collect()
+
+
+def test_many_sources(spark):
+    n = 3000
+    df = spark.createDataFrame([(i, f"s{i % n}") for i in range(2 * n)], "doc_id long, source string")
+    given = spark.createDataFrame([(f"s{i}", 1) for i in range(n)], "source string, weight int")
+    mixed = mixing.mix(df, given, block_rows=1).checkpoint()
+    assert mixed.groupBy("slot").count().count() == 2 * n
+    parts, files = mixing.parted(mixed, 500, block_rows=1)
+    assert files == 12 and sorted(r["count"] for r in parts.groupBy("part").count().collect()) == [500] * 12
