@@ -137,11 +137,44 @@ def islands(text: str):
     yield start, end
 
 
+_NAME, _WORDS = re.compile(r"[\w.%+-]+"), re.compile(r"[\w-]+")
+_AT, _DOT = (re.compile(rf" ?[\[({{<]? ?(?i:{mark}) ?[\])}}>]? ?") for mark in ("at|@", r"dot|\."))
+_BOTH = re.compile(r"(?i)(?:at|@).*(?:dot|\.)")
+
+
+def spoken(s: str) -> bool:
+    """Whether all of s is a name, an at mark, and words with dot marks between them; marks may be written out.
+
+    A mark's letters may also be a word's, so s is read from left to right with all
+    places at which a name or word can end: one look for a mark from each.
+    """
+    if _BOTH.search(s) is None:
+        return False
+    name = _NAME.match(s)
+    if name is None:
+        return False
+
+    def behind(mark, places):
+        found = set()
+        for i in places:
+            m = mark.match(s, i)
+            word = m and _WORDS.match(s, m.end())
+            if word:
+                found.update(range(word.start() + 1, word.end() + 1))
+        return found
+
+    first = behind(_AT, range(1, name.end() + 1))
+    seen, new = set(), behind(_DOT, first)
+    while new:
+        seen |= new
+        new = behind(_DOT, new) - seen
+    return len(s) in seen
+
+
 _SHAPES = [
     re.compile(p)
     for p in (
         r"[\w.%+-]+@[\w-]+(\.[\w-]+)+",
-        r"[\w.%+-]+ ?[\[({<]? ?(?i:at|@) ?[\])}>]? ?[\w-]+( ?[\[({<]? ?(?i:dot|\.) ?[\])}>]? ?[\w-]+)+",
         r"\S+ ?[\[({<]? ?(?i:at|@) ?[\])}>]? ?\S.*([\])}>.]|(?i:dot)) ?(?i:com|org|net|edu|gov|info|io|de|fr|uk|eu|ca|ch|nl|jp)",
         r"\d{1,3}(\.\d{1,3}){3}",
         r"\d{4}([ .-]?)\d{4}\1\d{4}\1\d{4}",
@@ -171,7 +204,7 @@ _PLAIN = (
     lambda s: s.isdigit(),
 )
 _EDGES = 6
-WIDTH = 1 + len(_SHAPES) + len(_PLAIN) + 8 + 5 + 2 + 2 * _EDGES + 3
+WIDTH = 1 + len(_SHAPES) + 1 + len(_PLAIN) + 8 + 5 + 2 + 2 * _EDGES + 3
 
 
 def _edge(c: str) -> int:
@@ -185,7 +218,7 @@ def segment_features(text: str, start: int, end: int, tokens: int) -> np.ndarray
     digits = "".join(c for c in s if "0" <= c <= "9")
     n = len(digits)
     x = [1.0]
-    x += [p.fullmatch(s) is not None for p in _SHAPES]
+    x += [_SHAPES[0].fullmatch(s) is not None, spoken(s), *(p.fullmatch(s) is not None for p in _SHAPES[1:])]
     x += [f(s) for f in _PLAIN]
     x += [lo <= n <= hi for lo, hi in ((0, 0), (1, 3), (4, 6), (7, 8), (9, 12), (13, 16), (17, 19), (20, 10**9))]
     x += [s.count(".") == k for k in range(4)] + [s.count(".") > 3]

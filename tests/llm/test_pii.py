@@ -1,3 +1,5 @@
+import time
+import random
 import hashlib
 import re
 import tracemalloc
@@ -142,3 +144,22 @@ def test_addresses_written_out():
         assert pii.masked(text, pii.spans(text, field)) in ("please write to <EMAIL> or come by",), want
     for text in ("look at the picture, dot by dot", "he is at home (at last)", "matrix a @ b here", "look at the dot on the map"):
         assert pii.spans(text, field) == [], text
+
+
+def test_spoken_addresses_are_read_in_steps():
+    plain = re.compile(r"[\w.%+-]+ ?[\[({<]? ?(?i:at|@) ?[\])}>]? ?[\w-]+( ?[\[({<]? ?(?i:dot|\.) ?[\])}>]? ?[\w-]+)+")
+    r = random.Random(1)
+    found = 0
+    for _ in range(30_000):
+        s = "".join(r.choice(["a", "dot", "at", "@", " ", ".", "[", "]", "(", "-", "x", "Dot", "o", "t"]) for _ in range(r.randint(1, 10)))
+        found += pii.spoken(s)
+        assert pii.spoken(s) == (plain.fullmatch(s) is not None), s
+    assert found > 200
+
+
+def test_text_that_is_dear_to_match():
+    weights = pii.trained()
+    for text in ("a@" + "dotx" * 250_000 + "/b", ("a@" + "dotx" * 15 + " ") * 3000):
+        began = time.time()
+        pii.spans(text, weights)
+        assert time.time() - began < 30
