@@ -36,6 +36,8 @@ COSINE = 0.95
 OVERLAP, SHARD, CHUNK = 3, 1500, 3000
 #: The bound of the sample that centres are fitted on, sample vectors for a centre, and rounds.
 SAMPLE, FOR_CENTRE, ROUNDS = 131_072, 64, 8
+#: Bytes of a sample's vectors in single precision, and vectors that are compared with all centres at once.
+SAMPLE_BYTES, AT_ONCE = 64 << 20, 1024
 #: Kept neighbours of a vector, candidates they are chosen from, and how much nearer another neighbour must be to replace one.
 DEGREE, CANDIDATES, ALPHA = 24, 40, 1.2
 #: Places of the greedy search's beam, and its steps.
@@ -57,12 +59,16 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def _fitted(x: np.ndarray, want: int) -> np.ndarray:
-    """Cluster centres of unit vectors, on the sphere; the first vectors are where they begin."""
-    c = x[:want]
+    """Cluster centres of vectors, on the sphere; the first vectors are where they begin. Vectors are taken a block at a time."""
+    c = _unit(x[:want].astype(np.float64))
     for _ in range(ROUNDS):
-        near = (x @ c.T).argmax(1)
         sums = np.zeros_like(c)
-        np.add.at(sums, near, x)
+        for at in range(0, len(x), AT_ONCE):
+            part = _unit(x[at : at + AT_ONCE].astype(np.float64))
+            near = (part @ c.T).argmax(1)
+            order = np.argsort(near, kind="stable")
+            some, first = np.unique(near[order], return_index=True)
+            sums[some] += np.add.reduceat(part[order], first, axis=0)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
         c = np.where(norms > 1e-12, sums / np.maximum(norms, 1e-12), c)
     return c
@@ -75,15 +81,28 @@ def _wanted(n: int) -> int:
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     k = min(OVERLAP, len(c))
-    return np.sort(np.argpartition(-(x @ c.T), k - 1, axis=1)[:, :k], axis=1)
+    parts = [np.argpartition(-(x[at : at + AT_ONCE] @ c.T), k - 1, axis=1)[:, :k] for at in range(0, len(x), AT_ONCE)]
+    return np.sort(np.concatenate(parts), axis=1)
 
 
 def centres(classes: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Cluster centres by length of vector, from a sample that is bounded and first in the order of a hash."""
+    """Cluster centres by length of vector, from a sample that is bounded and first in the order of a hash.
+
+    Bounded are its vectors and their bytes: longer vectors make a smaller sample.
+    """
     want = _wanted(n)
-    rows = classes.select("id", "embedding").orderBy(F.xxhash64("id")).limit(want * FOR_CENTRE).collect()
-    sizes = {len(r.embedding) for r in rows}
-    return {size: _fitted(_unit(np.array([r.embedding for r in rows if len(r.embedding) == size], np.float64)), want) for size in sizes}
+    longest = classes.agg(F.max(F.size("embedding"))).first()[0] or 1
+    rows = min(want * FOR_CENTRE, max(1, SAMPLE_BYTES // (4 * max(1, longest))))
+    first = classes.select("embedding", F.xxhash64("id").alias("h")).orderBy("h").limit(rows)
+    table = first.select(F.col("embedding").cast("array<float>").alias("embedding")).toArrow()
+    by_size: dict[int, list[np.ndarray]] = {}
+    for column in table.column("embedding").chunks:
+        sizes = column.value_lengths().to_numpy()
+        for size in np.unique(sizes):
+            own = column.filter(pa.array(sizes == size)).flatten().to_numpy(zero_copy_only=False)
+            by_size.setdefault(int(size), []).append(own.reshape(-1, size))
+    del table
+    return {size: _fitted(np.concatenate(parts), want) for size, parts in by_size.items()}
 
 
 def assign(classes: DataFrame, by_size: dict[int, np.ndarray]) -> DataFrame:
@@ -117,12 +136,13 @@ def _clustered_again(members: DataFrame, crowded: DataFrame) -> DataFrame:
     of about CHUNK, so no task holds a shard.
     """
     sized = members.join(crowded, "shard").withColumn("want", F.least(F.lit(SAMPLE // FOR_CENTRE), F.ceil(F.col("n") * OVERLAP / SHARD)).cast("long"))
-    every = F.greatest(F.lit(1), F.floor(F.col("n") / (F.col("want") * FOR_CENTRE))).cast("long")
+    rows = F.least(F.col("want") * FOR_CENTRE, F.lit(SAMPLE_BYTES) / (8 * F.greatest(F.size("vec"), F.lit(1))))
+    every = F.greatest(F.lit(1), F.floor(F.col("n") / rows)).cast("long")
     sample = sized.where(F.pmod(F.xxhash64("id", "shard"), every) == 0).select("shard", "want", "id", "vec")
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
-        c = _fitted(_unit(np.stack(frame["vec"].to_numpy()).astype(np.float64)), int(frame["want"].iloc[0]))
+        c = _fitted(np.stack(frame["vec"].to_numpy()), int(frame["want"].iloc[0]))
         return pd.DataFrame({"shard": frame["shard"].iloc[0], "centre": np.arange(len(c)), "vec": list(c)})
 
     found = cut(sample.groupBy("shard").applyInPandas(fit, "shard long, centre long, vec array<double>"))

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -115,3 +117,34 @@ def test_empty_and_null_ids(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0]), (5, [1.0, 0.0]), (5, [1.0, 0.0]), (6, [1.0, 0.01])], "vec_id long, embedding array<float>")
     got = sorted(vectors.near_duplicates(df).collect(), key=str)
     assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got) == [(0, 0, 0, False), (5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False)]
+
+
+def test_fitting_takes_blocks(monkeypatch):
+    x = np.random.default_rng(0).standard_normal((20_000, 32)).astype(np.float32)
+    x[:300] = np.round(x[:300])
+    tracemalloc.start()
+    got = vectors._fitted(x, 300)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20  # all products at once are 48 MB
+    unit = vectors._unit(x.astype(np.float64))
+    want = unit[:300]
+    for _ in range(vectors.ROUNDS):
+        near = (unit @ want.T).argmax(1)
+        sums = np.zeros_like(want)
+        np.add.at(sums, near, unit)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        want = np.where(norms > 1e-12, sums / np.maximum(norms, 1e-12), want)
+    assert np.allclose(got, want)
+    near = vectors._nearest(unit, want)
+    assert (near == np.sort(np.argsort(-(unit @ want.T), axis=1)[:, : vectors.OVERLAP], axis=1)).all()
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SAMPLE_BYTES", 4 * 16 * 100)
+    seen = []
+    monkeypatch.setattr(vectors, "_fitted", lambda x, want: seen.append(x.shape) or x[:want])
+    r = np.random.default_rng(1)
+    rows = [(i, r.standard_normal(16 if i % 10 else 8).tolist()) for i in range(900)]
+    found = vectors.centres(spark.createDataFrame(rows, "id long, embedding array<float>"), 5000)
+    assert sorted(found) == [8, 16] and sum(n for n, _ in seen) == 100
