@@ -8,7 +8,7 @@ the last-token states of the current path, so a prefix that many words share is
 worked out once. The ids of a word are then read backwards from its last token.
 
 Texts are cut into pieces at white space, which no pre-token crosses; the
-encodings of pieces are kept between batches, up to a fixed number.
+encodings of pieces are kept between batches, up to a fixed number of bytes.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from .storage import with_fields
 #: Fixed value: the tokenizer file's pre-token pattern.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
-#: Pieces (and pairs of tokens) whose results a worker keeps.
-KEPT_PIECES, KEPT_PAIRS = 250_000, 400_000
+#: Bytes of pieces whose results a worker keeps, twice at most, with what each takes beside its letters and ids; pairs of tokens that it keeps.
+KEPT_BYTES, PIECE_BYTES, KEPT_PAIRS = 96 << 20, 200, 400_000
 #: Rows of one output batch, and tokens that are joined in one Arrow array.
 BATCH_ROWS, MOST_AT_ONCE = 512, 20_000_000
 
@@ -66,6 +66,7 @@ class Encoder:
         self.ends = {t.removesuffix(WORD_END): t for t in self.vocab if t.endswith(WORD_END)}
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.kept_bytes = 0
         self.pairs: dict[str, dict[str, bool]] = {}
         self.known_pairs = 0
 
@@ -172,6 +173,7 @@ class Encoder:
             self.pieces[piece] = self.older[piece]
         for piece, ws in split.items():
             self.pieces[piece] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+        self.kept_bytes += sum(PIECE_BYTES + 4 * len(piece) + len(self.pieces[piece]) for piece in pieces)
 
     def _cut(self, text: str) -> list[str]:
         if not text.isascii():
@@ -189,8 +191,8 @@ class Encoder:
             else:
                 cut.append([self._cut(text)])
         wanted = {x for parts in cut for p in parts if isinstance(p, list) for x in p}
-        if len(self.pieces) + len(wanted) > KEPT_PIECES:
-            self.older, self.pieces = self.pieces, {}
+        if self.kept_bytes > KEPT_BYTES:
+            self.older, self.pieces, self.kept_bytes = self.pieces, {}, 0
         self._learn(wanted - self.pieces.keys())
         ids_of = self.pieces.__getitem__
         return [b"".join([array("i", [self.added[p]]).tobytes() if isinstance(p, str) else b"".join(map(ids_of, p)) for p in parts]) for parts in cut]

@@ -1,6 +1,7 @@
 import hashlib
 import json
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import example, given, settings
@@ -33,7 +34,7 @@ def test_any_text_as_the_library(text):
 
 
 def test_turnover_of_kept_pieces(library, monkeypatch):
-    monkeypatch.setattr(bpe, "KEPT_PIECES", 8)
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 8 * bpe.PIECE_BYTES)
     monkeypatch.setattr(bpe, "KEPT_PAIRS", 5)
     texts = [f"word{i} tionre, a{i % 3} the the" for i in range(60)]
     e = bpe.Encoder(PATH)
@@ -84,3 +85,15 @@ def test_other_files_are_refused(tmp_path, change):
     (tmp_path / "t.json").write_text(json.dumps(spec))
     with pytest.raises(ValueError):
         bpe.Encoder(str(tmp_path / "t.json"))
+
+
+def test_kept_pieces_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 200_000)
+    own = bpe.Encoder(PATH)
+    library = Tokenizer.from_file(PATH)
+    size = lambda kept: sum(bpe.PIECE_BYTES + 4 * len(p) + len(ids) for p, ids in kept.items())
+    for batch in range(30):
+        texts = [" ".join(f"{batch}{k}x" + "ab" * 1000 for k in range(5)) for _ in range(2)] + ["and the same words"]
+        got = own.encode_batch(texts, False)
+        assert [np.frombuffer(g, np.int32).tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert size(own.pieces) <= own.kept_bytes <= 200_000 + 10 * 20_000 and size(own.older) <= 400_000
