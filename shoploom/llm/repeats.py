@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -190,8 +191,9 @@ def later_windows(data: np.ndarray, size: np.ndarray, doc: np.ndarray, sub: np.n
 def _placed(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, doc, sub, data) of all rows, whose order is (doc, sub), and of one row of each (doc, sub).
 
-    sub tells rows apart that share a doc_id, or have none, by 64 bits of a SHA-256
-    of the text; it is 0 for all where there are no such rows.
+    sub tells rows apart that share a doc_id, or have none, by some bits of a SHA-256
+    of the text and a salt; it is 0 for all where there are no such rows. Where two
+    texts of a doc_id have the same bits but not the same SHA-256, another salt is taken.
     """
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
@@ -199,11 +201,19 @@ def _placed(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     if again.isEmpty():
         rows = docs.select("doc_id", doc.alias("doc"), F.lit(0).cast("long").alias("sub"), data.alias("data"))
         return rows, rows
-    sub = F.conv(F.substring(F.sha2(data, 256), 1, 15), 16, 10).cast("long")
+    for salt in count():
+        salted = data if salt == 0 else F.concat(data, F.lit(f"\0{salt}").cast("binary"))
+        sub = F.conv(F.substring(F.sha2(salted, 256), 1, SUB_DIGITS), 16, 10).cast("long")
+        whole = docs.join(again.select(F.col("doc_id").alias("again")), F.col("doc_id").eqNullSafe(F.col("again")), "left_semi")
+        known = whole.select(doc.alias("doc"), sub.alias("sub"), F.sha2(data, 256).alias("whole")).groupBy("doc", "sub")
+        if known.agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b").isEmpty():
+            break
     rows = docs.select("doc_id", doc.alias("doc"), sub.alias("sub"), data.alias("data"))
     return rows, rows.dropDuplicates(["doc", "sub"])
 
 
+#: Hexadecimal digits of a sub.
+SUB_DIGITS = 15
 _SEGMENT = ("key", "doc", "sub", "first", "count")
 
 

@@ -143,3 +143,13 @@ def test_repeated_row_is_no_copy_of_itself(spark, monkeypatch, group):
     assert want[0] == (texts[0].encode(), 0) and want[1][1] == 1
     got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
     assert [(bytes(r.kept), r.n_spans) for r in got] == [want[0]] * 3 + [want[1]]
+
+
+def test_digests_that_collide(spark, monkeypatch):
+    """Five texts of one doc_id and one hexadecimal digit: salts are tried until no two have the same."""
+    monkeypatch.setattr(repeats, "SUB_DIGITS", 1)
+    texts = [" ".join(f"{k}{i * i}" for i in range(40)) for k in "abcde"]
+    rows = [(None, t) for t in texts] + [(7, texts[0]), (None, texts[1])]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep_bytes=True).collect()
+    assert sorted(bytes(r.kept).decode() for r in got if r.doc_id is None) == sorted([*texts, texts[1]])
+    assert [r.n_removed for r in got if r.doc_id == 7] == [len(texts[0])]
