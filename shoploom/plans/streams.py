@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from shoploom.session import new_table
 from shoploom.sources.tables import POST_OBJECT, parsed_posts, webhook_messages, webhook_statuses
+from shoploom.streaming import compaction
 from shoploom.streaming import transforms as s
+from shoploom.streaming.announce import announce_once
 
 from .registry import query
 
@@ -25,10 +27,33 @@ def stream_status_latest(t):
     return s.run_to_table(s.latest_status(keyed, "key", F.col("event_type"), F.struct("ts", "event_id")))
 
 
-@query("SELECT DISTINCT user_id AS conversation, event_type AS channel FROM events")
+def _threads(t):
+    return _events(t).select("at", F.col("user_id").alias("conversation"), F.col("event_type").alias("channel"))
+
+
+@query("SELECT DISTINCT user_id AS conversation, event_type AS channel FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL")
 def stream_conversations(t):
-    keyed = _events(t).select("at", F.col("user_id").alias("conversation"), F.col("event_type").alias("channel"))
-    return s.run_to_table(s.first_seen(keyed, ["conversation", "channel"], "at", "60 days").select("conversation", "channel"), "append")
+    """Every conversation of a channel when its first message comes, once for good."""
+    return s.run_to_table(announce_once(_threads(t), ["conversation", "channel"], "at"), "append")
+
+
+@query("""SELECT DISTINCT user_id AS conversation FROM events WHERE event_type <> 'signup' AND user_id IS NOT NULL
+  AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 150 AND user_id IS NOT NULL)""")
+def stream_new_conversations(t):
+    """The conversations that a stream of messages begins, beside a table of those that exist."""
+    known = t.events.where("event_type = 'signup' and value > 150").select(F.col("user_id").alias("conversation"))
+    return s.run_to_table(announce_once(_threads(t).where("channel <> 'signup'"), ["conversation"], "at", known), "append")
+
+
+@query("""SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'error'""")
+def stream_compacted(t):
+    """The last event of each user, from a table that a stream adds to and a compaction folds; an error deletes the user."""
+    spark, path = t.spark, new_table(t.spark)
+    stream = _events(t).drop("at")
+    order, gone = [F.col("ts").desc(), F.col("event_id").desc()], F.col("event_type") == "error"
+    s.upsert_each_batch(stream, f"{path}/table", f"{path}/state", ["user_id"]).awaitTermination()
+    compaction.compact(spark, f"{path}/table", stream.schema, ["user_id"], order, gone)
+    return compaction.current_rows(spark, f"{path}/table", stream.schema, ["user_id"], order, gone).select("user_id", "event_id", "event_type", "value")
 
 
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")

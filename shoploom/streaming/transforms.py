@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,6 +15,8 @@ from shoploom.operators.relational import latest_per_key
 from shoploom.session import new_table
 from shoploom.sources.tables import POST_OBJECT, WEBHOOK, webhook_messages, webhook_statuses
 
+from .compaction import runs, table_rows
+
 
 def webhook_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     """Posts of a messaging provider, one JSON document a line."""
@@ -54,7 +55,7 @@ def upsert_each_batch(stream: DataFrame, path: str, checkpoint: str, keys: Seque
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         run = json.loads(spark.read.text(f"{checkpoint}/metadata").first().value)["id"]
-        if number == 0 and (others := _runs(spark, path) - {run}):
+        if number == 0 and (others := runs(spark, path) - {run}):
             raise ValueError(f"{path} has rows of another checkpoint's stream: {sorted(others)}")
         rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
         rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/run={run}/batch={number}")
@@ -62,18 +63,9 @@ def upsert_each_batch(stream: DataFrame, path: str, checkpoint: str, keys: Seque
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _runs(spark: SparkSession, path: str) -> set[str]:
-    try:
-        return {r.run for r in spark.read.parquet(path).select("run").distinct().collect()}  # one for each stream
-    except AnalysisException:
-        return set()
-
-
 def written_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """All rows that upsert_each_batch wrote, with their batch; none where no batch has come yet."""
-    if not _runs(spark, path):
-        return spark.createDataFrame([], schema).withColumn("batch", F.lit(0))
-    return spark.read.parquet(path).drop("run", "bucket")
+    """All rows that upsert_each_batch wrote, with their batch; of those that a compaction has folded the newest of each key."""
+    return table_rows(spark, path, schema).drop("bucket")
 
 
 def newest_rows(spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -125,9 +117,13 @@ def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
     return spark.read.parquet(path).select(columns)
 
 
-def follow(spark: SparkSession, folder: str, table: str, schema, change: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """A table's parquet files as a stream."""
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+def follow(spark: SparkSession, folder: str, table: str, schema, change: Callable[[DataFrame], DataFrame] | None = None, files_per_batch: int = 1000) -> DataFrame:
+    """A table as a stream of its files: of those in the folder {table}.parquet, or of the one file of that name."""
+    own = f"{folder}/{table}.parquet"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    is_folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    stream = reader.parquet(own) if is_folder else reader.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
     return change(stream) if change else stream
 
 
