@@ -213,7 +213,8 @@ def standing_counts(df: DataFrame, start: Column, end: Column, calendar: DataFra
     An interval is two events at most, however long it is: +1 on its first day of the
     calendar and -1 behind its last one; a running sum over the days gives the counts.
     """
-    return running(change_events(df, start, end, first, last).groupBy("day").agg(F.sum("change").alias(name)), calendar, name)
+    changes = change_events(df, start, end, first, last).groupBy("day").agg(F.sum("change").alias(name))
+    return running(calendar.join(changes, "day", "left").fillna(0, [name]), name)
 
 
 def change_events(df: DataFrame, start: Column, end: Column, first: str, last: str) -> DataFrame:
@@ -225,11 +226,10 @@ def change_events(df: DataFrame, start: Column, end: Column, first: str, last: s
     return df.where(stands).select("*", F.explode(F.filter(both, lambda e: e.day <= F.lit(last).cast("date"))).alias("__e")).select(*df.columns, "__e.day", "__e.change")
 
 
-def running(changes: DataFrame, calendar: DataFrame, *names: str) -> DataFrame:
-    """Running sums over the days of a calendar, which is as long as it is, whatever the table."""
-    joined = calendar.join(changes, "day", "left").fillna(0, list(names))
+def running(calendar: DataFrame, *names: str) -> DataFrame:
+    """Running sums of columns over the days of a calendar: as many rows as days, whatever was counted."""
     so_far = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return joined.withColumns({n: F.sum(n).over(so_far) for n in names})
+    return calendar.withColumns({n: F.sum(n).over(so_far) for n in names})
 
 
 # --- numbers that are given out ---

@@ -97,7 +97,7 @@ _MONTHS = f"""SELECT strftime(visit_date, '%Y-%m') AS sort, strftime(visit_date,
   (SELECT string_agg(o_orderstatus || '=' || n, '; ' ORDER BY o_orderstatus) FROM (SELECT o_orderstatus, count(*) AS n FROM {_CONTRACTS} GROUP BY 1)) AS contract_statuses,
   (SELECT string_agg(event_type || '=' || n, '; ' ORDER BY event_type) FROM (SELECT event_type, count(*) AS n FROM {_ISSUES} GROUP BY 1)) AS issue_statuses""")
 def amc_dashboard(t):
-    """All thirteen measures over active rows: one grouping of contracts and issues by status, two of visits."""
+    """All thirteen measures over active rows: one grouping of contracts, of issues and of visits each."""
     as_of = F.lit(AS_OF).cast("date")
     visits = t.lineitem.where("l_returnflag <> 'R'").withColumn("visit_date", F.to_date("l_shipdate"))
     sums = lambda when, name: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0)).alias(name)
@@ -107,14 +107,20 @@ def amc_dashboard(t):
     status = F.col("o_orderstatus")
     contracts = by_status.agg(F.sum("n").alias("total_contracts"), sums(status == "O", "active_contracts"), sums(status == "F", "expired_contracts"), F.sum("due").alias("renewals"), pairs(["o_orderstatus"], "contract_statuses"))
 
+    # visits once, by engineer and month: both lists follow from it
     line, recent = F.col("l_linestatus"), F.col("visit_date") >= F.add_months(as_of, -12)
+    late = F.col("visit_date") >= F.add_months(as_of, -3)
     month = [F.when(recent, F.date_format("visit_date", f)).alias(n) for f, n in (("yyyy-MM", "sort"), ("yyyy-MMM", "month"))]
-    by_month = visits.groupBy(*month).agg(F.count("*").alias("n"), F.count_if(F.col("visit_date") == as_of).alias("today"), F.count_if(line == "F").alias("done"), F.count_if(line == "O").alias("open"))
+    by_both = visits.groupBy("l_suppkey", *month).agg(
+        F.count("*").alias("n"), F.count_if(F.col("visit_date") == as_of).alias("today"), F.count_if(line == "F").alias("done"), F.count_if(line == "O").alias("open"),
+        F.count_if(late).alias("late"), F.count_if(late & (line == "F")).alias("late_done"),
+    )
+    by_month = by_both.groupBy("sort", "month").agg(*[F.sum(c).alias(c) for c in ("n", "today", "done", "open")])
     entry = F.when(F.col("sort").isNotNull(), F.struct("sort", "month", "n"))  # collect_list leaves out the null of older visits
     months = F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda e: F.concat(e.month, F.lit("="), e.n.cast("string"))), "; ")
     visited = by_month.agg(F.sum("today").alias("visits_today"), F.sum("done").alias("completed_visits"), F.sum("open").alias("pending_visits"), months.alias("monthly_visits"))
 
-    by = visits.where(F.col("visit_date") >= F.add_months(as_of, -3)).groupBy("l_suppkey").agg(F.count("*").alias("total"), F.count_if(line == "F").alias("completed"))
+    by = by_both.groupBy("l_suppkey").agg(F.sum("late").alias("total"), F.sum("late_done").alias("completed")).where("total > 0")
     best = by.orderBy(F.col("completed").desc(), "l_suppkey").limit(10).withColumns({"rank": -F.col("completed"), "of": F.concat(F.col("completed").cast("string"), F.lit("/"), F.col("total").cast("string"))})
     engineers = best.agg(pairs(["rank", "l_suppkey"], "engineers", "of"))
 
@@ -174,29 +180,50 @@ _METRICS = f"""SELECT o_orderkey, total_visits, completed_visits, CASE WHEN o_cu
       count(*) FILTER (WHERE priority IN ('High', 'Critical')) AS high, count(*) FILTER (WHERE priority = 'Medium') AS medium, count(*) FILTER (WHERE priority = 'Low') AS low FROM ({_ISSUE_ROWS}) GROUP BY 1) i ON contract = o_orderkey)"""
 
 
-def _metrics(t):
-    """The figures of each contract's report; counters stored with the contract win over counted rows unless they are null or 0."""
-    line, flag, key = F.col("l_linestatus"), F.col("l_returnflag"), F.col("o_orderkey")
+def _visit_statuses(t):
+    line, flag = F.col("l_linestatus"), F.col("l_returnflag")
     status = F.when(line == "F", "Completed").when(flag == "R", "Cancelled").when(flag == "N", "Scheduled").otherwise("In Progress")
-    count = lambda *values: F.count_if(F.col("status").isin(*values))
-    visits = t.lineitem.select("l_orderkey", status.alias("status")).groupBy("l_orderkey").agg(F.count("*").alias("v"), count("Completed").alias("done"), count("Scheduled").alias("scheduled"), count("Cancelled").alias("cancelled"))
+    return t.lineitem.select("l_orderkey", "l_shipdate", status.alias("status"))
 
+
+def _issue_statuses(t):
     kinds, value = {"error": "Open", "click": "In Progress", "purchase": "Resolved", "signup": "Closed"}, F.col("value")
     priority = F.when(value > 200, "Critical").when(value > 100, "High").when(value > 50, "Medium").when(value > 20, "Low")
-    rows = lambda own: t.events.where((F.col("event_id") % 2 == 0) == F.lit(own)).select("user_id", mapped(F.col("event_type"), kinds).alias("status"), priority.alias("priority"))
-    of = lambda *values: F.count_if(F.col("priority").isin(*values))
-    issues = rows(True).unionAll(rows(False)).groupBy("user_id").agg(
-        F.count("*").alias("total_issues"), count("Open").alias("open_issues"), count("In Progress").alias("in_progress"), count("Resolved", "Closed").alias("resolved"),
+    return t.events.select("user_id", mapped(F.col("event_type"), kinds).alias("status"), priority.alias("priority"), priority.alias("level"))
+
+
+def _statuses(*values):
+    return F.count_if(F.col("status").isin(*values))
+
+
+def _visit_counts():
+    return F.count("*").alias("v"), _statuses("Completed").alias("done"), _statuses("Scheduled").alias("scheduled"), _statuses("Cancelled").alias("cancelled")
+
+
+def _issue_counts():
+    of = lambda *values: F.count_if(F.col("level").isin(*values))
+    return (
+        F.count("*").alias("total_issues"), _statuses("Open").alias("open_issues"), _statuses("In Progress").alias("in_progress"), _statuses("Resolved", "Closed").alias("resolved"),
         of("High", "Critical").alias("high"), of("Medium").alias("medium"), of("Low").alias("low"),
     )
-    joined = t.orders.join(visits, F.col("l_orderkey") == key, "left").join(issues, F.col("user_id") == key, "left")
+
+
+def _figures(counted, *kept):
+    """The figures of each contract's report; counters stored with the contract win over counted rows unless they are null or 0."""
+    key = F.col("o_orderkey")
     zero = lambda c: F.coalesce(c, F.lit(0))
     stored = F.when(key % 5 == 1, 12), F.when(key % 5 == 1, key % 3), F.when(F.col("o_custkey") % 7 == 0, 2)
-    total, done = truthy_or(stored[0], zero("v")), truthy_or(stored[1], zero("done"))
-    df = joined.withColumns({"total_visits": total, "completed_visits": done})
+    df = counted.withColumns({"total_visits": truthy_or(stored[0], zero("v")), "completed_visits": truthy_or(stored[1], zero("done"))})
     df = df.withColumns({"pending_visits": truthy_or(stored[2], F.col("total_visits") - F.col("completed_visits")), "completion": percent(F.col("completed_visits"), F.col("total_visits"))})
-    counted = ("scheduled", "cancelled", "total_issues", "open_issues", "in_progress", "resolved", "high", "medium", "low")
-    return df.select("o_orderkey", "total_visits", "completed_visits", "pending_visits", "completion", *[zero(c).alias(c) for c in counted])
+    counts = ("scheduled", "cancelled", "total_issues", "open_issues", "in_progress", "resolved", "high", "medium", "low")
+    return df.select("o_orderkey", "total_visits", "completed_visits", "pending_visits", "completion", *[zero(c).alias(c) for c in counts], *kept)
+
+
+def _metrics(t):
+    visits = _visit_statuses(t).groupBy("l_orderkey").agg(*_visit_counts())
+    issues = _issue_statuses(t).groupBy("user_id").agg(*_issue_counts())
+    key = F.col("o_orderkey")
+    return _figures(t.orders.join(visits, F.col("l_orderkey") == key, "left").join(issues, F.col("user_id") == key, "left"))
 
 
 @query(_METRICS)
@@ -233,6 +260,49 @@ def report_priority_rows(t):
     return _report_rows(_metrics(t), _PRIORITY, F.greatest("high", "medium", "low"))
 
 
+_SHEET_MONTHS = """SELECT NULL::BIGINT AS contract, 'trend' AS sheet, strftime(l_shipdate, '%Y-%m') AS label, count(*) AS n, count(*) FILTER (WHERE l_linestatus = 'F') AS part FROM lineitem GROUP BY 3"""
+_SHEET_ISSUES = f"""SELECT NULL::BIGINT, 'issues', coalesce(priority, 'none'), count(*), count(*) FILTER (WHERE status IN ('Resolved', 'Closed')) FROM ({_ISSUE_ROWS}) GROUP BY 3"""
+
+
+def _sheet_sql(sheet, labels, most):
+    return " UNION ALL ".join(f"SELECT o_orderkey, '{sheet}', '{label}', {c}, {most} FROM m" for c, label in labels.items())
+
+
+_SUMMARY = {"total_visits": "Visits", "completed_visits": "Completed", "total_issues": "Issues", "open_issues": "Open"}
+
+
+@query(f"""WITH m AS ({_METRICS}), rows AS ({_SHEET_MONTHS} UNION ALL {_SHEET_ISSUES} UNION ALL {_sheet_sql("summary", _SUMMARY, "NULL::BIGINT")}
+    UNION ALL {_sheet_sql("progress", _PROGRESS, "greatest(total_visits, 1)")} UNION ALL {_sheet_sql("priority", _PRIORITY, "greatest(high, medium, low, 1)")})
+  SELECT contract, sheet, label, n, part, CASE WHEN sheet IN ('trend', 'issues') THEN CAST(floor(part * 100 / n + 0.5) AS BIGINT) WHEN part IS NOT NULL THEN CAST(floor(n * 100 / part + 0.5) AS BIGINT) END AS pct FROM rows""")
+def report_sheets(t):
+    """The five sheets of the report as rows of one table: each of the three tables is read once for all of them.
+
+    Visits are grouped by contract and by month in one pass with grouping sets, issues by
+    contract and by priority; rows of contracts meet in one join. part is the share of the
+    whole for the trend and the issues, and the greatest value of a contract's sheet.
+    """
+    visits = _visit_statuses(t).withColumn("month", F.date_format("l_shipdate", "yyyy-MM"))
+    visits = visits.groupingSets([["l_orderkey"], ["month"]], "l_orderkey", "month").agg(F.grouping_id().alias("set"), *_visit_counts())
+    issues = _issue_statuses(t).groupingSets([["user_id"], ["priority"]], "user_id", "priority").agg(F.grouping_id().alias("set"), *_issue_counts())
+    of_contract = lambda df, key, kind: df.select(F.when(F.col("set") == 1, F.col(key)).alias("contract"), F.when(F.col("set") == 2, kind).alias("label"), "*")
+    v, i = of_contract(visits, "l_orderkey", F.col("month")), of_contract(issues, "user_id", F.coalesce("priority", F.lit("none")))
+    v = v.drop("l_orderkey", "month", "set").withColumn("sheet", F.when(F.col("label").isNotNull(), "trend"))
+    i = i.drop("user_id", "priority", "set").withColumn("sheet", F.when(F.col("label").isNotNull(), "issues"))
+    # rows of a contract meet under its key, each of the others stays alone under its sheet and label
+    facts = t.orders.select(F.col("o_orderkey").alias("contract"), "o_custkey", F.lit(True).alias("known"))
+    together = facts.unionByName(v, allowMissingColumns=True).unionByName(i, allowMissingColumns=True)
+    counts = [c for c in together.columns if c not in ("contract", "o_custkey", "known", "sheet", "label")]
+    one = together.groupBy("contract", "sheet", "label").agg(F.max("o_custkey").alias("o_custkey"), F.max("known").alias("known"), *[F.sum(c).alias(c) for c in counts])
+    m = _figures(one.withColumn("o_orderkey", F.col("contract")), "sheet", "label", "known", "v", "done").where("sheet is not null or known")
+    row = lambda sheet, label, n, part: F.struct(F.lit(sheet).alias("sheet"), label.alias("label"), n.cast("long").alias("n"), part.cast("long").alias("part"))
+    own = lambda sheet, labels, most: [row(sheet, F.lit(text), F.col(c), most) for c, text in labels.items()]
+    lists = [*own("summary", _SUMMARY, F.lit(None)), *own("progress", _PROGRESS, F.greatest("total_visits", F.lit(1))), *own("priority", _PRIORITY, F.greatest("high", "medium", "low", F.lit(1)))]
+    rows = F.when(F.col("sheet") == "trend", F.array(row("trend", F.col("label"), F.col("v"), F.col("done")))).when(F.col("sheet") == "issues", F.array(row("issues", F.col("label"), F.col("total_issues"), F.col("resolved")))).otherwise(F.array(*lists))
+    flat = m.select("o_orderkey", F.explode(rows).alias("r")).select(F.col("o_orderkey").alias("contract"), "r.*")
+    n, part = F.col("n"), F.col("part")
+    return flat.withColumn("pct", F.when(F.col("sheet").isin("trend", "issues"), percent(part, n)).when(part.isNotNull(), percent(n, part)))
+
+
 @query("""SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) AS total, count(*) FILTER (WHERE l_linestatus = 'F') AS completed,
   CAST(round(count(*) FILTER (WHERE l_linestatus = 'F') * 100.0 / count(*)) AS BIGINT) AS rate FROM lineitem GROUP BY 1 ORDER BY 1""")
 def monthly_trend(t):

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from shoploom.functions.exprs import MONEY, rating_label, truthy_or, weekday_letter
-from shoploom.operators.relational import covered_range, days, on_spine
+from shoploom.operators.relational import days
+from shoploom.operators.scale import running
 
 from .filters import AS_OF
 from .registry import query
@@ -76,20 +77,49 @@ def recent_tickets(t):
     (SELECT count(*) FROM o WHERE o_orderstatus = 'O' AND created <= day AND (updated IS NULL OR updated >= day)) AS in_progress
   FROM d""")
 def weekly_chart(t):
-    first, last = WEEK
-    updated = t.lineitem.groupBy("l_orderkey").agg(F.max(F.to_date("l_shipdate")).alias("updated"))
-    tickets = t.orders.select("o_orderkey", "o_orderstatus", F.to_date("o_orderdate").alias("created")).join(updated, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    # one pass: every ticket becomes its marks, at most one for each day and measure of the chart
-    status, none = F.col("o_orderstatus"), F.array().cast("array<struct<day:date,measure:string>>")
-    within = lambda c: F.col(c).between(F.lit(first).cast("date"), F.lit(last).cast("date"))
-    mark = lambda c, name: F.when(c, F.array(F.struct(F.col(name[0]).alias("day"), F.lit(name[1]).alias("measure"))))
-    low, high = covered_range(F.col("created"), F.col("updated"), first, last)
-    standing = F.when((status == "O") & (low <= high), F.transform(F.sequence(low, high), lambda d: F.struct(d.alias("day"), F.lit("in_progress").alias("measure"))))
-    marks = [mark(within("created"), ("created", "opened")), mark((status == "F") & within("updated"), ("updated", "completed")), standing]
-    listed = tickets.select(F.explode(F.concat(*[F.coalesce(m, none) for m in marks])).alias("m")).select("m.*")
-    counts = listed.groupBy("day").agg(*[F.count_if(F.col("measure") == m).alias(m) for m in ("opened", "completed", "in_progress")])
-    chart = on_spine(days(t.spark, first, last), counts, "opened", "completed", "in_progress")
-    return chart.select(F.col("day").cast("string").alias("day"), weekday_letter(F.col("day")).alias("label"), "opened", "completed", "in_progress")
+    """Counts by day as running and plain sums of events; a ticket is two of them at most, whatever the range."""
+    return _chart(t, *WEEK).select(F.col("day").cast("string").alias("day"), weekday_letter(F.col("day")).alias("label"), "opened", "completed", "in_progress")
+
+
+def ticket_events(t, first, last):
+    """(o_orderkey, day, opened, completed, change): what changes on a day; change is of the number in progress.
+
+    The first event of a ticket is on the day it is created, or on the first day if it
+    stands by then; the second is behind the day it was last updated, or on it, if it is
+    completed.
+    """
+    low, high = F.lit(first).cast("date"), F.lit(last).cast("date")
+    created = t.orders.select("o_orderkey", "o_orderstatus", F.to_date("o_orderdate").alias("created")).where(F.col("created") <= high)
+    updated = t.lineitem.groupBy("l_orderkey").agg(F.to_date(F.max("l_shipdate")).alias("updated"))
+    tickets = created.join(updated, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    status, end = F.col("o_orderstatus"), F.coalesce("updated", high)
+    begins = F.greatest(F.col("created"), low)
+    stands = (status == "O") & (begins <= end)
+    event = lambda day, opened, completed, change: F.struct(day.alias("day"), opened.cast("long").alias("opened"), completed.cast("long").alias("completed"), change.cast("long").alias("change"))
+    none = F.lit(0)
+    opening = event(begins, (F.col("created") >= low), none, stands)
+    closing = F.when(status == "F", event(F.col("updated"), none, F.lit(1), none)).when(stands, event(F.date_add(end, 1), none, none, F.lit(-1)))
+    within = lambda e: e.isNotNull() & e.day.between(low, high) & ((e.opened != 0) | (e.completed != 0) | (e.change != 0))
+    return tickets.select("o_orderkey", F.explode(F.filter(F.array(opening, closing), within)).alias("e")).select("o_orderkey", "e.*")
+
+
+def _chart(t, first, last):
+    changes = ticket_events(t, first, last).groupBy("day").agg(*[F.sum(c).alias(n) for c, n in (("opened", "opened"), ("completed", "completed"), ("change", "in_progress"))])
+    return running(days(t.spark, first, last).join(changes, "day", "left").fillna(0), "in_progress")
+
+
+YEARS = ("1992-01-01", "2001-12-31")
+
+
+@query(f"""WITH d AS (SELECT CAST(unnest(generate_series(DATE '{YEARS[0]}', DATE '{YEARS[1]}', INTERVAL 1 DAY)) AS DATE) AS day),
+  u AS (SELECT l_orderkey, max(CAST(l_shipdate AS DATE)) AS updated FROM lineitem GROUP BY 1),
+  o AS (SELECT o_orderkey, o_orderstatus, CAST(o_orderdate AS DATE) AS created, updated FROM orders LEFT JOIN u ON l_orderkey = o_orderkey),
+  s AS (SELECT day, count(*) AS n FROM d JOIN o ON o_orderstatus = 'O' AND created <= day AND coalesce(updated, DATE '9999-01-01') >= day GROUP BY 1),
+  c AS (SELECT created AS day, count(*) AS n FROM o GROUP BY 1), f AS (SELECT updated AS day, count(*) AS n FROM o WHERE o_orderstatus = 'F' GROUP BY 1)
+  SELECT CAST(day AS VARCHAR) AS day, coalesce(c.n, 0) AS opened, coalesce(f.n, 0) AS completed, coalesce(s.n, 0) AS in_progress FROM d LEFT JOIN s USING (day) LEFT JOIN c USING (day) LEFT JOIN f USING (day)""")
+def daily_chart(t):
+    """The weekly chart's counts for every day of ten years, at the cost of one week's."""
+    return _chart(t, *YEARS).withColumn("day", F.col("day").cast("string"))
 
 
 @query("""SELECT o_orderkey, days_valid, CAST(coalesce(finished, CAST(o_orderdate AS DATE)) + days_valid AS VARCHAR) AS warranty_until
