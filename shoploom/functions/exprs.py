@@ -196,3 +196,61 @@ def event_class(title: Column) -> Column:
 def errors(**rules: Column) -> Column:
     """The names of the rules that a row breaks, in the order given, as field: message."""
     return F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(text.replace("__", ": ").replace("_", " "))) for text, bad in rules.items()]), lambda x: x.isNotNull())
+
+
+def blank(c: Column) -> Column:
+    """Null, empty, or white space only."""
+    return ~F.coalesce(c.rlike(r"\S"), F.lit(False))
+
+
+def _broken(*rules: tuple[Column, str, str]) -> Column:
+    """(field, message) of each rule whose condition holds, in order; a null condition doesn't."""
+    found = [F.when(bad, F.struct(F.lit(field).alias("field"), F.lit(message).alias("message"))) for bad, field, message in rules]
+    return F.filter(F.array(*found), lambda e: e.isNotNull())
+
+
+def ticket_errors(customer_name: Column, primary_phone: Column, customer_phone: Column, device_type: Column, brand: Column, model: Column, issue_category: Column, problem_description: Column, issue: Column) -> Column:
+    """What a ticket lacks, as an array of (field, message); one of two phones and one of two descriptions is enough."""
+    return _broken(
+        (blank(customer_name), "customerName", "Customer Name is required"),
+        (blank(primary_phone) & blank(customer_phone), "primaryPhone", "Phone Number is required"),
+        (blank(device_type), "deviceType", "Device Type is required"),
+        (blank(brand), "brand", "Brand is required"),
+        (blank(model), "model", "Model is required"),
+        (blank(issue_category), "issueCategory", "Issue Category is required"),
+        (blank(problem_description) & blank(issue), "problemDescription", "Problem Description is required"),
+    )
+
+
+def customer_errors(name: Column, phone: Column) -> Column:
+    return _broken((blank(name), "name", "Customer name is required"), (blank(phone), "phone", "Phone number is required"))
+
+
+def invoice_errors(customer_name: Column, items: Column) -> Column:
+    """items is an array; null and empty ones hold nothing."""
+    return _broken((blank(customer_name), "customerName", "Customer name is required"), (F.coalesce(F.size(items), F.lit(0)) <= 0, "items", "At least one invoice item is required"))
+
+
+#: Kinds of contracts, and how often they are billed.
+CONTRACT_TYPES = ("Basic", "Standard", "Premium", "Comprehensive", "Custom")
+BILLING_CYCLES = ("Monthly", "Quarterly", "Half-Yearly", "Yearly", "One-Time")
+
+
+def contract_errors(company: Column, mobile: Column, email: Column, start: Column, end: Column, value: Column, gst: Column, kind: Column, cycle: Column) -> Column:
+    """The messages about a contract; start and end are dates, value and gst texts. What isn't given is only checked where it is required."""
+    given = lambda c: c.isNotNull() & (c != "")
+    number = lambda c: F.trim(c).try_cast("double")
+    outside = lambda c, low, high: number(c).isNull() | F.isnan(number(c)) | (number(c) < low) | (number(c) > high)
+    found = _broken(
+        (blank(company), "companyName", "Company name is required"),
+        (given(mobile) & ~mobile.rlike(r"^[+]?[\d\s()-]{7,20}$"), "mobile", "Invalid mobile number format"),
+        (given(email) & ~email.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), "email", "Invalid email format"),
+        (start.isNull(), "startDate", "Start date is required"),
+        (end.isNull(), "endDate", "End date is required"),
+        (end <= start, "endDate", "End date must be after start date"),
+        (given(value) & outside(value, 0, float("inf")), "contractValue", "Contract value must be a positive number"),
+        (given(gst) & outside(gst, 0, 100), "gstPercentage", "GST percentage must be between 0 and 100"),
+        (given(kind) & ~kind.isin(*CONTRACT_TYPES), "contractType", "Invalid contract type. Must be one of: " + ", ".join(CONTRACT_TYPES)),
+        (given(cycle) & ~cycle.isin(*BILLING_CYCLES), "billingCycle", "Invalid billing cycle. Must be one of: " + ", ".join(BILLING_CYCLES)),
+    )
+    return found
