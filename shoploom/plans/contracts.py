@@ -5,7 +5,8 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from shoploom.functions.exprs import bar, event_class as class_of, mapped, percent, truthy_or, weekday_letter
-from shoploom.operators.relational import days, nest_children, on_spine, top_per_key, unpivoted
+from shoploom.operators.relational import days, nest_children, on_spine, running_number, top_per_key, unpivoted
+from shoploom.operators.scale import nest_in_parts
 
 from .filters import AS_OF
 from .registry import query
@@ -322,11 +323,20 @@ def my_contracts_counts(t):
 @query("""SELECT row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) AS row_no, l_orderkey, l_linenumber, l_partkey,
   CASE l_linestatus WHEN 'F' THEN 100 WHEN 'O' THEN 50 ELSE 0 END AS progress, strftime(l_shipdate, '%d %b %Y') AS visit_date FROM lineitem""")
 def visit_history(t):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey")
+    """The visits of each contract, numbered; a day of a contract is sorted, not the contract."""
     progress = F.when(F.col("l_linestatus") == "F", 100).when(F.col("l_linestatus") == "O", 50).otherwise(0)
-    return t.lineitem.select(F.row_number().over(order).cast("long").alias("row_no"), "l_orderkey", "l_linenumber", "l_partkey", progress.alias("progress"), F.date_format("l_shipdate", "dd MMM yyyy").alias("visit_date"))
+    order = [F.col(c) for c in ("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey")]
+    visits = running_number(t.lineitem.withColumn("day", F.to_date("l_shipdate")), "l_orderkey", "day", order, "row_no")
+    return visits.select(F.col("row_no").cast("long").alias("row_no"), "l_orderkey", "l_linenumber", "l_partkey", progress.alias("progress"), F.date_format("l_shipdate", "dd MMM yyyy").alias("visit_date"))
+
+
+@query("""SELECT engineer, part, count(*) AS n, CAST(to_json(list(struct_pack(day := day, l_orderkey := l_orderkey, l_linenumber := l_linenumber, l_partkey := l_partkey) ORDER BY i)) AS VARCHAR) AS visits FROM (
+    SELECT *, (i - 1) // 100 AS part FROM (SELECT l_returnflag AS engineer, strftime(l_shipdate, '%Y-%m-%d') AS day, l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS i FROM lineitem)) GROUP BY 1, 2""")
+def visits_in_parts(t):
+    """The visits of parents that have very many, in lists of at most 100."""
+    visits = t.lineitem.select(F.col("l_returnflag").alias("engineer"), "l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), "l_orderkey", "l_linenumber", "l_partkey")
+    lists = nest_in_parts(visits, "engineer", "l_shipdate", ["day", "l_orderkey", "l_linenumber", "l_partkey"], "visits", per_row=100)
+    return lists.select("engineer", "part", F.size("visits").cast("long").alias("n"), F.to_json("visits").alias("visits"))
 
 
 @query("""SELECT event_id, CASE WHEN title LIKE '%created%' OR title LIKE '%added%' THEN 'create' WHEN title LIKE '%updated%' OR title LIKE '%modified%' THEN 'update'

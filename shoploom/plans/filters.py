@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from shoploom.functions.exprs import any_ilike, every
 from shoploom.operators.relational import page, page_totals
+from shoploom.operators.scale import By, deep_page
 
 from .registry import query
 
@@ -126,6 +127,25 @@ def ticket_search_page(t):
     return page(search(t, "open", "build"), order, number=2).select("o_orderkey", "o_orderstatus", "c_name", "o_orderdate")
 
 
+_LINES = "l_shipdate DESC NULLS FIRST, l_orderkey DESC NULLS FIRST, l_linenumber, l_partkey, l_suppkey"
+
+
+@query(f"SELECT l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem ORDER BY {_LINES} LIMIT 5 OFFSET 49995")
+def deep_page_of_lines(t):
+    """Page 10,000: only the segment of it is sorted."""
+    lines = t.lineitem.select("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    keys = [By("l_shipdate", True), By("l_orderkey", True), *map(By, ("l_linenumber", "l_partkey", "l_suppkey"))]
+    return deep_page(lines, keys, 10_000, 5, task_rows=10_000)
+
+
+@query("SELECT o_orderkey, o_orderstatus, c_name, o_orderdate FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus NOT IN ('F') ORDER BY o_orderdate DESC NULLS FIRST, o_orderkey DESC NULLS FIRST LIMIT 50 OFFSET 500")
+def ticket_deep_page(t):
+    """Page 11 of the open tickets; customers are joined to the page, not to what stands before it."""
+    open_ = t.orders.where(~F.col("o_orderstatus").isin(CLOSED)).select("o_orderkey", "o_orderstatus", "o_custkey", "o_orderdate")
+    rows = deep_page(open_, [By("o_orderdate", True), By("o_orderkey", True)], 11, 50, task_rows=500)
+    return rows.join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_orderstatus", "c_name", "o_orderdate")
+
+
 @query("SELECT count(*) AS total, CAST(ceil(count(*) / 50.0) AS BIGINT) AS total_pages FROM orders WHERE o_orderstatus NOT IN ('F')")
 def page_total(t):
     return page_totals(t.orders.where(~F.col("o_orderstatus").isin(CLOSED)))

@@ -1,10 +1,10 @@
 """Conversations: latest messages, the inbox, unread counts and the repair of ids."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shoploom.functions.exprs import STATUS_TEMPLATES, TEMPLATE_LANGUAGES, any_ilike, conversation_id, conversation_kind as kind_of, mapped, phone_candidates, phone_strict, rating_label, status_event
+from shoploom.functions.exprs import STATUS_TEMPLATES, TEMPLATE_LANGUAGES, any_ilike, conversation_id, conversation_kind as kind_of, digits, mapped, phone_candidates, phone_strict, rating_label, status_event
 from shoploom.operators.relational import first_by_affix, keep_first, latest_per_key
+from shoploom.operators.scale import changed_rows, latest_containing
 
 from .registry import query
 
@@ -59,6 +59,114 @@ def conversation_inbox(t):
     return joined.select("conv_id", "last_match", F.col("last.turn").alias("last_turn"), F.col("last.role").alias("last_sender"), F.col("last.text").alias("last_text"), "unread", "c_name", kind.alias("kind"))
 
 
+_MAIL = """SELECT event_id AS id, CASE WHEN user_id % 3 = 0 THEN 'cust_9198' || lpad(CAST(user_id AS VARCHAR), 8, '0') ELSE 'ticket_' || user_id END AS conversation_id, user_id AS customer_id,
+    CASE WHEN event_id % 2 = 0 THEN user_id END AS ticket_id, CASE WHEN event_type = 'purchase' THEN event_id END AS order_id, CASE WHEN event_type IN ('click', 'view') THEN 'Customer' ELSE 'Staff' END AS sender,
+    event_type AS type, event_type || ' ' || event_id AS text, value > 3 AS is_read, ts AS created_at FROM events"""
+
+
+def _mail_sql(where="true", after="true"):
+    """The inbox with its lookups as correlated subqueries: the newest message that meets the conditions, of each conversation."""
+    last = lambda c: f"(SELECT {c} FROM mail x WHERE x.conversation_id = m.conversation_id ORDER BY created_at DESC, id DESC LIMIT 1)"
+    return f"""WITH mail AS ({_MAIL}), picked AS (
+      SELECT m.* FROM (SELECT m.*, row_number() OVER (PARTITION BY m.conversation_id ORDER BY m.created_at DESC, m.id DESC) AS n FROM mail m
+        LEFT JOIN (SELECT o_orderkey AS t_id, c_name AS t_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey) t ON t_id = ticket_id
+        LEFT JOIN (SELECT c_custkey AS c_id, c_name AS c_own FROM customer) c ON CAST(c_id AS VARCHAR) = CAST(customer_id AS VARCHAR)
+        LEFT JOIN (SELECT o_orderkey AS o_id, 'ORD-' || o_orderkey AS o_number FROM orders) o ON o_id = order_id WHERE {where}) m WHERE n = 1)
+      SELECT * FROM (SELECT conversation_id, customer_id, ticket_id, order_id, created_at AS last_message_at, {last("text")} AS last_text, {last("type")} AS last_type, {last("sender")} AS last_sender,
+        (SELECT count(*) FROM mail x WHERE x.conversation_id = m.conversation_id AND NOT is_read AND sender = 'Customer') AS unread_count,
+        (SELECT c_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey = m.ticket_id) AS ticket_customer_name, (SELECT 'ORD-' || o_orderkey FROM orders WHERE o_orderkey = m.order_id) AS order_number,
+        (SELECT c_name FROM customer WHERE CAST(c_custkey AS VARCHAR) = CAST(m.customer_id AS VARCHAR)) AS saved_customer_name,
+        CASE WHEN order_id IS NOT NULL THEN 'order' WHEN starts_with(conversation_id, 'cust_') THEN 'customer' ELSE 'ticket' END AS conversation_type FROM picked m) WHERE {after}"""
+
+
+def _mail(t):
+    id, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    number = F.concat(F.lit("cust_9198"), F.lpad(user.cast("string"), 8, "0"))
+    return t.events.select(
+        id.alias("id"), F.when(user % 3 == 0, number).otherwise(F.concat(F.lit("ticket_"), user.cast("string"))).alias("conversation_id"), user.alias("customer_id"), F.when(id % 2 == 0, user).alias("ticket_id"),
+        F.when(kind == "purchase", id).alias("order_id"), F.when(kind.isin("click", "view"), "Customer").otherwise("Staff").alias("sender"), kind.alias("type"),
+        F.concat(kind, F.lit(" "), id.cast("string")).alias("text"), (F.col("value") > 3).alias("is_read"), F.col("ts").alias("created_at"),
+    )
+
+
+def inbox(messages, tickets, orders, customers, search=None, filter=None, customer_id=None):
+    """One row for each conversation with a message that meets the search and the filter: that message's ids, and the newest text, type and sender.
+
+    messages has id, conversation_id, customer_id, ticket_id, order_id, sender, type, text,
+    is_read and created_at; tickets id and customer_name; orders id and order_number;
+    customers id and name. filter is unread, tickets, orders, customers or team: the
+    conversations with an unread message of a customer; messages of tickets, of orders; by the kind of the
+    message found customers and tickets, or customers alone. One grouping gives it all:
+    the lookups are joined to conversations, and to messages only for a search.
+    """
+    wanted = F.lit(True)
+    if search:
+        named = tickets.select(F.col("id").alias("ticket_id"), F.col("customer_name").alias("__t"))
+        numbers = orders.select(F.col("id").alias("order_id"), F.col("order_number").alias("__o"))
+        own = customers.select(F.col("id").cast("string").alias("__id"), F.col("name").alias("__c"))
+        messages = messages.join(named, "ticket_id", "left").join(numbers, "order_id", "left").join(own, F.col("customer_id").cast("string") == F.col("__id"), "left")
+        wanted = any_ilike(search, "conversation_id", "__t", "__o", "__c")
+    if customer_id is not None:
+        wanted = wanted & (F.col("customer_id") == customer_id)
+    if filter in ("tickets", "orders"):
+        wanted = wanted & F.col({"tickets": "ticket_id", "orders": "order_id"}[filter]).isNotNull()
+    order = F.struct("created_at", "id")
+    unread = F.count_if(~F.col("is_read") & (F.col("sender") == "Customer"))
+    by = messages.groupBy("conversation_id").agg(
+        F.max_by(F.struct("customer_id", "ticket_id", "order_id", "created_at"), F.when(wanted, order)).alias("found"),
+        F.max_by(F.struct("text", "type", "sender"), order).alias("last"),
+        unread.alias("unread_count"),
+    )
+    by = by.where("found is not null").withColumn("conversation_type", kind_of(F.col("found.order_id"), F.col("conversation_id")))
+    kept = {"unread": F.col("unread_count") > 0, "customers": F.col("conversation_type").isin("customer", "ticket"), "team": F.col("conversation_type") == "customer"}
+    by = by.where(kept[filter]) if filter in kept else by
+    joined = (
+        by.join(tickets.select(F.col("id").alias("__ticket"), F.col("customer_name").alias("ticket_customer_name")), F.col("found.ticket_id") == F.col("__ticket"), "left")
+        .join(orders.select(F.col("id").alias("__order"), "order_number"), F.col("found.order_id") == F.col("__order"), "left")
+        .join(customers.select(F.col("id").cast("string").alias("__customer"), F.col("name").alias("saved_customer_name")), F.col("found.customer_id").cast("string") == F.col("__customer"), "left")
+    )
+    return joined.select(
+        "conversation_id", "found.customer_id", "found.ticket_id", "found.order_id", F.col("found.created_at").alias("last_message_at"), F.col("last.text").alias("last_text"), F.col("last.type").alias("last_type"),
+        F.col("last.sender").alias("last_sender"), "unread_count", "ticket_customer_name", "order_number", "saved_customer_name", "conversation_type",
+    )
+
+
+def _inbox(t, **wanted):
+    tickets = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left").select(F.col("o_orderkey").alias("id"), F.col("c_name").alias("customer_name"))
+    orders = t.orders.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("ORD-"), F.col("o_orderkey").cast("string")).alias("order_number"))
+    return inbox(_mail(t), tickets, orders, t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), **wanted)
+
+
+@query(_mail_sql("m.conversation_id IN (SELECT conversation_id FROM mail WHERE NOT is_read AND sender = 'Customer')"))
+def inbox_unread(t):
+    return _inbox(t, filter="unread")
+
+
+@query(_mail_sql("m.ticket_id IS NOT NULL"))
+def inbox_tickets(t):
+    return _inbox(t, filter="tickets")
+
+
+@query(_mail_sql("m.order_id IS NOT NULL"))
+def inbox_orders(t):
+    return _inbox(t, filter="orders")
+
+
+@query(_mail_sql(after="conversation_type IN ('customer', 'ticket')"))
+def inbox_customers(t):
+    return _inbox(t, filter="customers")
+
+
+@query(_mail_sql(after="conversation_type = 'customer'"))
+def inbox_team(t):
+    return _inbox(t, filter="team")
+
+
+@query(_mail_sql("(m.conversation_id ILIKE '%12%' OR t_name ILIKE '%12%' OR o_number ILIKE '%12%' OR c_own ILIKE '%12%')"))
+def inbox_search(t):
+    return _inbox(t, search="12")
+
+
 @query("SELECT * FROM events e WHERE event_type <> 'click' OR user_id IS NULL OR event_id = (SELECT min(event_id) FROM events x WHERE x.event_type = 'click' AND x.user_id = e.user_id)")
 def dedup_keep_first(t):
     clicks, others = t.events.where("event_type = 'click'"), t.events.where("not (event_type <=> 'click')")
@@ -145,24 +253,33 @@ def fuzzy_phone_match(t):
 @query("""SELECT event_id, user_id, old_status, event_type AS new_status FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old_status FROM events)
   WHERE old_status IS DISTINCT FROM event_type""")
 def status_changes(t):
-    old = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return t.events.withColumn("old_status", old).where(~F.col("old_status").eqNullSafe(F.col("event_type"))).select("event_id", "user_id", "old_status", F.col("event_type").alias("new_status"))
+    """Each user's events whose type differs from the one before; a day of a user is sorted, not the user."""
+    found = changed_rows(t.events, "user_id", "event_type", ["ts", "event_id"], F.to_date("ts"), "old_status")
+    return found.select("event_id", "user_id", "old_status", F.col("event_type").alias("new_status"))
 
 
-@query("""WITH m AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 3 = 0 THEN 'p' || event_id END AS provider FROM events WHERE event_type = 'purchase'),
-  s AS (SELECT event_id AS status_id, CASE WHEN event_id % 2 = 0 THEN 'p' || (event_id - event_id % 3) END AS provider, user_id FROM events WHERE event_type = 'click')
-  SELECT s.status_id, coalesce(a.event_id, b.event_id) AS message_id FROM s LEFT JOIN m a ON s.provider = a.provider
-  LEFT JOIN (SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM m GROUP BY 1) b ON s.user_id = b.user_id""")
+@query("""WITH m AS (SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN 'p' || event_id END AS provider, CASE event_id % 4 WHEN 0 THEN 'ticket_' || event_id WHEN 1 THEN 'wa_98' || lpad(CAST(user_id AS VARCHAR), 8, '0') ELSE 'cust_9198' || lpad(CAST(user_id AS VARCHAR), 8, '0') END AS conversation
+    FROM events WHERE event_type = 'purchase'),
+  s AS (SELECT event_id AS status_id, CASE WHEN event_id % 2 = 0 THEN 'p' || (event_id - event_id % 3) END AS provider,
+    CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '91' || '98' || lpad(CAST(user_id AS VARCHAR), 8, '0') ELSE '98' || lpad(CAST(user_id AS VARCHAR), 8, '0') END AS digits FROM events WHERE event_type = 'click'),
+  d AS (SELECT digits, (SELECT event_id FROM m WHERE conversation LIKE '%' || digits || '%' ORDER BY ts DESC, event_id DESC LIMIT 1) AS event_id FROM (SELECT DISTINCT coalesce(digits, '') AS digits FROM s))
+  SELECT s.status_id, coalesce(a.event_id, d.event_id) AS message_id FROM s LEFT JOIN m a ON s.provider = a.provider LEFT JOIN d ON coalesce(s.digits, '') = d.digits""")
 def delivery_resolution(t):
-    """The message that a status report is about: by the provider's id, else the recipient's latest one."""
+    """The message that a status report is about: by the provider's id, else the latest one whose conversation contains the recipient's digits.
+
+    A report without a recipient goes to the latest message of all.
+    """
     of = lambda kind: t.events.where(F.col("event_type") == kind)
     name = lambda n: F.concat(F.lit("p"), n.cast("string"))
-    id = F.col("event_id")
-    messages = of("purchase").select("event_id", "user_id", "ts", F.when(id % 3 == 0, name(id)).alias("provider"))
-    reports = of("click").select(id.alias("status_id"), F.when(id % 2 == 0, name(id - id % 3)).alias("provider"), "user_id")
-    latest = messages.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("latest"))
+    id, number = F.col("event_id"), F.concat(F.lit("98"), F.lpad(F.col("user_id").cast("string"), 8, "0"))
+    thread = F.when(id % 4 == 0, F.concat(F.lit("ticket_"), id.cast("string"))).when(id % 4 == 1, F.concat(F.lit("wa_"), number)).otherwise(F.concat(F.lit("cust_91"), number))
+    messages = of("purchase").select("event_id", "ts", F.when(id % 3 == 0, name(id)).alias("provider"), thread.alias("conversation"))
+    recipient = F.when(id % 5 == 1, "").when(id % 5 == 2, F.concat(F.lit("+91 "), number)).when(id % 5 > 2, number)
+    reports = of("click").select(id.alias("status_id"), F.when(id % 2 == 0, name(id - id % 3)).alias("provider"), F.coalesce(digits(recipient), F.lit("")).alias("digits"))
     known = messages.where("provider is not null").select("provider", F.col("event_id").alias("known"))
-    return reports.join(known, "provider", "left").join(latest, "user_id", "left").select("status_id", F.coalesce("known", "latest").alias("message_id"))
+    joined = reports.join(known, "provider", "left")
+    found = latest_containing(joined, "digits", messages, "conversation", F.struct("ts", "event_id"), F.col("event_id"), "latest")
+    return found.select("status_id", F.coalesce("known", "latest").alias("message_id"))
 
 
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'given' WHEN 1 THEN 'cust_9198' || lpad(CAST(user_id AS VARCHAR), 8, '0') WHEN 2 THEN 'ticket_' || user_id ELSE 'order_' || event_id END AS conversation FROM events""")

@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from shoploom.operators import relational as r
+from shoploom.operators.scale import differences
 from shoploom.sources.tables import copy_levels, copy_table, describe
 
 from .registry import query
@@ -150,6 +151,19 @@ def table_copies(t):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+@query("""SELECT c_custkey, 'c_name' AS "column", c_name AS source_value, 'changed' AS target_value FROM customer WHERE c_custkey = 77
+  UNION ALL SELECT c_custkey, 'c_mktsegment', c_mktsegment, NULL FROM customer WHERE c_custkey = 123 AND c_mktsegment IS NOT NULL
+  UNION ALL SELECT c_custkey, NULL, 'row', NULL FROM customer WHERE c_custkey = 9 UNION ALL SELECT -5, NULL, NULL, 'row'""")
+def copy_differences(t):
+    """What a copy of the customers has otherwise: two cells, a row that is missing and one too many; ranges that agree are read once."""
+    columns = t.customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    name = F.when(F.col("c_custkey") == 77, "changed").otherwise(F.col("c_name")).alias("c_name")
+    segment = F.when(F.col("c_custkey") != 123, F.col("c_mktsegment")).alias("c_mktsegment")
+    extra = columns.limit(1).select(F.lit(-5).cast("long").alias("c_custkey"), "c_name", "c_nationkey", "c_mktsegment")
+    copied = columns.where("c_custkey <> 9").select("c_custkey", name, "c_nationkey", segment).unionByName(extra)
+    return differences(columns, copied, "c_custkey", leaf_rows=100, bounds=16)
+
+
 @query("""SELECT 'region' AS table_name, 'r_regionkey' AS column_name, 'int' AS data_type, 1 AS position UNION ALL SELECT 'region', 'r_name', 'string', 2""")
 def table_columns(t):
     return describe(t.region, "region")
