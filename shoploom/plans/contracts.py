@@ -2,6 +2,7 @@
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shoploom.functions.exprs import bar, event_class as class_of, mapped, percent, truthy_or, weekday_letter
@@ -108,27 +109,27 @@ def amc_dashboard(t):
     status = F.col("o_orderstatus")
     contracts = by_status.agg(F.sum("n").alias("total_contracts"), sums(status == "O", "active_contracts"), sums(status == "F", "expired_contracts"), F.sum("due").alias("renewals"), pairs(["o_orderstatus"], "contract_statuses"))
 
-    # visits once, by engineer and month: both lists follow from it
+    # visits in one pass, by month and by engineer; of each no more than a few rows go on
     line, recent = F.col("l_linestatus"), F.col("visit_date") >= F.add_months(as_of, -12)
     late = F.col("visit_date") >= F.add_months(as_of, -3)
-    month = [F.when(recent, F.date_format("visit_date", f)).alias(n) for f, n in (("yyyy-MM", "sort"), ("yyyy-MMM", "month"))]
-    by_both = visits.groupBy("l_suppkey", *month).agg(
-        F.count("*").alias("n"), F.count_if(F.col("visit_date") == as_of).alias("today"), F.count_if(line == "F").alias("done"), F.count_if(line == "O").alias("open"),
+    visits = visits.withColumns({n: F.when(recent, F.date_format("visit_date", f)) for f, n in (("yyyy-MM", "sort"), ("yyyy-MMM", "month"))})
+    both = visits.groupingSets([["sort", "month"], ["l_suppkey"]], "sort", "month", "l_suppkey").agg(
+        F.grouping_id().alias("set"), F.count("*").alias("n"), F.count_if(F.col("visit_date") == as_of).alias("today"), F.count_if(line == "F").alias("done"), F.count_if(line == "O").alias("open"),
         F.count_if(late).alias("late"), F.count_if(late & (line == "F")).alias("late_done"),
     )
-    by_month = by_both.groupBy("sort", "month").agg(*[F.sum(c).alias(c) for c in ("n", "today", "done", "open")])
-    entry = F.when(F.col("sort").isNotNull(), F.struct("sort", "month", "n"))  # collect_list leaves out the null of older visits
-    months = F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda e: F.concat(e.month, F.lit("="), e.n.cast("string"))), "; ")
-    visited = by_month.agg(F.sum("today").alias("visits_today"), F.sum("done").alias("completed_visits"), F.sum("open").alias("pending_visits"), months.alias("monthly_visits"))
-
-    by = by_both.groupBy("l_suppkey").agg(F.sum("late").alias("total"), F.sum("late_done").alias("completed")).where("total > 0")
-    best = by.orderBy(F.col("completed").desc(), "l_suppkey").limit(10).withColumns({"rank": -F.col("completed"), "of": F.concat(F.col("completed").cast("string"), F.lit("/"), F.col("total").cast("string"))})
-    engineers = best.agg(pairs(["rank", "l_suppkey"], "engineers", "of"))
+    rank = F.row_number().over(Window.partitionBy("set", "sort").orderBy((F.col("late") > 0).desc(), F.col("late_done").desc(), "l_suppkey"))
+    few = both.withColumn("rank", rank).where("rank <= 10")  # every month is a row of its own
+    of_month, of_engineer = F.col("set") == 1, (F.col("set") != 1) & (F.col("late") > 0)
+    total = lambda c, name: F.coalesce(F.sum(F.when(of_month, F.col(c))), F.lit(0)).alias(name)
+    listed = lambda when, entry, text, name: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(when, entry))), text), "; ").alias(name)
+    months = listed(of_month & F.col("sort").isNotNull(), F.struct("sort", "month", "n"), lambda e: F.concat(e.month, F.lit("="), e.n.cast("string")), "monthly_visits")
+    best = listed(of_engineer, F.struct("rank", "l_suppkey", "late_done", "late"), lambda e: F.concat(e.l_suppkey.cast("string"), F.lit("="), e.late_done.cast("string"), F.lit("/"), e.late.cast("string")), "engineers")
+    visited = few.agg(total("today", "visits_today"), total("done", "completed_visits"), total("open", "pending_visits"), months, best)
 
     by_type, kind = t.events.where("value >= 5").groupBy("event_type").agg(F.count("*").alias("n")), F.col("event_type")
     issues = by_type.agg(sums(kind == "error", "open_issues"), sums(kind == "purchase", "closed_issues"), pairs(["event_type"], "issue_statuses"))
     one = lambda df: df.withColumn("one", F.lit(1))  # noqa: E731  each side is one row
-    return reduce(lambda a, b: a.join(b, "one"), map(one, (contracts, visited, engineers, issues))).drop("one")
+    return reduce(lambda a, b: a.join(b, "one"), map(one, (contracts, visited, issues))).drop("one")
 
 
 @query("SELECT o_orderpriority AS contract_type, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")

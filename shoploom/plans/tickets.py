@@ -89,7 +89,7 @@ def ticket_events(t, first, last):
     completed.
     """
     low, high = F.lit(first).cast("date"), F.lit(last).cast("date")
-    created = t.orders.select("o_orderkey", "o_orderstatus", F.to_date("o_orderdate").alias("created")).where(F.col("created") <= high)
+    created = t.orders.select("o_orderkey", "o_orderstatus", F.to_date("o_orderdate").alias("created")).where((F.col("created") <= high) | (F.col("o_orderstatus") == "F"))
     updated = t.lineitem.groupBy("l_orderkey").agg(F.to_date(F.max("l_shipdate")).alias("updated"))
     tickets = created.join(updated, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     status, end = F.col("o_orderstatus"), F.coalesce("updated", high)

@@ -68,3 +68,20 @@ def test_every_ignores_missing_conditions(spark):
     df = spark.range(5)
     assert df.where(x.every(None, F.col("id") > 2, None)).count() == 2
     assert df.where(x.every()).count() == 5
+
+
+def test_validators(spark):
+    ticket = lambda **given: x.ticket_errors(*[F.lit(given.get(n)).cast("string") for n in ("customer", "phone", "phone2", "device", "brand", "model", "category", "problem", "issue")])
+    row = spark.range(1).select(
+        ticket(customer="A", phone2="9", device="d", category="c", issue="i").alias("two"),
+        ticket(customer=" \n\t", phone="9", device="d", brand="b", model="m", category="c", problem="p").alias("blank"),
+        x.customer_errors(F.lit("A"), F.lit(None).cast("string")).alias("customer"),
+        x.invoice_errors(F.lit("A"), F.array().cast("array<int>")).alias("empty"),
+        x.invoice_errors(F.lit("A"), F.lit(None).cast("array<int>")).alias("none"),
+        x.invoice_errors(F.lit("A"), F.array(F.lit(1))).alias("fine"),
+        x.contract_errors(F.lit("A"), F.lit("+91 98-76 (54)"), F.lit("a@b.c"), F.to_date(F.lit("2024-01-02")), F.to_date(F.lit("2024-01-02")), F.lit("NaN"), F.lit("100"), F.lit("Gold"), F.lit(None).cast("string")).alias("contract"),
+    ).first()
+    assert [(e.field, e.message) for e in row.two] == [("brand", "Brand is required"), ("model", "Model is required")]
+    assert [e.field for e in row.blank] == ["customerName"] and [e.message for e in row.customer] == ["Phone number is required"]
+    assert [e.field for e in row.empty] == [e.field for e in row.none] == ["items"] and row.fine == []
+    assert [e.field for e in row.contract] == ["endDate", "contractValue", "contractType"]

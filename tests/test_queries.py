@@ -49,7 +49,26 @@ def test_filters_reach_the_scan(spark):
     assert "StringStartsWith(p_type,PROMO)" in plan
 
 
-@pytest.mark.parametrize("name", ["weekly_chart", "contract_detail_nested", "contract_report_metrics"])
+@pytest.mark.parametrize("name", ["weekly_chart", "daily_chart", "contract_detail_nested", "contract_report_metrics", "report_sheets", "amc_dashboard"])
 def test_line_items_are_read_once(spark, name):
     plan = registry.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert sum("l_orderkey" in line and "Relation" in line for line in plan.splitlines()) == 1
+
+
+@pytest.mark.parametrize("name", ["contract_report_metrics", "report_sheets", "amc_dashboard"])
+def test_every_table_is_read_once(spark, name):
+    plan = registry.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line for line in plan.splitlines()) == 3
+
+
+def test_a_ticket_is_two_events_at_most(spark):
+    from shoploom.plans.tickets import YEARS, ticket_events
+    from shoploom.sources.tables import Tables
+
+    events = ticket_events(Tables(spark, FOLDER), *YEARS).groupBy("o_orderkey").count()
+    assert events.where("count > 2").count() == 0 and events.count() > 1000
+
+
+def test_contained_digits_are_met_by_equality(spark):
+    plan = registry.queries()["delivery_resolution"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
