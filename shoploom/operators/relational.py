@@ -122,8 +122,9 @@ def first_by_affix(asked: DataFrame, forms: Column, table: DataFrame, text: str,
 
     forms is an array of texts in the order in which they are tried. Every text of
     the table becomes its beginnings and ends, a few rows each, so forms meet them
-    by equality and no pairs are compared; signs like % have no special meaning.
-    asked must have a unique column id.
+    by equality and no pairs are compared; signs like % have no special meaning. That
+    takes space with the square of a text's length: it is for numbers and names, and
+    latest_containing for longer texts. asked must have a unique column id.
     """
     n = F.length(F.col(text))
     ends = F.transform(F.sequence(F.lit(1), n), lambda i: F.right(F.col(text), i))

@@ -112,17 +112,17 @@ def amc_dashboard(t):
     # visits in one pass, by month and by engineer; of each no more than a few rows go on
     line, recent = F.col("l_linestatus"), F.col("visit_date") >= F.add_months(as_of, -12)
     late = F.col("visit_date") >= F.add_months(as_of, -3)
-    visits = visits.withColumns({n: F.when(recent, F.date_format("visit_date", f)) for f, n in (("yyyy-MM", "sort"), ("yyyy-MMM", "month"))})
-    both = visits.groupingSets([["sort", "month"], ["l_suppkey"]], "sort", "month", "l_suppkey").agg(
+    visits = visits.withColumn("month", F.when(recent, F.trunc("visit_date", "month")))
+    both = visits.groupingSets([["month"], ["l_suppkey"]], "month", "l_suppkey").agg(
         F.grouping_id().alias("set"), F.count("*").alias("n"), F.count_if(F.col("visit_date") == as_of).alias("today"), F.count_if(line == "F").alias("done"), F.count_if(line == "O").alias("open"),
         F.count_if(late).alias("late"), F.count_if(late & (line == "F")).alias("late_done"),
     )
-    rank = F.row_number().over(Window.partitionBy("set", "sort").orderBy((F.col("late") > 0).desc(), F.col("late_done").desc(), "l_suppkey"))
+    rank = F.row_number().over(Window.partitionBy("set", "month").orderBy((F.col("late") > 0).desc(), F.col("late_done").desc(), "l_suppkey"))
     few = both.withColumn("rank", rank).where("rank <= 10")  # every month is a row of its own
     of_month, of_engineer = F.col("set") == 1, (F.col("set") != 1) & (F.col("late") > 0)
     total = lambda c, name: F.coalesce(F.sum(F.when(of_month, F.col(c))), F.lit(0)).alias(name)
     listed = lambda when, entry, text, name: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(when, entry))), text), "; ").alias(name)
-    months = listed(of_month & F.col("sort").isNotNull(), F.struct("sort", "month", "n"), lambda e: F.concat(e.month, F.lit("="), e.n.cast("string")), "monthly_visits")
+    months = listed(of_month & F.col("month").isNotNull(), F.struct("month", "n"), lambda e: F.concat(F.date_format(e.month, "yyyy-MMM"), F.lit("="), e.n.cast("string")), "monthly_visits")
     best = listed(of_engineer, F.struct("rank", "l_suppkey", "late_done", "late"), lambda e: F.concat(e.l_suppkey.cast("string"), F.lit("="), e.late_done.cast("string"), F.lit("/"), e.late.cast("string")), "engineers")
     visited = few.agg(total("today", "visits_today"), total("done", "completed_visits"), total("open", "pending_visits"), months, best)
 
@@ -283,11 +283,11 @@ def report_sheets(t):
     contract and by priority; rows of contracts meet in one join. part is the share of the
     whole for the trend and the issues, and the greatest value of a contract's sheet.
     """
-    visits = _visit_statuses(t).withColumn("month", F.date_format("l_shipdate", "yyyy-MM"))
+    visits = _visit_statuses(t).withColumn("month", F.trunc("l_shipdate", "month"))
     visits = visits.groupingSets([["l_orderkey"], ["month"]], "l_orderkey", "month").agg(F.grouping_id().alias("set"), *_visit_counts())
     issues = _issue_statuses(t).groupingSets([["user_id"], ["priority"]], "user_id", "priority").agg(F.grouping_id().alias("set"), *_issue_counts())
     of_contract = lambda df, key, kind: df.select(F.when(F.col("set") == 1, F.col(key)).alias("contract"), F.when(F.col("set") == 2, kind).alias("label"), "*")
-    v, i = of_contract(visits, "l_orderkey", F.col("month")), of_contract(issues, "user_id", F.coalesce("priority", F.lit("none")))
+    v, i = of_contract(visits, "l_orderkey", F.date_format("month", "yyyy-MM")), of_contract(issues, "user_id", F.coalesce("priority", F.lit("none")))
     v = v.drop("l_orderkey", "month", "set").withColumn("sheet", F.when(F.col("label").isNotNull(), "trend"))
     i = i.drop("user_id", "priority", "set").withColumn("sheet", F.when(F.col("label").isNotNull(), "issues"))
     # rows of a contract meet under its key, each of the others stays alone under its sheet and label
@@ -309,7 +309,9 @@ def report_sheets(t):
   CAST(round(count(*) FILTER (WHERE l_linestatus = 'F') * 100.0 / count(*)) AS BIGINT) AS rate FROM lineitem GROUP BY 1 ORDER BY 1""")
 def monthly_trend(t):
     done = F.count_if(F.col("l_linestatus") == "F")
-    return t.lineitem.groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("total"), done.alias("completed"), percent(done, F.count("*")).alias("rate")).orderBy("month")
+    by = t.lineitem.groupBy(F.trunc("l_shipdate", "month").alias("first")).agg(F.count("*").alias("total"), done.alias("completed"))
+    # months are written out once each, not for every visit
+    return by.select(F.date_format("first", "yyyy-MM").alias("month"), "total", "completed", percent(F.col("completed"), F.col("total")).alias("rate")).orderBy("month")
 
 
 @query(f"""SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND CAST(o_orderdate AS DATE) = DATE '{AS_OF}') AS today,
