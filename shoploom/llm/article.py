@@ -3,7 +3,7 @@
 The events of the standard library's parser, fed piece by piece, make lines: the text
 between two block boundaries, white space as one space. As in Weninger et al., "CETR:
 Content Extraction via Tag Ratios" (WWW 2010), each line has the ratio of its
-characters to its tags; the ratios are smoothed with a Gaussian over neighbouring
+characters to the tags in it; the ratios are smoothed with a Gaussian over neighbouring
 lines, and two clusters of the smoothed ratios part content lines from others.
 
 A ratio can't tell a short paragraph from an advert of the same length, so the
@@ -12,7 +12,8 @@ text (navigation, footers, forms, scripts and so on, or what calls itself so by
 id or role) have a ratio of 0 and fall out. The content lines then choose the region:
 the article elements that hold them, the main element, or else the smallest element
 that holds most of their text. In an article or main element every other line stays,
-however short; elsewhere a line stays if a content line stands in the same element.
+however short; elsewhere a line stays if a content line stands in the same element, or
+before it and behind it, and few of its letters are links.
 """
 
 from __future__ import annotations
@@ -56,14 +57,15 @@ _CLOSES = {
 }
 #: Words of a class or id by which an element says that it isn't main text; of the first kind, an article in it isn't either.
 _APART = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion related recommended recommendations trending popular"
+    "ad ads adv advert adverts advertisement advertising adsense adsbygoogle sponsor sponsored promo promotion related recommended recommendations trending popular"
     " comment comments commentlist disqus reply replies respond discussion sidebar footer nav menu cookie cookies consent".split()
 )
 _SAYS = frozenset(
-    "banner navbar navigation menubar breadcrumb breadcrumbs toc pager pagination toolbar skip contentinfo copyright colophon aside complementary rail widget widgets"
+    "banner navbar navigation menubar breadcrumb breadcrumbs toc pager pagination toolbar skip contentinfo copyright colophon aside complementary rail"
     " gdpr notice notices alert notification popup modal overlay dialog paywall reactions form search searchbox login signin signup register"
     " subscribe subscription newsletter share sharing social recirc tagcloud hidden".split()
 )
+_FIRST = _APART | _SAYS
 #: These only outside of an article or main element, where they may hold its title.
 _HEADS = frozenset("header masthead topbar head".split())
 #: Before such a word they describe the page (has-sidebar), after such a one an element of the text; at the end the former, too.
@@ -104,8 +106,10 @@ def _out_by_name(attrs: list[tuple[str, str | None]], tag: str, inside: bool) ->
         if name in ("class", "id"):
             for one in value.split():
                 words = [w.lower() for w in _WORD.findall(one)]
-                if not words or words[-1] in _STATES or (words[-1] in _TEXT_WORDS and len(words) > 1 and words[0] not in _APART):
+                if not words or words[-1] in _STATES or (words[-1] in _TEXT_WORDS and len(words) > 1 and words[0] not in _FIRST):
                     continue
+                if words[0] in ("widget", "widgets") and tag != "article":
+                    return 1
                 for k, word in enumerate(words):
                     if (k and words[k - 1] in _ABOUT) or (tag == "article" and word not in _APART):
                         continue
@@ -140,8 +144,7 @@ class Lines(HTMLParser):
             here = self.open[-1]
             heading = any(self.named.get(h) for h in ("h1", "h2"))
             self.lines.append(Line(text, self.tags, min(self.linked, len(text)), here.out > 0, heading, here.place, here.article, here.main))
-            self.tags = 0
-        self.pieces, self.linked = [], 0
+        self.pieces, self.linked, self.tags = [], 0, 0
 
     def _pop(self) -> str:
         name = self.open[-1].name
@@ -302,7 +305,9 @@ def main_text(html: str) -> str:
         for x in chosen:
             weight[x.place] = weight.get(x.place, 0) + len(x.text)
         region = _smallest(parser.places, weight)
-        keep = [not x.out and x.place in weight and _in(parser.places, x.place, {region}) for x in lines]
+        at = np.flatnonzero(picked)
+        between = lambda k: at[0] < k < at[-1]
+        keep = [not x.out and (x.place in weight or between(k)) and _in(parser.places, x.place, {region}) for k, x in enumerate(lines)]
         keep = [k and x.linked < max(1, LINKED * len(x.text)) for k, x in zip(keep, lines, strict=True)]
     return "\n".join(x.text for x, k in zip(lines, keep, strict=True) if k)
 

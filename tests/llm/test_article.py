@@ -31,6 +31,7 @@ def test_marked_up_page():
         f"<div><ul><li><a href=1>Home</a><li><a href=2>News</a></ul></div><div><h1>T</h1><p>{P}</p><p>Be.</p><p>{Q}</p></div><div>Accept cookies <a href=3>Yes</a></div>",
         f"<main><h1>T</h1><p>{P}<p>Be.<p>{Q}</main><div class='newsletter-form'>{P}</div>",
         f"<h1>T</h1><p>{P}<p>Be.<p>{Q}",
+        f"<div class='page'><div class='notice-text'>{P}</div><div><h1>T</h1><p>{P}</p></div><div><p>Be.</p></div><ins class='adsbygoogle'>{P}</ins><div class='elementor-widget-text-editor'>{Q}</div></div><div class='widget'>{P}</div>",
         f"<div class='layout-sidebar-left'></div><div class='no-sidebar'><article><h1>T</h1><div class='entry-content'><p>{P}</p><p>Be.</p></div><p>{Q}</p></article></div><div class='related-posts'><article><p>{P}</p></article></div>",
     ],
 )
