@@ -32,7 +32,7 @@ from .storage import with_fields
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 #: Bytes of pieces whose results a worker keeps, twice at most, with what each takes beside its letters and ids; pairs of tokens that it keeps.
-KEPT_BYTES, PIECE_BYTES, KEPT_PAIRS = 96 << 20, 200, 400_000
+KEPT_BYTES, PIECE_BYTES, KEPT_PAIRS = 64 << 20, 200, 400_000
 #: Rows of one output batch, and tokens that are joined in one Arrow array.
 BATCH_ROWS, MOST_AT_ONCE = 512, 20_000_000
 
