@@ -115,3 +115,12 @@ def test_differences_are_named(spark, tmp_path):
     plan = s.differences(a, b, "id", leaf_rows=50, bounds=8)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [" in plan and "GreaterThan" in plan  # the last comparison reads ranges
     assert s.differences(a.limit(0), b.limit(0), "id").count() == 0
+
+
+def test_a_parent_of_half_a_million(spark):
+    """Every list is whole, in order, and no longer than it may be."""
+    n = 500_000
+    df = spark.range(n).select(F.lit(7).alias("parent"), ((F.col("id") * 7919) % n).alias("at"), F.col("id").alias("child"))
+    parts = s.nest_in_parts(df, "parent", "at", ["at", "child"], "children", per_row=5000)
+    checked = parts.select("part", F.size("children").alias("n"), F.expr("children[0].at").alias("first"), F.expr("forall(sequence(1, size(children) - 1), i -> children[i].at = children[i - 1].at + 1)").alias("sorted"))
+    assert [tuple(r) for r in checked.orderBy("part").collect()] == [(k, 5000, 5000 * k, True) for k in range(n // 5000)]

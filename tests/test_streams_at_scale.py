@@ -126,3 +126,23 @@ def test_two_compactions_at_once(spark, tmp_path):
     assert compaction.compact(spark, path, schema, ["id"], [F.col("at").desc()]) == 2
     with pytest.raises(StreamingQueryException, match="another checkpoint"):
         s.upsert_each_batch(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), path, f"{tmp_path}/other", ["id"]).awaitTermination()
+
+
+def test_fifty_batches_and_a_compaction(spark, tmp_path):
+    """One run of fifty batches, one file each; every bucket's deltas become one base."""
+    path, schema = f"{tmp_path}/table", spark.createDataFrame([], SCHEMA).schema
+    spark.range(500).selectExpr("cast(id % 37 as int) as id", "cast(id as int) as at", "concat('t', id) as text", "id % 61 = 0 as gone").repartition(50).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    s.upsert_each_batch(stream, path, f"{tmp_path}/state", ["id"], buckets=2).awaitTermination()
+    folder, order = compaction.Folder(spark, path), [F.col("at").desc()]
+    run = next(n for n in folder.names() if n.startswith("run="))
+    assert len([n for n in folder.names(run) if n.startswith("batch=")]) == 50
+    rows = lambda: sorted(tuple(r) for r in compaction.current_rows(spark, path, schema, ["id"], order, F.col("gone")).collect())
+    before = rows()
+    last = {i % 37: i for i in range(500)}
+    assert before == sorted((k, i, f"t{i}", False) for k, i in last.items() if i % 61)
+    assert compaction.compact(spark, path, schema, ["id"], order, F.col("gone")) == 1
+    base = compaction.version(folder)[1]
+    assert rows() == before and len([n for n in folder.names(base) if n.startswith("bucket=")]) == 2
+    compaction.vacuum(spark, path)
+    assert rows() == before and [n for n in folder.names(run) if n.startswith("batch=")] == []
