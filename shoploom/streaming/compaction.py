@@ -2,9 +2,10 @@
 
 A table is the folders run=R/batch=N that upsert_each_batch writes, and versions: small
 JSON files, numbered from 1, of which the last one counts. A version names a base
-folder and, for each run, the last batch that is folded into it. Readers take the base
-and the batches behind it. A version's file is put in place by a rename that fails if
-another one has been faster, so a compaction is there as a whole or not at all.
+folder for each bucket that has rows and, for each run, the last batch that is folded
+into them. Readers take the bases and the batches behind them. A version's file is put
+in place by a rename that fails if another one has been faster, so a compaction is there
+as a whole or not at all. It rewrites only the buckets that batches have added to.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +21,6 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from shoploom.operators.relational import latest_per_key
 
-_PLACE = ("run", "batch", "bucket")
-
-
 class Folder:
     """A table's folder, by the file system that its path names."""
 
@@ -51,13 +50,13 @@ class Folder:
             raise FileExistsError(f"{self.path}/{name} was written meanwhile; compact again")
 
 
-def version(folder: Folder) -> tuple[int, str | None, dict[str, int]]:
-    """(number, base folder, last folded batch by run) of the version that counts; 0 without any."""
+def version(folder: Folder) -> tuple[int, dict[str, str], dict[str, int]]:
+    """(number, base folder by bucket, last folded batch by run) of the version that counts; 0 without any."""
     numbers = [int(n.removesuffix(".json")) for n in folder.names("_versions") if n.endswith(".json")]
     if not numbers:
-        return 0, None, {}
+        return 0, {}, {}
     found = json.loads(folder.read_text(f"_versions/{max(numbers):08d}.json"))
-    return max(numbers), found["base"], found["folded"]
+    return max(numbers), found["bases"], found["folded"]
 
 
 def runs(spark: SparkSession, path: str) -> set[str]:
@@ -75,28 +74,26 @@ def _batches(folder: Folder, folded: dict[str, int]) -> dict[str, list[int]]:
     return found
 
 
-def _rows(folder: Folder, schema: StructType, base: str | None, batches: dict[str, list[int]]) -> DataFrame:
-    spark, parts = folder.spark, []
+def _rows(folder: Folder, schema: StructType, bases: dict[str, str], batches: dict[str, list[int]]) -> DataFrame:
+    spark = folder.spark
     whole = StructType([*schema.fields, StructField("batch", IntegerType()), StructField("bucket", IntegerType())])
-    if base:
-        parts.append(spark.read.schema(whole).parquet(f"{folder.path}/{base}"))
+    places: dict[str, list[str]] = {}
+    for bucket, base in bases.items():
+        places.setdefault(f"{folder.path}/{base}", []).append(f"{folder.path}/{base}/bucket={bucket}")
     for run, numbers in batches.items():
         if numbers:
             root = f"{folder.path}/run={run}"
-            parts.append(spark.read.schema(whole).option("basePath", root).parquet(*[f"{root}/batch={n}" for n in numbers]))
-    if not parts:
-        return spark.createDataFrame([], whole)
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows
+            places[root] = [f"{root}/batch={n}" for n in numbers]
+    # one read for each root: as many as there are runs and bases that still count
+    parts = [spark.read.schema(whole).option("basePath", root).parquet(*paths) for root, paths in places.items()]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], whole)
 
 
 def table_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The rows of the version that counts and of the batches behind it, with batch and bucket."""
     folder = Folder(spark, path)
-    _, base, folded = version(folder)
-    return _rows(folder, schema, base, _batches(folder, folded))
+    _, bases, folded = version(folder)
+    return _rows(folder, schema, bases, _batches(folder, folded))
 
 
 def current_rows(spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], order: Sequence[Column], deleted: Column | None = None) -> DataFrame:
@@ -106,32 +103,39 @@ def current_rows(spark: SparkSession, path: str, schema: StructType, keys: Seque
 
 
 def compact(spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], order: Sequence[Column], deleted: Column | None = None) -> int:
-    """Folds all batches that are there into a new base, bucket by bucket, and gives the new version's number.
+    """Folds all batches that are there into new bases of the buckets they add to, and gives the new version's number.
 
     Only the first row in order of each key goes on. A tombstone goes with the key's older
-    rows, as a base has all there was before it; with a late row of a time before the
-    tombstone the key would be there again, so deletions should be final. Batches that
+    rows, as bases have all there was before it; with a late row of a time before the
+    tombstone the key would be there again, so deletions should be final. The number of
+    buckets must stay what it was. Batches that
     come meanwhile stand behind the new version. What a failed compaction has written is
     in no version; vacuum deletes it.
     """
     folder = Folder(spark, path)
-    number, base, folded = version(folder)
+    number, bases, folded = version(folder)
     batches = _batches(folder, folded)
-    rows = latest_per_key(_rows(folder, schema, base, batches), ["bucket", *keys], [*order, F.col("batch").desc()])
+    touched = {n.removeprefix("bucket=") for run, numbers in batches.items() for k in numbers for n in folder.names(f"run={run}/batch={k}") if n.startswith("bucket=")}
+    rows = latest_per_key(_rows(folder, schema, {b: base for b, base in bases.items() if b in touched}, batches), ["bucket", *keys], [*order, F.col("batch").desc()])
     if deleted is not None:
         rows = rows.where(~F.coalesce(deleted, F.lit(False)))
     new = f"_bases/{uuid.uuid4().hex}"
     rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{new}")
+    written = {n.removeprefix("bucket=") for n in folder.names(new) if n.startswith("bucket=")}
+    kept = {b: base for b, base in bases.items() if b not in touched} | dict.fromkeys(written, new)
     last = {run: numbers[-1] for run, numbers in batches.items() if numbers}
-    folder.put(f"_versions/{number + 1:08d}.json", json.dumps({"base": new, "folded": folded | last}))
+    folder.put(f"_versions/{number + 1:08d}.json", json.dumps({"bases": kept, "folded": folded | last}))
     return number + 1
 
 
 def vacuum(spark: SparkSession, path: str) -> list[str]:
     """Deletes the folders that the version that counts doesn't need, and names them; readers of earlier versions must be done."""
     folder = Folder(spark, path)
-    _, base, folded = version(folder)
-    gone = [f"_bases/{n}" for n in folder.names("_bases") if f"_bases/{n}" != base] + ["_drafts"]
+    _, bases, folded = version(folder)
+    gone = ["_drafts"]
+    for name in (f"_bases/{n}" for n in folder.names("_bases")):
+        own = [b for b, base in bases.items() if base == name]
+        gone += [f"{name}/{n}" for n in folder.names(name) if n.startswith("bucket=") and n.removeprefix("bucket=") not in own] if own else [name]
     for run, last in folded.items():
         gone += [f"run={run}/{n}" for n in folder.names(f"run={run}") if n.startswith("batch=") and int(n.removeprefix("batch=")) <= last]
     for name in gone:

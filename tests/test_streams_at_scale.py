@@ -109,8 +109,11 @@ def test_compaction_changes_no_row(spark, tmp_path, monkeypatch):
             fold()
     assert rows() == before and compaction.version(compaction.Folder(spark, path))[0] == 1
     assert fold() == 2 and rows() == before
+    bases = compaction.version(compaction.Folder(spark, path))[1]
+    assert len(bases) == 4 and len(set(bases.values())) == 2  # the last batch has added to some buckets only
     gone = compaction.vacuum(spark, path)
-    assert sum(g.startswith("_bases/") for g in gone) == 2 and sum("batch=" in g for g in gone) == 13 and rows() == before
+    assert any(g.startswith("_bases/") for g in gone) and sum("batch=" in g for g in gone) == 13 and rows() == before
+    assert {b: base for b, base in bases.items() if f"bucket={b}" in compaction.Folder(spark, path).names(base)} == bases
     assert compaction.table_rows(spark, path, schema).where("id = 3").count() == 0
     batches(spark, tmp_path, [52])  # key 3 again, later than its end
     assert (3, 52, "t52", False) in rows() and len(rows()) == 7 + 14
@@ -120,7 +123,7 @@ def test_two_compactions_at_once(spark, tmp_path):
     path, schema = f"{tmp_path}/table", spark.createDataFrame([], SCHEMA).schema
     batches(spark, tmp_path, range(3))
     folder = compaction.Folder(spark, path)
-    folder.put("_versions/00000001.json", '{"base": null, "folded": {}}')
+    folder.put("_versions/00000001.json", '{"bases": {}, "folded": {}}')
     with pytest.raises(FileExistsError, match="compact again"):
         folder.put("_versions/00000001.json", "{}")
     assert compaction.compact(spark, path, schema, ["id"], [F.col("at").desc()]) == 2
@@ -142,7 +145,7 @@ def test_fifty_batches_and_a_compaction(spark, tmp_path):
     last = {i % 37: i for i in range(500)}
     assert before == sorted((k, i, f"t{i}", False) for k, i in last.items() if i % 61)
     assert compaction.compact(spark, path, schema, ["id"], order, F.col("gone")) == 1
-    base = compaction.version(folder)[1]
-    assert rows() == before and len([n for n in folder.names(base) if n.startswith("bucket=")]) == 2
+    bases = compaction.version(folder)[1]
+    assert rows() == before and set(bases) == {"0", "1"} and len(set(bases.values())) == 1
     compaction.vacuum(spark, path)
     assert rows() == before and [n for n in folder.names(run) if n.startswith("batch=")] == []
