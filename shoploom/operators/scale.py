@@ -156,21 +156,24 @@ def nest_in_parts(children: DataFrame, key: str, by: str, fields: Sequence[str],
 # --- the value before ---
 
 
-def changed_rows(df: DataFrame, key: str, value: str, order: Sequence[str], bucket: Column, old: str = "old") -> DataFrame:
+def changed_rows(df: DataFrame, key: str, value: str, order: Sequence[str], bucket: Column, old: str = "old", task_rows: int = TASK_ROWS) -> DataFrame:
     """The rows whose value differs from that of the row before of their key, which is added as old; the first row of a key has null before it.
 
-    bucket must rise with the order. Rows look at the one before within their bucket; the
-    last value of each bucket is carried to the first row of the key's next one, however
-    many empty ones lie between. So a task sorts a bucket of a key, not the key.
+    bucket must rise with the order. Keys of over task_rows rows are dealt out by it: their
+    rows look at the one before within their bucket, and the last value of each bucket
+    is carried to the first row of the key's next one, however many empty ones lie
+    between. So a task sorts a bucket of such a key, not the key.
     """
-    dealt = df.withColumn("__bucket", bucket)
+    hot = df.groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("__n")).where(F.col("__n") > task_rows)
+    marked = df.join(hot, F.col(key).eqNullSafe(F.col("__hot")), "left")
+    dealt = marked.withColumn("__bucket", F.when(F.col("__n").isNotNull(), bucket)).drop("__hot")
     sort = [F.col(c).asc_nulls_first() for c in order]
     own = Window.partitionBy(key, "__bucket").orderBy(*sort)
-    last = dealt.groupBy(key, "__bucket").agg(F.max_by(F.struct(value), F.struct(*order)).alias("__last"))
-    carried = last.select(F.col(key).alias("__key"), F.col("__bucket").alias("__of"), F.lag("__last").over(Window.partitionBy(key).orderBy("__bucket"))[value].alias("__carried"))
+    last = dealt.where(F.col("__n").isNotNull()).groupBy(key, "__bucket").agg(F.max_by(F.struct(value), F.struct(*order)).alias("__last"))
+    carried = last.select(F.col(key).alias("__key"), F.col("__bucket").alias("__of"), F.lag("__last").over(Window.partitionBy(key).orderBy(F.col("__bucket").asc_nulls_first()))[value].alias("__carried"))
     inside = dealt.withColumns({"__row": F.row_number().over(own), "__before": F.lag(value).over(own)})
-    joined = inside.join(carried, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__bucket") == F.col("__of")))
-    before = joined.withColumn(old, F.when(F.col("__row") == 1, F.col("__carried")).otherwise(F.col("__before")))
+    first = inside.join(carried, (F.col("__row") == 1) & F.col(key).eqNullSafe(F.col("__key")) & F.col("__bucket").eqNullSafe(F.col("__of")), "left")
+    before = first.withColumn(old, F.when(F.col("__row") == 1, F.col("__carried")).otherwise(F.col("__before")))
     return before.where(~F.col(old).eqNullSafe(F.col(value))).select(*df.columns, old)
 
 

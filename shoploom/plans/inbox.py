@@ -253,7 +253,7 @@ def fuzzy_phone_match(t):
 @query("""SELECT event_id, user_id, old_status, event_type AS new_status FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old_status FROM events)
   WHERE old_status IS DISTINCT FROM event_type""")
 def status_changes(t):
-    """Each user's events whose type differs from the one before; a day of a user is sorted, not the user."""
+    """Each user's events whose type differs from the one before; of a user with very many, a day is sorted and not the user."""
     found = changed_rows(t.events, "user_id", "event_type", ["ts", "event_id"], F.to_date("ts"), "old_status")
     return found.select("event_id", "user_id", "old_status", F.col("event_type").alias("new_status"))
 

@@ -47,11 +47,12 @@ def test_children_of_a_hot_parent(spark, rows):
     assert got == want
 
 
-def test_value_before_with_a_hot_key(spark):
+@pytest.mark.parametrize("task_rows", [0, 200, 10**6])
+def test_value_before_with_a_hot_key(spark, task_rows):
     r = random.Random(1)
     data = [(1 if r.random() < 0.5 else r.choice([None, 2, 3, 4]), r.randrange(0, 900), i, r.choice([None, "a", "b", "c"])) for i in range(2000)]
     df = spark.createDataFrame(data, "k int, at int, id int, v string").repartition(4)
-    got = {x.id: x.old for x in s.changed_rows(df, "k", "v", ["at", "id"], F.floor(F.col("at") / 100)).collect()}
+    got = {x.id: x.old for x in s.changed_rows(df, "k", "v", ["at", "id"], F.floor(F.col("at") / 100), task_rows=task_rows).collect()}
     want, before = {}, {}
     for k, at, i, v in sorted(data, key=lambda x: (x[1], x[2])):
         if before.get(k) != v:
