@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -13,6 +14,25 @@ from pyspark.sql import functions as F
 BOUNDS, TASK_ROWS = 200, 200_000
 
 
+# --- rows dealt out ---
+
+
+def parts_of(df: DataFrame, task_rows: int = TASK_ROWS) -> int:
+    """How many parts of about task_rows rows df has: one count, and a number of partitions that is not merged again."""
+    return max(1, math.ceil(df.count() / task_rows))
+
+
+def join_spread(df: DataFrame, table: DataFrame, key: Column, id: Column, row: Column) -> DataFrame:
+    """df left-joined to the rows of the table whose id is its key, both of one type.
+
+    Rows without a key meet nothing, so they are dealt out by row, a column that differs
+    between them, and don't come together in one task.
+    """
+    dealt = df.withColumn("__spread", F.coalesce(F.when(key.isNotNull(), F.xxhash64(key)), F.xxhash64(row)))
+    met = table.withColumn("__at", F.xxhash64(id))
+    return dealt.join(met, (F.col("__spread") == F.col("__at")) & (key == id), "left").drop("__spread", "__at")
+
+
 # --- histograms ---
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from shoploom.functions.exprs import STATUS_TEMPLATES, TEMPLATE_LANGUAGES, any_ilike, conversation_id, conversation_kind as kind_of, digits, mapped, phone_candidates, phone_strict, rating_label, status_event
 from shoploom.operators.relational import first_by_affix, keep_first, latest_per_key
-from shoploom.operators.scale import changed_rows, latest_containing
+from shoploom.operators.scale import TASK_ROWS, changed_rows, join_spread, latest_containing, parts_of
 
 from .registry import query
 
@@ -89,7 +89,11 @@ def _mail(t):
     )
 
 
-def inbox(messages, tickets, orders, customers, search=None, filter=None, customer_id=None):
+#: Fixed value: parts that a conversation's messages are dealt out to.
+_DEALT = 8
+
+
+def inbox(messages, tickets, orders, customers, search=None, filter=None, customer_id=None, task_rows=TASK_ROWS):
     """One row for each conversation with a message that meets the search and the filter: that message's ids, and the newest text, type and sender.
 
     messages has id, conversation_id, customer_id, ticket_id, order_id, sender, type, text,
@@ -97,34 +101,40 @@ def inbox(messages, tickets, orders, customers, search=None, filter=None, custom
     customers id and name. filter is unread, tickets, orders, customers or team: the
     conversations with an unread message of a customer; messages of tickets, of orders; by the kind of the
     message found customers and tickets, or customers alone. One grouping gives it all:
-    the lookups are joined to conversations, and to messages only for a search.
+    the lookups are joined to conversations, and for a search only those that match to
+    messages that have such an id. Messages are grouped in parts of about task_rows, a
+    conversation of very many in several; ids that are null are dealt out.
     """
-    wanted = F.lit(True)
+    messages = messages.withColumn("__hit", F.lit(False))
+    rows, wanted, parts = messages, ~F.col("__hit"), parts_of(messages, task_rows)
     if search:
-        named = tickets.select(F.col("id").alias("ticket_id"), F.col("customer_name").alias("__t"))
-        numbers = orders.select(F.col("id").alias("order_id"), F.col("order_number").alias("__o"))
-        own = customers.select(F.col("id").cast("string").alias("__id"), F.col("name").alias("__c"))
-        messages = messages.join(named, "ticket_id", "left").join(numbers, "order_id", "left").join(own, F.col("customer_id").cast("string") == F.col("__id"), "left")
-        wanted = any_ilike(search, "conversation_id", "__t", "__o", "__c")
+        found = [messages.where(any_ilike(search, "conversation_id"))]
+        for table, name, key in ((tickets, "customer_name", "ticket_id"), (orders, "order_number", "order_id"), (customers, "name", "customer_id")):
+            hits = table.where(any_ilike(search, name)).select(F.col("id").cast("string").alias("__id"))
+            keyed = messages.withColumn("__key", F.col(key).cast("string")).where("__key is not null").repartition(parts, "__key")
+            found.append(keyed.join(hits, F.col("__key") == F.col("__id"), "left_semi").drop("__key"))
+        for part in found:  # a message that meets several is there for each, which its conversation's newest is not changed by
+            rows = rows.unionByName(part.withColumn("__hit", F.lit(True)))
+        wanted = F.col("__hit")
     if customer_id is not None:
         wanted = wanted & (F.col("customer_id") == customer_id)
     if filter in ("tickets", "orders"):
         wanted = wanted & F.col({"tickets": "ticket_id", "orders": "order_id"}[filter]).isNotNull()
     order = F.struct("created_at", "id")
-    unread = F.count_if(~F.col("is_read") & (F.col("sender") == "Customer"))
-    by = messages.groupBy("conversation_id").agg(
+    own = ~F.col("__hit")
+    by = rows.repartition(parts, "conversation_id", F.pmod(F.xxhash64("id"), F.lit(_DEALT))).groupBy("conversation_id").agg(
         F.max_by(F.struct("customer_id", "ticket_id", "order_id", "created_at"), F.when(wanted, order)).alias("found"),
-        F.max_by(F.struct("text", "type", "sender"), order).alias("last"),
-        unread.alias("unread_count"),
+        F.max_by(F.struct("text", "type", "sender"), F.when(own, order)).alias("last"),
+        F.count_if(own & ~F.col("is_read") & (F.col("sender") == "Customer")).alias("unread_count"),
     )
     by = by.where("found is not null").withColumn("conversation_type", kind_of(F.col("found.order_id"), F.col("conversation_id")))
     kept = {"unread": F.col("unread_count") > 0, "customers": F.col("conversation_type").isin("customer", "ticket"), "team": F.col("conversation_type") == "customer"}
     by = by.where(kept[filter]) if filter in kept else by
-    joined = (
-        by.join(tickets.select(F.col("id").alias("__ticket"), F.col("customer_name").alias("ticket_customer_name")), F.col("found.ticket_id") == F.col("__ticket"), "left")
-        .join(orders.select(F.col("id").alias("__order"), "order_number"), F.col("found.order_id") == F.col("__order"), "left")
-        .join(customers.select(F.col("id").cast("string").alias("__customer"), F.col("name").alias("saved_customer_name")), F.col("found.customer_id").cast("string") == F.col("__customer"), "left")
-    )
+    text = lambda c: F.col(c).cast("string")
+    joined = by
+    for table, key, name, of in ((tickets, "ticket_id", "customer_name", "ticket_customer_name"), (orders, "order_id", "order_number", "order_number"), (customers, "customer_id", "name", "saved_customer_name")):
+        found = table.select(text("id").alias("__id"), F.col(name).alias(of))
+        joined = join_spread(joined, found, text(f"found.{key}"), F.col("__id"), F.col("conversation_id")).drop("__id")
     return joined.select(
         "conversation_id", "found.customer_id", "found.ticket_id", "found.order_id", F.col("found.created_at").alias("last_message_at"), F.col("last.text").alias("last_text"), F.col("last.type").alias("last_type"),
         F.col("last.sender").alias("last_sender"), "unread_count", "ticket_customer_name", "order_number", "saved_customer_name", "conversation_type",

@@ -125,3 +125,39 @@ def test_a_parent_of_half_a_million(spark):
     parts = s.nest_in_parts(df, "parent", "at", ["at", "child"], "children", per_row=5000)
     checked = parts.select("part", F.size("children").alias("n"), F.expr("children[0].at").alias("first"), F.expr("forall(sequence(1, size(children) - 1), i -> children[i].at = children[i - 1].at + 1)").alias("sorted"))
     assert [tuple(r) for r in checked.orderBy("part").collect()] == [(k, 5000, 5000 * k, True) for k in range(n // 5000)]
+
+
+@pytest.mark.parametrize("search", [None, "9"])
+def test_rows_without_an_id_do_not_come_together_in_the_inbox(spark, search):
+    """Messages of no customer, ticket or order, and one conversation of very many: every joined row has its place, none a crowded one."""
+    from shoploom.plans.inbox import inbox
+
+    rows = [(i, f"cust_{i % 400 if i % 2 else 1000}", None if i % 400 < 396 else i % 400, i if i % 50 == 0 else None, None, "Customer", "t", f"m{i}", i % 3 == 0, i // 7) for i in range(4000)]
+    messages = spark.createDataFrame(rows, "id long, conversation_id string, customer_id long, ticket_id long, order_id long, sender string, type string, text string, is_read boolean, created_at long")
+    tickets = spark.createDataFrame([(i, f"name {i}") for i in range(0, 4000, 25)], "id long, customer_name string")
+    orders = spark.createDataFrame([(1, "ORD-1")], "id long, order_number string")
+    customers = spark.createDataFrame([(i, f"own {i}") for i in range(400)], "id long, name string")
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = inbox(messages, tickets, orders, customers, search=search, task_rows=500)
+        got = {x.conversation_id: x for x in found.collect()}
+        sizes = [x[0] for x in found.groupBy(F.spark_partition_id()).agg(F.count("*")).select("count(1)").collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert len(sizes) > 1 and max(sizes) < 0.6 * sum(sizes)
+    names = {i: f"name {i}" for i in range(0, 4000, 25)}
+    hit = lambda m: search is None or any(search in (x or "") for x in (m[1], names.get(m[3]), f"own {m[2]}" if m[2] is not None else None))
+    want = {}
+    for m in sorted(rows, key=lambda m: (m[9], m[0])):
+        own = want.setdefault(m[1], [None, None, 0])
+        own[0], own[1] = (m if hit(m) else own[0]), m
+        own[2] += not m[8]
+    want = {k: v for k, v in want.items() if v[0]}
+    assert got.keys() == want.keys()
+    for k, (found_at, last, unread) in want.items():
+        x = got[k]
+        assert (x.customer_id, x.ticket_id, x.last_message_at, x.last_text, x.unread_count) == (found_at[2], found_at[3], found_at[9], last[7], unread)
+        assert (x.ticket_customer_name, x.saved_customer_name) == (names.get(found_at[3]), f"own {found_at[2]}" if found_at[2] is not None else None)
