@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scale import TASK_ROWS, parts_of
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in the given order."""
@@ -117,24 +119,28 @@ def unpivoted(row: DataFrame, label: str, value: str, **columns: str) -> DataFra
     return row.select(*others, F.explode(pairs).alias("__pair")).select(*others, f"__pair.{label}", f"__pair.{value}")
 
 
-def first_by_affix(asked: DataFrame, forms: Column, table: DataFrame, text: str, value: str, name: str, starts: bool = True) -> DataFrame:
+def first_by_affix(asked: DataFrame, forms: Column, table: DataFrame, text: str, value: str, name: str, starts: bool = True, task_rows: int = TASK_ROWS) -> DataFrame:
     """Adds the least value of the rows whose text ends (or, with starts, begins) with a form, for the first form that has one.
 
     forms is an array of texts in the order in which they are tried. Every text of
     the table becomes its beginnings and ends, a few rows each, so forms meet them
     by equality and no pairs are compared; signs like % have no special meaning. That
     takes space with the square of a text's length: it is for numbers and names, and
-    latest_containing for longer texts. asked must have a unique column id.
+    latest_containing for longer texts. Texts are dealt out before they become pieces, so
+    a task has those of about task_rows / 8 texts, and what was found is grouped in parts
+    of about task_rows of asked, which must have a unique column id.
     """
     n = F.length(F.col(text))
     ends = F.transform(F.sequence(F.lit(1), n), lambda i: F.right(F.col(text), i))
     heads = F.transform(F.sequence(F.lit(1), n), lambda i: F.left(F.col(text), i))
     affixes = F.array_distinct(F.concat(ends, heads)) if starts else ends
-    pieces = table.where(n > 0).select(F.explode(affixes).alias("__form"), F.col(value).alias("__value"))
-    least = pieces.groupBy("__form").agg(F.min("__value").alias("__value"))
-    tried = asked.select("id", F.posexplode(forms).alias("__turn", "__form"))
-    hits = tried.join(least, "__form").groupBy("id").agg(F.min_by("__value", "__turn").alias(name))
-    return asked.join(hits, "id", "left")
+    many, found = parts_of(table, max(1, task_rows // 8)), parts_of(asked, task_rows)
+    pieces = table.where(n > 0).select(text, value).repartition(many, text).select(F.explode(affixes).alias("__form"), F.col(value).alias("__value"))
+    least = pieces.groupBy("__form").agg(F.min("__value").alias("__value")).repartition(many + found, "__form")
+    tried = asked.select("id", F.posexplode(forms).alias("__turn", "__form")).repartition(many + found, "__form")
+    # their sizes are estimated before texts become pieces, far too small for a broadcast
+    hits = tried.join(least.hint("merge"), "__form").repartition(found, "id")
+    return asked.join(hits.groupBy("id").agg(F.min_by("__value", "__turn").alias(name)), "id", "left")
 
 
 def child_replace(children: DataFrame, new: DataFrame, parent: str) -> DataFrame:

@@ -87,6 +87,16 @@ def test_first_by_affix_tries_forms_in_order(spark):
     assert got == {1: 7, 2: 5, 3: 2, 4: None, 5: None, 6: 7}
 
 
+def test_first_by_affix_deals_out_its_pieces(spark):
+    table = spark.createDataFrame([(i, f"98{i:04d}") for i in range(300)], "v int, t string")
+    asked = spark.createDataFrame([(i, [f"x{i}", f"{i:04d}"] if i % 3 else []) for i in range(400)], "id int, f array<string>")
+    found = r.first_by_affix(asked, F.col("f"), table, "t", "v", "found", task_rows=80)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "__form" in line]
+    assert "hashpartitioning(t#" in plan and "REPARTITION_BY_NUM" in plan
+    assert {x.id: x.found for x in found.collect()} == {i: i if i % 3 and i < 300 else None for i in range(400)}
+
+
 def test_payments_and_unpivot(spark):
     invoices = spark.createDataFrame([(1, 100, 10), (2, 50, None), (3, 5, 5)], "k int, total_amount int, amount_paid int")
     payments = spark.createDataFrame([(1, 20), (1, None), (2, 60), (9, 1)], "k int, amount int")
