@@ -70,8 +70,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     repeated ones too.
     """
     path = public_tokenizers.path(TOKENIZER)
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "n_chars", "text"), path).drop("text")
-    return bpe.decode(encoded, path).select(
+    return bpe.round_trip(docs.select("doc_id", "lang", "source", "n_chars", "text"), path).select(
         "doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

@@ -48,6 +48,15 @@ def _byte_letters() -> str:
     return "".join(chr(b if b in printable else next(spare)) for b in range(256))
 
 
+def _tokens(spec: dict) -> list[str]:
+    """The token of each id of a tokenizer file."""
+    named = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    tokens = [""] * (max(named.values()) + 1)
+    for t, i in named.items():
+        tokens[i] = t
+    return tokens
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -55,9 +64,6 @@ class Encoder:
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(spec["model"]["merges"])}
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.tokens = [""] * (max([*self.vocab.values(), *self.added.values()]) + 1)
-        for t, i in (self.vocab | self.added).items():
-            self.tokens[i] = t
         self.longest = max(len(t.removesuffix(WORD_END)) for t in self.vocab)
         self.added_re = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pre_token = regex.compile(PRE_TOKEN)
@@ -204,6 +210,30 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _encoded(part: pa.RecordBatch, path: str, text: str, specials: bool) -> pa.ListArray:
+    found = encoder(path).encode_batch(part.column(text).to_pylist(), specials)
+    ends = np.cumsum([0, *(len(f) // 4 for f in found)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+
+@cache
+def _token_texts(path: str) -> pa.StringArray:
+    """The token of each id: all that decoding needs of a file."""
+    with open(path, encoding="utf-8") as f:
+        return pa.array(_tokens(json.load(f)), pa.string())
+
+
+def _decoded(column: pa.ListArray, tokens: pa.StringArray) -> pa.StringArray:
+    column = pc.fill_null(column, [])
+    flat = pc.list_flatten(column)
+    known = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(tokens))), False)
+    if len(flat) < MOST_AT_ONCE and pc.all(known, min_count=0).as_py():
+        ends = pc.cumulative_sum(pc.list_value_length(column))
+        lists = pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), tokens.take(flat))
+        return pc.binary_join(lists, " ")
+    return pa.array([" ".join(tokens[i].as_py() for i in row if i is not None and 0 <= i < len(tokens)) for row in column.to_pylist()], pa.string())
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", specials: bool = True) -> DataFrame:
     """Adds the token ids of a text column as array<int>.
 
@@ -215,14 +245,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", spe
     names = schema.names[:-1]
 
     def run(batches):
-        bpe = encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
-                found = bpe.encode_batch(part.column(text).to_pylist(), specials)
-                ends = np.cumsum([0, *(len(f) // 4 for f in found)], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), lists], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), _encoded(part, path, text, specials)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -236,20 +262,25 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
     names = schema.names[:-1]
 
     def run(batches):
-        tokens = pa.array(encoder(path).tokens, pa.string())
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
-                column = pc.fill_null(part.column(ids), [])
-                flat = pc.list_flatten(column)
-                known = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(tokens))), False)
-                if len(flat) < MOST_AT_ONCE and pc.all(known, min_count=0).as_py():
-                    ends = pc.cumulative_sum(pc.list_value_length(column))
-                    lists = pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), tokens.take(flat))
-                    out = pc.binary_join(lists, " ")
-                else:
-                    out = pa.array([" ".join(encoder(path).tokens[i] for i in row if i is not None and 0 <= i < len(tokens)) for row in column.to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), out], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), _decoded(part.column(ids), _token_texts(path))], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", specials: bool = True) -> DataFrame:
+    """encode and decode in the place of the text column: one Python worker for each task instead of two, and ids that don't go back and forth."""
+    kept = [c for c in docs.columns if c not in (text, ids, decoded)]
+    schema = with_fields(docs.select(kept), {ids: "array<int>", decoded: "string"})
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
+                found = _encoded(part, path, text, specials)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), found, _decoded(found, _token_texts(path))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 

@@ -55,6 +55,25 @@ def test_operator_on_odd_rows(spark, library):
     assert bpe.encode(docs.limit(0), PATH).count() == 0
 
 
+def test_round_trip_is_both_in_one_worker(spark):
+    texts = [None, "", " \t", "Ça <|endoftext|> va", "x" * 3000, "same", "same", "a\x1cb\x00c"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    both = bpe.decode(bpe.encode(docs, PATH), PATH).drop("text")
+    once = bpe.round_trip(docs, PATH)
+    assert once.columns == both.columns and sorted(once.collect()) == sorted(both.collect())
+    assert once._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("name", ["op6_bpe_round_trip", "pipeline"])
+def test_queries_run_one_worker_for_a_task(spark, tmp_path, name):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "the text", "en", "s", 8)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op6_bpe_round_trip(spark, str(tmp_path)) if name[0] == "o" else corpus_pipeline.encode_tokens(spark, docs, str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_decode_skips_unknown_ids(spark):
     df = spark.createDataFrame([(1, [518, None, 99_999_999, -1, 518]), (2, None)], "k int, ids array<int>")
     assert [r.decoded for r in bpe.decode(df, PATH).orderBy("k").collect()] == ["the</w> the</w>", ""]
