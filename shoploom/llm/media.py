@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Sequence
 from functools import cache, lru_cache
 
 import numpy as np
@@ -68,17 +69,21 @@ def _table(kind: int, slot: int, lengths: list[int], symbols: bytes) -> bytes:
     return _segment(0xC4, bytes([kind << 4 | slot]) + counts + symbols)
 
 
-def _scan(parts: list[tuple[int, int, int]], ss: int, se: int, high: int, low: int) -> bytes:
+def _scan(parts: Sequence[tuple[int, int, int]], ss: int, se: int, high: int, low: int) -> bytes:
     body = bytes([len(parts)]) + b"".join(bytes([c, dc << 4 | ac]) for c, dc, ac in parts)
     return _segment(0xDA, body + bytes([ss, se, high << 4 | low]))
 
 
+_own_scan = cache(_scan)  # the same few for all stored pictures
+
+
 def _dc_bits(values: np.ndarray, component: np.ndarray) -> np.ndarray:
     """Differences within each component; four bits of category, then the category's bits."""
     diff = np.empty(len(values), np.int32)
     for c in range(3):
         own = values[component == c]
-        diff[component == c] = np.diff(own, prepend=0)
+        own[1:] -= own[:-1].copy()  # own is a copy of its values
+        diff[component == c] = own
     size = np.frexp(np.abs(diff).astype(np.float64))[1].astype(np.int32)
     code = (size << 16) | np.where(diff < 0, diff + (1 << size) - 1, diff)  # 4 bits of category above 16 bits
     each = 4 + size
@@ -88,9 +93,38 @@ def _dc_bits(values: np.ndarray, component: np.ndarray) -> np.ndarray:
     return ((code[row] >> shift) & 1).astype(np.uint8)
 
 
-def _bits(values: np.ndarray, width: int) -> np.ndarray:
-    """(…) whole numbers of up to 8 bits as (…, width) bits."""
-    return np.unpackbits(values.astype(np.uint8)[..., None], axis=-1)[..., 8 - width :]
+#: Shifts of the eight cells of nine bits that nine bytes hold.
+_NINTHS = np.arange(8, dtype=np.uint16)
+
+
+def _nines(values: np.ndarray) -> bytes:
+    """Each byte behind a bit 0, filled up with ones, as entropy-coded bytes."""
+    n = values.size
+    cells = np.zeros(-(-n // 8) * 8, np.uint16)
+    cells[:n] = values.reshape(-1)
+    cells = cells.reshape(-1, 8)
+    out = np.zeros((len(cells), 9), np.uint8)
+    out[:, :8] = cells >> (_NINTHS + 1)
+    out[:, 1:] |= (cells << (7 - _NINTHS)).astype(np.uint8)
+    flat, spare = out.reshape(-1)[: -(-9 * n // 8)], -9 * n % 8
+    flat[-1] |= (1 << spare) - 1
+    return flat.tobytes().replace(b"\xff", b"\xff\x00")
+
+
+def _cells_of_nine(raw: np.ndarray, n: int) -> np.ndarray:
+    """The first n groups of nine bits."""
+    whole = np.zeros(-(-n // 8) * 9, np.uint16)
+    most = -(-9 * n // 8)
+    whole[:most] = raw[:most]
+    whole = whole.reshape(-1, 9)
+    return ((((whole[:, :-1] << 8) | whole[:, 1:]) >> (7 - _NINTHS)) & 0x1FF).reshape(-1)[:n]
+
+
+@cache
+def _signed(size: int, low: int) -> np.ndarray:
+    """What size bits stand for, shifted: the lower half of their values is negative."""
+    value = np.arange(1 << size, dtype=np.int32)
+    return (value - np.where(value >> (size - 1), 0, (1 << size) - 1).astype(np.int32)) << low
 
 
 def _picture(payload: bytes) -> bytes:
@@ -110,19 +144,17 @@ def _picture(payload: bytes) -> bytes:
     out.append(_table(0, 0, [4] * 9, bytes(range(9))))
     out.append(_table(1, 0, [1], b"\x08"))
     out.append(_table(1, 1, [1], b"\x00"))
-    everyone = [(1, 0, 0), (2, 0, 0), (3, 0, 0)]
+    everyone = ((1, 0, 0), (2, 0, 0), (3, 0, 0))
     dc = filled[:, :, 0].reshape(-1).astype(np.int32) + 256
-    out += [_scan(everyone, 0, 0, 0, 1), _stuffed(_dc_bits(dc >> 1, np.tile([0, 0, 0, 0, 1, 2], units)))]
+    out += [_own_scan(everyone, 0, 0, 0, 1), _stuffed(_dc_bits(dc >> 1, np.tile([0, 0, 0, 0, 1, 2], units)))]
     for c, plane in enumerate(planes, 1):
         for first, last in BANDS:
-            cells = np.zeros((len(plane), last - first + 1, 9), np.uint8)
-            cells[:, :, 1:] = _bits(128 + (plane[:, first : last + 1] >> 1), 8)
-            out += [_scan([(c, 0, 0)], first, last, 0, 1), _stuffed(cells.reshape(-1))]
-    out += [_scan(everyone, 0, 0, 1, 0), _stuffed((dc & 1).astype(np.uint8))]
+            out += [_own_scan(((c, 0, 0),), first, last, 0, 1), _nines(128 + (plane[:, first : last + 1] >> 1))]
+    out += [_own_scan(everyone, 0, 0, 1, 0), _stuffed((dc & 1).astype(np.uint8))]
     for c, plane in enumerate(planes, 1):
         cells = np.zeros((len(plane), 64), np.uint8)
         cells[:, 1:] = plane[:, 1:] & 1
-        out += [_scan([(c, 0, 1)], 1, 63, 1, 0), _stuffed(cells.reshape(-1))]
+        out += [_own_scan(((c, 0, 1),), 1, 63, 1, 0), _stuffed(cells.reshape(-1))]
     out.append(b"\xff\xd9")
     return b"".join(out)
 
@@ -139,9 +171,9 @@ def write(payload: bytes) -> bytes:
 
 
 @lru_cache(maxsize=64)
-def _lookup(counts: bytes, symbols: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The symbol, and the length of its code, that each 16 bits begin with; length 0 where no code fits."""
-    value, length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+def _lookup(counts: bytes, symbols: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbol, the length of its code, and both added up, that each 16 bits begin with; length 0 and sum -1 where no code fits."""
+    value, length = np.zeros(1 << 16, np.int16), np.zeros(1 << 16, np.int16)
     code, k = 0, 0
     for n in range(1, 17):
         for _ in range(counts[n - 1]):
@@ -149,7 +181,7 @@ def _lookup(counts: bytes, symbols: bytes) -> tuple[np.ndarray, np.ndarray]:
             value[span], length[span] = symbols[k], n
             code, k = code + 1, k + 1
         code <<= 1
-    return value, length
+    return value, length, np.where(length > 0, length + value, -1).astype(np.int16)
 
 
 class Table:
@@ -207,7 +239,7 @@ def _signed_run(data: bytes, tables: list[Table], which: np.ndarray) -> np.ndarr
     place = np.arange(8 * (len(data) + 1))
     ahead = (wide[place >> 3] >> (24 - (place & 7))) & 0xFFFF  # the 16 bits from each place on
     found = [_lookup(t.counts, t.symbols) for t in tables]
-    steps = [np.where(length > 0, length + value, -1)[ahead].tolist() for value, length in found]
+    steps = [step[ahead].tolist() for _, _, step in found]
     at, starts, end = 0, [], len(place) - 1
     for k in which.tolist():
         starts.append(at)
@@ -216,7 +248,7 @@ def _signed_run(data: bytes, tables: list[Table], which: np.ndarray) -> np.ndarr
             raise ValueError("a code that no table has")
         at = min(at + step, end)
     starts = np.array(starts, np.int64)
-    value, length = (np.choose(which, [f[i][ahead[starts]] for f in found]) for i in (0, 1))
+    value, length = ((found[0][i][ahead[starts]] if len(found) == 1 else np.choose(which, [f[i][ahead[starts]] for f in found])).astype(np.int64) for i in (0, 1))
     if len(value) and value.max() > 16:
         raise ValueError("a difference of more than 16 bits")
     own = np.minimum(starts + length, end)
@@ -247,6 +279,7 @@ def _dc_scan(parts, tables, order, data: bytes, low: int, high: int) -> None:
 def _even_ac(c: Component, table: Table, blocks: np.ndarray, data: bytes, ss: int, se: int, high: int, low: int) -> bool:
     """Takes a scan of equal strides apart; False if this isn't one."""
     n, band = len(blocks), se - ss + 1
+    rows = slice(None) if n == len(c.coefs) else blocks  # in rising order: all of them
     raw = np.frombuffer(data, np.uint8)
     if not high:
         if table.only is None or table.only >> 4 or not (size := table.only & 15) or size > 8:
@@ -254,23 +287,30 @@ def _even_ac(c: Component, table: Table, blocks: np.ndarray, data: bytes, ss: in
         need = n * band * (1 + size)
         if len(raw) * 8 < need:
             return False
-        cells = np.unpackbits(raw, count=need).reshape(n * band, 1 + size)
-        if cells[:, 0].any():
-            return False
-        value = (np.packbits(cells[:, 1:], axis=1)[:, 0] >> (8 - size)).astype(np.int32)
-        value -= np.where(value >> (size - 1), 0, (1 << size) - 1).astype(np.int32)
-        c.coefs[blocks, ss : se + 1] = value.reshape(n, band) << low
+        if size == 8:
+            value = _cells_of_nine(raw, n * band)
+            if (value >> 8).any():
+                return False
+        else:
+            cells = np.unpackbits(raw, count=need).reshape(n * band, 1 + size)
+            if cells[:, 0].any():
+                return False
+            value = np.packbits(cells[:, 1:], axis=1)[:, 0] >> (8 - size)
+        c.coefs[rows, ss : se + 1] = _signed(size, low)[value].reshape(n, band)
         return True
     if table.only != 0 or len(raw) * 8 < n * (1 + band):
         return False
-    now = c.coefs[blocks, ss : se + 1]
+    now = c.coefs[rows, ss : se + 1]
     if not now.all():
         return False
     cells = np.unpackbits(raw, count=n * (1 + band)).reshape(n, 1 + band)
     if cells[:, 0].any():
         return False
-    step = cells[:, 1:].astype(np.int32) << low
-    c.coefs[blocks, ss : se + 1] = now + np.where(now > 0, step, -step)
+    step = np.sign(now)
+    step *= cells[:, 1:]
+    step <<= low
+    step += now
+    c.coefs[rows, ss : se + 1] = step
     return True
 
 
@@ -459,18 +499,27 @@ class Picture:
         planes = []
         for c in self.parts:
             samples = (c.coefs * self.quant[c.quant]) @ _basis()  # whole numbers far below 2**53: exact in any order
-            samples = np.clip((samples + 2 ** (BASIS_BITS - 1)) // 2**BASIS_BITS + 128, 0, 255).astype(np.int32)
+            samples += 2 ** (BASIS_BITS - 1) + (128 << BASIS_BITS)
+            samples *= 2.0**-BASIS_BITS
+            np.floor(samples, out=samples)
+            samples = np.minimum(np.maximum(samples, 0, out=samples), 255, out=samples).astype(np.int32)
             plane = samples.reshape(c.high, c.wide, 8, 8).swapaxes(1, 2).reshape(c.high * 8, c.wide * 8)
             if (c.v, c.h) != (self.vmax, self.hmax):  # each sample stands for those that fall on it
-                down, across = np.arange(self.height) * c.v // self.vmax, np.arange(self.width) * c.h // self.hmax
-                plane = plane[down[:, None], across[None, :]]
+                if self.vmax % c.v or self.hmax % c.h:
+                    down, across = np.arange(self.height) * c.v // self.vmax, np.arange(self.width) * c.h // self.hmax
+                    plane = plane[down[:, None], across[None, :]]
+                else:
+                    plane = plane.repeat(self.vmax // c.v, 0).repeat(self.hmax // c.h, 1)
             planes.append(plane[: self.height, : self.width])
         if len(planes) == 1:
             return np.repeat(planes[0].astype(np.uint8)[..., None], 3, -1)
         y, cb, cr = planes[0] << 16, planes[1] - 128, planes[2] - 128
-        half = 1 << 15
-        parts = (y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb)  # 1.402, 0.344136, 0.714136, 1.772 in 16 bits
-        return np.stack([np.clip((p + half) >> 16, 0, 255).astype(np.uint8) for p in parts], -1)
+        y += 1 << 15
+        out = np.empty((*y.shape, 3), np.uint8)
+        for i, p in enumerate((y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb)):  # 1.402, 0.344136, 0.714136, 1.772 in 16 bits
+            p >>= 16
+            out[..., i] = np.minimum(np.maximum(p, 0, out=p), 255, out=p)
+        return out
 
 
 def pictures(media: bytes) -> list[Picture]:

@@ -188,3 +188,22 @@ def test_query(spark, tmp_path):
         assert r.media_sha256 == hashlib.sha256(media.write(padded)).hexdigest()
         rgb = [p.rgb() for p in media.pictures(media.write(padded))]
         assert r.tensor_bytes == sum(t.size for t in rgb) and r.tensor_sha256 == ",".join(hashlib.sha256(t.tobytes()).hexdigest() for t in rgb)
+
+
+@pytest.mark.parametrize("n", [1, 7, 8, 9, 64, 1000])
+def test_cells_of_nine_bits_without_taking_bits_apart(n):
+    values = np.random.default_rng(n).integers(0, 256, n).astype(np.uint8)
+    values[: n // 2] = 255
+    cells = np.zeros((n, 9), np.uint8)
+    cells[:, 1:] = np.unpackbits(values[:, None], axis=1)
+    packed = media._nines(values)
+    assert packed == media._stuffed(cells.reshape(-1))
+    raw = np.frombuffer(packed.replace(b"\xff\x00", b"\xff"), np.uint8)
+    assert media._cells_of_nine(raw, n).tolist() == values.tolist()
+
+
+def test_tables_are_worked_out_once():
+    counts, symbols = bytes([0, 0, 0, 9] + [0] * 12), bytes(range(9))
+    value, length, step = media._lookup(counts, symbols)
+    assert media._lookup(counts, symbols)[2] is step
+    assert (step == np.where(length > 0, length + value, -1)).all() and step.min() == -1
