@@ -8,8 +8,10 @@ windows of anchors that occur twice can repeat. Consecutive windows of one ancho
 form a segment, and the segments of an anchor meet as one group.
 
 The segments of a group are laid end to end, and their suffix array is built:
-triples at two of three places are sorted and named, the names' suffix array
-follows by recursion, the remaining suffixes are merged in. Neighbours in it with
+triples at two of three places, with the symbols after them that a key can hold,
+are sorted and named, the names' suffix array follows by recursion until names tell
+all apart or are longer than a window, the remaining places where windows begin are
+merged in. Neighbours in it with
 100 equal bytes are equal windows, and all but the first are removed. Hashes only
 say what meets what; every window that is removed has been compared byte by byte.
 
@@ -92,46 +94,73 @@ def segments(data: bytes, anchor: int = ANCHORS[0]) -> tuple[np.ndarray, np.ndar
 # --- suffix arrays ---------------------------------------------------------
 
 
-def _in_order(key: np.ndarray) -> np.ndarray:
-    """Indices that sort whole numbers from 0, equal ones as they stand: by 16 bits at a time, lowest first."""
-    order, bits = None, int(key.max()).bit_length() if len(key) else 0
-    for shift in range(0, max(bits, 1), 16):
-        digit = ((key >> shift) & 0xFFFF).astype(np.uint16)
-        order = np.argsort(digit, kind="stable") if order is None else order[np.argsort(digit[order], kind="stable")]
-    return order
+def suffix_array(s: np.ndarray, wanted: np.ndarray | None = None, depth: int | None = None) -> np.ndarray:
+    """Of positive whole numbers, by the difference cover {1, 2} modulo 3.
+
+    With a mask of wanted places, of these alone; with a depth, places whose next
+    numbers are the same, so many or more, stand together in any order.
+    """
+    return _ordered(s, np.ones(len(s), bool) if wanted is None else wanted, 1, 1, np.inf if depth is None else depth)
 
 
-def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Of positive whole numbers, by the difference cover {1, 2} modulo 3."""
+def _ordered(s: np.ndarray, wanted: np.ndarray, reach: int, step: int, depth: float) -> np.ndarray:
+    """suffix_array of names that stand for so many numbers (reach) each, and begin so many apart (step)."""
     n = len(s)
     if n < 3:
-        return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
+        return np.array(sorted(np.flatnonzero(wanted).tolist(), key=lambda i: s[i:].tolist()), np.int64)
     size = int(s.max()) + 1
-    t = np.concatenate([s, np.zeros(3, s.dtype)]).astype(np.int64)
+    bits = (size - 1).bit_length()
+    t = np.zeros(n + 64, np.int64)
+    t[:n] = s
     ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)  # a one past the end keeps the halves apart
     sample = np.concatenate([ones, twos])
-    if size < 1 << 21:
-        triple = (t[sample] * size + t[sample + 1]) * size + t[sample + 2]
-        order = _in_order(triple)
-        new = np.diff(triple[order], prepend=-1) != 0
+    low = len(sample).bit_length()
+    if bits <= 21:  # a key holds three numbers, and all others that fit; where it can, its place in the sample too
+        with_place = 3 * bits <= 64 - low
+        taken = (64 - low if with_place else 64) // bits
+        key, u = np.empty(len(sample), np.uint64), t.view(np.uint64)
+        for part, at in ((key[: len(ones)], 1), (key[len(ones) :], 2)):
+            part[:] = u[at : at + 3 * len(part) : 3]
+            for k in range(at + 1, at + taken):
+                part <<= np.uint64(bits)
+                part |= u[k : k + 3 * len(part) : 3]
+        if with_place:
+            key <<= np.uint64(low)
+            key |= np.arange(len(key), dtype=np.uint64)
+            key.sort()
+            order = (key & np.uint64((1 << low) - 1)).view(np.int64)
+            key >>= np.uint64(low)
+        else:
+            order = np.argsort(key)
+            key = key[order]
+        new = np.append(True, key[1:] != key[:-1])
     else:
+        taken = 3
         order = np.lexsort((t[sample + 2], t[sample + 1], t[sample]))
         rows = np.stack([t[sample + k][order] for k in range(3)])
         new = np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(0)])
-    names = np.empty(len(sample), np.int64)
-    names[order] = np.cumsum(new)
-    if not new.all():
-        order = suffix_array(names)
-    rank = np.zeros(n + 3, np.int64)
-    rank[sample[order]] = np.arange(1, len(sample) + 1)
+    among = np.zeros(n + 3, bool)
+    among[:n] = wanted
+    need = among.copy()  # a wanted place is compared by the ranks of the next two
+    need[1:] |= among[:-1]
+    need[2:] |= among[:-2]
+    need = need[sample]
+    reach += (taken - 1) * step
+    if reach < depth and not new.all():
+        names = np.empty(len(sample), np.int32)
+        names[order] = np.cumsum(new, dtype=np.int32)
+        order = _ordered(names, need, reach, 3 * step, depth)
+    else:
+        order = order[need[order]]
     sorted12 = sample[order]
-    sorted12 = sorted12[sorted12 < n]
+    rank = np.zeros(n + 3, np.int64)
+    rank[sorted12] = np.arange(1, len(sorted12) + 1)
 
-    rest = np.arange(0, n, 3)
-    many = len(sample) + 1
-    zero_key = t[rest] * many + rank[rest + 1]
-    by_zero = _in_order(zero_key)
-    rest, zero_key = rest[by_zero], zero_key[by_zero]
+    rest = 3 * np.flatnonzero(among[:n:3])
+    many = len(sorted12) + 1
+    zero_key = np.sort(t[rest] * many + rank[rest + 1])
+    rest = sorted12[zero_key % many - 1] - 1
+    sorted12 = sorted12[among[sorted12]]
     is_one = sorted12 % 3 == 1
     a, b = sorted12[is_one], sorted12[~is_one]
     below = np.searchsorted(t[a] * many + rank[a + 1], zero_key)
@@ -143,46 +172,50 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         name[np.concatenate([rest, b])] = np.unique(pair, return_inverse=True)[1]
         two = lambda i: name[i] * many + rank[i + 2]
     below += np.searchsorted(two(b), two(rest))
-    out = np.empty(n, np.int64)
-    place = below + np.arange(len(rest))
+    out = np.empty(len(rest) + len(sorted12), np.int64)
+    place = np.maximum.accumulate(below) + np.arange(len(rest))  # among places that are the same to the depth, keys may fall
     out[place] = rest
-    free = np.ones(n, bool)
+    free = np.ones(len(out), bool)
     free[place] = False
     out[free] = sorted12
     return out
 
 
 def later_windows(data: np.ndarray, size: np.ndarray, doc: np.ndarray, sub: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, window of it), in order, of every window that equals an earlier one of these segments, laid end to end in data."""
-    start = np.cumsum(size + 1) - size - 1  # with a separator after each
-    symbols = np.ones(len(data) + len(size), np.int64)
-    segment = np.repeat(np.arange(len(size)), size + 1)
-    inside = np.ones(len(symbols), bool)
-    inside[start + size] = False
-    symbols[inside] = data.astype(np.int64) + 2
-    order = suffix_array(symbols)
-    offset = order - start[segment[order]]
-    order = order[offset <= size[segment[order]] - LENGTH]  # where a whole window begins
-    spread = np.zeros(len(symbols), np.uint8)
-    spread[inside] = data
-    eight = np.ndarray(len(spread) - 7, "<u8", spread, strides=(1,))  # the eight bytes from each place on
-    same = np.zeros(len(order), bool)
-    pair = np.arange(1, len(order))
-    for at in (*range(0, LENGTH - 8, 8), LENGTH - 8):  # pairs that are equal so far
-        pair = pair[eight[order[pair] + at] == eight[order[pair - 1] + at]]
-    same[pair] = True
+    """(segment, window of it), in order, of every window that equals an earlier one of these segments, laid end to end in data.
+
+    Segments of one (doc, sub) share no window.
+    """
+    start = np.cumsum(size) - size
+    windows = np.maximum(size - LENGTH + 1, 0)
+    base = np.cumsum(windows) - windows
+    segment = np.repeat(np.arange(len(size)), windows)
+    place = np.arange(len(segment)) + np.repeat(start - base, windows)
+    wanted = np.zeros(len(data), bool)
+    wanted[place] = True
+    order = suffix_array(data.astype(np.int64) + 1, wanted, LENGTH)  # a window ends within its segment, so no separators
+    eight = np.ndarray(max(len(data) - 7, 0), "<u8", data, strides=(1,)).copy()  # the eight bytes from each place on
+    same = np.ones(len(order), bool)
+    same[:1] = False
+    for at in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+        word = eight[at:].take(order)
+        same[1:] &= word[1:] == word[:-1]
     # only windows with an equal neighbour need an order of their own
     some = np.flatnonzero(same | np.append(same[1:], False))
-    group, order = np.cumsum(~same)[some], order[some]
-    owner = segment[order]
-    place = first[owner] + order - start[owner]
-    by = np.lexsort((place, sub[owner], doc[owner], group))
-    gone = np.zeros(len(symbols), bool)
-    if len(by):
-        group = group[by]
-        gone[order[by[1:]][group[1:] == group[:-1]]] = True
-    found = np.flatnonzero(gone)
-    return segment[found], found - start[segment[found]]
+    if not len(some):
+        return some, some
+    order, head = order[some], np.flatnonzero(~same[some])
+    turn = np.lexsort((first, sub, doc))
+    age = np.empty(len(size), np.int64)
+    age[turn] = np.cumsum(windows[turn]) - windows[turn]
+    of_place = np.empty(len(data), np.int64)
+    of_place[place] = np.arange(len(segment)) + np.repeat(age - base, windows)
+    age = of_place[order]
+    least = np.repeat(np.minimum.reduceat(age, head), np.diff(np.append(head, len(age))))
+    gone = np.zeros(len(data), bool)
+    gone[order[age != least]] = True
+    found = np.flatnonzero(gone[place])
+    return segment[found], found - base[segment[found]]
 
 
 # --- stages ----------------------------------------------------------------

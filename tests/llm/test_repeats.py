@@ -153,3 +153,41 @@ def test_digests_that_collide(spark, monkeypatch):
     got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep_bytes=True).collect()
     assert sorted(bytes(r.kept).decode() for r in got if r.doc_id is None) == sorted([*texts, texts[1]])
     assert [r.n_removed for r in got if r.doc_id == 7] == [len(texts[0])]
+
+
+def test_suffix_array_of_wanted_places_and_to_a_depth():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        s = np.tile(r.integers(1, r.integers(2, 300), r.integers(0, 30)), r.integers(1, 5))
+        want = sorted(range(len(s)), key=lambda i: s[i:].tolist())
+        mask = r.random(len(s)) < 0.4
+        assert repeats.suffix_array(s, mask).tolist() == [i for i in want if mask[i]]
+        depth = int(r.integers(1, 20))
+        got = repeats.suffix_array(s, depth=depth).tolist()
+        assert sorted(got) == list(range(len(s)))
+        whole = [s[i : i + depth].tolist() for i in got if i + depth <= len(s)]
+        assert whole == sorted(whole)
+
+
+@pytest.mark.parametrize("period", [1, 37, 138])
+def test_later_windows_of_copies_take_few_levels(monkeypatch, period):
+    """Recursion ends when names are longer than a window, and numbers sorted stay in proportion, whatever repeats."""
+    lengths = []
+    ordered = repeats._ordered
+    monkeypatch.setattr(repeats, "_ordered", lambda s, *rest: lengths.append(len(s)) or ordered(s, *rest))
+    r = np.random.default_rng(period)
+    text = np.tile(r.integers(0, 256, period).astype(np.uint8), 600)  # byte 0 too
+    at, size = r.integers(0, len(text) - 300 if period > 1 else 300, 250), r.integers(99, 180, 250)
+    data = np.concatenate([text[a : a + n] for a, n in zip(at, size, strict=True)])
+    doc, none = r.permutation(250), np.zeros(250, np.int64)
+    own, offset = repeats.later_windows(data, size, doc, none, at)
+    assert len(lengths) <= 6 and sum(lengths) < 3 * len(data)
+    oldest, windows = {}, []
+    starts = np.cumsum(size) - size
+    for k in np.argsort(doc):
+        for w in range(size[k] - 99):
+            b = data[starts[k] + w : starts[k] + w + 100].tobytes()
+            if b in oldest:
+                windows.append((int(k), w))
+            oldest.setdefault(b, k)
+    assert list(zip(own.tolist(), offset.tolist(), strict=True)) == sorted(windows)
