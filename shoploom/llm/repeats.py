@@ -65,11 +65,11 @@ def _hashes(data: np.ndarray, width: int) -> np.ndarray:
 
 def _least(v: np.ndarray, w: int) -> np.ndarray:
     """The minimum of each w values in a row."""
-    n = len(v) - w + 1
-    padded = np.concatenate([v, np.full(-len(v) % w, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, w)
-    ahead = np.minimum.accumulate(padded, axis=1).reshape(-1)
-    behind = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
+    have = 1
+    while have < w:
+        more = min(have, w - have)
+        v, have = np.minimum(v[:-more], v[more:]), have + more
+    return v
 
 
 def segments(data: bytes, anchor: int = ANCHORS[0]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -316,7 +316,7 @@ def _wanted(rows: DataFrame) -> DataFrame:
         if held is not None and held[0] == 0 and before is not None and before == held[1]:
             yield pa.RecordBatch.from_arrays([pa.array([c]) for c in held[1:]], names=list(_SEGMENT))
 
-    met = rows.repartition("to").sortWithinPartitions(F.col("known") != 1, "to")
+    met = rows.repartition("to").sortWithinPartitions("to")  # one number, which Spark sorts by its digits
     return met.mapInArrow(run, ", ".join(f"{n} long" for n in _SEGMENT))
 
 
@@ -453,14 +453,16 @@ def _anchored_again(rows: DataFrame, anchor: int) -> DataFrame:
     return rows.mapInArrow(run, "key long, doc long, sub long, first long, data binary")
 
 
-def _runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def _runs(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of rows, in any order, as maximal runs: those that overlap or touch are one."""
+    width = int(end.max(initial=0)) + 2
+    by = np.argsort(row * width + start)
+    row, start = row[by], start[by]
+    last = np.maximum.accumulate(row * width + end[by])
+    new = np.ones(len(by), bool)
+    new[1:] = (row * width + start)[1:] > last[:-1]
+    at = np.flatnonzero(new)
+    return row[at], start[at], last[np.append(at[1:], len(by))[: len(at)] - 1] - row[at] * width
 
 
 def _repeated(docs: DataFrame) -> DataFrame:
@@ -497,16 +499,21 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep_bytes: bool = True)
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
-                part, rows = batch.slice(at, BATCH_ROWS), []
-                for doc_id, data, spans in zip(*(part.column(c).to_pylist() for c in ("doc_id", "data", "spans")), strict=True):
-                    removed = _runs([(s["start"], s["end"]) for s in spans or ()])
-                    free = [0, *(b for _, b in removed)]
-                    kept = b"".join(data[a:b] for a, b in zip(free, [*(a for a, _ in removed), len(data)], strict=True)) if removed else data
-                    row = {"doc_id": doc_id, "n_bytes": len(data), "n_removed": len(data) - len(kept), "n_spans": len(removed), "kept_sha256": hashlib.sha256(kept).hexdigest(), "removed": [{"start": a, "end": b} for a, b in removed]}
-                    rows.append(row | ({"kept": kept} if keep_bytes else {}))
-                types = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))] + [pa.binary()] * keep_bytes
-                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"] + ["kept"] * keep_bytes
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in zip(names, types, strict=True)], names=names)
+                part = batch.slice(at, BATCH_ROWS)
+                data, lists = part.column("data").to_pylist(), part.column("spans")
+                spans = [c.to_numpy() for c in lists.flatten().flatten()]
+                row, start, end = _runs(np.repeat(np.arange(len(data)), lists.value_lengths().fill_null(0).to_numpy()), *spans)
+                edges = np.searchsorted(row, np.arange(len(data) + 1))
+                starts, ends, kept = start.tolist(), end.tolist(), []
+                for k, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist(), strict=False)):
+                    free = zip([0, *ends[a:b]], [*starts[a:b], len(data[k])], strict=True)
+                    kept.append(b"".join(data[k][x:y] for x, y in free) if a < b else data[k])
+                n_bytes, n_kept = (np.array([len(x) for x in texts], np.int64) for texts in (data, kept))
+                removed = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"]))
+                out = {"doc_id": part.column("doc_id"), "n_bytes": n_bytes, "n_removed": n_bytes - n_kept, "n_spans": np.diff(edges), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept], "removed": removed}
+                if keep_bytes:
+                    out["kept"] = pa.array(kept, pa.binary())
+                yield pa.RecordBatch.from_pydict(out)
 
     joined = placed.join(lists, ["doc", "sub"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "data", "spans")
     return joined.mapInArrow(run, schema)
